@@ -2,12 +2,14 @@
 
 import corpus_pipeline
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup, quality
 
 QUERIES = {
+    "op2_host_rules": quality.op2_host_rules,
+    "op10_super_minhash": near_dedup.op10_super_minhash,
     "op4_block_naming": exact_dedup.op4_block_naming,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {**exact_dedup.SQL}
+ORACLES = {**exact_dedup.SQL, **quality.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
