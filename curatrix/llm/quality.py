@@ -51,17 +51,14 @@ def _base(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         at = inside[_repeats(key)[0]]
         for k in range(3):
             repeat[at + k] = True
-    # Lines end at a line feed or with the document.
-    cuts = np.union1d(np.flatnonzero(buf == 10), offsets[1:])
-    cuts = cuts[cuts <= len(buf)]
-    begins = np.append(0, np.where((cuts < len(buf)) & (buf[np.minimum(cuts, max(len(buf) - 1, 0))] == 10), cuts + 1, cuts))[:-1] if len(buf) else np.zeros(0, np.int64)
-    # A document that starts at a line's cut begins there anew.
-    begins = np.union1d(begins, offsets[:-1])
+    # Lines begin at a document or after a line feed, and end before the next of either.
+    feeds = np.flatnonzero(buf == 10)
+    begins = np.union1d(offsets[:-1], feeds + 1)
     begins = begins[begins < len(buf)]
-    stops = np.minimum(cuts[np.minimum(np.searchsorted(cuts, begins), len(cuts) - 1)], len(buf)) if len(begins) else begins
-    full = np.searchsorted(starts, stops) > np.searchsorted(starts, begins)
-    begins, stops = begins[full], stops[full]
     line_doc = np.searchsorted(offsets, begins, "right") - 1
+    stops = np.minimum(np.append(feeds, len(buf))[np.searchsorted(feeds, begins)], offsets[line_doc + 1])
+    full = np.searchsorted(starts, stops) > np.searchsorted(starts, begins)
+    begins, stops, line_doc = begins[full], stops[full], line_doc[full]
     keys = span_hashes(buf, begins, stops) ^ mix(line_doc.astype(U) + U(7))
     dup = _repeats(keys)[1]
     return [
