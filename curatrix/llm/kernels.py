@@ -71,12 +71,17 @@ def spans(offsets: np.ndarray, most: int = BLOCK) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes between tokens of letters: all of ASCII but its letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end bytes of all words, and each document's first word; words never cross documents."""
     if not len(buf):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    ink = ~SPACE[buf]
+    ink = ~gap[buf]
     first, last = ink.copy(), ink.copy()
     first[1:] &= ~ink[:-1]
     last[:-1] &= ~ink[1:]
@@ -121,3 +126,11 @@ def add_up(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+def look_up(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in the ascending table; -1 where it isn't."""
+    if not len(table) or not len(keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)

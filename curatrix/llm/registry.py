@@ -2,10 +2,12 @@
 
 import corpus_pipeline
 
-from . import exact_dedup, near_dedup, quality
+from . import exact_dedup, language, near_dedup, quality, toxicity
 
 QUERIES = {
     "op2_host_rules": quality.op2_host_rules,
+    "op6_word_backoff": language.op6_word_backoff,
+    "op9_segments": toxicity.op9_segments,
     "op10_super_minhash": near_dedup.op10_super_minhash,
     "op4_block_naming": exact_dedup.op4_block_naming,
     "pipeline": corpus_pipeline.run,
