@@ -2,9 +2,11 @@
 
 import corpus_pipeline
 
-from . import exact_dedup, language, near_dedup, quality, toxicity
+from . import exact_dedup, language, near_dedup, packing, quality, repair, toxicity
 
 QUERIES = {
+    "op1_group_packing": packing.op1_group_packing,
+    "op8_repair_shards": repair.op8_repair_shards,
     "op2_host_rules": quality.op2_host_rules,
     "op6_word_backoff": language.op6_word_backoff,
     "op9_segments": toxicity.op9_segments,
