@@ -6,8 +6,9 @@ any element gives it, and dealing stops once no later rank can win. The kernel d
 documents of a block at once, and drops documents whose places are all below the next rank: the same stop.
 
 Rows with equal sets form a class, and one row stands for it, so copies cost nothing further. In each
-bucket of a band, members are checked against the least one, and whatever stays unconnected there is then
-compared in blocks by signature. All candidates are verified on full sets; nothing is capped.
+bucket of a band, members are checked against one of them, in a few rounds with another one each time.
+Then, in buckets that still hold several components, every member outside the largest one is compared
+with all others in blocks. All candidates are verified on full sets; nothing is capped.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component; a
 text under five words is one shingle. component_id is the least doc_id reached, null doc_ids aside (null
@@ -17,6 +18,7 @@ if there is no other). Repeated rows link like any equal texts. Other columns ar
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -28,6 +30,8 @@ PLACES, ROWS, WIDTH, PERCENT = 128, 4, 5, 75
 #: Signature agreement under which a pair is not verified: over three deviations below the limit.
 LEAST_AGREEMENT = 0.62
 BLOCK_ROWS = 256
+#: Rounds in which a bucket's members are checked against one of them.
+TURNS = 4
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -137,23 +141,31 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(sets, pa.binary())], ["uid", "elements"])
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
 def _verify(batches):
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= PERCENT * (len(both) - shared))
+        keep = [_similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column("x"), batch.column("y"))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of uids whose full sets are similar enough; written."""
-    pairs = scratch.save(pairs)
-    nodes = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    sets = scratch.save(docs.join(nodes, "uid", "left_semi").select("uid", "text").mapInArrow(_sets, "uid long, elements binary"))
+def _alike(batches):
+    for batch in batches:
+        n = batch.num_rows
+        x, y = (flat(batch.column(c))[0].view(np.uint16).reshape(n, PLACES) for c in ("x", "y"))
+        yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT, pa.bool_()))
+
+
+def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of uids that agree by signature and whose full sets are similar enough; written."""
+    x, y = sigs.select(F.col("uid").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("uid").alias("b"), F.col("sig").alias("y"))
+    pairs = scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    sets = scratch.save(shingles_of(docs, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))))
     left = sets.select(F.col("uid").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("uid").alias("b"), F.col("elements").alias("y"))
     out = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
@@ -161,22 +173,72 @@ def verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _across(batches_or_frame):
-    """Pairs of a block pair that lie in different components and agree enough by signature."""
-    frame = batches_or_frame
+def shingles_of(docs: DataFrame, uids: DataFrame) -> DataFrame:
+    return docs.join(uids.distinct(), "uid", "left_semi").select("uid", "text").mapInArrow(_sets, "uid long, elements binary")
+
+
+def _agreeing(frame):
+    """For each row of side 0, the rows of side 1 in other components that agree by signature, best first."""
     sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), PLACES)
-    root, uid, side = frame["root"].to_numpy(), frame["uid"].to_numpy(), frame["side"].to_numpy()
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    root, side = frame["root"].to_numpy(), frame["side"].to_numpy()
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        other = right[root[right] != root[i]]
+        agree = (sig[other] == sig[i]).mean(axis=1)
+        good = np.flatnonzero(agree >= LEAST_AGREEMENT)
+        yield i, other[good[np.argsort(-agree[good], kind="stable")]]
+
+
+def _involved(frame: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block pair that agree with one of another component; two for each pair at most, each once."""
+    uid = frame["uid"].to_numpy()
+    found = [np.append(other, i) for i, other in _agreeing(frame) if len(other)]
+    return pd.DataFrame({"uid": np.unique(uid[np.concatenate(found)]) if found else np.zeros(0, np.int64)})
+
+
+def _links(frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block pair, verified on full sets, as far as they join components that are not yet joined here."""
+    uid, root = frame["uid"].to_numpy(), frame["root"].to_numpy()
+    sets = [np.frombuffer(x, U) for x in frame["elements"]]
+    above = {r: r for r in root.tolist()}
+
+    def find(r):
+        while above[r] != r:
+            above[r] = r = above[above[r]]
+        return r
+
     a, b = [], []
-    for i in left:
-        other = right[(root[right] != root[i]) & ((side[i] == 0) | (uid[right] > uid[i]))]
-        if len(other):
-            hit = other[(sig[other] == sig[i]).mean(axis=1) >= LEAST_AGREEMENT]
-            a.append(np.full(len(hit), uid[i]))
-            b.append(uid[hit])
-    import pandas as pd
+    for i, other in _agreeing(frame):
+        for j in other.tolist():
+            p, q = find(root[i]), find(root[j])
+            if p != q and _similar(sets[i], sets[j]):
+                above[max(p, q)] = min(p, q)
+                a.append(uid[i])
+                b.append(uid[j])
+    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _placed(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return member.withColumn("root", F.col("uid"))
+    return member.join(roots, F.col("uid") == F.col("node"), "left").select(*member.columns, F.coalesce("root", "uid").alias("root"))
+
 
-    return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+def _rest(member: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links between components that still share a bucket: every member outside a bucket's largest component against all others, in blocks."""
+    placed = _placed(member, roots)
+    per_root = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("print"))
+    mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("print").alias("print")).where("n > most")
+    # Buckets with the same members: one of them will do.
+    mixed = mixed.groupBy("n", "most", "print").agg(F.min(F.struct("band", "bucket", "main")).alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS).cast("int").alias("out_blocks"))
+    rows = scratch.save(placed.join(mixed, ["band", "bucket"]))
+    outside = rows.where("root <> main").select("band", "bucket", F.expr("cast(pmod(xxhash64(uid), out_blocks) as int)").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "uid", "root")
+    everyone = rows.select("band", "bucket", F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(uid), all_blocks) as int)").alias("j"), F.lit(1).alias("side"), "uid", "root")
+    block = ["band", "bucket", "i", "j"]
+    cells = outside.unionByName(everyone).join(sigs, "uid")
+    involved = scratch.save(cells.groupBy(*block).applyInPandas(_involved, "uid long").distinct())
+    sets = scratch.save(shingles_of(docs, involved))
+    return scratch.save(cells.join(sets, "uid").groupBy(*block).applyInPandas(_links, "a long, b long"))
 
 
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -186,18 +248,22 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     classes = scratch.save(full.groupBy("n_shingles", "key1", "key2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "uid")).alias("head")))
     heads = full.join(classes.select(F.col("cls").alias("uid")), "uid", "left_semi")
     band = heads.select("uid", F.posexplode("bands").alias("band", "bucket"))
-    shared = band.groupBy("band", "bucket").agg(F.min("uid").alias("pivot"), F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("uid").cast("decimal(20,0)")).alias("print")).where("size > 1")
+    shared = band.groupBy("band", "bucket").count().where("count > 1").drop("count")
     member = scratch.save(band.join(shared, ["band", "bucket"]))
-    links = verified(member.where("uid <> pivot").select(F.col("uid").alias("a"), F.col("pivot").alias("b")).distinct(), docs, scratch)
-    roots = scratch.save(components(links, scratch))
-    # Buckets that hold several components still: each distinct member list once.
-    placed = member.where("size > 2").join(roots, F.col("uid") == F.col("node"), "left").select("band", "bucket", "uid", "pivot", "size", "print", F.coalesce("root", "uid").alias("root"))
-    mixed = placed.groupBy("size", "print").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("band", "bucket")).alias("one")).where("low <> high").select("one.band", "one.bucket")
-    rest = placed.join(mixed, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(uid), blocks) as int)"))
-    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rest = rest.select("band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.expr("case when block = other then 2 when block < other then 0 else 1 end").alias("side"), "uid", "root")
-    rest = rest.join(full.select("uid", "sig"), "uid")
-    more = verified(rest.groupBy("band", "bucket", "lo", "hi").applyInPandas(_across, "a long, b long").distinct(), docs, scratch)
+    sigs = scratch.save(full.select("uid", "sig").join(member.select("uid").distinct(), "uid", "left_semi"))
+    # Each bucket's members against one of them, another one each time; what is connected by then needs no more.
+    roots = None
+    for turn in range(TURNS):
+        placed = _placed(member, roots)
+        pivot = placed.groupBy("band", "bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("uid", "root"), F.xxhash64("uid", F.lit(turn))).alias("p")).where("low <> high")
+        pairs = placed.join(pivot, ["band", "bucket"]).where("root <> p.root").select(F.greatest("uid", "p.uid").alias("a"), F.least("uid", "p.uid").alias("b")).distinct()
+        links = verified(pairs, sigs, docs, scratch)
+        if roots is not None:
+            if not links.limit(1).count():
+                break
+            links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = scratch.save(components(links, scratch))
+    more = _rest(member, roots, sigs, docs, scratch)
     roots = scratch.save(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), scratch))
     groups = classes.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     best = groups.groupBy("root").agg(F.min("least").alias("component_id"), F.min("head").alias("head"))
