@@ -2,13 +2,14 @@
 
 import corpus_pipeline
 
-from . import context_tree, exact_dedup, language, near_dedup, packing, quality, repair, toxicity
+from . import context_tree, exact_dedup, language, near_dedup, packing, quality, repair, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_group_packing": packing.op1_group_packing,
     "op8_repair_shards": repair.op8_repair_shards,
     "op2_host_rules": quality.op2_host_rules,
     "op5_context_tree": context_tree.op5_context_tree,
+    "op7_suffix_levels": suffix_dedup.op7_suffix_levels,
     "op6_word_backoff": language.op6_word_backoff,
     "op9_segments": toxicity.op9_segments,
     "op10_super_minhash": near_dedup.op10_super_minhash,
