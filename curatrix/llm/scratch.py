@@ -31,7 +31,14 @@ class Scratch:
         """Write df and return the table read back."""
         self._n += 1
         path = f"{self.root}/t{self._n}"
-        df.write.parquet(path)
+        # What was shuffled for this table goes with the job; later plans read the table.
+        flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(flag, "false")
+        self.spark.conf.set(flag, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(flag, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path
