@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatrix.llm import exact_dedup
+from curatrix.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from curatrix.llm.scratch import Scratch
 
 STAGES = [
+    ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
+    ("near_dedup", near_dedup.stage),
+    ("mixing", mixing.stage),
+    ("packing", packing.stage),
 ]
 
 #: Learned scores and packing have no SQL form; tests/llm checks the stages against brute force.

@@ -2,11 +2,12 @@
 
 import corpus_pipeline
 
-from . import context_tree, exact_dedup, language, near_dedup, packing, quality, repair, suffix_dedup, toxicity
+from . import context_tree, exact_dedup, language, mixing, near_dedup, packing, quality, repair, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_group_packing": packing.op1_group_packing,
     "op8_repair_shards": repair.op8_repair_shards,
+    "op3_raking": mixing.op3_raking,
     "op2_host_rules": quality.op2_host_rules,
     "op5_context_tree": context_tree.op5_context_tree,
     "op7_suffix_levels": suffix_dedup.op7_suffix_levels,
