@@ -29,7 +29,7 @@ from .scratch import Scratch
 PLACES, ROWS, WIDTH, PERCENT = 128, 4, 5, 75
 #: Signature agreement under which a pair is not verified: over three deviations below the limit.
 LEAST_AGREEMENT = 0.62
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 #: Rounds in which a bucket's members are checked against one of them.
 TURNS = 4
 
