@@ -1,0 +1,367 @@
+"""The training-data operators against brute force, on rows with every awkward case."""
+
+import collections
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+import corpus_pipeline
+from curatrix.llm import context_tree, exact_dedup, kernels, mixing, near_dedup, packing, quality, repair, suffix_dedup, tokens, toxicity
+from curatrix.llm.registry import QUERIES
+from curatrix.llm.scratch import Scratch
+
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(9000))
+PASSAGE = "this very passage of more than fifty bytes is in many of the documents, word for word"
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank. " * 3, "en", "a"),
+    (2, "the QUICK brown fox jumps over the lazy dog near the river bank. " * 3, "en", "a"),
+    (2, "the QUICK brown fox jumps over the lazy dog near the river bank. " * 3, "en", "a"),
+    (3, None, None, None),
+    (4, "", "en", None),
+    (None, "a null id has text, too: " + PASSAGE, "en", "b"),
+    (5, LONG, "de", "b"),
+    (6, LONG + " end", "de", "b"),
+    (7, "one two", "fr", "c"),
+    (8, "ONE two", "fr", "c"),
+    (9, PASSAGE + "\n" + PASSAGE + "\n\n" + PASSAGE, "en", "c"),
+    (10, "before " + PASSAGE + " after", "en", "c"),
+    (11, "übergrößen straßen ÄRGER 12 345 # * $ %\n|<>&", "de", "c"),
+    (12, " \t\n \r\n", "en", "a"),
+    (13, "a b c a b c a b c " * 20, "en", "a"),
+    (14, "12345 !!! 678", "en", "a"),
+    (15, "shti " * 400, "es", "a"),
+    (16, "shti " * 300 + "x", "es", "a"),
+    (-7, "negative ids come first; " + PASSAGE, "en", "b"),
+    (17, "café     spaces <|endoftext|> \x1c it's we'll 3's\n\n  two", "fr", "b"),
+]
+
+
+def table(spark, folder, rows, labels):
+    clash = "kept boolean, uid string, batch int, component_id long, score double, name string, block binary, n long"
+    docs = [(*r, 0, True, "u", 1, 2, 3.0, "n", b"b", 4) for r in rows]
+    spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {clash}").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    return table(spark, str(tmp_path_factory.mktemp("odd")), ROWS, [(1, 1, 0), (13, 0, 1), (None, 1, 1), (9, None, None), (9, 1, 0), (5, 0, 7)])
+
+
+@pytest.fixture(scope="module")
+def empty(spark, tmp_path_factory):
+    return table(spark, str(tmp_path_factory.mktemp("empty")), [], [])
+
+
+PAIRS = [(r[0], r[1]) for r in ROWS]
+
+
+def got(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
+
+
+@pytest.mark.parametrize("name", [q for q in QUERIES if q != "pipeline"])
+def test_empty_table(spark, empty, name):
+    assert QUERIES[name](spark, empty).count() == 0
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, odd, empty):
+    out = corpus_pipeline.run(spark, odd).collect()
+    assert len({(r.doc_id, r.piece) for r in out}) == len(out) > 0
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_exact_dedup(spark, odd):
+    out = QUERIES["op4_block_naming"](spark, odd)
+    assert got(out, "doc_id", "keep_id", "group_size", "text_sha256") == brute.exact(PAIRS)
+    kept = [r for r in out.collect() if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in kept}) and all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_exact_dedup_names_blocks_that_share_a_digest(spark, odd):
+    docs = exact_dedup.with_uid(spark.read.parquet(f"{odd}/documents.parquet").select("doc_id", "text"))
+    out = exact_dedup.exact_groups(docs, Scratch(spark), block_bytes=16, digest=lambda c: F.xxhash64(c) % 8)
+    assert got(out, "doc_id", "keep_id", "group_size", "text_sha256") == brute.exact(PAIRS)
+
+
+def test_quality(spark, odd):
+    out = QUERIES["op2_host_rules"](spark, odd)
+    want = sorted(((d, *brute.quality(t)) for d, t in PAIRS), key=str)
+    assert got(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words") == want
+    assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in out.collect())
+
+
+def test_hosts_are_shrunk_and_joined_back(spark):
+    rows = [(i, "bad", i < 95) for i in range(100)] + [(i, f"h{i % 20}", i % 40 == 0) for i in range(100, 900)] + [(1000, "tiny", True), (1001, "tiny", False)]
+    base = spark.createDataFrame(rows, "doc_id long, host string, base_failed boolean")
+    out = {r.doc_id: r.kept for r in quality.host_rules(base).collect()}
+    assert not any(out[i] for i in range(100)) and out[101] and out[1001]
+
+
+def test_near_dedup(spark, odd):
+    out = QUERIES["op10_super_minhash"](spark, odd)
+    assert got(out, "doc_id", "n_shingles", "component_id") == brute.near(PAIRS)
+
+
+def test_near_dedup_compares_what_one_member_of_a_bucket_does_not_link(spark, monkeypatch):
+    """Chains of edited copies, with one pivot round and tiny blocks, so that the block comparison has to find links."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(4):
+        w = [f"g{g}w{rng.integers(10**6)}" for _ in range(120)]
+        for c in range(14):
+            w = list(w)
+            w[int(rng.integers(120))] = f"e{c}"
+            w[int(rng.integers(120))] = f"f{c}"
+            rows.append((len(rows), " ".join(w)))
+    monkeypatch.setattr(near_dedup, "TURNS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    docs = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "uid long, doc_id long, text string")
+    docs = Scratch(spark).save(docs)
+    out = near_dedup.near_groups(docs, Scratch(spark))
+    assert got(out, "doc_id", "n_shingles", "component_id") == brute.near(rows)
+    assert out.where("first").count() == len({x[2] for x in brute.near(rows)})
+
+
+def test_super_minhash_equals_element_by_element_dealing():
+    rng = np.random.default_rng(0)
+    sizes = [1, 3, 40, 700]
+    elements = np.concatenate([np.sort(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64)) for n in sizes])
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    sig = near_dedup.super_min_hash(elements, at, 16)
+    for d in range(len(sizes)):
+        want = [2**64 - 1] * 16
+        for e in elements[at[d] : at[d + 1]]:
+            perm = list(range(16))
+            for rank in range(16):
+                r = int(kernels.mix(np.array([e + np.uint64(0x9E3779B97F4A7C15 * (rank + 1) % 2**64)], np.uint64))[0])
+                k = rank + (((r >> 32) * (16 - rank)) >> 32)
+                perm[rank], perm[k] = perm[k], perm[rank]
+                want[perm[rank]] = min(want[perm[rank]], (rank << 32) | (r & 0xFFFFFFFF))
+        assert sig[d].tolist() == want
+
+
+def test_signatures_estimate_similarity():
+    base = np.arange(1, 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a, b = np.sort(kernels.mix(base[:900])), np.sort(kernels.mix(base[100:]))
+    sig = near_dedup.super_min_hash(np.concatenate([a, b]), np.array([0, 900, 1800]), 128)
+    assert abs((sig[0] == sig[1]).mean() - 0.8) < 0.12
+
+
+def test_suffix_dedup(spark, odd):
+    out = QUERIES["op7_suffix_levels"](spark, odd)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(PAIRS)
+
+
+def test_suffix_dedup_at_borders(spark):
+    """Passages that overlap by all lengths around the limit, cut out of one text at random places."""
+    rng = np.random.default_rng(3)
+    source = "".join(chr(97 + c) for c in rng.integers(0, 3, 3000))
+    rows = []
+    for i in range(60):
+        a, n = int(rng.integers(0, 2800)), int(rng.integers(45, 160))
+        rows.append((i, f"<{i}" + source[a : a + n] + f"{i}>" + source[a + 60 : a + 60 + n]))
+    docs = Scratch(spark).save(spark.createDataFrame([(i << 9, d, t) for i, (d, t) in enumerate(rows)], "uid long, doc_id long, text string"))
+    out = suffix_dedup.remove_repeats(docs, Scratch(spark), keep_text=True)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.repeats(rows)
+
+
+def test_levels_stay_few_and_find_the_least_document():
+    rng = np.random.default_rng(1)
+    family, seen = suffix_dedup.Family(), {}
+    for batch in range(40):
+        seed, content, doc = (rng.integers(0, 30, 50).astype(np.uint64), rng.integers(0, 4, 50).astype(np.uint64), rng.integers(0, 1000, 50))
+        family.add(seed, content, doc)
+        for s, c, d in zip(seed.tolist(), content.tolist(), doc.tolist()):
+            seen[s, c] = min(d, seen.get((s, c), d))
+    assert len(family.levels) <= 8
+    keys = list(seen)
+    own, _ = family.scan(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint64))
+    assert own.tolist() == [seen[k] for k in keys]
+
+
+def _ids(name, text, end):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.vocabulary(name)).encode(text or "", add_special_tokens=False).ids + [end]
+
+
+def test_packing(spark, odd):
+    out = QUERIES["op1_group_packing"](spark, odd).collect()
+    want = collections.Counter()
+    for d, t in PAIRS:
+        ids = np.array(_ids("word_bpe_49k.json", t, 0), "<u4")
+        want.update((d, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048))
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r.sequence_id].append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(by) == -(-sum(k[3] * n for k, n in want.items()) // 2048)
+
+
+def test_crossover_keeps_every_piece_once_and_within_capacity():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 1500, 400)
+    pool = packing.evolve(sizes, rng, 2048, population=4, children=30)
+    for groups in pool:
+        assert len(groups) == len(sizes) and np.bincount(groups, sizes).max() <= 2048 and set(groups) == set(range(groups.max() + 1))
+    first = packing.evolve(sizes, np.random.default_rng(2), 2048, population=1, children=0)[0]
+    assert packing._worth(pool[0], sizes, 2048) >= packing._worth(first, sizes, 2048)
+
+
+def test_token_shards(spark, odd):
+    out = {}
+    for r in QUERIES["op8_repair_shards"](spark, odd).collect():
+        out[r.start] = (r.doc_id, r.n_tokens, r.ids_crc32)
+    start, key = 0, lambda r: -math.inf if r[0] is None else r[0]
+    for d, t in sorted(PAIRS, key=key):
+        ids = np.array(_ids("byte_bpe_50k.json", t, 2), "<u4")
+        assert out[start] == (d, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert len(out) == len(PAIRS)
+
+
+def test_repair_round_trip_and_random_access():
+    rng = np.random.default_rng(4)
+    docs = [np.append(np.tile(rng.integers(3, 40, 12), 30)[: rng.integers(1, 360)], 2) for _ in range(50)]
+    at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+    payload = repair.to_bytes(np.arange(50), np.concatenate(docs).astype(np.uint32), at)
+    shard = repair.Shard(payload)
+    assert (shard.all() == np.concatenate(docs)).all()
+    assert all((shard.document(k) == docs[k]).all() for k in range(50)) and len(shard.symbols) < at[-1] / 4
+    assert [len(repair.expand(np.array([shard.size + i]), shard.rules, shard.size)) for i in range(len(shard.rules))] == shard.lengths.tolist()
+
+
+@pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_segments_give_the_library_ids(name, words):
+    import pyarrow as pa
+
+    texts = [t for _, t in PAIRS] + ["　x \n y", "a  b\n\n c \t d", "don't  WON'T\n'tis 1990s", "  ", "\n", "x\n", "é ́"]
+    encoder = tokens.Encoder(name, words)
+    out = []
+    for _, ids, at in encoder.column(pa.array(texts), 7):
+        out += [ids[a:b].tolist() for a, b in zip(at, at[1:])]
+    assert out == [_ids(name, t, 7) for t in texts]
+
+
+def test_context_tree(spark, odd):
+    out = {}
+    for r in QUERIES["op5_context_tree"](spark, odd).collect():
+        out[r.doc_id] = r
+    short = [(d, t) for d, t in PAIRS]
+    want = brute.tree(short)
+    train = [(d, t) for d, t in short if brute.fold(d, 7) != 2]
+    words = collections.Counter(w for _, t in train for w in [*brute.WORD.findall((t or "").translate(brute.LOW)), None])
+    for (d, t), score in zip(short, want):
+        r = out[d]
+        mine = [*brute.WORD.findall((t or "").translate(brute.LOW)), None]
+        base = sum(math.log10((words[w] + 1) / (sum(words.values()) + len(words) + 1)) for w in mine)
+        assert r.held_out == (brute.fold(d, 7) == 2) and r.n_tokens == len(mine) and r.train_tokens == sum(words.values()) and r.n_known == sum(words[w] > 0 for w in mine)
+        assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and abs(r.score - score) < 1e-6 * max(1, abs(score))
+
+
+def test_context_tree_joins_what_is_not_broadcast(spark, odd, monkeypatch):
+    docs = Scratch(spark).save(spark.read.parquet(f"{odd}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
+    whole = got(context_tree.tree_scores(docs, Scratch(spark)).select("doc_id", "n_known", F.round("score", 6), F.round("base_score", 6)), "*")
+    monkeypatch.setattr(context_tree, "LEAST_SHARE", 1e-3)
+    assert got(context_tree.tree_scores(docs, Scratch(spark)).select("doc_id", "n_known", F.round("score", 6), F.round("base_score", 6)), "*") == whole
+
+
+def test_language(spark):
+    sf = "/root/testdata/sf0.01"
+    out = QUERIES["op6_word_backoff"](spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r.lang == r.lang_pred for r in out]) > 0.97 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_of_odd_rows(spark, odd):
+    out = {r.doc_id: r for r in QUERIES["op6_word_backoff"](spark, odd).collect()}
+    assert len(ROWS) == QUERIES["op6_word_backoff"](spark, odd).count()
+    assert all(out[d].lang_pred == "und" and out[d].score == 0 for d in (3, 4, 12, 14)) and out[11].lang_pred != "und"
+
+
+def test_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    out = QUERIES["op9_segments"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    bad, good = [r.predicted for r in out if r.toxic == 1], [r.predicted for r in out if r.toxic == 0]
+    assert np.mean(bad) > 0.75 and np.mean(good) < 0.03
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
+
+
+def test_toxicity_of_odd_rows(spark, odd):
+    out = QUERIES["op9_segments"](spark, odd).collect()
+    assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_maximal_segments_equal_the_recursive_definition():
+    def recursive(s, a, b):
+        best, at = 0.0, None
+        for i in range(a, b):
+            total = 0.0
+            for j in range(i, b):
+                total += s[j]
+                if total > best + 1e-12:
+                    best, at = total, (i, j + 1)
+        return [] if at is None else [*recursive(s, a, at[0]), (*at, best), *recursive(s, at[1], b)]
+
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        s = rng.normal(-0.2, 1, 30)
+        got_, want = toxicity.maximal_segments(s), recursive(s, 0, 30)
+        assert [x[:2] for x in got_] == [x[:2] for x in want] and np.allclose([x[2] for x in got_], [x[2] for x in want])
+
+
+def test_raking_meets_its_marginals(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "source", "lang")
+    out = mixing.mixed(docs, Scratch(spark)).toPandas()
+    w = out["weight"] * out["n_tokens"]
+    for column, power in mixing.POWERS.items():
+        tokens_ = out.groupby(column)["n_tokens"].sum() ** power
+        assert np.allclose(w.groupby(out[column]).sum(), tokens_ / tokens_.sum(), rtol=1e-3)
+    assert abs((out["probability"] * out["n_tokens"]).sum() / out["n_tokens"].sum() - mixing.KEEP_SHARE) < 0.02
+    # The factors are those of plain iterative fitting over a dense cube.
+    cube = out.pivot_table("n_tokens", ["source", "lang"], "topic", "sum", fill_value=0).stack().rename("t").reset_index()
+    x = cube["t"].astype(float)
+    for _ in range(20):
+        for column, power in mixing.POWERS.items():
+            target = out.groupby(column)["n_tokens"].sum() ** power
+            x = x * cube[column].map((target / target.sum()) / x.groupby(cube[column]).sum())
+    want = (x / cube["t"]).groupby([cube["source"], cube["lang"], cube["topic"]]).first().rename("w").reset_index()
+    both = out.merge(want, on=["source", "lang", "topic"])
+    assert np.allclose(both["weight"], both["w"], rtol=1e-4)
+
+
+def test_mixing_of_odd_rows(spark, odd):
+    out = QUERIES["op3_raking"](spark, odd).collect()
+    assert len(out) == len(ROWS) and all(0 <= r.probability <= 1 for r in out)
+
+
+def test_pipeline_stages_take_effect(spark, sf):
+    """Each stage's rows against plain forms of its decision on its own input."""
+    docs, scratch = spark.read.parquet(f"{sf}/documents.parquet"), Scratch(spark)
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        out = scratch.save(stage(spark, docs, sf))
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == columns
+            ids = {r.doc_id for r in out.select("doc_id").collect()}
+            if name == "exact_dedup":
+                assert ids == {x[1] for x in brute.exact(before)}
+            elif name == "near_dedup":
+                assert ids == {x[2] for x in brute.near(before)}
+            else:
+                assert ids <= {d for d, _ in before} and len(ids) > len(before) / 2
+        else:
+            assert {r.doc_id for r in out.select("doc_id").collect()} == {d for d, _ in before}
+        docs = out
