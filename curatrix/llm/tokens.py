@@ -11,10 +11,10 @@ import os
 
 import numpy as np
 
-from .kernels import SPACE, flat, span_hashes, spans, words
+from .kernels import LOWER, SPACE, flat, look_up, mix, span_hashes, spans, words
 
 #: Segments whose ids a worker remembers between blocks; it starts anew beyond, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 2_000_000
 BLOCK_BYTES = 1 << 22
 
 
@@ -37,23 +37,97 @@ def _odd(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Kinds of bytes: white space, letters or parts of longer characters, digits, signs.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KIND[48:58] = 2
+
+
 class Encoder:
-    """Ids of Arrow text columns; `words` for vocabularies that drop white space, else segments keep it."""
+    """Ids of Arrow text columns; `by_words` for vocabularies that drop white space, else segments keep it.
+
+    By words, a word falls into atoms: runs of letters, single digits, runs of signs. Each is one piece of
+    its own, which ends with a word-end token, so that many of them can go to the library in one text. Words
+    with an apostrophe, a special token's start, or a character beyond ASCII that is no letter stay whole.
+    """
 
     def __init__(self, name: str, by_words: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(vocabulary(name)), by_words
-        self.known: dict[bytes, np.ndarray] = {}
+        self.closing = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if by_words:
+            self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, np.uint32) for e in encode([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
+    def _learn(self, keys: np.ndarray, texts: list[bytes], atoms: bool) -> None:
+        """Remember the ids of new segments."""
+        if not texts:
+            return
+        pool, size = [], []
+        for i in range(0, len(texts), 1 << 16):
+            part = texts[i : i + (1 << 16)]
+            if atoms:
+                ids = np.concatenate(self._encode([b" ".join(part[k : k + 256]) for k in range(0, len(part), 256)]))
+                ends = np.flatnonzero(self.closing[ids]) + 1
+                size.append(np.diff(ends, prepend=0))
+            else:
+                found = self._encode(part)
+                ids = np.concatenate(found)
+                size.append(np.fromiter(map(len, found), np.int64, len(found)))
+            pool.append(ids)
+        size = np.concatenate(size)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, *pool])
+        keys, begin, size = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
+        order = np.argsort(keys)
+        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+
+    def _atoms(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        """First and end bytes of the segments of words, their hashes, and whether each is an atom."""
+        low = LOWER[buf]
+        kind = _KIND[low]
+        cut = kind > 0
+        cut[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut[starts] = True
+        a = np.flatnonzero(cut)
+        word = np.searchsorted(starts, a, "right") - 1
+        e = np.minimum(np.append(a[1:], len(buf)), ends[word])
+        odd = np.zeros(len(starts), bool)
+        sign = low == 0x27
+        sign[:-1] |= (low[:-1] == 0x3C) & (low[1:] == 0x7C)
+        odd[np.searchsorted(starts, np.flatnonzero(sign), "right") - 1] = True
+        h = span_hashes(low, a, e)
+        high = np.zeros(len(buf) + 1, np.int64)
+        np.cumsum(low >= 0x80, out=high[1:])
+        doubt = np.flatnonzero((high[e] > high[a]) & ~odd[word])
+        if len(doubt):
+            # Known atoms have passed; others must be letters only, also in lower case.
+            doubt = doubt[look_up(self.keys, h[doubt]) < 0]
+            kinds, one, back = np.unique(h[doubt], return_index=True, return_inverse=True)
+            bad = np.array([not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").lower().isalpha() for i in doubt[one]], bool)
+            if bad.any():
+                odd[word[doubt[bad[back]]]] = True
+        if not odd.any():
+            return a, e, h, np.ones(len(a), bool)
+        keep = ~odd[word]
+        a, e, h = a[keep], e[keep], h[keep]
+        b, f = starts[odd], ends[odd]
+        g = mix(span_hashes(buf, b, f))
+        order = np.argsort(np.concatenate([a, b]), kind="stable")
+        return np.concatenate([a, b])[order], np.concatenate([e, f])[order], np.concatenate([h, g])[order], np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)])[order]
+
     def _segments(self, buf: np.ndarray, offsets: np.ndarray):
-        if self.by_words:
-            return words(buf, offsets)
         # A segment begins with a document, or with the last white space before ink.
         space = SPACE[buf]
         cut = np.zeros(len(buf), bool)
@@ -62,34 +136,37 @@ class Encoder:
         cut[last] = False
         cut[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
         starts = np.flatnonzero(cut)
-        return starts, np.append(starts[1:], len(buf)), np.searchsorted(starts, offsets)
+        return starts, np.append(starts[1:], len(buf))
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, one after another, and where each document's begin."""
-        if not len(buf):
+        if len(self.keys) > REMEMBERED:
+            self._forget()
+        if self.by_words:
+            starts, ends, _ = words(buf, offsets)
+            if len(starts):
+                starts, ends, hashes, atom = self._atoms(buf, starts, ends)
+        elif len(buf):
+            starts, ends = self._segments(buf, offsets)
+            hashes, atom = span_hashes(buf, starts, ends), np.zeros(len(starts), bool)
+        else:
+            starts = np.zeros(0, np.int64)
+        if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts, ends, first = self._segments(buf, offsets)
-        hashes = span_hashes(buf, starts, ends)
-        _, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        whole = buf.tobytes()
-        keys = [whole[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = [k for k in keys if k not in known]
-        for i in range(0, len(new), 1 << 16):
-            known.update(zip(new[i : i + (1 << 16)], self._encode(new[i : i + (1 << 16)])))
-        parts = [known[k] for k in keys]
-        size = np.fromiter(map(len, parts), np.int64, len(parts))
-        pool = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-        begin = np.cumsum(size) - size
-        each = size[back]
+        kinds, one, back = np.unique(hashes, return_index=True, return_inverse=True)
+        new = np.flatnonzero(look_up(self.keys, kinds) < 0)
+        for atoms in (True, False):
+            mine = new[atom[one[new]] == atoms]
+            source = (LOWER[buf] if atoms else buf).tobytes() if len(mine) else b""
+            self._learn(kinds[mine], [source[a:b] for a, b in zip(starts[one[mine]].tolist(), ends[one[mine]].tolist())], atoms)
+        where = look_up(self.keys, kinds)
+        begin, each = self.begin[where][back], self.size[where][back]
         at = np.concatenate([[0], np.cumsum(each)])
-        ids = pool[np.repeat(begin[back] - at[:-1], each) + np.arange(at[-1])]
-        at = at[first]
+        ids = self.pool[np.repeat(begin - at[:-1], each) + np.arange(at[-1])]
+        at = at[np.searchsorted(starts, offsets)]
         if not self.by_words and (odd := np.flatnonzero(_odd(buf, offsets))).size:
             docs = [ids[a:b] for a, b in zip(at[:-1], at[1:])]
-            for d, e in zip(odd.tolist(), self._encode([whole[offsets[d] : offsets[d + 1]] for d in odd])):
+            for d, e in zip(odd.tolist(), self._encode([buf[offsets[d] : offsets[d + 1]].tobytes() for d in odd])):
                 docs[d] = e
             at = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
             ids = np.concatenate(docs)
