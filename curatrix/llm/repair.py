@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .kernels import look_up
 from .scratch import Scratch, partitions
 from .tokens import Encoder
 
@@ -33,39 +34,73 @@ SHARD_IDS, ROUNDS, RULES, LEAST = 1 << 21, 6, 4096, 8
 _NULL = np.iinfo(np.int64).min
 
 
+def _pair_keys(seq: np.ndarray, symbols: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A key for each pair of neighbours, the symbol of each code in it, and its number of bits for a code; pairs with the end id have the largest key.
+
+    Codes number the symbols that occur; 16 bits hold them in most shards, which halves what is sorted.
+    """
+    there = np.zeros(symbols, bool)
+    there[seq] = True
+    known = np.flatnonzero(there).astype(np.uint32)
+    code = np.zeros(symbols, np.uint32)
+    code[known] = np.arange(len(known), dtype=np.uint32)
+    kind, bits = (np.uint32, 16) if len(known) < 1 << 16 else (np.uint64, 32)
+    c = code[seq].astype(kind)
+    key = (c[:-1] << kind(bits)) | c[1:]
+    stop = np.flatnonzero(seq == end)
+    largest = np.iinfo(kind).max
+    key[stop[stop < len(key)]] = largest
+    key[stop[stop > 0] - 1] = largest
+    return key, known, bits
+
+
+def _places(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each key is in the ascending wanted ones, -1 elsewhere; a table of hashes passes over most others."""
+    mark = np.zeros(1 << 20, bool)
+    spot = lambda k: (k.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(12)
+    mark[spot(wanted)] = True
+    out = np.full(len(key), -1, np.int64)
+    near = np.flatnonzero(mark[spot(key)])
+    out[near] = look_up(wanted, key[near])
+    return out
+
+
 def compress(ids: np.ndarray, end: int = END, size: int = SIZE, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST):
     """Symbols, rules (k by 2), expansion lengths, and for each symbol the number of ids before it."""
     seq = ids.astype(np.uint32)
-    place = np.arange(len(seq), dtype=np.int64)
-    rules, length = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
+    rules, length = np.zeros((0, 2), np.uint32), np.ones(size, np.uint32)
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        key[(seq[:-1] == end) | (seq[1:] == end)] = 0xFFFFFFFFFFFFFFFF
-        kinds, at, count = np.unique(key, return_inverse=True, return_counts=True)
-        count[kinds == 0xFFFFFFFFFFFFFFFF] = 0
+        key, known, bits = _pair_keys(seq, size + len(rules), end)
+        ordered = np.sort(key)
+        edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        kinds, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
+        if kinds[-1] == np.iinfo(key.dtype).max:
+            kinds, count = kinds[:-1], count[:-1]
         good = np.flatnonzero(count >= least)
         if not len(good):
             break
         good = good[np.argsort(-count[good], kind="stable")][:most]
-        rank = np.full(len(kinds), len(good), np.int64)
-        rank[good] = np.arange(len(good))
-        r = np.concatenate([[len(good)], rank[at], [len(good)]])
+        # Places of the frequent pairs, by rank of frequency; len(good) elsewhere.
+        by_key = np.sort(good)
+        rank = np.full(len(good) + 1, len(good), np.int32)
+        rank[np.searchsorted(by_key, good)] = np.arange(len(good))
+        r = np.full(len(key) + 2, len(good), np.int32)
+        r[1:-1] = rank[_places(key, kinds[by_key])]
         hit = np.flatnonzero((r[1:-1] < len(good)) & (r[1:-1] < r[:-2]) & (r[1:-1] <= r[2:]))
-        used = r[1:-1][hit]
         # Rules that won nowhere are left out.
-        mine, number = np.unique(used, return_inverse=True)
-        pair = kinds[good[mine]]
-        new = np.stack([(pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)], 1)
-        known = np.concatenate([np.ones(size, np.uint32), length])
-        base = size + len(rules)
-        rules, length = np.concatenate([rules, new]), np.concatenate([length, known[new[:, 0]] + known[new[:, 1]]])
-        seq[hit] = base + number
+        won = np.bincount(r[1:-1][hit], minlength=len(good)) > 0
+        number = np.cumsum(won) - 1
+        pair = kinds[good[won]]
+        new = np.stack([known[(pair >> pair.dtype.type(bits)).astype(np.int64)], known[(pair & pair.dtype.type((1 << bits) - 1)).astype(np.int64)]], 1)
+        seq[hit] = size + len(rules) + number[r[1:-1][hit]]
+        rules, length = np.concatenate([rules, new]), np.concatenate([length, length[new[:, 0]] + length[new[:, 1]]])
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, place = seq[keep], place[keep]
-    return seq, rules, length, place
+        seq = seq[keep]
+    each = length[seq].astype(np.int64)
+    return seq, rules, length[size:], np.cumsum(each) - each
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, size: int) -> np.ndarray:

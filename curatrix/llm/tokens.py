@@ -47,9 +47,10 @@ _KIND[48:58] = 2
 class Encoder:
     """Ids of Arrow text columns; `by_words` for vocabularies that drop white space, else segments keep it.
 
-    By words, a word falls into atoms: runs of letters, single digits, runs of signs. Each is one piece of
-    its own, which ends with a word-end token, so that many of them can go to the library in one text. Words
-    with an apostrophe, a special token's start, or a character beyond ASCII that is no letter stay whole.
+    Segments fall into atoms: runs of letters, digits (by words one each), signs or white space, with the one
+    space before them unless by words. Each is one piece of its own, so that many of them can go to the
+    library in one text. Segments with an apostrophe, a special token's start, or a character beyond ASCII
+    that is no letter stay whole.
     """
 
     def __init__(self, name: str, by_words: bool):
@@ -57,6 +58,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words = Tokenizer.from_file(vocabulary(name)), by_words
+        special = [(t.content.encode(), i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.divider = special[0] if special else None
         self.closing = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         if by_words:
             self.closing[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
@@ -77,10 +80,17 @@ class Encoder:
         pool, size = [], []
         for i in range(0, len(texts), 1 << 16):
             part = texts[i : i + (1 << 16)]
-            if atoms:
+            if atoms and self.by_words:
                 ids = np.concatenate(self._encode([b" ".join(part[k : k + 256]) for k in range(0, len(part), 256)]))
                 ends = np.flatnonzero(self.closing[ids]) + 1
                 size.append(np.diff(ends, prepend=0))
+            elif atoms and self.divider is not None:
+                # A special token cuts a text before anything else does; it stands after each atom.
+                mark, number = self.divider
+                ids = np.concatenate(self._encode([mark.join(part[k : k + 128]) + mark for k in range(0, len(part), 128)]))
+                ends = np.flatnonzero(ids == number)
+                size.append(np.diff(ends, prepend=-1) - 1)
+                ids = np.delete(ids, ends)
             else:
                 found = self._encode(part)
                 ids = np.concatenate(found)
@@ -94,11 +104,19 @@ class Encoder:
         self.keys, self.begin, self.size = keys[order], begin[order], size[order]
 
     def _atoms(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """First and end bytes of the segments of words, their hashes, and whether each is an atom."""
-        low = LOWER[buf]
+        """First and end bytes of the segments' parts, their hashes, and whether each is an atom."""
+        low = LOWER[buf] if self.by_words else buf
         kind = _KIND[low]
-        cut = kind > 0
-        cut[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+        cut = np.zeros(len(buf), bool)
+        cut[1:] = kind[1:] != kind[:-1]
+        if self.by_words:
+            cut[1:] |= kind[1:] == 2
+            cut &= kind > 0
+        else:
+            # A space belongs to the ink after it; any other white space before ink is a piece of its own.
+            ink = np.zeros(len(buf), bool)
+            ink[1:] = (kind[1:] > 0) & (buf[:-1] == 0x20)
+            cut &= ~ink
         cut[starts] = True
         a = np.flatnonzero(cut)
         word = np.searchsorted(starts, a, "right") - 1
@@ -112,10 +130,10 @@ class Encoder:
         np.cumsum(low >= 0x80, out=high[1:])
         doubt = np.flatnonzero((high[e] > high[a]) & ~odd[word])
         if len(doubt):
-            # Known atoms have passed; others must be letters only, also in lower case.
+            # Known atoms have passed; others must be letters only, in lower case too.
             doubt = doubt[look_up(self.keys, h[doubt]) < 0]
             kinds, one, back = np.unique(h[doubt], return_index=True, return_inverse=True)
-            bad = np.array([not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").lower().isalpha() for i in doubt[one]], bool)
+            bad = np.array([not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").removeprefix(" ").lower().isalpha() for i in doubt[one]], bool)
             if bad.any():
                 odd[word[doubt[bad[back]]]] = True
         if not odd.any():
@@ -144,20 +162,16 @@ class Encoder:
             self._forget()
         if self.by_words:
             starts, ends, _ = words(buf, offsets)
-            if len(starts):
-                starts, ends, hashes, atom = self._atoms(buf, starts, ends)
-        elif len(buf):
-            starts, ends = self._segments(buf, offsets)
-            hashes, atom = span_hashes(buf, starts, ends), np.zeros(len(starts), bool)
         else:
-            starts = np.zeros(0, np.int64)
+            starts, ends = self._segments(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        starts, ends, hashes, atom = self._atoms(buf, starts, ends)
         kinds, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.flatnonzero(look_up(self.keys, kinds) < 0)
         for atoms in (True, False):
             mine = new[atom[one[new]] == atoms]
-            source = (LOWER[buf] if atoms else buf).tobytes() if len(mine) else b""
+            source = (LOWER[buf] if atoms and self.by_words else buf).tobytes() if len(mine) else b""
             self._learn(kinds[mine], [source[a:b] for a, b in zip(starts[one[mine]].tolist(), ends[one[mine]].tolist())], atoms)
         where = look_up(self.keys, kinds)
         begin, each = self.begin[where][back], self.size[where][back]
