@@ -19,18 +19,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Hubs are split by the map-side minimum and by AQE's skew join; no node's neighbours are gathered.
     """
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
         small = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         after = scratch.save(small)
-        now = after.agg(F.count(F.lit(1)), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(edges)
         edges = after
-        # A forest of stars: every node has one edge, and no star changed it.
-        if now == before and now[0] == now[1]:
+        # Done once this is a forest of stars: every node has one edge, and no centre has one.
+        sides = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("centre")).distinct())
+        if not sides.groupBy("a").agg(F.sum("n").alias("n"), F.max("centre").alias("centre")).where("n > 1 or (n > 0 and centre = 1)").limit(1).count():
             break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
