@@ -25,7 +25,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
         self._n = 0
-        self._paths: dict[int, str] = {}
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write df and return the table read back."""
@@ -40,7 +39,6 @@ class Scratch:
         finally:
             self.spark.conf.set(flag, before)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 
