@@ -8,7 +8,9 @@ documents of a block at once, and drops documents whose places are all below the
 Rows with equal sets form a class, and one row stands for it, so copies cost nothing further. In each
 bucket of a band, members are checked against one of them, in a few rounds with another one each time.
 Then, in buckets that still hold several components, every member outside the largest one is compared
-with all others in blocks. All candidates are verified on full sets; nothing is capped.
+with all others in blocks. A candidate is passed over only where its sets can't be similar enough: in a sketch
+each element flips one bit, so two sketches differ in no more bits than their sets in elements. All others
+are verified on full sets; nothing is capped.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component; a
 text under five words is one shingle. component_id is the least doc_id reached, null doc_ids aside (null
@@ -27,8 +29,8 @@ from .kernels import LOWER, U, by_doc, flat, mix, span_hashes, spans, words
 from .scratch import Scratch
 
 PLACES, ROWS, WIDTH, PERCENT = 128, 4, 5, 75
-#: Signature agreement under which a pair is not verified: over three deviations below the limit.
-LEAST_AGREEMENT = 0.62
+#: Bits of a sketch; they decide how many dissimilar pairs are seen as such without their full sets.
+BITS = 2048
 BLOCK_ROWS = 1024
 #: Rounds in which a bucket's members are checked against one of them.
 TURNS = 4
@@ -98,12 +100,26 @@ def super_min_hash(elements: np.ndarray, at: np.ndarray, places: int = PLACES) -
     return out
 
 
+def sketches(elements: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each document's parity sketch, documents by 64-bit words: every element flips the bit that its hash names."""
+    docs = len(at) - 1
+    bit = (mix(elements ^ U(0x0DD5)) >> U(32)).astype(np.int64) % BITS
+    odd = np.bincount(by_doc(at, len(elements)) * BITS + bit, minlength=docs * BITS) & 1
+    return np.packbits(odd.astype(bool)).view(U).reshape(docs, BITS // 64)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least number of elements in which sets of sizes n and m with sketches x and y differ, and whether they may be similar enough."""
+    apart = np.maximum(np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64), np.abs(n - m))
+    return apart, (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)
+
+
 def _sign(batches):
     bands = PLACES // ROWS
     salt = mix(np.arange(1, bands + 1, dtype=U))
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
-        size, one, two, band, short = [], [], [], [], []
+        size, one, two, band, sketch = [], [], [], [], []
         for i, j in spans(offsets):
             elements, at = shingle_sets(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             size.append(np.diff(at))
@@ -117,17 +133,20 @@ def _sign(batches):
             for r in range(1, ROWS):
                 key = mix(key) + b[:, :, r]
             band.append(mix(key ^ salt))
-            short.append((mix(sig) >> U(48)).astype(np.uint16))
+            # A sketch takes BITS counters while it is made: some thousand documents at a time.
+            for k in range(0, j - i, 1024):
+                part = at[k : min(k + 1024, j - i) + 1]
+                sketch.append(sketches(elements[part[0] : part[-1]], part - part[0]))
         n = len(offsets) - 1
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        band, short = cat(band, U).reshape(-1).view(np.int64), cat(short, np.uint16).reshape(-1)
+        band, sketch = cat(band, U).reshape(-1).view(np.int64), cat(sketch, U).reshape(-1)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("uid"), batch.column("doc_id"), pa.array(cat(size, np.int64), pa.int64()), pa.array(cat(one, U).view(np.int64)), pa.array(cat(two, U).view(np.int64)),
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(band)),
-                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (2 * PLACES)), pa.py_buffer(short)]),
+                pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * (BITS // 8)), pa.py_buffer(sketch)]),
             ],
-            ["uid", "doc_id", "n_shingles", "key1", "key2", "bands", "sig"],
+            ["uid", "doc_id", "n_shingles", "key1", "key2", "bands", "sketch"],
         )
 
 
@@ -156,15 +175,15 @@ def _verify(batches):
 
 def _alike(batches):
     for batch in batches:
-        n = batch.num_rows
-        x, y = (flat(batch.column(c))[0].view(np.uint16).reshape(n, PLACES) for c in ("x", "y"))
-        yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= LEAST_AGREEMENT, pa.bool_()))
+        x, y = (np.frombuffer(flat(batch.column(c))[0].tobytes(), U).reshape(batch.num_rows, BITS // 64) for c in ("x", "y"))
+        keep = _possible(x, y, np.asarray(batch.column("n")), np.asarray(batch.column("m")))[1]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) of uids that agree by signature and whose full sets are similar enough; written."""
-    x, y = sigs.select(F.col("uid").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("uid").alias("b"), F.col("sig").alias("y"))
-    pairs = scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
+    """The pairs (a, b) of uids whose full sets are similar enough; written."""
+    x, y = (sigs.select(F.col("uid").alias(u), F.col("sketch").alias(s), F.col("n_shingles").alias(n)) for u, s, n in (("a", "x", "n"), ("b", "y", "m")))
+    pairs = scratch.save(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(_alike, "a long, b long"))
     sets = scratch.save(shingles_of(docs, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid")))))
     left = sets.select(F.col("uid").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("uid").alias("b"), F.col("elements").alias("y"))
@@ -178,19 +197,19 @@ def shingles_of(docs: DataFrame, uids: DataFrame) -> DataFrame:
 
 
 def _agreeing(frame):
-    """For each row of side 0, the rows of side 1 in other components that agree by signature, best first."""
-    sig = np.frombuffer(b"".join(frame["sig"]), np.uint16).reshape(len(frame), PLACES)
-    root, side = frame["root"].to_numpy(), frame["side"].to_numpy()
+    """For each row of side 0, the rows of side 1 in other components that may be similar enough, nearest first."""
+    sketch = np.frombuffer(b"".join(frame["sketch"]), U).reshape(len(frame), BITS // 64)
+    root, side, n = frame["root"].to_numpy(), frame["side"].to_numpy(), frame["n_shingles"].to_numpy()
     right = np.flatnonzero(side == 1)
     for i in np.flatnonzero(side == 0):
         other = right[root[right] != root[i]]
-        agree = (sig[other] == sig[i]).mean(axis=1)
-        good = np.flatnonzero(agree >= LEAST_AGREEMENT)
-        yield i, other[good[np.argsort(-agree[good], kind="stable")]]
+        apart, may = _possible(sketch[other], sketch[i], n[other], n[i])
+        good = np.flatnonzero(may)
+        yield i, other[good[np.argsort(apart[good], kind="stable")]]
 
 
 def _involved(frame: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a block pair that agree with one of another component; two for each pair at most, each once."""
+    """The rows of a block pair that may be similar to one of another component; two for each pair at most, each once."""
     uid = frame["uid"].to_numpy()
     found = [np.append(other, i) for i, other in _agreeing(frame) if len(other)]
     return pd.DataFrame({"uid": np.unique(uid[np.concatenate(found)]) if found else np.zeros(0, np.int64)})
@@ -243,14 +262,14 @@ def _rest(member: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame,
 
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, first (whether the row stands for its component) of docs (uid, doc_id, text)."""
-    signed = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(_sign, "uid long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sig binary"))
+    signed = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(_sign, "uid long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary"))
     full = signed.where("n_shingles > 0")
     classes = scratch.save(full.groupBy("n_shingles", "key1", "key2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "uid")).alias("head")))
     heads = full.join(classes.select(F.col("cls").alias("uid")), "uid", "left_semi")
     band = heads.select("uid", F.posexplode("bands").alias("band", "bucket"))
     shared = band.groupBy("band", "bucket").count().where("count > 1").drop("count")
     member = scratch.save(band.join(shared, ["band", "bucket"]))
-    sigs = scratch.save(full.select("uid", "sig").join(member.select("uid").distinct(), "uid", "left_semi"))
+    sigs = scratch.save(full.select("uid", "n_shingles", "sketch").join(member.select("uid").distinct(), "uid", "left_semi"))
     # Each bucket's members against one of them, another one each time; what is connected by then needs no more.
     roots = None
     for turn in range(TURNS):

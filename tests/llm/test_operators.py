@@ -128,6 +128,33 @@ def test_near_dedup_compares_what_one_member_of_a_bucket_does_not_link(spark, mo
     assert out.where("first").count() == len({x[2] for x in brute.near(rows)})
 
 
+@pytest.mark.parametrize("k", [634, 8247, 9933, 10493])
+def test_near_dedup_keeps_links_whose_signatures_agree_little(k):
+    """Pairs at the limit of 0.75, in a common bucket, of which fewer than 80 of 128 places agree."""
+    import pandas as pd
+    import pyarrow as pa
+
+    w = [f"s{k}w{i}" for i in range(2004)]
+    texts = [" ".join(w[:1754]), " ".join(w[250:])]
+    buf = np.frombuffer("".join(texts).encode(), np.uint8)
+    sets, at = near_dedup.shingle_sets(buf, np.array([0, len(texts[0]), len(buf)]))
+    x, y = near_dedup.super_min_hash(sets, at)
+    assert (x == y).sum() < 80 and (x == y).reshape(-1, near_dedup.ROWS).all(axis=1).any()
+    signed = next(near_dedup._sign([pa.RecordBatch.from_pydict({"uid": [0, 1], "doc_id": [0, 1], "text": texts})])).to_pandas()
+    sides = [signed.assign(root=signed["uid"], side=side, elements=[sets[a:b].tobytes() for a, b in zip(at, at[1:])]) for side in (0, 1)]
+    assert near_dedup._links(pd.concat(sides, ignore_index=True))["a"].size == 1
+
+
+def test_sketches_pass_over_no_similar_pair():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        both, one, two = (rng.integers(0, 2**63, rng.integers(lo, hi)).astype(np.uint64) for lo, hi in ((1, 900), (0, 150), (0, 150)))
+        x, y = np.unique(np.append(both, one)), np.unique(np.append(both, two))
+        s = near_dedup.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]))
+        _, may = near_dedup._possible(s[:1], s[1:], np.array([len(x)]), np.array([len(y)]))
+        assert may[0] or not near_dedup._similar(x, y)
+
+
 def test_super_minhash_equals_element_by_element_dealing():
     rng = np.random.default_rng(0)
     sizes = [1, 3, 40, 700]
