@@ -8,9 +8,9 @@ exp(lambda * score) is 1, less the log of the document's length, follows a Gumbe
 its location and scale are fitted to labelled documents that the token scores have not seen, and a
 logistic curve over the reduced maximum and the summed excess of all segments gives the score from 0 to 1.
 
-Bounds: the labelled rows are at most MAX_LABELLED in expectation, by hash; tokens under LEAST_SHARE of
-the labelled tokens have score 0, so that at most 1 / LEAST_SHARE scores are broadcast. Everything else
-covers all rows and whole texts.
+Bounds: the labelled rows are at most MAX_LABELLED in expectation, by hash, and so are the tokens with enough
+evidence, whose scores alone are broadcast: all others score as unknown ones do. Everything else covers all
+rows and whole texts.
 
 Defined results: a null or empty text has no segment and gets the score of that; documents without a
 label teach nothing; repeated rows are scored each; with no label of one kind all scores are 0. Other
@@ -28,7 +28,6 @@ from .kernels import LOWER, NO_LETTER, U, by_doc, flat, look_up, span_hashes, sp
 from .scratch import Scratch
 
 MAX_LABELLED = 1 << 18
-LEAST_SHARE = 1e-6
 PRIOR, EVIDENCE, DRIFT = 0.01, 20.0, 0.05
 THRESHOLD = 0.3
 FOLDS, HELD_OUT, CALIBRATE = 4, 2, 3
@@ -62,15 +61,15 @@ def token_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[
     clean = pairs - toxic
     if not toxic or not clean:
         return np.zeros(0, U), np.zeros(0), 1.0
-    table = counts.where(F.col("docs") >= LEAST_SHARE * pairs).toArrow()
+    # Twice the log-likelihood ratio against one common rate. A token without enough of it scores as an unknown one.
+    want = F.col("docs") * (toxic / pairs)
+    good = F.col("docs") - F.col("toxic")
+    ratio = 2 * (F.col("toxic") * F.log(F.greatest("toxic", F.lit(1e-9)) / want) + good * F.log(F.greatest(good, F.lit(1e-9)) / (F.col("docs") - want)))
+    table = counts.where(ratio >= EVIDENCE).toArrow()
     h, total, bad, often = (np.asarray(table.column(k)).astype(np.int64) for k in ("token", "docs", "toxic", "clean_tokens"))
     mass = PRIOR * pairs
     prior = mass * total / pairs
-    odds = np.log((bad + prior) / (toxic + mass)) - np.log((total - bad + prior) / (clean + mass))
-    # Twice the log-likelihood ratio against one common rate.
-    want = total * toxic / pairs
-    ratio = 2 * (bad * np.log(np.maximum(bad, 1e-9) / want) + (total - bad) * np.log(np.maximum(total - bad, 1e-9) / (total - want)))
-    score = np.where(ratio >= EVIDENCE, odds, 0.0) - DRIFT
+    score = np.log((bad + prior) / (toxic + mass)) - np.log((total - bad + prior) / (clean + mass)) - DRIFT
     share = often / max(1, tokens)
     rest = max(0.0, 1 - share.sum())
     low, high = 1e-3, 50.0

@@ -325,6 +325,16 @@ def test_toxicity(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
 
 
+def test_toxicity_scores_a_word_of_three_toxic_documents_among_many(spark):
+    words = [chr(97 + i // 26) + chr(97 + i % 26) for i in range(150)]
+    rows = spark.range(25000).withColumnRenamed("id", "doc_id")
+    docs = rows.select("doc_id", F.concat(F.lit(" ".join(words)), F.when(F.col("doc_id") < 3, " zzrare").otherwise("")).alias("text"))
+    labels = rows.select("doc_id", (F.col("doc_id") < 300).cast("int").alias("toxic"))
+    table, score, _ = toxicity.token_scores(docs, labels, Scratch(spark))
+    (rare,) = toxicity._tokens(np.frombuffer(b"zzrare", np.uint8), np.array([0, 6]))[3]
+    assert rare in table and score[table == rare][0] > 0 and len(table) == 1
+
+
 def test_toxicity_of_odd_rows(spark, odd):
     out = QUERIES["op9_segments"](spark, odd).collect()
     assert len(out) == len(ROWS) and all(0 <= r.score <= 1 for r in out)
