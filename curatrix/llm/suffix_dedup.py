@@ -3,9 +3,10 @@
 All substrings of LENGTH bytes are covered, without an entry for each. A window's seed is the least hash of
 the K-byte strings in it, so equal windows have equal seeds; a run is a stretch of windows with one seed.
 Runs are dealt by seed. In a deal, each batch of documents gives a sorted array of its runs (seed, run's
-content hash, least doc_id), which is scanned against the levels that exist already and becomes a level
-itself; levels of like size merge, so that there are few and each entry is merged a logarithmic number of
-times. A run whose whole content is in an earlier document is removed whole. Runs that only share their
+content hash, least doc_id), which becomes a level; levels of like size merge, so that there are few. Nothing
+is scanned before all batches are in: then the levels are merged into one array, and every batch is scanned
+against that. The levels only bound the work of merging; one sort of all runs would give the same rows, and
+no index is kept for later documents. A run whose whole content is in an earlier document is removed whole. Runs that only share their
 seed are compared by content: their windows get a true suffix array (sorted by all LENGTH bytes), and a
 window that an earlier document holds is removed.
 
