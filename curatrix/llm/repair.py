@@ -2,8 +2,9 @@
 
 Documents in ascending doc_id order are encoded, and each shard of about SHARD_IDS ids gets a grammar of its
 own: pairs of adjacent ids are counted, the most frequent ones become nonterminals at once (where two of
-them overlap the more frequent wins, and of equal ones the first), and this repeats until no pair is
-frequent or ROUNDS are done. No pair takes in the end id, so that every document is a slice of the
+them overlap the more frequent wins, and of equal ones the first), and this repeats until no pair pays for
+its rule: PAYS replacements save more than a rule takes. Rounds take RULES pairs, then twice as many each
+time, since what is rarer matters less in order. No pair takes in the end id, so that every document is a slice of the
 compressed sequence.
 
 A shard is one row of a Parquet table (part, shard, n_docs, n_tokens, payload). Payload, all little-endian:
@@ -30,7 +31,9 @@ from .scratch import Scratch, partitions
 from .tokens import Encoder
 
 VOCABULARY, SIZE, END = "byte_bpe_50k.json", 50257, 2
-SHARD_IDS, ROUNDS, RULES, LEAST = 1 << 21, 6, 4096, 8
+SHARD_IDS, RULES = 1 << 21, 4096
+#: Replacements from which a rule of 12 bytes pays, at 4 bytes a symbol.
+PAYS = 4
 _NULL = np.iinfo(np.int64).min
 
 
@@ -65,20 +68,20 @@ def _places(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return out
 
 
-def compress(ids: np.ndarray, end: int = END, size: int = SIZE, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST):
+def compress(ids: np.ndarray, end: int = END, size: int = SIZE, most: int = RULES, least: int = PAYS):
     """Symbols, rules (k by 2), expansion lengths, and for each symbol the number of ids before it."""
     seq = ids.astype(np.uint32)
     rules, length = np.zeros((0, 2), np.uint32), np.ones(size, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    twins = True  # whether pairs of one symbol with itself take part; their count includes overlaps
+    while len(seq) > 1:
         key, known, bits = _pair_keys(seq, size + len(rules), end)
         ordered = np.sort(key)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         kinds, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
         if kinds[-1] == np.iinfo(key.dtype).max:
             kinds, count = kinds[:-1], count[:-1]
-        good = np.flatnonzero(count >= least)
+        half = kinds.dtype.type(bits)
+        good = np.flatnonzero((count >= least) & (twins | (kinds >> half != kinds & kinds.dtype.type((1 << bits) - 1))))
         if not len(good):
             break
         good = good[np.argsort(-count[good], kind="stable")][:most]
@@ -88,9 +91,20 @@ def compress(ids: np.ndarray, end: int = END, size: int = SIZE, rounds: int = RO
         rank[np.searchsorted(by_key, good)] = np.arange(len(good))
         r = np.full(len(key) + 2, len(good), np.int32)
         r[1:-1] = rank[_places(key, kinds[by_key])]
-        hit = np.flatnonzero((r[1:-1] < len(good)) & (r[1:-1] < r[:-2]) & (r[1:-1] <= r[2:]))
-        # Rules that won nowhere are left out.
-        won = np.bincount(r[1:-1][hit], minlength=len(good)) > 0
+        # In a run of one symbol every other pair is taken.
+        at = np.arange(len(key))
+        again = r[1:-1] == r[:-2]
+        even = (at - np.maximum.accumulate(np.where(again, 0, at))) % 2 == 0
+        hit = np.flatnonzero((r[1:-1] < len(good)) & ((r[1:-1] < r[:-2]) | (again & even)) & (r[1:-1] <= r[2:]))
+        # Rules that don't pay where they won are left out.
+        won = np.bincount(r[1:-1][hit], minlength=len(good)) >= least
+        if not won.any():
+            if not twins:
+                break
+            twins = False
+            continue
+        twins, most = True, 2 * most
+        hit = hit[won[r[1:-1][hit]]]
         number = np.cumsum(won) - 1
         pair = kinds[good[won]]
         new = np.stack([known[(pair >> pair.dtype.type(bits)).astype(np.int64)], known[(pair & pair.dtype.type((1 << bits) - 1)).astype(np.int64)]], 1)

@@ -270,6 +270,20 @@ def test_repair_round_trip_and_random_access():
     assert [len(repair.expand(np.array([shard.size + i]), shard.rules, shard.size)) for i in range(len(shard.rules))] == shard.lengths.tolist()
 
 
+def test_repair_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(9)
+    passage, rare = rng.integers(3, 50000, 600), rng.integers(3, 50000, 5)
+    parts = [x for k in range(9) for x in (passage, rng.integers(3, 50000, 7), rare if k < 5 else rare[:0], np.full(40, 7), [2])]
+    ids = np.concatenate(parts).astype(np.uint32)
+    seq, rules, _, _ = repair.compress(ids)
+    assert (repair.expand(seq, rules, repair.SIZE) == ids).all() and len(seq) < 9 * 20
+    seen = collections.Counter(p for p in zip(seq.tolist(), seq[1:].tolist()) if 2 not in p and p[0] != p[1])
+    assert max(seen.values()) < repair.PAYS
+    runs = np.append(np.full(1000, 7), 2).astype(np.uint32)
+    seq, rules, _, _ = repair.compress(runs)
+    assert (repair.expand(seq, rules, repair.SIZE) == runs).all() and len(seq) < 12 and len(set(map(tuple, rules.tolist()))) == len(rules)
+
+
 @pytest.mark.parametrize("name,words", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_segments_give_the_library_ids(name, words):
     import pyarrow as pa
