@@ -7,6 +7,7 @@ up, so cutting bytes cuts the same words as cutting characters.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,24 +20,10 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_rng = np.random.default_rng(20240229)
-BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_pow = np.ones(1, U)
-_inv = np.ones(1, U)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, n of each at least."""
-    global _pow, _inv
-    if len(_pow) < n:
-        size = max(n, BLOCK + 64)
-        a = np.full(size, _BASE, U)
-        b = np.full(size, _BASE_INV, U)
-        a[0] = b[0] = 1
-        _pow, _inv = np.multiply.accumulate(a), np.multiply.accumulate(b)
-    return _pow, _inv
+#: The low k bytes of a 64-bit word.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], U)
+#: Bytes from which a range is hashed by BLAKE2, one by one.
+_LONG = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,19 +80,48 @@ def words(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte ranges [starts, ends), which ascend and don't overlap."""
-    out = np.empty(len(starts), U)
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = int(starts[i]), int(ends[j - 1])
-        power, inverse = _powers(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, U)
-        np.cumsum(BYTE[buf[lo:hi]] * power[: hi - lo], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = mix((total[e] - total[s]) * inverse[s] + (e - s).astype(U) * U(0xD6E8FEB86659FD93))
-        i = j
+def words_of_eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of buf on as one little-endian word; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [starts, ends): each word of eight bytes is mixed into all bits before the next."""
+    size = ends - starts
+    out = mix(size.astype(U) * U(0x9E3779B97F4A7C15) + U(0xD6E8FEB86659FD93 ^ salt))
+    if not len(out):
+        return out
+    wide = words_of_eight(buf)
+    live = None
+    if size.max() > _LONG:
+        for i in np.flatnonzero(size > _LONG).tolist():
+            out[i] = int.from_bytes(blake2b(buf[starts[i] : ends[i]], digest_size=8, key=bytes([salt])).digest(), "little")
+        live = np.flatnonzero(size <= _LONG)
+        starts, size = starts[live], size[live]
+    while len(starts):
+        word = wide[starts] & _LOW[np.minimum(size, 8)]
+        if live is None:
+            out = mix(out ^ word)
+            live = np.flatnonzero(size > 8)
+            starts, size = starts[live] + 8, size[live] - 8
+        else:
+            out[live] = mix(out[live] ^ word)
+            on = np.flatnonzero(size > 8)
+            live, starts, size = live[on], starts[on] + 8, size[on] - 8
+    return out
+
+
+def same_bytes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each range of buf holds the bytes at `others` in other; the ranges there are as long."""
+    out = np.ones(len(starts), bool)
+    x, y = words_of_eight(buf), words_of_eight(other)
+    live = np.arange(len(starts))
+    while len(live):
+        out[live] &= ((x[starts] ^ y[others]) & _LOW[np.minimum(size, 8)]) == 0
+        on = np.flatnonzero(size > 8)
+        live, starts, others, size = live[on], starts[on] + 8, others[on] + 8, size[on] - 8
     return out
 
 

@@ -9,7 +9,7 @@ elites of every island move to the next one. Pieces of sequences that are left b
 and packed in a second round.
 
 Defined results: a null or empty text is one piece with the end id alone; repeated rows are packed each;
-an empty table gives an empty result. Other columns are never read.
+an empty table gives an empty result; a long text is encoded whole and cut into pieces. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .scratch import Scratch
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY, END = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
@@ -32,9 +32,9 @@ WELL_FILLED = 0.998
 
 
 def _pieces(batches, name: str, capacity: int):
-    encoder = Encoder(name, by_words=True)
+    coder = encoder(name, True)
     for batch in batches:
-        for i, ids, at in encoder.column(batch.column("text"), END):
+        for i, ids, at in coder.column(batch.column("text"), END):
             size = np.diff(at)
             n = -(-size // capacity)
             row = np.repeat(np.arange(len(n)), n)

@@ -5,7 +5,7 @@ beta prior that is fitted to all hosts by moments, and a host whose shrunk rate
 its documents.
 
 Defined results: a null text has no words and fails; documents without a source form a host of their
-own; repeated rows count each; an empty table gives an empty result. Other columns are never read.
+own; repeated rows count each; an empty table gives an empty result; long texts are counted whole. Other columns are never read.
 """
 
 from __future__ import annotations

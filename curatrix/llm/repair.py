@@ -14,7 +14,8 @@ right symbol; rule k is the symbol vocabulary + k), rules uint32 (ids in its exp
 each), symbols uint32.
 
 Defined results: a null or empty text holds the end id alone; null doc_ids come first; repeated ids keep a
-row each, in the order written; an empty table gives an empty result.
+row each, in the order written; an empty table gives an empty result; a long text is encoded whole, and a shard holds whole
+documents. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .kernels import look_up
 from .scratch import Scratch, partitions
-from .tokens import Encoder
+from .tokens import encoder
 
 VOCABULARY, SIZE, END = "byte_bpe_50k.json", 50257, 2
 SHARD_IDS, RULES = 1 << 21, 4096
@@ -37,82 +38,93 @@ PAYS = 4
 _NULL = np.iinfo(np.int64).min
 
 
-def _pair_keys(seq: np.ndarray, symbols: int, end: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """A key for each pair of neighbours, the symbol of each code in it, and its number of bits for a code; pairs with the end id have the largest key.
+def _pair_keys(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A key for each pair, the symbol of each code in it, and its number of bits for a code.
 
     Codes number the symbols that occur; 16 bits hold them in most shards, which halves what is sorted.
     """
     there = np.zeros(symbols, bool)
-    there[seq] = True
+    there[left] = there[right] = True
     known = np.flatnonzero(there).astype(np.uint32)
     code = np.zeros(symbols, np.uint32)
     code[known] = np.arange(len(known), dtype=np.uint32)
     kind, bits = (np.uint32, 16) if len(known) < 1 << 16 else (np.uint64, 32)
-    c = code[seq].astype(kind)
-    key = (c[:-1] << kind(bits)) | c[1:]
-    stop = np.flatnonzero(seq == end)
-    largest = np.iinfo(kind).max
-    key[stop[stop < len(key)]] = largest
-    key[stop[stop > 0] - 1] = largest
-    return key, known, bits
+    return (code[left].astype(kind) << kind(bits)) | code[right].astype(kind), known, bits
 
 
 def _places(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each key is in the ascending wanted ones, -1 elsewhere; a table of hashes passes over most others."""
-    mark = np.zeros(1 << 20, bool)
+    """Where each key is in the ascending wanted ones, -1 elsewhere; by a table of hashes, and by search where two share a place there."""
     spot = lambda k: (k.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(12)
-    mark[spot(wanted)] = True
-    out = np.full(len(key), -1, np.int64)
-    near = np.flatnonzero(mark[spot(key)])
+    table = np.full(1 << 20, -1, np.int32)
+    table[spot(wanted)] = np.arange(len(wanted), dtype=np.int32)
+    out = table[spot(key)]
+    near = np.flatnonzero(out >= 0)
+    near = near[wanted[out[near]] != key[near]]
     out[near] = look_up(wanted, key[near])
     return out
 
 
 def compress(ids: np.ndarray, end: int = END, size: int = SIZE, most: int = RULES, least: int = PAYS):
-    """Symbols, rules (k by 2), expansion lengths, and for each symbol the number of ids before it."""
-    seq = ids.astype(np.uint32)
+    """Symbols, rules (k by 2), expansion lengths, and for each symbol the number of ids before it.
+
+    The sequence is a linked list, and a round looks only at pairs that are frequent or new: a pair that
+    was rare can't become frequent, since replacing makes only pairs with a new symbol.
+    """
+    n = len(ids)
+    seq = np.append(ids, end).astype(np.uint32)
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     rules, length = np.zeros((0, 2), np.uint32), np.ones(size, np.uint32)
+    at = np.flatnonzero((seq[:-1] != end) & (seq[1:] != end))
+    rank, mark, gone = np.full(n + 2, 1 << 30, np.int32), np.zeros(n + 1, bool), np.zeros(n + 1, bool)
     twins = True  # whether pairs of one symbol with itself take part; their count includes overlaps
-    while len(seq) > 1:
-        key, known, bits = _pair_keys(seq, size + len(rules), end)
+    while len(at):
+        key, known, bits = _pair_keys(seq[at], seq[after[at]], size + len(rules))
         ordered = np.sort(key)
         edge = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        kinds, count = ordered[edge], np.diff(np.append(edge, len(ordered)))
-        if kinds[-1] == np.iinfo(key.dtype).max:
-            kinds, count = kinds[:-1], count[:-1]
-        half = kinds.dtype.type(bits)
-        good = np.flatnonzero((count >= least) & (twins | (kinds >> half != kinds & kinds.dtype.type((1 << bits) - 1))))
-        if not len(good):
+        count = np.diff(np.append(edge, len(ordered)))
+        kinds, count = ordered[edge[count >= least]], count[count >= least]
+        if not len(kinds):
             break
+        # Frequent pairs by rank; those that wait for a later round have a rank beyond all others.
+        left, right = (kinds >> kinds.dtype.type(bits)).astype(np.int64), (kinds & kinds.dtype.type((1 << bits) - 1)).astype(np.int64)
+        good = np.flatnonzero(twins | (left != right))
         good = good[np.argsort(-count[good], kind="stable")][:most]
-        # Places of the frequent pairs, by rank of frequency; len(good) elsewhere.
-        by_key = np.sort(good)
-        rank = np.full(len(good) + 1, len(good), np.int32)
-        rank[np.searchsorted(by_key, good)] = np.arange(len(good))
-        r = np.full(len(key) + 2, len(good), np.int32)
-        r[1:-1] = rank[_places(key, kinds[by_key])]
+        by_kind = np.full(len(kinds) + 1, len(good), np.int32)
+        by_kind[good] = np.arange(len(good), dtype=np.int32)
+        place = _places(key, kinds)
+        at, r = at[place >= 0], by_kind[place[place >= 0]]
+        rank[at] = r
+        here = np.where(r < len(good), rank[before[at]], 0)
         # In a run of one symbol every other pair is taken.
-        at = np.arange(len(key))
-        again = r[1:-1] == r[:-2]
-        even = (at - np.maximum.accumulate(np.where(again, 0, at))) % 2 == 0
-        hit = np.flatnonzero((r[1:-1] < len(good)) & ((r[1:-1] < r[:-2]) | (again & even)) & (r[1:-1] <= r[2:]))
+        number = np.arange(len(at))
+        again = (here == r) & (np.append(-1, at[:-1]) == before[at])
+        even = (number - np.maximum.accumulate(np.where(again, 0, number))) % 2 == 0
+        hit = (r < len(good)) & ((r < here) | (again & even)) & (r <= rank[after[at]])
         # Rules that don't pay where they won are left out.
-        won = np.bincount(r[1:-1][hit], minlength=len(good)) >= least
+        won = np.bincount(r[hit], minlength=len(good)) >= least
+        rank[at] = 1 << 30
         if not won.any():
             if not twins:
                 break
             twins = False
             continue
         twins, most = True, 2 * most
-        hit = hit[won[r[1:-1][hit]]]
-        number = np.cumsum(won) - 1
-        pair = kinds[good[won]]
-        new = np.stack([known[(pair >> pair.dtype.type(bits)).astype(np.int64)], known[(pair & pair.dtype.type((1 << bits) - 1)).astype(np.int64)]], 1)
-        seq[hit] = size + len(rules) + number[r[1:-1][hit]]
+        hit[hit] = won[r[hit]]
+        new = np.stack([known[left[good[won]]], known[right[good[won]]]], 1)
+        first = at[hit]
+        second = after[first]
+        seq[first] = size + len(rules) + (np.cumsum(won) - 1)[r[hit]]
+        gone[second] = True
+        after[first] = after[second]
+        before[after[first]] = first
         rules, length = np.concatenate([rules, new]), np.concatenate([length, length[new[:, 0]] + length[new[:, 1]]])
-        keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
-        seq = seq[keep]
+        mark[at] = mark[first] = True
+        mark[before[first][before[first] >= 0]] = True
+        mark &= ~gone
+        at = np.flatnonzero(mark)
+        mark[at] = False
+        at = at[(seq[at] != end) & (seq[after[at]] != end)]
+    seq = seq[:-1][~gone[:-1]]
     each = length[seq].astype(np.int64)
     return seq, rules, length[size:], np.cumsum(each) - each
 
@@ -139,7 +151,7 @@ def to_bytes(doc_ids: np.ndarray, ids: np.ndarray, offsets: np.ndarray, end: int
 
 
 class Shard:
-    """A payload, read without copying; document k's ids are decoded on demand."""
+    """A payload, read without copying; a document's ids, or any range of ids, are decoded on demand."""
 
     def __init__(self, payload: bytes):
         if payload[:4] != b"RPR1":
@@ -156,26 +168,37 @@ class Shard:
     def document(self, k: int) -> np.ndarray:
         return expand(self.symbols[self.first[k] : self.first[k + 1]], self.rules, self.size)
 
+    def ids(self, first: int, end: int) -> np.ndarray:
+        """The ids from first to end of the shard; only the symbols whose expansion reaches into them are expanded."""
+        if not hasattr(self, "ends"):
+            wide = self.symbols >= self.size
+            each = np.ones(len(self.symbols), np.int64)
+            each[wide] = self.lengths[self.symbols[wide] - self.size]
+            self.ends = np.cumsum(each)
+        i, j = np.searchsorted(self.ends, first, "right"), np.searchsorted(self.ends, end)
+        before = int(self.ends[i - 1]) if i else 0
+        return expand(self.symbols[i : j + 1], self.rules, self.size)[first - before : end - before]
+
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.size)
 
 
 def _write(batches, name: str, end: int):
-    encoder, part, shard = Encoder(name, by_words=False), TaskContext.get().partitionId(), 0
+    coder, part, shard = encoder(name, False), TaskContext.get().partitionId(), 0
     keys, ids, sizes, total = [], [], [], 0
 
     def flush():
         nonlocal keys, ids, sizes, total, shard
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         doc_ids = np.concatenate(keys)
-        payload = to_bytes(doc_ids, np.concatenate(ids), offsets, end, encoder.tokenizer.get_vocab_size())
+        payload = to_bytes(doc_ids, np.concatenate(ids), offsets, end, coder.tokenizer.get_vocab_size())
         row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([int(offsets[-1])], pa.int64()), pa.array([payload], pa.binary())], ["part", "shard", "n_docs", "n_tokens", "payload"])
         keys, ids, sizes, total, shard = [], [], [], 0, shard + 1
         return row
 
     for batch in batches:
         doc_id = batch.column("doc_id").fill_null(int(_NULL)).to_numpy()
-        for i, block, at in encoder.column(batch.column("text"), end):
+        for i, block, at in coder.column(batch.column("text"), end):
             keys.append(doc_id[i : i + len(at) - 1])
             ids.append(block)
             sizes.append(np.diff(at))
@@ -221,6 +244,6 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{Scratch(spark).root}/shards"
+    path = Scratch(spark).root + "/shards"
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path)
     return read_shards(spark, path)

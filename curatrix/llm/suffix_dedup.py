@@ -1,381 +1,380 @@
-"""Removal of long passages that occur in earlier documents, by an index family of sorted suffixes.
+"""Removal of long passages that occur in earlier documents, by a logarithmic family of sorted suffix levels.
 
-All substrings of LENGTH bytes are covered, without an entry for each. A window's seed is the least hash of
-the K-byte strings in it, so equal windows have equal seeds; a run is a stretch of windows with one seed.
-Runs are dealt by seed. In a deal, each batch of documents gives a sorted array of its runs (seed, run's
-content hash, least doc_id), which becomes a level; levels of like size merge, so that there are few. Nothing
-is scanned before all batches are in: then the levels are merged into one array, and every batch is scanned
-against that. The levels only bound the work of merging; one sort of all runs would give the same rows, and
-no index is kept for later documents. A run whose whole content is in an earlier document is removed whole. Runs that only share their
-seed are compared by content: their windows get a true suffix array (sorted by all LENGTH bytes), and a
-window that an earlier document holds is removed.
+Documents in ascending doc_id order are gathered into batches of a bounded number of bytes and rows. The
+strings that start at a batch's positions, cut at LENGTH bytes, are its suffixes. To index all of them without an entry for
+each, a window of LENGTH bytes goes by its seed, the least hash of the K-byte strings in it, so that equal
+windows have equal seeds, and a stretch of windows with one seed is a run. Three kinds of entries follow:
+a batch's distinct seeds, its distinct runs by content, and, where a seed has runs of different contents, the
+windows of those runs. Each kind gives the batch a sorted array of 128-bit fingerprints with their first rows.
 
-Text moves by batch of documents, a bounded number of rows; what deals send back are arrays by batch.
+Entries are dealt by fingerprint, so that no deal is hot: a fingerprint has one entry for each batch at most. In a
+deal, batches come in their order. Each one is scanned against the levels as they stand, which hold earlier
+documents only; what they don't hold becomes a new level, and levels of like size merge, so that there are
+few. A run or window that a level or the batch itself has for a smaller doc_id is removed.
+
+Text moves by batch; what deals send back are arrays by batch. A document beyond PIECE bytes is indexed
+piece by piece, with windows across their borders.
 
 Defined results: null or empty texts have no bytes, and none removed; doc_ids that repeat don't count as
-smaller than each other; a null doc_id is smaller than all others. Other columns are never read.
+smaller than each other; a null doc_id is smaller than all others; an empty table gives an empty result; texts of
+any length below 2 GB are handled whole. Other columns are never read. Fingerprints that meet by chance
+(about n**2 / 2**129 for n distinct strings) would remove too much; nothing else is inexact.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .kernels import BYTE, U, _powers, flat, mix, spans
+from .kernels import U, flat, mix, span_hashes, words_of_eight
 from .scratch import Scratch, partitions
 
 LENGTH, K = 50, 20
-#: Rows of a batch: uid >> BATCH_BITS names it.
-BATCH_BITS = 11
+BATCH_BYTES, BATCH_ROWS = 1 << 23, (1 << 16) - 1
+PIECE = 1 << 20
+#: Text bytes for each deal of seeds and runs; windows have WINDOW_DEALS times as many deals.
+DEAL_BYTES, WINDOW_DEALS = 1 << 25, 4
 #: Windows of a run at most; longer runs are cut, which costs only comparisons.
 RUN_WINDOWS = 512
-_NULL_ID = np.iinfo(np.int64).min
-_MAX = np.iinfo(np.uint64).max
-
+SEED, RUN, WINDOW = 0, 1, 2
+_BATCH = "batch long, n_bytes long, doc_ids array<long>, heads array<long>, texts array<binary>"
+_ROWS = "kind int, deal int, batch long, n long, data binary"
+
+
+# ---- batches -------------------------------------------------------------------------------------------
+
+
+def _gather(tables, batch_bytes: int):
+    """Sorted documents to a row for each batch; a row's number is batch + its place, and its head the first number with its doc_id."""
+    number, last, head, held, size, rows = TaskContext.get().partitionId() << 40, (False, None), 0, [], 0, 0
+
+    def flush():
+        ids, heads, texts = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held]), pa.concat_arrays([h[2] for h in held])
+        one = lambda v: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v)
+        return pa.RecordBatch.from_arrays([pa.array([number - rows], pa.int64()), pa.array([size], pa.int64()), one(ids), one(pa.array(heads, pa.int64())), one(texts)], ["batch", "n_bytes", "doc_ids", "heads", "texts"])
+
+    for table in tables:
+        ids, texts = table.column("doc_id"), table.column("text")
+        value, null = np.asarray(ids.fill_null(0), np.int64), np.asarray(ids.is_null())
+        length = np.diff(flat(texts)[1])
+        at = 0
+        while at < len(ids):
+            stop = at + max(int(np.searchsorted(np.cumsum(length[at : at + BATCH_ROWS - rows]), batch_bytes - size, "right")), 0 if held else 1)
+            if stop > at:
+                v, z = value[at:stop], null[at:stop]
+                fresh = np.append((bool(z[0]), int(v[0])) != last, (v[1:] != v[:-1]) | (z[1:] != z[:-1]))
+                heads = np.maximum.accumulate(np.where(fresh, number + np.arange(stop - at), head))
+                held.append((ids.slice(at, stop - at), heads, texts.slice(at, stop - at)))
+                last, head, number, size, rows = (bool(z[-1]), int(v[-1])), int(heads[-1]), number + stop - at, size + int(length[at:stop].sum()), rows + stop - at
+                at = stop
+            if at < len(ids) or rows == BATCH_ROWS:
+                yield flush()
+                held, size, rows = [], 0, 0
+    if held:
+        yield flush()
+
+
+def batches_of(docs: DataFrame, scratch: Scratch, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The batches of docs (doc_id, text), written."""
+    ordered = docs.select("doc_id", F.col("text").cast("binary").alias("text")).repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    return scratch.save(ordered.mapInArrow(lambda it: _gather(it, batch_bytes), _BATCH))
+
+
+# ---- runs ----------------------------------------------------------------------------------------------
+
+
+def _pieces(offsets: np.ndarray, piece: int):
+    """Ranges (first byte, end byte, first bytes, ends, documents) of whole documents, or of a part of a long one with the LENGTH - 1 bytes after it."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + piece, "right")) - 1)
+        if offsets[j] - offsets[i] <= piece:
+            yield int(offsets[i]), int(offsets[j]), offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i], np.arange(i, j)
+        else:
+            for a in range(int(offsets[i]), int(offsets[j]), piece):
+                b = min(a + piece + LENGTH - 1, int(offsets[j]))
+                yield a, b, np.array([0]), np.array([b - a]), np.array([i])
+        i = j
+
+
+def _runs(buf: np.ndarray, begin: np.ndarray, end: np.ndarray):
+    """Document, first byte, number of windows, and seed of each run of a piece."""
+    wide = words_of_eight(buf)
+    m = len(buf) - K + 1
+    least = mix(wide[:m] * U(0x9E3779B97F4A7C15) + wide[8 : 8 + m] * U(0xC2B2AE3D27D4EB4F) + wide[12 : 12 + m] * U(0x165667B19E3779F9))
+    # The least over LENGTH - K + 1 neighbours, by doubling.
+    across, have = LENGTH - K + 1, 1
+    while have * 2 <= across:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < across:
+        least = np.minimum(least[: len(least) - (across - have)], least[across - have :])
+    long = np.flatnonzero(end - begin >= LENGTH)
+    inside = np.zeros(len(buf) + 1, np.int8)
+    np.add.at(inside, begin[long], 1)
+    np.add.at(inside, end[long] - LENGTH + 1, -1)
+    valid = np.cumsum(inside[: len(least)], dtype=np.int8) > 0
+    fresh = valid.copy()
+    fresh[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
+    fresh[begin[long]] = True
+    start = np.flatnonzero(fresh)
+    doc = np.searchsorted(begin, start, "right") - 1
+    stop = np.minimum(np.append(start[1:], len(buf)), end[doc] - LENGTH + 1)
+    parts = -(-(stop - start) // RUN_WINDOWS)
+    if len(parts) and parts.max() > 1:
+        row = np.repeat(np.arange(len(start)), parts)
+        first = start[row] + RUN_WINDOWS * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        stop, start, doc = np.minimum(stop[row], first + RUN_WINDOWS), first, doc[row]
+    return doc, start, stop - start, least[start]
+
+
+def _prints(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return span_hashes(buf, starts, ends), span_hashes(buf, starts, ends, 1)
+
+
+class Sorted:
+    """Distinct 128-bit keys of a batch in ascending order, with the least row of each; `back` leads from what was given to them."""
+
+    def __init__(self, one: np.ndarray, two: np.ndarray, row: np.ndarray):
+        order = np.argsort(one)
+        same = one[order][1:] == one[order][:-1]
+        if (two[order][1:] != two[order][:-1])[same].any():
+            order = np.lexsort((two, one))
+        new = np.ones(len(one), bool)
+        new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        first = np.flatnonzero(new)
+        self.one, self.two = one[order][first], two[order][first]
+        self.row = np.minimum.reduceat(row[order], first) if len(first) else row
+        self.back = np.empty(len(one), np.int64)
+        self.back[order] = np.cumsum(new) - 1
+
+    def edges(self, deals: int) -> np.ndarray:
+        """Where each deal's keys begin: a deal is a range of keys."""
+        return np.searchsorted(((self.one >> U(32)) * U(deals) >> U(32)).astype(np.int64), np.arange(deals + 1))
+
+
+class Batch:
+    """The runs of a batch, its sorted seeds and run contents."""
+
+    def __init__(self, heads: np.ndarray, buf: np.ndarray, offsets: np.ndarray, number: int, piece: int = PIECE):
+        self.number, self.heads, self.buf, self.offsets = number, heads, buf, offsets
+        parts = [[] for _ in range(6)]
+        for lo, hi, begin, end, docs in _pieces(offsets, piece):
+            if hi - lo < LENGTH:
+                continue
+            part = buf[lo:hi]
+            doc, first, windows, seed = _runs(part, begin, end)
+            one, two = _prints(part, first, first + windows + LENGTH - 1)
+            for out, x in zip(parts, (docs[doc], first + lo, windows, seed, one, two)):
+                out.append(x)
+        kinds = (np.int64, np.int64, np.int64, U, U, U)
+        self.doc, self.first, self.windows, seed, one, two = (np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds))
+        self.runs = Sorted(one, two, self.doc)
+        self.seeds = Sorted(mix(seed), np.zeros(len(seed), U), self.doc)
+        # A seed's run content, or 0 where it has several.
+        low, high = np.full(len(self.seeds.one), np.iinfo(np.uint64).max, U), np.zeros(len(self.seeds.one), U)
+        np.minimum.at(low, self.seeds.back, one)
+        np.maximum.at(high, self.seeds.back, one)
+        self.content = np.where(low == high, low, U(0))
+
+    def judge(self, marks, deals: int) -> tuple[np.ndarray, np.ndarray]:
+        """Runs that go whole, and runs whose windows have to be looked at."""
+        holder = self.number + self.runs.row
+        mixed = np.zeros(len(self.seeds.one), bool)
+        edge = {SEED: self.seeds.edges(deals), RUN: self.runs.edges(deals)}
+        for m in marks:
+            if m["kind"] == SEED:
+                mixed[edge[SEED][m["deal"]] + np.frombuffer(m["data"], np.uint32)] = True
+            elif m["kind"] == RUN:
+                at, number = _columns(m["data"], m["n"], np.uint32, np.int64)
+                holder[edge[RUN][m["deal"]] + at] = number
+        whole = holder[self.runs.back] < self.heads[self.doc]
+        return whole, ~whole & mixed[self.seeds.back]
+
+    def windows_of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, Sorted]:
+        """First bytes and rows of the windows of some runs, and their sorted keys."""
+        at = np.flatnonzero(runs)
+        size = self.windows[at]
+        first = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        row = np.repeat(self.doc[at], size)
+        one, two = np.zeros(len(first), U), np.zeros(len(first), U)
+        for k in range(0, len(first), 1 << 19):  # the bytes in memory are bounded
+            s = first[k : k + (1 << 19)]
+            lo, hi = int(s.min()), int(s.max()) + LENGTH
+            one[k : k + len(s)], two[k : k + len(s)] = _prints(self.buf[lo:hi], s - lo, s - lo + LENGTH)
+        return first, row, Sorted(one, two, row)
+
+
+def _each(tables, piece: int):
+    """(Batch, marks, doc_ids) of each row."""
+    for table in tables:
+        for i in range(table.num_rows):
+            part = table.slice(i, 1)
+            buf, offsets = flat(part.column("texts").flatten())
+            marks = part.column("marks")[0].as_py() if "marks" in part.schema.names else None
+            yield Batch(np.asarray(part.column("heads").flatten(), np.int64), buf, offsets, part.column("batch")[0].as_py(), piece), marks or [], part.column("doc_ids").flatten()
+
+
+# ---- deals ---------------------------------------------------------------------------------------------
 
-class Runs:
-    """The runs of documents in one buffer: document, first window, number of windows, seed, content hash, number in its document."""
 
-    def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        n = len(buf)
-        self.doc = self.first = self.windows = self.number = np.zeros(0, np.int64)
-        self.seed = self.content = np.zeros(0, U)
-        if n < LENGTH:
-            return
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(BYTE[buf] * power[:n], out=total[1:])
-        least = mix((total[K:] - total[:-K]) * inverse[: n - K + 1])
-        # The least over LENGTH - K + 1 neighbours, by doubling.
-        wide, have = LENGTH - K + 1, 1
-        while have * 2 <= wide:
-            least = np.minimum(least[:-have], least[have:])
-            have *= 2
-        if have < wide:
-            least = np.minimum(least[: len(least) - (wide - have)], least[wide - have :])
-        # Windows lie in one document.
-        inside = np.zeros(n + 1, np.int8)
-        size = np.diff(offsets)
-        long = size >= LENGTH
-        np.add.at(inside, offsets[:-1][long], 1)
-        np.add.at(inside, offsets[1:][long] - LENGTH + 1, -1)
-        valid = np.cumsum(inside[: len(least)]) > 0
-        fresh = valid.copy()
-        fresh[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
-        fresh[offsets[:-1][long]] = True
-        start = np.flatnonzero(fresh)
-        # A run ends before the next one or with its document's windows.
-        doc = np.searchsorted(offsets, start, "right") - 1
-        end = np.minimum(np.append(start[1:], n), offsets[doc + 1] - LENGTH + 1)
-        pieces = -(-(end - start) // RUN_WINDOWS)
-        if len(pieces) and pieces.max() > 1:
-            row = np.repeat(np.arange(len(start)), pieces)
-            begin = start[row] + RUN_WINDOWS * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-            end, start, doc = np.minimum(end[row], begin + RUN_WINDOWS), begin, doc[row]
-        self.doc, self.first, self.windows, self.seed = doc, start, end - start, least[start]
-        stop = end + LENGTH - 1
-        self.content = mix((total[stop] - total[start]) * inverse[start] + (stop - start).astype(U) * U(0xC2B2AE3D27D4EB4F))
-        self.number = np.arange(len(start)) - np.searchsorted(doc, np.arange(len(offsets) - 1))[doc]
-
-
-def _deal(seed: np.ndarray, deals: int) -> np.ndarray:
-    return ((mix(seed ^ U(0x5EED)) >> U(32)) * U(deals) >> U(32)).astype(np.int64)
-
-
-def _ids(column) -> np.ndarray:
-    return np.asarray(column.fill_null(int(_NULL_ID)), np.int64)
-
-
-def _by_batch(uid: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of one batch."""
-    cut = np.flatnonzero(np.diff(uid >> BATCH_BITS)) + 1
-    edge = [0, *cut.tolist(), len(uid)]
-    yield from ((a, b) for a, b in zip(edge, edge[1:]) if b > a)
-
-
-def _blob(*arrays: np.ndarray) -> bytes:
-    return b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-
-
-def _index(batches, deals: int):
-    """One row for each deal and batch part: columns of its runs, in the order of the text."""
-    for batch in batches:
-        buf, offsets = flat(batch.column("text"))
-        uid, ids = np.asarray(batch.column("uid"), np.int64), _ids(batch.column("doc_id"))
-        for lo, hi in _by_batch(uid):
-            parts = [[] for _ in range(5)]
-            for i, j in spans(offsets[lo : hi + 1]):
-                i, j = i + lo, j + lo
-                runs = Runs(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                for out, x in zip(parts, (runs.seed, runs.content, ids[runs.doc + i], (uid[runs.doc + i] & ((1 << BATCH_BITS) - 1)).astype(np.uint16), runs.number.astype(np.uint32))):
-                    out.append(x)
-            seed, content, doc, row, number = (np.concatenate(p) for p in parts)
-            deal = _deal(seed, deals)
-            order = np.argsort(deal, kind="stable")
-            edge = np.searchsorted(deal[order], np.arange(deals + 1))
-            rows = []
-            for d in np.flatnonzero(np.diff(edge)).tolist():
-                o = order[edge[d] : edge[d + 1]]
-                rows.append((d, int(uid[lo] >> BATCH_BITS), len(o), _blob(seed[o], content[o], doc[o], number[o], row[o])))
-            yield _rows(rows)
+def _columns(data: bytes, n: int, *kinds) -> list[np.ndarray]:
+    out, at = [], 0
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += np.dtype(k).itemsize * n
+    return out
 
 
 def _rows(rows) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[], [], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], ["deal", "batch", "n", "data"])
+    cols = list(zip(*rows)) if rows else [[], [], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["kind", "deal", "batch", "n", "data"])
 
 
-_ROWS = "deal int, batch long, n long, data binary"
+def _dealt(kind: int, keys: Sorted, deals: int, number: int, *columns: np.ndarray) -> pa.RecordBatch:
+    edge = keys.edges(deals)
+    return _rows([(kind, d, number, int(edge[d + 1] - edge[d]), b"".join(c[edge[d] : edge[d + 1]].tobytes() for c in columns)) for d in np.flatnonzero(np.diff(edge)).tolist()])
 
 
-def _columns(data: bytes, n: int, *kinds) -> list[np.ndarray]:
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
-        at += np.dtype(k).itemsize * n
-    return out
+def _index(tables, deals: int, piece: int):
+    for batch, _, _ in _each(tables, piece):
+        yield _dealt(SEED, batch.seeds, deals, batch.number, batch.seeds.one, batch.content)
+        yield _dealt(RUN, batch.runs, deals, batch.number, batch.runs.one, batch.runs.two, batch.runs.row.astype(np.uint16))
 
 
-def _least(seed, content, doc):
-    """Sorted (seed, content) without repeats, with the least doc of each."""
-    order = np.lexsort((doc, content, seed))
-    seed, content, doc = seed[order], content[order], doc[order]
-    new = np.ones(len(seed), bool)
-    new[1:] = (seed[1:] != seed[:-1]) | (content[1:] != content[:-1])
-    return seed[new], content[new], doc[new]
+def _contents(tables, deals: int, piece: int):
+    for batch, marks, _ in _each(tables, piece):
+        keys = batch.windows_of(batch.judge(marks, deals)[1])[2]
+        yield _dealt(WINDOW, keys, WINDOW_DEALS * deals, batch.number, keys.one, keys.two, keys.row.astype(np.uint16))
 
 
 class Family:
-    """Levels of sorted runs, each over twice as long as the next; a new batch is merged with like-sized levels."""
+    """Levels of sorted keys, each over twice as long as the next. A key is in one level at most."""
 
     def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-    def add(self, seed: np.ndarray, content: np.ndarray, doc: np.ndarray) -> None:
-        new = _least(seed, content, doc)
+        self.levels: list[list[np.ndarray]] = []
+
+    def scan(self, one: np.ndarray, two: np.ndarray | None = None):
+        """(level, which keys it holds, where there) for each level as it stands."""
+        for level in self.levels:
+            at = np.searchsorted(level[0], one)
+            while True:
+                place = np.minimum(at, len(level[0]) - 1)
+                hit = (at < len(level[0])) & (level[0][place] == one)
+                other = hit & (level[1][place] != two) if two is not None else np.zeros(1, bool)
+                if not other.any():
+                    break
+                at = at + other
+            found = np.flatnonzero(hit)
+            yield level, found, at[found]
+
+    def add(self, *columns: np.ndarray) -> None:
+        """A new level of keys, ascending; levels that are not over twice as long as it merge with it."""
+        new = list(columns)
+        if not len(new[0]):
+            return
         while self.levels and len(self.levels[-1][0]) < 2 * len(new[0]):
-            new = _least(*(np.concatenate(x) for x in zip(self.levels.pop(), new)))
+            both = [np.concatenate(x) for x in zip(self.levels.pop(), new)]
+            order = np.argsort(both[0], kind="stable")
+            new = [x[order] for x in both]
         self.levels.append(new)
 
-    def scan(self, seed: np.ndarray, content: np.ndarray):
-        """For each run: the least doc that holds its content, and the least doc and number of other contents with its seed."""
-        own = np.full(len(seed), np.iinfo(np.int64).max)
-        others = np.zeros(len(seed), np.int64)
-        for s, c, d in self.levels:
-            lo, hi = np.searchsorted(s, seed), np.searchsorted(s, seed, "right")
-            others += hi - lo
-            # Within a seed's range contents ascend: step through by halving.
-            a, b = lo.copy(), hi.copy()
-            while (a < b).any():
-                mid = (a + b) // 2
-                less = (a < b) & (c[np.minimum(mid, len(c) - 1)] < content)
-                a, b = np.where(less, mid + 1, a), np.where((a < b) & ~less, mid, b)
-            at = np.minimum(a, len(c) - 1) if len(c) else a
-            hit = (a < hi) & (c[at] == content) if len(c) else np.zeros(len(seed), bool)
-            own = np.where(hit, np.minimum(own, d[at]), own)
-        return own, others
+
+def _earlier(batches) -> list:
+    """For each batch: its keys that an earlier one has, and the first row's number that has each."""
+    family, out = Family(), []
+    for kind, deal, number, n, data in batches:
+        one, two, row = _columns(data, n, U, U, np.uint16)
+        holder = np.full(n, -1, np.int64)
+        for level, found, at in family.scan(one, two):
+            holder[found] = level[2][at]
+        new = holder < 0
+        family.add(one[new], two[new], number + row[new].astype(np.int64))
+        at = np.flatnonzero(~new)
+        if len(at):
+            out.append((kind, deal, number, len(at), at.astype(np.uint32).tobytes() + holder[at].tobytes()))
+    return out
+
+
+def _mixed(batches) -> list:
+    """For each batch: its seeds that have runs of several contents, in all batches together."""
+    family, out = Family(), []
+    for _, _, _, n, data in batches:
+        one, content = _columns(data, n, U, U)
+        new = np.ones(n, bool)
+        for level, found, at in family.scan(one):
+            new[found] = False
+            differ = level[1][at] != content[found]
+            level[1][at[differ]] = 0
+        family.add(one[new], content[new].copy())
+    for kind, deal, number, n, data in batches:
+        one = _columns(data, n, U)[0]
+        bad = [found[level[1][at] == 0] for level, found, at in family.scan(one)]
+        bad = np.concatenate(bad) if bad else np.zeros(0, np.int64)
+        if len(bad):
+            out.append((kind, deal, number, len(bad), np.sort(bad).astype(np.uint32).tobytes()))
+    return out
 
 
 def _match(table: pa.Table) -> pa.Table:
-    """For each batch: its runs that go whole (kind 0), and those to compare by content (kind 1)."""
-    family, batches = Family(), []
-    data = sorted(zip(table.column("batch").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()))
-    for batch, n, raw in data:
-        seed, content, doc, number, row = _columns(raw, n, U, U, np.int64, np.uint32, np.uint16)
-        family.add(seed, content, doc)
-        batches.append((batch, seed, content, doc, number, row))
-    family.levels = [_least(*(np.concatenate(x) for x in zip(*family.levels)))] if family.levels else []
-    out = []
-    for batch, seed, content, doc, number, row in batches:
-        own, contents = family.scan(seed, content)
-        whole = own < doc
-        compare = ~whole & (contents > 1)
-        for kind, pick in ((0, whole), (1, compare)):
-            if pick.any():
-                out.append((kind, batch, int(pick.sum()), _blob(number[pick], row[pick])))
-    return pa.Table.from_batches([_rows(out)])
-
-
-def _marks(table: pa.Table, kind: int) -> np.ndarray:
-    """row << 32 | number, ascending, of a batch's runs of one kind."""
-    found = [np.zeros(0, np.int64)]
-    for k, n, raw in zip(table.column("deal").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()):
-        if k == kind:
-            number, row = _columns(raw, n, np.uint32, np.uint16)
-            found.append((row.astype(np.int64) << 32) | number)
-    return np.sort(np.concatenate(found))
-
-
-def _member(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_):
-        return np.zeros(len(x), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x
-
-
-def _pieces(docs: pa.Table):
-    """Blocks of a batch's documents: (first row, end row), bytes, offsets, uids, doc_ids."""
-    if not docs.num_rows:
-        return
-    docs = docs.combine_chunks()
-    buf, offsets = flat(docs.column("text"))
-    uid, ids = np.asarray(docs.column("uid").combine_chunks(), np.int64), _ids(docs.column("doc_id").combine_chunks())
-    for i, j in spans(offsets):
-        yield buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], uid[i:j], ids[i:j]
-
-
-def _contents(deals: int):
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        wanted = _marks(marks, 1)
-        rows = []
-        if len(wanted):
-            parts = [[] for _ in range(6)]
-            for buf, offsets, uid, ids in _pieces(docs):
-                runs = Runs(buf, offsets)
-                row = uid[runs.doc] & ((1 << BATCH_BITS) - 1)
-                at = np.flatnonzero(_member(wanted, (row << 32) | runs.number))
-                if not len(at):
-                    continue
-                first, size = runs.first[at], runs.windows[at] + LENGTH - 1
-                index = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                for out, x in zip(parts, (runs.seed[at], ids[runs.doc[at]], first - offsets[runs.doc[at]], size, row[at], buf[index])):
-                    out.append(x)
-            seed, doc, first, size, row, text = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
-            deal = _deal(seed.astype(U), deals)
-            batch = int(docs.column("uid")[0].as_py() >> BATCH_BITS)
-            stop = np.cumsum(size)
-            for d in np.unique(deal).tolist():
-                o = np.flatnonzero(deal == d)
-                index = np.repeat((stop - size)[o] - np.cumsum(size[o]) + size[o], size[o]) + np.arange(size[o].sum())
-                rows.append((d, batch, len(o), _blob(seed[o].astype(U), doc[o], first[o].astype(np.int64), size[o].astype(np.int64), row[o].astype(np.uint16), text[index].astype(np.uint8))))
-        return pa.Table.from_batches([_rows(rows)])
-
-    return run
-
-
-def suffix_order(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The given positions sorted by the LENGTH bytes there, and which of them differ from the one before."""
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    keys = []
-    for k in range(0, LENGTH, 8):
-        word = np.zeros(len(starts), U)
-        for b in range(8):
-            byte = padded[starts + k + b].astype(U) if k + b < LENGTH else U(0)
-            word = (word << U(8)) | byte
-        keys.append(word)
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    new[:1] = True
-    for word in keys:
-        w = word[order]
-        new[1:] |= w[1:] != w[:-1]
-    return order, new
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """For each batch: windows (row, first byte) that a smaller doc_id holds too."""
-    parts = [[] for _ in range(6)]
-    for batch, n, raw in zip(table.column("batch").to_pylist(), table.column("n").to_pylist(), table.column("data").to_pylist()):
-        seed, doc, first, size, row = _columns(raw, n, U, np.int64, np.int64, np.int64, np.uint16)
-        text = np.frombuffer(raw, np.uint8, -1, n * 34)
-        for out, x in zip(parts, (seed, doc, first, size, (np.int64(batch) << BATCH_BITS) | row, text)):
-            out.append(x)
-    seed, doc, first, size, uid, text = (np.concatenate(p) for p in parts)
-    begin = np.cumsum(size) - size
-    order = np.argsort(seed, kind="stable")
-    out = []
-    # In blocks of whole seeds, so that the windows in memory are bounded but for a single seed's.
-    edge = np.flatnonzero(np.append(True, seed[order][1:] != seed[order][:-1]))
-    windows = size - LENGTH + 1
-    total = np.concatenate([[0], np.cumsum(windows[order])])
-    cut, ends = [0], np.append(edge[1:], len(order))
-    for e in ends.tolist():
-        if total[e] - total[cut[-1]] >= 1 << 21 or e == len(order):
-            cut.append(e)
-    for a, b in zip(cut, cut[1:]):
-        o = order[a:b]
-        owner = np.repeat(o, windows[o])
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(windows[o]) - windows[o], windows[o])
-        rank, new = suffix_order(text, begin[owner] + inner)
-        group = np.cumsum(new) - 1
-        least = np.full(group[-1] + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, doc[owner[rank]])
-        gone = rank[doc[owner[rank]] > least[group]]
-        out.append((uid[owner[gone]], first[owner[gone]] + inner[gone]))
-    uid, start = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    order = np.argsort(uid, kind="stable")
-    uid, start = uid[order], start[order]
-    rows = [(2, int(uid[a] >> BATCH_BITS), b - a, _blob((uid[a:b] & ((1 << BATCH_BITS) - 1)).astype(np.uint16), start[a:b])) for a, b in _by_batch(uid)] if len(uid) else []
-    return pa.Table.from_batches([_rows(rows)])
-
-
-def _remove(keep_text: bool):
-    def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        whole = _marks(marks, 0)
-        single = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
-        for k, n, raw in zip(marks.column("deal").to_pylist(), marks.column("n").to_pylist(), marks.column("data").to_pylist()):
-            if k == 2:
-                row, start = _columns(raw, n, np.uint16, np.int64)
-                single[0].append(row.astype(np.int64))
-                single[1].append(start)
-        single_row, single_start = (np.concatenate(x) for x in single)
-        order = np.argsort(single_row, kind="stable")
-        single_row, single_start = single_row[order], single_start[order]
-        out = {k: [] for k in ("uid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")}
-        for buf, offsets, uid, ids in _pieces(docs):
-            n = len(buf)
-            local = uid & ((1 << BATCH_BITS) - 1)
-            edge = np.zeros(n + 1, np.int64)
-            if len(whole):
-                runs = Runs(buf, offsets)
-                at = np.flatnonzero(_member(whole, (local[runs.doc] << 32) | runs.number))
-                np.add.at(edge, runs.first[at], 1)
-                np.add.at(edge, runs.first[at] + runs.windows[at] + LENGTH - 1, -1)
-            if len(single_row):
-                by = np.argsort(local, kind="stable")
-                where = np.searchsorted(local[by], single_row)
-                here = (where < len(by)) & (local[by][np.minimum(where, len(by) - 1)] == single_row)
-                start = offsets[by[where[here]]] + single_start[here]
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + LENGTH, -1)
-            gone = np.cumsum(edge[:n]) > 0
-            begins = gone.copy()
-            begins[1:] &= ~gone[:-1]
-            inner = offsets[:-1][offsets[:-1] < offsets[1:]]
-            begins[inner] = gone[inner]
-            removed, spans_ = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-            np.cumsum(gone, out=removed[1:])
-            np.cumsum(begins, out=spans_[1:])
-            for d, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-                left = buf[a:b][~gone[a:b]].tobytes()
-                out["kept_sha256"].append(hashlib.sha256(left).hexdigest())
-                out["kept_text"].append(left if keep_text else None)
-            out["uid"] += uid.tolist()
-            out["doc_id"] += [None if x == _NULL_ID else x for x in ids.tolist()]
-            out["n_bytes"] += np.diff(offsets).tolist()
-            out["n_removed"] += (removed[offsets[1:]] - removed[offsets[:-1]]).tolist()
-            out["n_spans"] += (spans_[offsets[1:]] - spans_[offsets[:-1]]).tolist()
-        kinds = [pa.int64()] * 5 + [pa.string(), pa.binary()]
-        return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds)})
-
-    return run
-
-
-def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False) -> DataFrame:
-    """uid, doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes) of docs (uid, doc_id, text)."""
-    deals = partitions(docs.sparkSession)
-    mine = docs.select("uid", "doc_id", "text", F.expr(f"shiftright(uid, {BATCH_BITS})").alias("batch"))
-    marks = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _index(it, deals), _ROWS).groupBy("deal").applyInArrow(_match, _ROWS))
-    texts = scratch.save(mine.groupBy("batch").cogroup(marks.where("deal = 1").groupBy("batch")).applyInArrow(_contents(deals), _ROWS))
-    single = scratch.save(texts.groupBy("deal").applyInArrow(_compare, _ROWS))
-    scratch.drop(texts)
-    last = marks.where("deal = 0").unionByName(single)
-    return mine.groupBy("batch").cogroup(last.groupBy("batch")).applyInArrow(_remove(keep_text), "uid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+    """Marks of a deal's batches, in their order."""
+    batches = sorted(zip(*(table.column(c).to_pylist() for c in ("kind", "deal", "batch", "n", "data"))), key=lambda b: b[2])
+    return pa.Table.from_batches([_rows(_mixed(batches) if batches[0][0] == SEED else _earlier(batches))])
+
+
+# ---- removal -------------------------------------------------------------------------------------------
+
+
+def _remove(tables, deals: int, piece: int, keep_text: bool):
+    for batch, marks, ids in _each(tables, piece):
+        buf, offsets, n = batch.buf, batch.offsets, len(batch.buf)
+        whole, look = batch.judge(marks, deals)
+        first, row, keys = batch.windows_of(look)
+        holder, edge = batch.number + keys.row, keys.edges(WINDOW_DEALS * deals)
+        for m in marks:
+            if m["kind"] == WINDOW:
+                at, number = _columns(m["data"], m["n"], np.uint32, np.int64)
+                holder[edge[m["deal"]] + at] = number
+        single = first[holder[keys.back] < batch.heads[row]]
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, batch.first[whole], 1)
+        np.add.at(change, (batch.first + batch.windows)[whole] + LENGTH - 1, -1)
+        np.add.at(change, single, 1)
+        np.add.at(change, single + LENGTH, -1)
+        gone = np.cumsum(change[:n]) > 0
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        inner = offsets[:-1][offsets[:-1] < offsets[1:]]
+        begins[inner] = gone[inner]
+        removed, spans = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
+        np.cumsum(gone, out=removed[1:])
+        np.cumsum(begins, out=spans[1:])
+        kept = [buf[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.diff(offsets), pa.int64()), pa.array(removed[offsets[1:]] - removed[offsets[:-1]], pa.int64()), pa.array(spans[offsets[1:]] - spans[offsets[:-1]], pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept if keep_text else [None] * len(kept), pa.binary())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"],
+        )
+
+
+def _with(batches: DataFrame, marks: DataFrame) -> DataFrame:
+    """batches with the marks that they got: fewer than a batch has entries."""
+    return batches.join(marks.groupBy("batch").agg(F.collect_list(F.struct("kind", "deal", "n", "data")).alias("marks")), "batch", "left")
+
+
+def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, batch_bytes: int = BATCH_BYTES, piece: int = PIECE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes) of docs (doc_id, text)."""
+    batches = batches_of(docs, scratch, batch_bytes)
+    deals = max(partitions(docs.sparkSession), -(-(batches.agg(F.sum("n_bytes")).first()[0] or 0) // DEAL_BYTES))
+    matched = lambda entries: scratch.save(entries.groupBy("kind", "deal").applyInArrow(_match, _ROWS))
+    marks = matched(batches.mapInArrow(lambda it: _index(it, deals, piece), _ROWS))
+    more = matched(_with(batches, marks).mapInArrow(lambda it: _contents(it, deals, piece), _ROWS))
+    return _with(batches, marks.unionByName(more)).mapInArrow(lambda it: _remove(it, deals, piece, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
 
 
 def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return remove_repeats(docs, Scratch(spark)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

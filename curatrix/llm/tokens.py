@@ -8,14 +8,16 @@ together again. Documents for which a cut could matter go to the library whole.
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
-from .kernels import LOWER, SPACE, flat, look_up, mix, span_hashes, spans, words
+from .kernels import LOWER, SPACE, flat, same_bytes, span_hashes, spans, words
 
-#: Segments whose ids a worker remembers between blocks; it starts anew beyond, which changes no result.
-REMEMBERED = 2_000_000
+#: Segments whose ids a worker remembers; it starts anew beyond, which changes no result.
+REMEMBERED = 1 << 20
 BLOCK_BYTES = 1 << 22
+_SLOTS = 1 << 22
 
 
 def vocabulary(name: str) -> str:
@@ -27,13 +29,18 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_LEADS = np.zeros(256, bool)
+_LEADS[[*range(0x1C, 0x20), 0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
 def _odd(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Documents with white space other than ASCII's six characters, or with the start of a special token."""
-    b1, b2 = np.append(buf[1:], 0), np.append(buf[2:], [0, 0])[: len(buf)]
-    found = ((buf >= 0x1C) & (buf <= 0x1F)) | ((buf == 0x3C) & (b1 == 0x7C)) | ((buf == 0xC2) & ((b1 == 0xA0) | (b1 == 0x85))) | ((buf == 0xE1) & (b1 == 0x9A)) | ((buf == 0xE3) & (b1 == 0x80) & (b2 == 0x80))
-    found |= (buf == 0xE2) & (((b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))) | ((b1 == 0x81) & (b2 == 0x9F)))
+    at = np.flatnonzero(_LEADS[buf])
+    b0, b1, b2 = buf[at], buf[np.minimum(at + 1, len(buf) - 1)], buf[np.minimum(at + 2, len(buf) - 1)]
+    found = (b0 <= 0x1F) | ((b0 == 0x3C) & (b1 == 0x7C)) | ((b0 == 0xC2) & ((b1 == 0xA0) | (b1 == 0x85))) | ((b0 == 0xE1) & (b1 == 0x9A)) | ((b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80))
+    found |= (b0 == 0xE2) & (((b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))) | ((b1 == 0x81) & (b2 == 0x9F)))
     out = np.zeros(len(offsets) - 1, bool)
-    out[np.searchsorted(offsets, np.flatnonzero(found), "right") - 1] = True
+    out[np.searchsorted(offsets, at[found], "right") - 1] = True
     return out
 
 
@@ -66,45 +73,81 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        self.slots = [np.full(_SLOTS, -1, np.int32) for _ in range(2)]
+        self.n, self.atom = 0, np.zeros(0, bool)
+        self.begin = self.size = self.first = self.length = np.zeros(0, np.int64)
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+
+    def _find(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray, atoms: bool) -> np.ndarray:
+        """The number under which each segment is remembered, by its bytes; -1 for others."""
+        out = np.full(len(starts), -1, np.int64)
+        for k, slots in enumerate(self.slots):
+            todo = np.flatnonzero(out < 0) if k else np.arange(len(starts))
+            at = slots[((hashes[todo] >> np.uint64(32 * k)) & np.uint64(_SLOTS - 1)).astype(np.int64)]
+            fit = np.flatnonzero(at >= 0)
+            fit = fit[(self.length[at[fit]] == size[todo[fit]]) & (self.atom[at[fit]] == atoms)]
+            todo, at = todo[fit], at[fit]
+            same = same_bytes(buf, starts[todo], size[todo], self.text, self.first[at])
+            out[todo[same]] = at[same]
+        return out
+
+    def _numbers(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray, found: np.ndarray, atoms: bool) -> np.ndarray:
+        """found with a number for each segment: what is not remembered is encoded, once for equal bytes."""
+        while len(new := np.flatnonzero(found < 0)):
+            _, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            one = new[one]
+            number = self._learn(buf, starts[one], size[one], hashes[one], atoms)[back]
+            # Equal hashes are no proof: the bytes decide.
+            same = size[new] == self.length[number]
+            same[same] = same_bytes(buf, starts[new[same]], size[new[same]], self.text, self.first[number[same]])
+            found[new[same]] = number[same]
+        return found
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, np.uint32) for e in encode([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
-    def _learn(self, keys: np.ndarray, texts: list[bytes], atoms: bool) -> None:
-        """Remember the ids of new segments."""
-        if not texts:
-            return
-        pool, size = [], []
+    def _learn(self, buf: np.ndarray, starts: np.ndarray, size: np.ndarray, hashes: np.ndarray, atoms: bool) -> np.ndarray:
+        """Encode and remember segments; their numbers."""
+        index = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+        source, stop = buf[index].tobytes(), np.cumsum(size)
+        texts = [source[a:b] for a, b in zip((stop - size).tolist(), stop.tolist())]
+        pool, each = [], []
         for i in range(0, len(texts), 1 << 16):
             part = texts[i : i + (1 << 16)]
             if atoms and self.by_words:
                 ids = np.concatenate(self._encode([b" ".join(part[k : k + 256]) for k in range(0, len(part), 256)]))
                 ends = np.flatnonzero(self.closing[ids]) + 1
-                size.append(np.diff(ends, prepend=0))
+                each.append(np.diff(ends, prepend=0))
             elif atoms and self.divider is not None:
                 # A special token cuts a text before anything else does; it stands after each atom.
                 mark, number = self.divider
                 ids = np.concatenate(self._encode([mark.join(part[k : k + 128]) + mark for k in range(0, len(part), 128)]))
                 ends = np.flatnonzero(ids == number)
-                size.append(np.diff(ends, prepend=-1) - 1)
+                each.append(np.diff(ends, prepend=-1) - 1)
                 ids = np.delete(ids, ends)
             else:
                 found = self._encode(part)
                 ids = np.concatenate(found)
-                size.append(np.fromiter(map(len, found), np.int64, len(found)))
+                each.append(np.fromiter(map(len, found), np.int64, len(found)))
             pool.append(ids)
-        size = np.concatenate(size)
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *pool])
-        keys, begin, size = np.concatenate([self.keys, keys]), np.concatenate([self.begin, begin]), np.concatenate([self.size, size])
-        order = np.argsort(keys)
-        self.keys, self.begin, self.size = keys[order], begin[order], size[order]
+        each = np.concatenate(each)
+        numbers = self.n + np.arange(len(each))
+        self.n += len(each)
+        self.begin, self.size = np.concatenate([self.begin, len(self.pool) + np.cumsum(each) - each]), np.concatenate([self.size, each])
+        self.first, self.length = np.concatenate([self.first, len(self.text) + stop - size]), np.concatenate([self.length, size])
+        self.atom = np.concatenate([self.atom, np.full(len(each), atoms)])
+        self.pool, self.text = np.concatenate([self.pool, *pool]), np.concatenate([self.text, np.frombuffer(source, np.uint8)])
+        # A segment takes the second slot where the first is taken; the later one stays.
+        at = [((hashes >> np.uint64(32 * k)) & np.uint64(_SLOTS - 1)).astype(np.int64) for k in range(2)]
+        free = self.slots[0][at[0]] < 0
+        self.slots[0][at[0][free]] = numbers[free]
+        lost = self.slots[0][at[0]] != numbers
+        self.slots[1][at[1][lost]] = numbers[lost]
+        return numbers
 
     def _atoms(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """First and end bytes of the segments' parts, their hashes, and whether each is an atom."""
+        """First bytes of the segments' parts, ascending, and the numbers under which they are remembered."""
         low = LOWER[buf] if self.by_words else buf
         kind = _KIND[low]
         cut = np.zeros(len(buf), bool)
@@ -114,36 +157,42 @@ class Encoder:
             cut &= kind > 0
         else:
             # A space belongs to the ink after it; any other white space before ink is a piece of its own.
-            ink = np.zeros(len(buf), bool)
-            ink[1:] = (kind[1:] > 0) & (buf[:-1] == 0x20)
-            cut &= ~ink
+            cut[1:] &= (kind[1:] == 0) | (buf[:-1] != 0x20)
         cut[starts] = True
         a = np.flatnonzero(cut)
-        word = np.searchsorted(starts, a, "right") - 1
+        del kind
+        new = np.zeros(len(buf), bool)
+        new[starts] = True
+        word = np.cumsum(new[a]) - 1
         e = np.minimum(np.append(a[1:], len(buf)), ends[word])
         odd = np.zeros(len(starts), bool)
         sign = low == 0x27
         sign[:-1] |= (low[:-1] == 0x3C) & (low[1:] == 0x7C)
         odd[np.searchsorted(starts, np.flatnonzero(sign), "right") - 1] = True
         h = span_hashes(low, a, e)
-        high = np.zeros(len(buf) + 1, np.int64)
-        np.cumsum(low >= 0x80, out=high[1:])
-        doubt = np.flatnonzero((high[e] > high[a]) & ~odd[word])
+        number = self._find(low, a, e - a, h, True)
+        doubt = np.flatnonzero((number < 0) & ~odd[word])
+        # Known atoms have passed; others must be letters only, in lower case too, if they go beyond ASCII.
+        doubt = doubt[np.maximum.reduceat(low, a)[doubt] >= 0x80] if len(doubt) else doubt
         if len(doubt):
-            # Known atoms have passed; others must be letters only, in lower case too.
-            doubt = doubt[look_up(self.keys, h[doubt]) < 0]
-            kinds, one, back = np.unique(h[doubt], return_index=True, return_inverse=True)
-            bad = np.array([not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").removeprefix(" ").lower().isalpha() for i in doubt[one]], bool)
-            if bad.any():
-                odd[word[doubt[bad[back]]]] = True
+            strange = lambda i: not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").removeprefix(" ").lower().isalpha()
+            _, one, back = np.unique(h[doubt], return_index=True, return_inverse=True)
+            bad, like = np.array([strange(i) for i in doubt[one]], bool)[back], doubt[one][back]
+            sure = (e - a)[doubt] == (e - a)[like]
+            sure[sure] = same_bytes(low, a[doubt[sure]], (e - a)[doubt[sure]], low, a[like[sure]])
+            for i in np.flatnonzero(~sure).tolist():
+                bad[i] = strange(doubt[i])
+            odd[word[doubt[bad]]] = True
         if not odd.any():
-            return a, e, h, np.ones(len(a), bool)
+            return a, self._numbers(low, a, e - a, h, number, True)
         keep = ~odd[word]
-        a, e, h = a[keep], e[keep], h[keep]
-        b, f = starts[odd], ends[odd]
-        g = mix(span_hashes(buf, b, f))
+        a, e, h, number = a[keep], e[keep], h[keep], number[keep]
+        number = self._numbers(low, a, e - a, h, number, True)
+        b, size = starts[odd], (ends - starts)[odd]
+        g = span_hashes(buf, b, b + size)
+        other = self._numbers(buf, b, size, g, self._find(buf, b, size, g, False), False)
         order = np.argsort(np.concatenate([a, b]), kind="stable")
-        return np.concatenate([a, b])[order], np.concatenate([e, f])[order], np.concatenate([h, g])[order], np.concatenate([np.ones(len(a), bool), np.zeros(len(b), bool)])[order]
+        return np.concatenate([a, b])[order], np.concatenate([number, other])[order]
 
     def _segments(self, buf: np.ndarray, offsets: np.ndarray):
         # A segment begins with a document, or with the last white space before ink.
@@ -158,7 +207,7 @@ class Encoder:
 
     def block(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents, one after another, and where each document's begin."""
-        if len(self.keys) > REMEMBERED:
+        if self.n > REMEMBERED:
             self._forget()
         if self.by_words:
             starts, ends, _ = words(buf, offsets)
@@ -166,15 +215,8 @@ class Encoder:
             starts, ends = self._segments(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        starts, ends, hashes, atom = self._atoms(buf, starts, ends)
-        kinds, one, back = np.unique(hashes, return_index=True, return_inverse=True)
-        new = np.flatnonzero(look_up(self.keys, kinds) < 0)
-        for atoms in (True, False):
-            mine = new[atom[one[new]] == atoms]
-            source = (LOWER[buf] if atoms and self.by_words else buf).tobytes() if len(mine) else b""
-            self._learn(kinds[mine], [source[a:b] for a, b in zip(starts[one[mine]].tolist(), ends[one[mine]].tolist())], atoms)
-        where = look_up(self.keys, kinds)
-        begin, each = self.begin[where][back], self.size[where][back]
+        starts, number = self._atoms(buf, starts, ends)
+        begin, each = self.begin[number], self.size[number]
         at = np.concatenate([[0], np.cumsum(each)])
         ids = self.pool[np.repeat(begin - at[:-1], each) + np.arange(at[-1])]
         at = at[np.searchsorted(starts, offsets)]
@@ -192,3 +234,9 @@ class Encoder:
         for i, j in spans(offsets, BLOCK_BYTES):
             ids, at = self.block(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             yield i, np.insert(ids, at[1:], np.uint32(end)), at + np.arange(len(at))
+
+
+@lru_cache(maxsize=2)
+def encoder(name: str, by_words: bool) -> Encoder:
+    """The encoder of this worker process, which goes on remembering from task to task."""
+    return Encoder(name, by_words)
