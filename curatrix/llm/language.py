@@ -3,11 +3,16 @@
 Tokens are runs of letters, A-Z lower-cased. A token that training knows adds its smoothed log frequency
 in each language. Any other token falls back to its character 4-grams (with its borders), and where none
 of them is known to 3-, 2- and 1-grams: it adds the mean over the known ones. The scores' posterior gives
-the language. Training covers all learnable rows; a token or n-gram is known if it makes up LEAST_SHARE of
-all, which bounds each broadcast table at 1 / LEAST_SHARE entries.
+the language.
+
+Everything is worked out once for each distinct token of all documents: its counts by language, the n-grams of those
+that training has, and the fallback of the others, by joins on n-grams. Tokens that make up LEAST_SHARE of all
+are broadcast with their scores, which bounds that table at 1 / LEAST_SHARE entries; the others' scores are
+joined to the documents by key, exactly. One number for each language goes with a token: languages are few.
 
 Defined results: und with score 0 where the text is null or has no letter, or nothing was learned; equal
-scores go to the first language by name; rows without lang teach nothing; repeated rows count each.
+scores go to the first language by name; rows without lang teach nothing; repeated rows count each; an empty table gives
+an empty result; long texts are read whole. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from .folds import fold
 from .kernels import LOWER, NO_LETTER, U, add_up, by_doc, flat, look_up, mix, span_hashes, spans, words
 from .scratch import Scratch
 
-LEAST_SHARE = 1e-6
+LEAST_SHARE = 2.0**-21
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 _ASCII_LETTER = ~NO_LETTER
@@ -33,21 +38,13 @@ def _tokens(buf, offsets):
     return buf, starts, ends, first, span_hashes(buf, starts, ends)
 
 
-def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """For each length, from the longest: n-gram hashes of the given words, and the word of each."""
-    text = bytearray(b"\n")
-    view = buf.tobytes()
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        text += view[a:b]
-        text += b"\n"
-    chars = np.frombuffer(bytes(text).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U)
+def _grams(text: list[bytes]):
+    """For each length: n-gram hashes of the words, and the word of each."""
+    chars = np.frombuffer(b"".join([b"\n", *(x + b"\n" for x in text)]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(U)
     border = chars == 10
     word = np.cumsum(border) - 1
-    for n in range(LONGEST, 0, -1):
-        if len(chars) < n:
-            yield n, np.zeros(0, U), np.zeros(0, np.int64)
-            continue
-        m = len(chars) - n + 1
+    for n in range(1, LONGEST + 1):
+        m = max(0, len(chars) - n + 1)
         h = np.full(m, n, U)
         for k in range(n):
             h = mix(h) + chars[k : m + k]
@@ -61,119 +58,130 @@ def _grams(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         yield n, mix(h[good]), word[good]
 
 
+# ---- training ------------------------------------------------------------------------------------------
+
+
 def _count(batches, langs: list[str]):
-    index = {x: i for i, x in enumerate(langs)}
+    """Distinct tokens with their bytes and counts by language; the last count is of texts that teach nothing."""
+    index, n = {x: i for i, x in enumerate(langs)}, len(langs) + 1
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
-        lang = np.array([index[x] for x in batch.column("lang").to_pylist()], np.int64)
+        lang = np.array([index.get(x, n - 1) for x in batch.column("lang").to_pylist()], np.int64)
         for i, j in spans(offsets, 1 << 24):
             low, starts, ends, first, h = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if not len(h):
-                continue
-            of = lang[i:j][by_doc(first, len(h))]
             keys, one, at = np.unique(h, return_index=True, return_inverse=True)
-            counts = np.bincount(at * len(langs) + of, minlength=len(keys) * len(langs)).reshape(len(keys), len(langs))
-            tables = [(0, keys, counts)]
-            order = np.argsort(one)  # the words in their place in the text, for slicing
-            for n, grams, word in _grams(low, starts[one[order]], ends[one[order]]):
-                g, at = np.unique(grams, return_inverse=True)
-                weight = counts[order][word]
-                tables.append((n, g, np.stack([np.bincount(at, weight[:, k], len(g)) for k in range(len(langs))], 1).astype(np.int64)))
-            for n, g, c in tables:
-                row, k = np.nonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), n), pa.int32()), pa.array(k, pa.int32()), pa.array(g[row].view(np.int64)), pa.array(c[row, k], pa.int64())], ["kind", "lang", "key", "n"])
-
-
-class Model:
-    """Ascending keys of words (kind 0) and n-grams, with log frequencies by language."""
-
-    def __init__(self, langs: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
-        self.langs, self.tables = langs, tables
-
-    def scores(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Summed log frequencies, documents by languages."""
-        low, starts, ends, first, h = _tokens(buf, offsets)
-        keys, logs = self.tables[0]
-        at = look_up(keys, h)
-        value = np.zeros((len(h), len(self.langs)), np.float64)
-        value[at >= 0] = logs[at[at >= 0]]
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
-            order = np.argsort(one)
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            mine = np.zeros((len(one), len(self.langs)))
-            open_ = np.ones(len(one), bool)
-            for n, grams, word in _grams(low, starts[new[one[order]]], ends[new[one[order]]]):
-                todo = open_[word]
-                grams, word = grams[todo], word[todo]
-                keys, logs = self.tables[n]
-                hit = look_up(keys, grams)
-                word, hit = word[hit >= 0], hit[hit >= 0]
-                seen = np.bincount(word, minlength=len(one))
-                for k in range(len(self.langs)):
-                    total = np.bincount(word, logs[hit, k], len(one))
-                    mine[:, k] += np.where(seen > 0, total / np.maximum(seen, 1), 0)
-                open_ &= seen == 0
-            value[new] = mine[rank[back]]
-        return np.stack([add_up(np.ascontiguousarray(value[:, k]), first) for k in range(len(self.langs))], 1)
-
-
-def train(docs: DataFrame, scratch: Scratch) -> Model:
-    """A model of docs (lang, text), lang not null."""
-    langs = sorted(r[0] for r in docs.select("lang").distinct().collect())
-    counted = docs.select("lang", "text").mapInArrow(lambda it: _count(it, langs), "kind int, lang int, key long, n long")
-    counts = counted.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(len(langs))]) if langs else None
-    tables = {}
-    if langs:
-        counts = scratch.save(counts)
-        names = [f"n{k}" for k in range(len(langs))]
-        totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("types"), *[F.sum(c).alias(c) for c in names]).collect()}
-        for kind, t in totals.items():
-            all_ = sum(t[c] for c in names)
-            rows = counts.where((F.col("kind") == kind) & (sum(F.col(c) for c in names) >= LEAST_SHARE * all_)).select("key", *names).toArrow()
-            keys = np.asarray(rows.column("key")).view(U)
-            n = np.stack([np.asarray(rows.column(c)) for c in names], 1).astype(np.float64)
-            order = np.argsort(keys)
-            sums = np.array([float(t[c]) for c in names])
-            tables[kind] = (keys[order], np.log((n[order] + 0.5) / (sums + 0.5 * t["types"])).astype(np.float32))
-    for kind in range(LONGEST + 1):
-        tables.setdefault(kind, (np.zeros(0, U), np.zeros((0, len(langs)), np.float32)))
-    return Model(langs, tables)
-
-
-def _predict(batches, shared):
-    model = shared.value
+            counts = np.bincount(at * n + lang[i:j][by_doc(first, len(h))], minlength=len(keys) * n).reshape(len(keys), n)
+            raw = low.tobytes()
+            words_ = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(words_, pa.binary()), *(pa.array(counts[:, k], pa.int64()) for k in range(n))], ["key", "word", *_names(n)])
+
+
+def _names(n: int, letter: str = "n") -> list[str]:
+    return [f"{letter}{k}" for k in range(n)]
+
+
+def _learn_grams(batches, n: int):
+    for batch in batches:
+        counts = np.stack([np.asarray(batch.column(c)) for c in _names(n)], 1)
+        for kind, grams, word in _grams(batch.column("word").to_pylist()):
+            keys, at = np.unique(grams, return_inverse=True)
+            sums = [np.bincount(at, counts[word, k], len(keys)).astype(np.int64) for k in range(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["kind", "gram", *_names(n)])
+
+
+def _list_grams(batches):
+    for batch in batches:
+        own = np.asarray(batch.column("key"))
+        for kind, grams, word in _grams(batch.column("word").to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(own[word]), pa.array(np.full(len(word), kind), pa.int32()), pa.array(grams.view(np.int64))], ["key", "kind", "gram"])
+
+
+def token_scores(docs: DataFrame, langs: list[str], scratch: Scratch) -> DataFrame:
+    """key, total and v0, v1, ... of every distinct token of docs (lang, null where it teaches nothing; text): what it adds to each language."""
+    n = len(langs)
+    columns = _names(n)
+    types = ", ".join(f"{c} long" for c in _names(n + 1))
+    counted = docs.select("lang", "text").mapInArrow(lambda it: _count(it, langs), f"key long, word binary, {types}")
+    tokens = scratch.save(counted.groupBy("key").agg(F.first("word").alias("word"), *[F.sum(c).alias(c) for c in _names(n + 1)]))
+    known = sum((F.col(c) for c in columns), F.lit(0)) > 0
+    total = sum((F.col(c) for c in _names(n + 1)), F.lit(0)).alias("total")
+    logs = lambda sums, types: [F.log((F.col(c) + 0.5) / (float(sums[c] or 0) + 0.5 * types)).alias(f"v{k}") for k, c in enumerate(columns)]
+    sums = tokens.where(known).agg(F.count(F.lit(1)).alias("types"), *[F.sum(c).alias(c) for c in columns]).first()
+    seen = tokens.where(known).select("key", total, *logs(sums, sums["types"]))
+    grams = tokens.where(known).select("word", *columns).mapInArrow(lambda it: _learn_grams(it, n), f"kind int, gram long, {', '.join(f'{c} long' for c in columns)}")
+    grams = scratch.save(grams.groupBy("kind", "gram").agg(*[F.sum(c).alias(c) for c in columns]))
+    by_kind = grams.groupBy("kind").agg(F.count(F.lit(1)).alias("types"), *[F.sum(c).alias(c) for c in columns]).collect()
+    scored = None
+    for row in by_kind:  # one row for each length
+        part = grams.where(F.col("kind") == row["kind"]).select("kind", "gram", *logs(row, row["types"]))
+        scored = part if scored is None else scored.unionByName(part)
+    new = tokens.where(~known)
+    if scored is None:
+        return scratch.save(seen)
+    listed = new.select("key", "word").mapInArrow(_list_grams, "key long, kind int, gram long").join(scored, ["kind", "gram"])
+    means = listed.groupBy("key", "kind").agg(*[F.avg(f"v{k}").alias(f"v{k}") for k in range(n)])
+    best = means.groupBy("key").agg(F.max_by(F.struct(*_names(n, "v")), "kind").alias("s"))
+    fallback = new.select("key", total).join(best, "key").select("key", "total", "s.*")
+    return scratch.save(seen.unionByName(fallback))
+
+
+# ---- prediction ----------------------------------------------------------------------------------------
+
+
+def _score(batches, shared):
+    """A row for each document with what broadcast tokens add, and rows of key and times for its other tokens."""
+    table, values = shared.value
+    n = values.shape[1]
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
-        names, sure = [], []
+        uid = np.asarray(batch.column("uid"))
         for i, j in spans(offsets):
             b, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             letter = add_up(_ASCII_LETTER[b], o) > 0
             for d in np.flatnonzero(~letter & (np.diff(o) > 0)):
                 letter[d] = any(c.isalpha() for c in b[o[d] : o[d + 1]].tobytes().decode("utf-8", "replace"))
-            if not model.langs:
-                names += ["und"] * (j - i)
-                sure += [0.0] * (j - i)
-                continue
-            s = model.scores(b, o)
-            s -= s.max(axis=1, keepdims=True)
-            p = 1 / np.exp(s).sum(axis=1)
-            best = s.argmax(axis=1)
-            names += [model.langs[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist())]
-            sure += np.where(letter, p, 0.0).tolist()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of docs (doc_id, text)."""
+            _, _, _, first, h = _tokens(b, o)
+            at = look_up(table, h)
+            value = np.zeros((len(h), n))
+            value[at >= 0] = values[at[at >= 0]]
+            m = j - i
+            yield pa.RecordBatch.from_arrays([pa.array(uid[i:j]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), batch.column("doc_id").slice(i, m), pa.array(letter), *(pa.array(add_up(np.ascontiguousarray(value[:, k]), first), pa.float64()) for k in range(n))], ["uid", "key", "times", "doc_id", "letter", *_names(n, "s")])
+            miss = np.flatnonzero(at < 0)
+            if len(miss):
+                keys, of = np.unique(h[miss], return_inverse=True)
+                pair, times = np.unique(by_doc(first, len(h))[miss] * len(keys) + of, return_counts=True)
+                m = len(pair)
+                yield pa.RecordBatch.from_arrays([pa.array(uid[i:j][pair // len(keys)]), pa.array(keys[pair % len(keys)].view(np.int64)), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), *(pa.nulls(m, pa.float64()) for _ in range(n))], ["uid", "key", "times", "doc_id", "letter", *_names(n, "s")])
+
+
+def predict(docs: DataFrame, held, scratch: Scratch) -> DataFrame:
+    """doc_id, lang_pred, score of docs (uid, doc_id, lang, text), taught by the rows that are not held and have a lang."""
+    teaching = docs.select(F.when(~held, F.col("lang")).alias("lang"), "text")
+    langs = sorted(r[0] for r in teaching.select("lang").where("lang is not null").distinct().collect())
+    n = len(langs)
+    if not n:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    tokens = token_scores(teaching, langs, scratch)
+    often = F.col("total") >= LEAST_SHARE * (tokens.agg(F.sum("total")).first()[0] or 0)
+    table = tokens.where(often).toArrow()
+    keys = np.asarray(table.column("key")).view(U)
+    order = np.argsort(keys)
+    model = keys[order], np.stack([np.asarray(table.column(c)) for c in _names(n, "v")], 1).reshape(-1, n)[order]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(lambda it: _predict(it, shared), "doc_id long, lang_pred string, score double")
+    sums = _names(n, "s")
+    rows = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _score(it, shared), f"uid long, key long, times long, doc_id long, letter boolean, {', '.join(f'{s} double' for s in sums)}"))
+    rare = rows.where("key is not null").select("uid", "key", "times").join(tokens.where(~often), "key")
+    none = lambda kind: F.lit(None).cast(kind)
+    rare = rare.select("uid", none("long").alias("doc_id"), none("boolean").alias("letter"), *[(F.col(f"v{k}") * F.col("times")).alias(f"s{k}") for k in range(n)])
+    both = rows.where("key is null").select(*rare.columns).unionByName(rare)
+    out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("letter").alias("letter"), *[F.sum(s).alias(s) for s in sums])
+    top = F.greatest(*sums) if n > 1 else F.col("s0")
+    name = F.coalesce(*[F.when(F.col(s) == F.col("top"), F.lit(x)) for s, x in zip(sums, langs)])
+    sure = 1 / sum((F.exp(F.col(s) - F.col("top")) for s in sums), F.lit(0.0))
+    return out.withColumn("top", top).select("doc_id", F.when(F.col("letter"), name).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), sure).otherwise(0.0).alias("score"))
 
 
 def op6_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
     held = fold("doc_id", FOLDS) == HELD_OUT
-    model = train(docs.where(~held & F.col("lang").isNotNull()), Scratch(spark))
-    return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs, held, Scratch(spark)).select("doc_id", held.alias("held_out"), "lang_pred", "score")
