@@ -10,9 +10,12 @@ CUT context bytes; deeper levels are computed within a deal, the rest by groupin
 Scoring looks each position's string up. Strings and words that make up LEAST_SHARE of their kind are
 broadcast, which bounds that table at 1 / LEAST_SHARE entries; all others are joined by key, exactly.
 
-Defined results: a null or empty text has the end token alone, and score 0 (the tree codes no byte); rows
+bits_per_byte is the code length that the tree gives a text, by its bytes. The tree codes the bytes and not where they
+end, so that `score` has no end token, while `base_score` has one.
+
+Defined results: a null or empty text has the end token alone, and score and bits 0 (the tree codes no byte); rows
 with a null doc_id count as fold 0; repeated rows count and are scored each; with no training text every
-bit has probability 1/2. Other columns are never read.
+bit has probability 1/2; an empty table gives an empty result; long texts are scored whole. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -238,18 +241,18 @@ def _score(batches, shared):
             base = np.bincount(doc[hit], word_values[at[hit]] if len(word_values) else None, j - i)
             known = np.bincount(doc[hit], word_known[at[hit]] if len(word_known) else None, j - i).astype(np.int64)
             rest.append(others(uid[i:j], 0, doc[miss], keys[miss]))
-            size = np.diff(first) + 1
+            size, n_bytes = np.diff(first) + 1, np.diff(o)
             none = lambda n, kind: pa.nulls(n, kind)
             n = j - i
-            yield pa.RecordBatch.from_arrays([pa.array(uid[i:j]), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()), batch.column("doc_id").slice(i, n), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base.astype(np.float64)), pa.array(score)], _COLUMNS)
+            yield pa.RecordBatch.from_arrays([pa.array(uid[i:j]), none(n, pa.int32()), none(n, pa.int64()), none(n, pa.int64()), batch.column("doc_id").slice(i, n), pa.array(size.astype(np.int64)), pa.array(known), pa.array(n_bytes, pa.int64()), pa.array(base.astype(np.float64)), pa.array(score)], _COLUMNS)
             for r in rest:
                 m = len(r[0])
                 if m:
-                    yield pa.RecordBatch.from_arrays([*r, none(m, pa.int64()), none(m, pa.int64()), none(m, pa.int64()), none(m, pa.float64()), none(m, pa.float64())], _COLUMNS)
+                    yield pa.RecordBatch.from_arrays([*r, *(none(m, pa.int64()) for _ in range(4)), none(m, pa.float64()), none(m, pa.float64())], _COLUMNS)
 
 
-_COLUMNS = ["uid", "kind", "key", "times", "doc_id", "n_tokens", "n_known", "base_score", "score"]
-_SCHEMA = "uid long, kind int, key long, times long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+_COLUMNS = ["uid", "kind", "key", "times", "doc_id", "n_tokens", "n_known", "n_bytes", "base_score", "score"]
+_SCHEMA = "uid long, kind int, key long, times long, doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
 def _arrays(table, columns):
@@ -260,7 +263,7 @@ def _arrays(table, columns):
 
 
 def tree_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs (uid, doc_id, text)."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of docs (uid, doc_id, text)."""
     held = fold("doc_id", FOLDS) == HELD_OUT
     counts = docs.select((~held).cast("int").alias("taught"), "text").mapInArrow(_count, "kind int, key long, n long, total long")
     counts = scratch.save(counts.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("total").alias("total")))
@@ -275,10 +278,10 @@ def tree_scores(docs: DataFrame, scratch: Scratch) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _score(it, shared), _SCHEMA))
     rare = rows.where("kind is not null").select("uid", "kind", "key", "times").join(table.where(~(often(0, words_) | often(1, strings_))), ["kind", "key"])
-    rare = rare.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("kind") == 0, F.col("known") * F.col("times")).alias("n_known"), F.when(F.col("kind") == 0, F.col("value") * F.col("times")).alias("base_score"), F.when(F.col("kind") == 1, F.col("value") * F.col("times")).alias("score"))
+    rare = rare.select("uid", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_tokens"), F.when(F.col("kind") == 0, F.col("known") * F.col("times")).alias("n_known"), F.lit(None).cast("long").alias("n_bytes"), F.when(F.col("kind") == 0, F.col("value") * F.col("times")).alias("base_score"), F.when(F.col("kind") == 1, F.col("value") * F.col("times")).alias("score"))
     both = rows.where("kind is null").select(*rare.columns).unionByName(rare)
-    out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score")
+    out = both.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.max("n_bytes").alias("n_bytes"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+    return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(train).cast("long").alias("train_tokens"), "base_score", "score", F.coalesce(F.col("score") / F.nullif("n_bytes", F.lit(0)) * -float(np.log2(10)), F.lit(0.0)).alias("bits_per_byte"))
 
 
 def op5_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

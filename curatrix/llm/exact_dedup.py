@@ -7,7 +7,7 @@ only finds a block's name, and digests that two blocks share go by the blocks th
 
 Defined results: a null text counts as empty, and all empty texts are equal. Of equal texts the largest
 doc_id stays (null is the smallest); of rows that repeat a doc_id with the same text, one stays. An empty
-table gives an empty result. Other columns are never read.
+table gives an empty result; long texts are so many blocks. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .kernels import LOWER, flat
-from .scratch import Scratch
+from .scratch import Scratch, filtered, with_uid
 
 BLOCK_BYTES = 4096
 
@@ -91,21 +91,15 @@ def exact_groups(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_BYT
     )
 
 
-def with_uid(docs: DataFrame) -> DataFrame:
-    """docs with a row number `uid`; it is the same on each scan, since a table is split into the same partitions each time."""
-    return docs.withColumn("uid", F.monotonically_increasing_id())
-
-
 def op4_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return exact_groups(with_uid(docs), Scratch(spark)).drop("uid")
+    scratch = Scratch(spark)
+    return exact_groups(with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch), scratch).drop("uid")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row of each group of equal texts stays, with all its columns."""
-    mine = docs.withColumn("_uid", F.monotonically_increasing_id())
-    kept = exact_groups(mine.select(F.col("_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), Scratch(spark)).where("kept")
-    return mine.join(kept.select(F.col("uid").alias("_uid")), "_uid", "left_semi").drop("_uid")
+    scratch = Scratch(spark)
+    return filtered(docs, scratch, lambda mine: exact_groups(mine, scratch).where("kept"), "text")
 
 
 _LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -13,7 +13,7 @@ each element flips one bit, so two sketches differ in no more bits than their se
 are verified on full sets; nothing is capped.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component; a
-text under five words is one shingle. component_id is the least doc_id reached, null doc_ids aside (null
+text under five words is one shingle; a long text has all its shingles. component_id is the least doc_id reached, null doc_ids aside (null
 if there is no other). Repeated rows link like any equal texts. Other columns are never read.
 """
 
@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
 from .kernels import LOWER, U, by_doc, flat, mix, span_hashes, spans, words
-from .scratch import Scratch
+from .scratch import Scratch, filtered, with_uid
 
 PLACES, ROWS, WIDTH, PERCENT = 128, 4, 5, 75
 #: Bits of a sketch; they decide how many dissimilar pairs are seen as such without their full sets.
 BITS = 2048
 BLOCK_ROWS = 1024
+#: Elements dealt at a time, at PLACES bytes each.
+PART = 1 << 19
 #: Rounds in which a bucket's members are checked against one of them.
 TURNS = 4
 
@@ -68,6 +70,13 @@ def super_min_hash(elements: np.ndarray, at: np.ndarray, places: int = PLACES) -
     """Signatures, documents by places: rank and random number of the winning element of each place."""
     docs = len(at) - 1
     out = np.full((docs, places), np.iinfo(np.uint64).max, U)
+    if len(elements) > PART:
+        # A place's winner is the least over parts of a set, so that a long document needs no more memory than a part.
+        for d in range(docs):
+            for k in range(int(at[d]), int(at[d + 1]), PART):
+                part = elements[k : min(k + PART, int(at[d + 1]))]
+                out[d] = np.minimum(out[d], super_min_hash(part, np.array([0, len(part)]), places)[0])
+        return out
     doc = by_doc(at, len(elements))
     e, perm = elements, None
     live = np.ones(docs, bool)
@@ -189,6 +198,7 @@ def verified(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, scratch: Scratc
     right = sets.select(F.col("uid").alias("b"), F.col("elements").alias("y"))
     out = scratch.save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long"))
     scratch.drop(sets)
+    scratch.drop(pairs)
     return out
 
 
@@ -249,15 +259,27 @@ def _rest(member: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame,
     per_root = placed.groupBy("band", "bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("uid").cast("decimal(38,0)")).alias("print"))
     mixed = per_root.groupBy("band", "bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("print").alias("print")).where("n > most")
     # Buckets with the same members: one of them will do.
-    mixed = mixed.groupBy("n", "most", "print").agg(F.min(F.struct("band", "bucket", "main")).alias("one")).select("one.*", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("all_blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK_ROWS).cast("int").alias("out_blocks"))
-    rows = scratch.save(placed.join(mixed, ["band", "bucket"]))
-    outside = rows.where("root <> main").select("band", "bucket", F.expr("cast(pmod(xxhash64(uid), out_blocks) as int)").alias("i"), F.explode(F.expr("sequence(0, all_blocks - 1)")).alias("j"), F.lit(0).alias("side"), "uid", "root")
-    everyone = rows.select("band", "bucket", F.explode(F.expr("sequence(0, out_blocks - 1)")).alias("i"), F.expr("cast(pmod(xxhash64(uid), all_blocks) as int)").alias("j"), F.lit(1).alias("side"), "uid", "root")
-    block = ["band", "bucket", "i", "j"]
+    mixed = mixed.groupBy("n", "most", "print").agg(F.min(F.struct("band", "bucket", "main")).alias("one")).select("one.*")
+    # Similar sets are of similar size: a row meets only those of its own step of sizes and of the two beside it.
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(100 / PERCENT) * 1.0001)).cast("int")
+    rows = scratch.save(placed.join(mixed, ["band", "bucket"]).join(sigs.select("uid", step.alias("step")), "uid"))
+    cell = ["band", "bucket", "step"]
+    outside = rows.where("root <> main").select("band", "bucket", F.explode(F.expr("array(step - 1, step, step + 1)")).alias("step"), F.lit(0).alias("side"), "uid", "root")
+    both = outside.unionByName(rows.select(*cell, F.lit(1).alias("side"), "uid", "root"))
+    sizes = both.groupBy(*cell).agg(F.ceil(F.count_if(F.col("side") == 0) / BLOCK_ROWS).cast("int").alias("out_blocks"), F.ceil(F.count_if(F.col("side") == 1) / BLOCK_ROWS).cast("int").alias("all_blocks"))
+    both = both.join(sizes.where("out_blocks > 0 and all_blocks > 0"), cell)
+    mine = lambda blocks: F.expr(f"cast(pmod(xxhash64(uid), {blocks}) as int)")
+    every = lambda blocks: F.explode(F.expr(f"sequence(0, {blocks} - 1)"))
+    outside = both.where("side = 0").select(*cell, mine("out_blocks").alias("i"), every("all_blocks").alias("j"), "side", "uid", "root")
+    everyone = both.where("side = 1").select(*cell, every("out_blocks").alias("i"), mine("all_blocks").alias("j"), "side", "uid", "root")
+    block = [*cell, "i", "j"]
     cells = outside.unionByName(everyone).join(sigs, "uid")
     involved = scratch.save(cells.groupBy(*block).applyInPandas(_involved, "uid long").distinct())
     sets = scratch.save(shingles_of(docs, involved))
-    return scratch.save(cells.join(sets, "uid").groupBy(*block).applyInPandas(_links, "a long, b long"))
+    out = scratch.save(cells.join(sets, "uid").groupBy(*block).applyInPandas(_links, "a long, b long"))
+    for table in (rows, involved, sets):
+        scratch.drop(table)
+    return out
 
 
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -293,12 +315,12 @@ def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def op10_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return near_groups(docs, Scratch(spark)).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    scratch = Scratch(spark)
+    docs = with_uid(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch)
+    return near_groups(docs, scratch).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays, with all its columns."""
-    mine = docs.withColumn("_uid", F.monotonically_increasing_id())
-    first = near_groups(mine.select(F.col("_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), Scratch(spark)).where("first")
-    return mine.join(first.select(F.col("uid").alias("_uid")), "_uid", "left_semi").drop("_uid")
+    scratch = Scratch(spark)
+    return filtered(docs, scratch, lambda mine: near_groups(mine, scratch).where("first"), "text")

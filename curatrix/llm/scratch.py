@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +42,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """df written with a row number, and that column's name, which no other column has.
+
+        The numbers are stored: they stay with their rows, however later scans are split among executors.
+        """
+        taken, name = {c.lower() for c in df.columns}, "_row"
+        while name in taken:
+            name += "_"
+        return self.save(df.withColumn(name, F.monotonically_increasing_id())), name
+
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that no later plan reads."""
         path = getattr(df, "_scratch_path", None)
@@ -51,5 +61,18 @@ class Scratch:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def with_uid(df: DataFrame, scratch: Scratch) -> DataFrame:
+    """uid, doc_id, text of documents, written: every later scan sees the same uid."""
+    mine, name = scratch.numbered(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    return mine.select(F.col(name).alias("uid"), "doc_id", "text")
+
+
+def filtered(docs: DataFrame, scratch: Scratch, decide, *columns: str, anti: bool = False) -> DataFrame:
+    """docs with all columns, as far as decide(uid, doc_id, *columns) returns (or, if anti, doesn't return) their uid."""
+    mine, name = scratch.numbered(docs)
+    found = decide(mine.select(F.col(name).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), *columns)).select(F.col("uid").alias(name))
+    return mine.join(found, name, "left_anti" if anti else "left_semi").select(*docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -13,8 +13,9 @@ evidence, whose scores alone are broadcast: all others score as unknown ones do.
 rows and whole texts.
 
 Defined results: a null or empty text has no segment and gets the score of that; documents without a
-label teach nothing; repeated rows are scored each; with no label of one kind all scores are 0. Other
-columns are never read.
+label teach nothing, and of several labels of one document the highest counts; repeated rows are scored each;
+with no label of one kind all scores are next to 0; an empty table gives an empty result; long texts are scanned whole.
+Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .folds import fold
 from .kernels import LOWER, NO_LETTER, U, by_doc, flat, look_up, span_hashes, spans, words
-from .scratch import Scratch
+from .scratch import Scratch, filtered
 
 MAX_LABELLED = 1 << 18
 PRIOR, EVIDENCE, DRIFT = 0.01, 20.0, 0.05
@@ -167,18 +168,14 @@ def toxic_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFr
     return scored.select("uid", "doc_id", (part == HELD_OUT).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"), "passages")
 
 
-def _inputs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return docs.select(F.col("_uid").alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-
-
 def op9_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_uid", F.monotonically_increasing_id())
-    out = toxic_scores(*_inputs(spark, docs, sf_dir), Scratch(spark))
-    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = toxic_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), scratch)
+    return out.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"), "passages")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that are predicted toxic go; labels come from sf_dir."""
-    mine = docs.withColumn("_uid", F.monotonically_increasing_id())
-    bad = toxic_scores(*_inputs(spark, mine, sf_dir), Scratch(spark)).where("predicted = 1")
-    return mine.join(bad.select(F.col("uid").alias("_uid")), "_uid", "left_anti").drop("_uid")
+    scratch, labels = Scratch(spark), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filtered(docs, scratch, lambda mine: toxic_scores(mine, labels, scratch).where("predicted = 1"), "text", anti=True)

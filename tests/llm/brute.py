@@ -124,3 +124,54 @@ def tree(rows, depth=5):
             score += math.log10(mixed if one else 1 - mixed)
         out.append(score)
     return out
+
+
+def language(rows, longest=4):
+    """doc_id to (language, score) of rows (doc_id, text, lang or None where it teaches nothing), word by word."""
+    letters = re.compile(r"[a-z\x80-\U0010ffff]+")
+    cut = lambda t: letters.findall((t or "").translate(LOW))
+    langs = sorted({x for _, _, x in rows if x is not None})
+
+    def grams(w, n):
+        b = w if n == 1 else f"\n{w}\n"
+        return [g for g in (b[i : i + n] for i in range(len(b) - n + 1)) if g != "\n\n"]
+
+    tables = [collections.defaultdict(lambda: [0] * len(langs)) for _ in range(longest + 1)]
+    for _, t, x in rows:
+        if x is not None:
+            for w in cut(t):
+                for n in range(longest + 1):
+                    for g in [w] if n == 0 else grams(w, n):
+                        tables[n][g][langs.index(x)] += 1
+    sums = [[sum(v[k] for v in table.values()) for k in range(len(langs))] for table in tables]
+    log = lambda n, g, k: math.log((tables[n][g][k] + 0.5) / (sums[n][k] + 0.5 * len(tables[n])))
+    out = {}
+    for d, t, _ in rows:
+        s = [0.0] * len(langs)
+        for w in cut(t):
+            if w in tables[0]:
+                s = [x + log(0, w, k) for k, x in enumerate(s)]
+                continue
+            for n in range(longest, 0, -1):
+                known = [g for g in grams(w, n) if g in tables[n]]
+                if known:
+                    s = [x + sum(log(n, g, k) for g in known) / len(known) for k, x in enumerate(s)]
+                    break
+        if any(c.isalpha() for c in t or ""):
+            out[d] = langs[s.index(max(s))], 1 / sum(math.exp(x - max(s)) for x in s)
+        else:
+            out[d] = "und", 0.0
+    return out
+
+
+def power_shares(tokens, power, keep):
+    """Shares in proportion to tokens ** power, none above what the value has of what is kept."""
+    total, full = keep * sum(tokens.values()), set()
+    tokens = {k: v for k, v in tokens.items() if v}
+    while True:
+        rest = {k: v**power for k, v in tokens.items() if k not in full}
+        c = (total - sum(tokens[k] for k in full)) / sum(rest.values())
+        more = {k for k in rest if tokens[k] < c * rest[k]}
+        if not more:
+            return {k: (tokens[k] if k in full else c * rest[k]) / total for k in tokens}
+        full |= more
