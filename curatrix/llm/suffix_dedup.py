@@ -5,7 +5,7 @@ strings that start at a batch's positions, cut at LENGTH bytes, are its suffixes
 each, a window of LENGTH bytes goes by its seed, the least hash of the K-byte strings in it, so that equal
 windows have equal seeds, and a stretch of windows with one seed is a run. Three kinds of entries follow:
 a batch's distinct seeds, its distinct runs by content, and, where a seed has runs of different contents, the
-windows of those runs. Each kind gives the batch a sorted array of 128-bit fingerprints with their first rows.
+windows of those runs. Each kind gives the batch a sorted array of fingerprints with their first rows.
 
 Entries are dealt by fingerprint, so that no deal is hot: a fingerprint has one entry for each batch at most. In a
 deal, batches come in their order. Each one is scanned against the levels as they stand, which hold earlier
@@ -17,8 +17,8 @@ piece by piece, with windows across their borders.
 
 Defined results: null or empty texts have no bytes, and none removed; doc_ids that repeat don't count as
 smaller than each other; a null doc_id is smaller than all others; an empty table gives an empty result; texts of
-any length below 2 GB are handled whole. Other columns are never read. Fingerprints that meet by chance
-(about n**2 / 2**129 for n distinct strings) would remove too much; nothing else is inexact.
+any length below 2 GB are handled whole. Other columns are never read. Fingerprints keep 96 bits within a deal, and
+the number of deals grows with the text; only if two of different strings met by chance would too much be removed.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ LENGTH, K = 50, 20
 BATCH_BYTES, BATCH_ROWS = 1 << 23, (1 << 16) - 1
 PIECE = 1 << 20
 #: Text bytes for each deal of seeds and runs; windows have WINDOW_DEALS times as many deals.
-DEAL_BYTES, WINDOW_DEALS = 1 << 25, 4
+DEAL_BYTES, WINDOW_DEALS = 1 << 24, 2
 #: Windows of a run at most; longer runs are cut, which costs only comparisons.
 RUN_WINDOWS = 512
 SEED, RUN, WINDOW = 0, 1, 2
@@ -152,9 +152,18 @@ class Sorted:
         self.back = np.empty(len(one), np.int64)
         self.back[order] = np.cumsum(new) - 1
 
+    def _place(self, deals: int) -> np.ndarray:
+        """The keys' place among all, times deals: the deal, and 32 bits below it."""
+        low = U(0xFFFFFFFF)
+        return (self.one >> U(32)) * U(deals) + ((self.one & low) * U(deals) >> U(32))
+
     def edges(self, deals: int) -> np.ndarray:
         """Where each deal's keys begin: a deal is a range of keys."""
-        return np.searchsorted(((self.one >> U(32)) * U(deals) >> U(32)).astype(np.int64), np.arange(deals + 1))
+        return np.searchsorted((self._place(deals) >> U(32)).astype(np.int64), np.arange(deals + 1))
+
+    def within(self, deals: int) -> np.ndarray:
+        """The 32 bits by which keys ascend within a deal; with the deal they stand for the first half of a key."""
+        return (self._place(deals) & U(0xFFFFFFFF)).astype(np.uint32)
 
 
 class Batch:
@@ -242,14 +251,14 @@ def _dealt(kind: int, keys: Sorted, deals: int, number: int, *columns: np.ndarra
 
 def _index(tables, deals: int, piece: int):
     for batch, _, _ in _each(tables, piece):
-        yield _dealt(SEED, batch.seeds, deals, batch.number, batch.seeds.one, batch.content)
-        yield _dealt(RUN, batch.runs, deals, batch.number, batch.runs.one, batch.runs.two, batch.runs.row.astype(np.uint16))
+        yield _dealt(SEED, batch.seeds, deals, batch.number, batch.seeds.within(deals), batch.content)
+        yield _dealt(RUN, batch.runs, deals, batch.number, batch.runs.within(deals), batch.runs.two, batch.runs.row.astype(np.uint16))
 
 
 def _contents(tables, deals: int, piece: int):
     for batch, marks, _ in _each(tables, piece):
         keys = batch.windows_of(batch.judge(marks, deals)[1])[2]
-        yield _dealt(WINDOW, keys, WINDOW_DEALS * deals, batch.number, keys.one, keys.two, keys.row.astype(np.uint16))
+        yield _dealt(WINDOW, keys, WINDOW_DEALS * deals, batch.number, keys.within(WINDOW_DEALS * deals), keys.two, keys.row.astype(np.uint16))
 
 
 class Family:
@@ -288,7 +297,7 @@ def _earlier(batches) -> list:
     """For each batch: its keys that an earlier one has, and the first row's number that has each."""
     family, out = Family(), []
     for kind, deal, number, n, data in batches:
-        one, two, row = _columns(data, n, U, U, np.uint16)
+        one, two, row = _columns(data, n, np.uint32, U, np.uint16)
         holder = np.full(n, -1, np.int64)
         for level, found, at in family.scan(one, two):
             holder[found] = level[2][at]
@@ -304,7 +313,7 @@ def _mixed(batches) -> list:
     """For each batch: its seeds that have runs of several contents, in all batches together."""
     family, out = Family(), []
     for _, _, _, n, data in batches:
-        one, content = _columns(data, n, U, U)
+        one, content = _columns(data, n, np.uint32, U)
         new = np.ones(n, bool)
         for level, found, at in family.scan(one):
             new[found] = False
@@ -312,7 +321,7 @@ def _mixed(batches) -> list:
             level[1][at[differ]] = 0
         family.add(one[new], content[new].copy())
     for kind, deal, number, n, data in batches:
-        one = _columns(data, n, U)[0]
+        one = _columns(data, n, np.uint32)[0]
         bad = [found[level[1][at] == 0] for level, found, at in family.scan(one)]
         bad = np.concatenate(bad) if bad else np.zeros(0, np.int64)
         if len(bad):
@@ -368,7 +377,7 @@ def _with(batches: DataFrame, marks: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, scratch: Scratch, keep_text: bool = False, batch_bytes: int = BATCH_BYTES, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text (bytes) of docs (doc_id, text)."""
     batches = batches_of(docs, scratch, batch_bytes)
-    deals = max(partitions(docs.sparkSession), -(-(batches.agg(F.sum("n_bytes")).first()[0] or 0) // DEAL_BYTES))
+    deals = 1 + (batches.agg(F.sum("n_bytes")).first()[0] or 0) // DEAL_BYTES
     matched = lambda entries: scratch.save(entries.groupBy("kind", "deal").applyInArrow(_match, _ROWS))
     marks = matched(batches.mapInArrow(lambda it: _index(it, deals, piece), _ROWS))
     more = matched(_with(batches, marks).mapInArrow(lambda it: _contents(it, deals, piece), _ROWS))
