@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions import text as T
 
+# Statuses, and the sources' words below.
 STATUSES = ["empty", "override", "identity", "hgnc_alias", "ambiguous", "unmapped", "blocked"]
 
 
@@ -135,6 +136,6 @@ def normalize_genes(names: DataFrame, overrides: DataFrame, official: DataFrame,
     )
 
 
-def normalization_log(normalized: DataFrame) -> DataFrame:
-    """The names that changed or were not simply official."""
-    return normalized.where((F.col("original") != "") & ~((F.col("original") == F.col("normalized")) & F.col("status").isin("", "identity"))).select("original", "normalized", F.col("role").alias("type"), "status", "source", "candidates", "matched_key")
+def normalization_log(normalized: DataFrame, *more: str) -> DataFrame:
+    """The names that changed or were not simply official, with more of their columns if asked for."""
+    return normalized.where((F.col("original") != "") & ~((F.col("original") == F.col("normalized")) & F.col("status").isin("", "identity"))).select("original", "normalized", F.col("role").alias("type"), "status", "source", "candidates", "matched_key", *more)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curatrix.functions import text as T
 
+from .stored import stored
+
 COLUMNS = ["pmid", "anomaly_type", "trrust_entry", "issue", "corrected", "curated_date"]
 
 
@@ -24,9 +26,10 @@ def append_anomalies(existing: DataFrame, new: DataFrame) -> tuple[DataFrame, Da
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """df with `number` from 1 on in the given order, without gathering the rows in one task.
 
-    Rows are sorted by range; what is counted before a partition is one number for each partition.
+    Rows are sorted by range and stored with the number of their partition; what is counted before a partition is one
+    number for each partition.
     """
-    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    ordered = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     ordered = ordered.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = ordered.groupBy("_part").agg(F.max("_rank").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")

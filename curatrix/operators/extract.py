@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from curatrix.functions import text as T
 
+from .stored import stored
+
 USAGE = "struct<request_id:string,input_tokens:int,output_tokens:int>"
 SCHEMA = f"pmid string, error string, round1_analysis string, round1_usage {USAGE}, round2_raw string, round2_usage {USAGE}"
 
@@ -38,8 +40,12 @@ def _usage(answer: dict) -> dict:
     return {"request_id": answer.get("request_id"), "input_tokens": number("input_tokens"), "output_tokens": number("output_tokens")}
 
 
-def extract(df: DataFrame, client: Callable, first: str, second: str, workers: int = 4, delays=(1, 2, 4)) -> DataFrame:
-    """Two rounds for each document (pmid, text); a failure becomes the error of its row, and never fails the job."""
+def extract(df: DataFrame, client: Callable, first: str, second: str, workers: int | None = None, delays=(1, 2, 4)) -> DataFrame:
+    """Two rounds for each document (pmid, text); a failure becomes the error of its row, and never fails the job.
+
+    There are as many calls at once as tasks: those of df, or `workers` where a service takes no more. A lost task repeats its
+    calls, so that many small tasks are better than few large ones.
+    """
 
     def one(pmid: str, text: str | None) -> dict:
         row = dict.fromkeys(("error", "round1_analysis", "round1_usage", "round2_raw", "round2_usage")) | {"pmid": pmid}
@@ -60,7 +66,8 @@ def extract(df: DataFrame, client: Callable, first: str, second: str, workers: i
         for frame in frames:
             yield pd.DataFrame([one(p, t) for p, t in zip(frame["pmid"], frame["text"])], columns=["pmid", "error", "round1_analysis", "round1_usage", "round2_raw", "round2_usage"])
 
-    return df.select("pmid", "text").repartition(workers).mapInPandas(run, SCHEMA)
+    asked = df.select("pmid", "text")
+    return (asked.repartition(workers) if workers else asked).mapInPandas(run, SCHEMA)
 
 
 def parse_json_edges(df: DataFrame, column: str = "round2_raw") -> tuple[DataFrame, DataFrame]:
@@ -75,20 +82,17 @@ def parse_json_edges(df: DataFrame, column: str = "round2_raw") -> tuple[DataFra
 
 
 def postprocess(edges: DataFrame, overrides: DataFrame, official: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges with normalised names, and the log of changed names by document."""
+    """Edges with normalised names, and the log of changed names by document. Edges are worked out once, and so is each distinct name."""
     from . import aliases as A
 
-    roles = {"tf": "tf", "target": "target"}
-    names = None
-    for column, role in roles.items():
-        part = edges.select(F.col(column).alias("name"), F.lit(role).alias("role"))
-        names = part if names is None else names.unionByName(part)
-    known = A.normalize_genes(names.distinct(), overrides, official, candidates)
+    edges = stored(edges)
+    roles = F.explode(F.array(*[F.struct(F.col(c).alias("name"), F.lit(c).alias("role")) for c in ("tf", "target")]))
+    known = stored(A.normalize_genes(edges.select(roles.alias("n")).select("n.*"), overrides, official, candidates))
     out, logs = edges, None
-    for column, role in roles.items():
-        own = known.where(F.col("role") == role)
-        log = edges.select("pmid", F.col(column).alias("name")).join(own, "name").select("pmid", "name", *[c for c in own.columns if c != "name"])
-        log = log.where((F.col("original") != "") & ~((F.col("original") == F.col("normalized")) & F.col("status").isin("", "identity"))).select("pmid", "original", "normalized", F.col("role").alias("type"), "status", "source", "matched_key")
+    for column in ("tf", "target"):
+        own = known.where(F.col("role") == column)
+        changed = A.normalization_log(own.withColumn("_name", F.col("name")), "_name").withColumnRenamed("_name", column)
+        log = edges.select("pmid", column).join(changed, column).select("pmid", "original", "normalized", "type", "status", "source", "matched_key")
         logs = log if logs is None else logs.unionByName(log)
         out = out.join(own.select(F.col("name").alias(column), F.col("normalized").alias(f"_{column}")), column, "left").withColumn(column, F.coalesce(f"_{column}", column)).drop(f"_{column}")
     return out.select(*edges.columns), logs

@@ -7,12 +7,30 @@ from pyspark.sql import DataFrame, functions as F
 from curatrix.functions import text as T
 
 from .edges import edges_by_doc, order_by_doc
-from .evaluate import METRICS, classify_edges, missed_edges
+from .evaluate import classify_edges, missed_edges
 
 
 def summary_table(metrics: DataFrame) -> DataFrame:
-    """metric, value of a row of metrics."""
-    return metrics.select(*[F.col(c).cast("double").alias(c) for c in METRICS]).unpivot([], METRICS, "metric", "value")
+    """ord, metric, value, note: the lines of a summary of a row of metrics; shares as a/b = c%."""
+    c = lambda n: F.col(f"total_{n}")
+    share = lambda a, b, p: F.format_string("%d/%d = %.1f%%", a, b, F.col(p))
+    matched = c("consistent") + c("conflict")
+    lines = [
+        ("Documents", c("pmids").cast("string"), ""),
+        ("Curated edges", c("gt").cast("string"), "of the evaluated documents"),
+        ("Extracted edges", c("llm").cast("string"), "all predictions"),
+        ("Recall", share(c("matched_gt"), c("gt"), "recall"), "curated edges that were found, each once"),
+        ("Overall precision", share(matched, c("llm"), "overall_precision"), "predictions that match a curated pair"),
+        ("Evaluable precision", share(matched, c("llm") - c("new_found") - c("new"), "evaluable_precision"), "without new ones, of predictions that can be judged"),
+        ("Direction accuracy", share(c("consistent"), matched, "direction_accuracy"), "of matched pairs, those with the curated direction"),
+        ("Consistent", c("consistent").cast("string"), "names and direction match"),
+        ("Conflict", c("conflict").cast("string"), "names match, the direction differs"),
+        ("New found", c("new_found").cast("string"), "the document has curated edges, but not this one"),
+        ("Missed", c("missed").cast("string"), "curated edges that were not extracted"),
+        ("New", c("new").cast("string"), "the document has no curated edge"),
+    ]
+    rows = F.posexplode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value"), F.lit(n).alias("note")) for m, v, n in lines]))
+    return metrics.select(rows.alias("ord", "l")).select("ord", "l.*")
 
 
 def comparison_table(pred: DataFrame, truth: DataFrame, docs: DataFrame) -> DataFrame:

@@ -1,0 +1,18 @@
+"""Tables that are worked out once and cut lineage: checkpoints in the shared folder that the cluster names."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df by a checkpoint in spark.checkpoint.dir; where that is unset, in the warehouse, or a temp folder under a local master."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        local = context.master == "local" or context.master.startswith("local[")
+        context.setCheckpointDir(named or ("file:" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"))
+    return df.checkpoint()

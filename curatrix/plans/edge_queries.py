@@ -35,7 +35,7 @@ c AS (SELECT p.*, f.direction AS truth_direction, f.ord AS truth_ord,
   FROM pred p LEFT JOIN f ON f.pmid = p.pmid AND f.ktf = {iso('p.tf')} AND f.ktarget = {iso('p.target')})"""
 
 #: Truth without the unknown directions, so that some documents have none.
-_KNOWN = ctes("truth", "pred", "edge_docs").replace("truth AS (", "truth_all AS (", 1).replace("FROM truth WHERE", "FROM truth_all WHERE") + ",\ntruth AS (SELECT * FROM truth_all WHERE direction <> 'Unknown')"
+_KNOWN = ctes("truth", "pred", "edge_docs").replace("truth AS (", "truth_all AS (", 1).replace("FROM truth)", "FROM truth_all)") + ",\ntruth AS (SELECT * FROM truth_all WHERE direction <> 'Unknown')"
 
 
 def _truth(spark, d):
@@ -72,7 +72,18 @@ def edge_metrics(spark, d):
     return V.evaluate(view(spark, d, "pred"), _truth(spark, d), _docs(spark, d))
 
 
-@query("report_summary", f"{_METRICS}\nSELECT metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM metrics) ON COLUMNS(*) INTO NAME metric VALUE value)")
+_LINES = [
+    ("Documents", "total_pmids::VARCHAR", ""), ("Curated edges", "total_gt::VARCHAR", "of the evaluated documents"), ("Extracted edges", "total_llm::VARCHAR", "all predictions"),
+    ("Recall", "printf('%d/%d = %.1f%%', total_matched_gt, total_gt, recall)", "curated edges that were found, each once"),
+    ("Overall precision", "printf('%d/%d = %.1f%%', total_consistent + total_conflict, total_llm, overall_precision)", "predictions that match a curated pair"),
+    ("Evaluable precision", "printf('%d/%d = %.1f%%', total_consistent + total_conflict, total_llm - total_new_found - total_new, evaluable_precision)", "without new ones, of predictions that can be judged"),
+    ("Direction accuracy", "printf('%d/%d = %.1f%%', total_consistent, total_consistent + total_conflict, direction_accuracy)", "of matched pairs, those with the curated direction"),
+    ("Consistent", "total_consistent::VARCHAR", "names and direction match"), ("Conflict", "total_conflict::VARCHAR", "names match, the direction differs"),
+    ("New found", "total_new_found::VARCHAR", "the document has curated edges, but not this one"), ("Missed", "total_missed::VARCHAR", "curated edges that were not extracted"), ("New", "total_new::VARCHAR", "the document has no curated edge"),
+]
+
+
+@query("report_summary", f"{_METRICS}\n" + " UNION ALL ".join(f"SELECT {i}::INTEGER AS ord, '{m}' AS metric, {v} AS value, '{n}' AS note FROM metrics" for i, (m, v, n) in enumerate(_LINES)))
 def report_summary(spark, d):
     return R.summary_table(edge_metrics(spark, d))
 

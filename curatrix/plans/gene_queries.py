@@ -127,17 +127,18 @@ def suspicious_names(spark, d):
 
 # ---- review --------------------------------------------------------------------------------------------
 
-_PAIRS = ctes("truth", "ensg", "track_lines") + """,
+_PAIRS = ctes("truth", "ensg", "track_lines", "lexicon") + """,
+reverse AS (SELECT symbol, list_sort(list(DISTINCT alias_symbol)) AS aliases FROM lexicon WHERE length(alias_symbol) >= 3 GROUP BY symbol),
 track AS (SELECT DISTINCT upper(trim(string_split(string_split(value, chr(9))[-1], ':')[2])) AS tf FROM track_lines WHERE string_split(string_split(value, chr(9))[-1], ':')[1] = 'CHIP'),
 pairs AS (SELECT t.pmid, t.ord, t.tf, t.target, coalesce(e.ensg, f.ensg, 'NOT_FOUND') AS ensg, CASE WHEN e.ensg IS NOT NULL THEN 'ok' WHEN f.ensg IS NOT NULL THEN 'normalized' ELSE 'missing' END AS ensg_status,
-  t.tf IN (SELECT tf FROM track) AS in_track, CASE WHEN t.tf = 'TF1' THEN ['T1', 'T1B'] ELSE []::VARCHAR[] END AS tf_aliases, CASE WHEN t.target = 'GN2' THEN ['G2'] ELSE []::VARCHAR[] END AS gene_aliases, l.direction AS reference_direction
-  FROM truth t LEFT JOIN ensg e ON e.symbol = t.target LEFT JOIN ensg f ON f.symbol = regexp_replace(t.target, '[AB]$', '') JOIN (SELECT pmid, tf, target, arg_max(direction, ord) AS direction FROM truth GROUP BY ALL) l ON l.pmid = t.pmid AND l.tf = t.tf AND l.target = t.target)"""
+  t.tf IN (SELECT tf FROM track) AS in_track, coalesce(x.aliases, []) AS tf_aliases, coalesce(y.aliases, []) AS gene_aliases, l.direction AS reference_direction
+  FROM truth t LEFT JOIN reverse x ON x.symbol = t.tf LEFT JOIN reverse y ON y.symbol = t.target LEFT JOIN ensg e ON e.symbol = t.target LEFT JOIN ensg f ON f.symbol = regexp_replace(t.target, '[AB]$', '') JOIN (SELECT pmid, tf, target, arg_max(direction, ord) AS direction FROM truth GROUP BY ALL) l ON l.pmid = t.pmid AND l.tf = t.tf AND l.target = t.target)"""
 
 
 def _pairs(spark, d):
     truth = view(spark, d, "truth")
     names = truth.select(F.col("target").alias("name")).distinct().withColumn("normalized", F.regexp_replace("name", "[AB]$", ""))
-    reverse = spark.createDataFrame([("TF1", ["T1", "T1B"]), ("GN2", ["G2"])], "symbol string, aliases array<string>")
+    reverse = A.reverse_aliases(A.build_alias_candidates(view(spark, d, "lexicon")))
     df = V.flag_in_track(V.resolve_ensg(truth.drop("direction"), view(spark, d, "ensg"), names), S.track_tfs(view(spark, d, "track_lines")))
     return V.lookup_direction(V.attach_aliases(df, reverse), E.latest_direction(truth))
 
@@ -148,10 +149,10 @@ def review_pairs(spark, d):
 
 
 @query("review_dataset", _PAIRS + f""", {ctes('abstracts').removeprefix('WITH ')}
-SELECT pmid, coalesce(any_value(abstract), '') AS abstract, string_agg(tf || '/' || target || '/' || ensg || '/' || reference_direction, ';' ORDER BY ord) AS pairs FROM pairs LEFT JOIN abstracts USING (pmid) GROUP BY pmid""")
+SELECT pmid, coalesce(any_value(abstract), '') AS abstract, string_agg(concat_ws('/', ord, tf, target, ensg, in_track, array_to_string(tf_aliases, ','), array_to_string(gene_aliases, ','), reference_direction), ';' ORDER BY ord) AS pairs FROM pairs LEFT JOIN abstracts USING (pmid) GROUP BY pmid""")
 def review_dataset(spark, d):
     data = V.review_dataset(_pairs(spark, d), view(spark, d, "abstracts"))
-    return data.withColumn("pairs", F.array_join(F.transform("pairs", lambda p: F.concat_ws("/", p.tf, p.gene, p.ensg, p.reference_direction)), ";"))
+    return data.withColumn("pairs", F.array_join(F.transform("pairs", lambda p: F.concat_ws("/", p.ord.cast("string"), p.tf, p.gene, p.ensg, p.in_track.cast("string"), F.array_join(p.tf_aliases, ","), F.array_join(p.gene_aliases, ","), p.reference_direction)), ";"))
 
 
 @query("review_coverage", _PAIRS + "\nSELECT count(DISTINCT pmid) AS documents, count(*) AS pairs, count(*) FILTER (in_track) AS tf_in_track, count(*) FILTER (NOT in_track) AS tf_missing, count(*) FILTER (ensg_status <> 'missing') AS ensg_resolved, count(*) FILTER (ensg_status = 'missing') AS ensg_missing FROM pairs")
@@ -200,10 +201,11 @@ def validate_anomalies(spark, d):
     return C.validate_anomaly(view(spark, d, "anomalies")).drop("corrected", "curated_date")
 
 
-@query("append_anomalies", ctes("anomalies") + f"\nSELECT pmid, anomaly_type, trrust_entry, issue FROM anomalies WHERE {_BAD} IS NULL AND anomaly_type <> 'other' UNION ALL SELECT pmid, anomaly_type, trrust_entry, issue FROM anomalies WHERE anomaly_type = 'other'")
+@query("append_anomalies", ctes("anomalies") + f"\nSELECT pmid, anomaly_type, trrust_entry, issue, CASE WHEN anomaly_type <> 'other' THEN {_BAD} END AS reject_reason FROM anomalies")
 def append_anomalies(spark, d):
     log = view(spark, d, "anomalies")
-    return C.append_anomalies(log.where("anomaly_type = 'other'"), log.where("anomaly_type <> 'other'"))[0].drop("corrected", "curated_date")
+    accepted, rejected = C.append_anomalies(log.where("anomaly_type = 'other'"), log.where("anomaly_type <> 'other'"))
+    return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected).drop("corrected", "curated_date")
 
 
 _NUMBERED = ctes("anomalies") + ", n AS (SELECT *, row_number() OVER (ORDER BY pmid, trrust_entry) AS number FROM anomalies)"
@@ -229,6 +231,6 @@ def excluded_table(spark, d):
     return R.excluded_table(view(spark, d, "anomalies"))
 
 
-@query("exclude_anomalies", ctes("truth", "anomalies") + "\nSELECT * FROM truth WHERE pmid NOT IN (SELECT pmid FROM anomalies)")
+@query("exclude_anomalies", ctes("truth", "anomalies") + "\nSELECT * FROM truth WHERE pmid NOT IN (SELECT pmid FROM anomalies WHERE anomaly_type = 'phantom_gene')")
 def exclude_anomalies(spark, d):
-    return E.exclude_anomalies(view(spark, d, "truth"), view(spark, d, "anomalies"))
+    return E.exclude_anomalies(view(spark, d, "truth"), view(spark, d, "anomalies").where("anomaly_type = 'phantom_gene'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
-from curatrix.operators import documents as D, edges as E, extract as X, report as R
+from curatrix.operators import aliases as A, documents as D, edges as E, extract as X, report as R
 from curatrix.sources import readers as S, writers as K
 
 from .views import ctes, view
@@ -25,14 +25,14 @@ def query(name: str, sql: str | None = None):
 
 # ---- documents -----------------------------------------------------------------------------------------
 
-#: Documents with two or three labelled sections made of their text; every third one has none.
-_SECTIONED = """SELECT cast(doc_id AS string) AS pmid, doc_id % 3 AS kind, regexp_replace(regexp_replace(text, '[-\\[\\]]+', ' '{g}), '[ \\t\\n\\r]+', ' '{g}) AS flat FROM documents"""
-_SECT_CTE = "WITH s AS (" + _SECTIONED.replace("{g}", ", 'g'").replace("\\\\", "\\") + "), d AS (SELECT pmid, kind, trim(flat) AS flat, trim(substr(flat, 1, 40)) AS a, trim(substr(flat, 41, 200)) AS b FROM s)"
+#: Documents in two sections, a third of the text and the rest, or three; those of one language have none.
+_SECT_CTE = "WITH s AS (SELECT cast(doc_id AS string) AS pmid, CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 0 ELSE 2 END AS kind, source, text FROM documents), d AS (SELECT pmid, kind, source, text, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS flat, trim(substr(text, 1, length(text) // 3), ' ' || chr(9) || chr(10) || chr(13)) AS a, trim(substr(text, length(text) // 3 + 1), ' ' || chr(9) || chr(10) || chr(13)) AS b FROM s)"
 
 
 def _sectioned(spark, d):
-    s = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("pmid"), (F.col("doc_id") % 3).alias("kind"), F.regexp_replace(F.regexp_replace("text", r"[-\[\]]+", " "), r"[ \t\n\r]+", " ").alias("flat"))
-    return s.select("pmid", "kind", F.trim("flat").alias("flat"), F.trim(F.substring("flat", 1, 40)).alias("a"), F.trim(F.substring("flat", 41, 200)).alias("b"))
+    s = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("pmid"), F.expr("CASE lang WHEN 'en' THEN 1 WHEN 'de' THEN 0 ELSE 2 END").alias("kind"), "source", "text")
+    cut = lambda e: T.strip(F.expr(e))
+    return s.select("pmid", "kind", "source", "text", T.strip("text").alias("flat"), cut("substring(text, 1, length(text) div 3)").alias("a"), cut("substring(text, cast(length(text) div 3 + 1 as int))").alias("b"))
 
 
 def _labelled(df):
@@ -46,17 +46,21 @@ def _labelled(df):
 
 
 @query("document_blocks", _SECT_CTE + """
-SELECT pmid, CASE kind WHEN 1 THEN '[BACKGROUND]' || chr(10) || a || CASE b WHEN '' THEN '' ELSE chr(10) || chr(10) || '[Significance]' || chr(10) || b END WHEN 2 THEN '[RESULTS]' || chr(10) || a || chr(10) || chr(10) || '[METHODS]' || chr(10) || a ELSE flat END AS abstract,
-  CASE WHEN kind = 0 THEN 0 WHEN kind = 1 AND b = '' THEN 1 ELSE 2 END AS n_sections, 'TF' || pmid || '->GN1(Activation)' AS edges FROM d""")
+SELECT pmid, CASE kind WHEN 1 THEN '[BACKGROUND]' || chr(10) || a || chr(10) || chr(10) || '[Significance]' || chr(10) || b WHEN 2 THEN '[RESULTS]' || chr(10) || a || chr(10) || chr(10) || '[METHODS]' || chr(10) || a ELSE flat END AS abstract,
+  CASE WHEN kind = 0 THEN 0 ELSE 2 END AS n_sections, 'TF' || pmid || '->GN1(Activation)' AS edges FROM d""")
 def document_blocks(spark, d):
     blocks = _labelled(_sectioned(spark, d)).select(K.block_text().alias("value"))
     docs = S.parse_blocks(blocks, drop_rule=True)
     return docs.select("pmid", "abstract", F.size("sections").alias("n_sections"), F.array_join(F.transform("edges", lambda e: T.pack_edge(e.tf, e.target, e.direction)), ";").alias("edges"))
 
 
-@query("section_labels", _SECT_CTE + ", l AS (SELECT pmid, CASE kind WHEN 0 THEN 'Results' WHEN 1 THEN 'Significance' ELSE 'materials and methods' END AS label FROM d)\nSELECT pmid, CASE label WHEN 'Significance' THEN '[Significance]' ELSE upper(label) END AS label FROM l")
+_LABELS = ", ".join(f"'{x}'" for x in T.SECTION_LABELS)
+
+
+@query("section_labels", _SECT_CTE + f", l AS (SELECT pmid, CASE kind WHEN 0 THEN 'Results' WHEN 1 THEN regexp_extract(text, '[A-Za-z]+', 0) ELSE source END AS label FROM d)\nSELECT pmid, CASE WHEN upper(label) IN ({_LABELS}) THEN upper(label) ELSE '[' || label || ']' END AS label FROM l")
 def section_labels(spark, d):
-    return _sectioned(spark, d).select("pmid", T.section_label(F.expr("CASE kind WHEN 0 THEN 'Results' WHEN 1 THEN 'Significance' ELSE 'materials and methods' END")).alias("label"))
+    label = F.when(F.col("kind") == 0, "Results").when(F.col("kind") == 1, F.regexp_extract("text", "[A-Za-z]+", 0)).otherwise(F.col("source"))
+    return _sectioned(spark, d).select("pmid", T.section_label(label).alias("label"))
 
 
 @query("dedupe_sections", ctes("turns") + ", s AS (SELECT string_split(pmid, '-')[1] AS pmid, cast(string_split(pmid, '-')[2] AS bigint) AS ord, 'L' || cast(cast(string_split(pmid, '-')[2] AS bigint) % 2 AS string) AS label, text FROM turns)\nSELECT pmid, label, min(ord) AS ord, arg_max(text, ord) AS text FROM s GROUP BY ALL")
@@ -68,23 +72,51 @@ def dedupe_sections(spark, d):
 _CUES = ["by", "of the", "para"]
 
 
-@query("cue_sentences", ctes("abstracts") + r""", t AS (SELECT pmid, list_filter(list_transform(string_split_regex(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ss FROM abstracts),
-u AS (SELECT pmid, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM t)
-SELECT pmid, pos, sentence FROM u WHERE regexp_matches(sentence, '(?i)\b(by|of the|para)\b')""")
+#: Every text, and a sentence after it that its language decides.
+_TOLD = ctes("abstracts") + r""", told AS (SELECT cast(doc_id AS string) AS pmid, text || chr(10) || CASE lang WHEN 'en' THEN 'Knockdown of A' || doc_id || ' blocks B-mediated growth. It acts through C.' WHEN 'de' THEN 'Here A' || doc_id || ' inhibits D/E-mediated repair, which in turn leads to overexpression!' ELSE 'No word of it.' END AS abstract FROM documents),
+t AS (SELECT pmid, list_filter(list_transform(string_split_regex(regexp_replace(abstract, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '') AS ss FROM told),
+u AS (SELECT pmid, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM t)"""
+
+
+def _told(spark, d):
+    said = F.when(F.col("lang") == "en", F.concat(F.lit("Knockdown of A"), "doc_id", F.lit(" blocks B-mediated growth. It acts through C."))).when(F.col("lang") == "de", F.concat(F.lit("Here A"), "doc_id", F.lit(" inhibits D/E-mediated repair, which in turn leads to overexpression!"))).otherwise("No word of it.")
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("pmid"), F.concat("text", F.lit("\n"), said).alias("abstract"))
+
+
+def _cued(cues: list[str]) -> str:
+    return _TOLD + f"\nSELECT pmid, pos, sentence FROM u WHERE regexp_matches(sentence, '(?i)\\b({'|'.join(cues)})\\b')"
+
+
+@query("cue_sentences", _cued(_CUES))
 def cue_sentences(spark, d):
-    return D.cue_sentences(view(spark, d, "abstracts"), "abstract", _CUES)
+    return D.cue_sentences(_told(spark, d), "abstract", _CUES)
+
+
+@query("mechanism_sentences", _cued(T.MECHANISM_CUES))
+def mechanism_sentences(spark, d):
+    return D.cue_sentences(_told(spark, d), "abstract")
+
 
+@query("perturbation_sentences", _cued(T.PERTURBATION_CUES))
+def perturbation_sentences(spark, d):
+    return D.cue_sentences(_told(spark, d), "abstract", T.PERTURBATION_CUES)
 
-@query("mediated_edges", ctes("abstracts") + "\nSELECT pmid, 0::BIGINT AS pos, 'TF' || pmid AS tf, 'GN' || pmid AS target, 'growth' AS outcome FROM abstracts WHERE cast(pmid AS bigint) % 3 = 0")
+
+_EDGE = r"([0-9A-Za-z_][0-9A-Za-z_/]*) (inhibits|blocks|suppresses) ([0-9A-Za-z_][0-9A-Za-z_/]*)-mediated ([0-9A-Za-z_]+)"
+
+
+@query("mediated_edges", _TOLD + f"""
+SELECT pmid, pos, regexp_extract(m, '{_EDGE}', 1) AS tf, regexp_extract(m, '{_EDGE}', 3) AS target, regexp_extract(m, '{_EDGE}', 4) AS outcome FROM (SELECT pmid, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS pos FROM (SELECT pmid, regexp_extract_all(abstract, '{_EDGE}') AS ms FROM told))""")
 def mediated_edges(spark, d):
-    planted = F.when(F.col("pmid").cast("long") % 3 == 0, F.concat(F.lit(" We show that TF"), "pmid", F.lit(" blocks GN"), "pmid", F.lit("-mediated growth."))).otherwise("")
-    return D.mediated_edges(view(spark, d, "abstracts").withColumn("text", F.concat("abstract", planted)))
+    return D.mediated_edges(_told(spark, d), "abstract")
 
 
-@query("build_prompts", ctes("abstracts") + "\nSELECT pmid, abstract || chr(10) || chr(10) || 'List the edges.' AS first, CASE WHEN cast(pmid AS bigint) % 2 = 0 THEN 3 ELSE NULL END AS n_second FROM abstracts")
+@query("build_prompts", ctes("abstracts") + """, m AS (SELECT pmid, pmid LIKE '%2' AS answered, 'user:' || abstract || chr(10) || chr(10) || 'List the edges.' AS ask FROM abstracts)
+SELECT pmid, ask AS round1, CASE WHEN answered THEN ask || '|assistant:answer to ' || pmid || '|user:As JSON.' END AS round2 FROM m""")
 def build_prompts(spark, d):
-    df = view(spark, d, "abstracts").withColumn("round1_answer", F.when(F.col("pmid").cast("long") % 2 == 0, "answer"))
-    return D.build_prompts(df, "List the edges.", "As JSON.", "abstract").select("pmid", F.col("round1")[0]["content"].alias("first"), F.when(F.col("round2").isNotNull(), F.size("round2")).alias("n_second"))
+    df = view(spark, d, "abstracts").withColumn("round1_answer", F.when(F.col("pmid").endswith("2"), F.concat(F.lit("answer to "), "pmid")))
+    said = lambda c: F.array_join(F.transform(c, lambda m: F.concat(m.role, F.lit(":"), m.content)), "|")
+    return D.build_prompts(df, "List the edges.", "As JSON.", "abstract").select("pmid", said("round1").alias("round1"), said("round2").alias("round2"))
 
 
 # ---- responses -----------------------------------------------------------------------------------------
@@ -109,12 +141,27 @@ def parse_failures(spark, d):
     return X.parse_json_edges(_responses(spark, d))[1]
 
 
-@query("postprocess", ctes("pred") + "\nSELECT pmid, pos - 1 AS pos, CASE tf WHEN 'TF3' THEN 'SYM3' ELSE tf END AS tf, CASE target WHEN 'GN5' THEN 'SYM5' ELSE target END AS target FROM pred WHERE cast(pmid AS bigint) % 17 <> 0")
-def postprocess(spark, d):
+_NAMED = ctes("pred") + """, e AS (SELECT pmid, pos - 1 AS pos, tf, target, CASE WHEN tf = 'TF3' THEN 'override' WHEN cast(substr(tf, 3) AS int) < 20 THEN 'hgnc_alias' WHEN cast(substr(tf, 3) AS int) < 30 THEN 'unmapped' ELSE 'ambiguous' END AS how FROM pred WHERE cast(pmid AS bigint) % 17 <> 0),
+n AS (SELECT *, CASE how WHEN 'override' THEN 'SYM3' WHEN 'hgnc_alias' THEN 'GN' || substr(tf, 3) ELSE tf END AS new_tf, CASE target WHEN 'GN5' THEN 'SYM5' ELSE target END AS new_target FROM e)"""
+
+
+def _post(spark, d):
+    """Responses against a dictionary in which names are official, aliases of one symbol or of several, or unknown."""
     over = S.normalize_overrides(spark.createDataFrame([(0, "tf3", "SYM3", ["tf"], None, None, None), (1, "gn5", "sym5", ["target"], None, None, None)], S.OVERRIDES))
-    none = spark.createDataFrame([], "key string, symbol string, sources array<string>")
-    edges = X.parse_json_edges(_responses(spark, d))[0]
-    return X.postprocess(edges, over, none.select("symbol"), none)[0].select("pmid", "pos", "tf", "target")
+    lexicon = view(spark, d, "lexicon")
+    return X.postprocess(X.parse_json_edges(_responses(spark, d))[0], over, A.official_symbols(lexicon), A.build_alias_candidates(lexicon))
+
+
+@query("postprocess", _NAMED + "\nSELECT pmid, pos, new_tf AS tf, new_target AS target FROM n")
+def postprocess(spark, d):
+    return _post(spark, d)[0].select("pmid", "pos", "tf", "target")
+
+
+@query("postprocess_log", _NAMED + """
+SELECT pmid, tf AS original, new_tf AS normalized, 'tf' AS type, how AS status, CASE how WHEN 'override' THEN 'curated_override' WHEN 'unmapped' THEN 'none' ELSE 'hgnc_alias_index' END AS source, CASE how WHEN 'override' THEN 'tf3' WHEN 'unmapped' THEN '' ELSE tf END AS matched_key FROM n
+UNION ALL SELECT pmid, target, new_target, 'target', CASE target WHEN 'GN5' THEN 'override' ELSE 'unmapped' END, CASE target WHEN 'GN5' THEN 'curated_override' ELSE 'none' END, CASE target WHEN 'GN5' THEN 'gn5' ELSE '' END FROM n WHERE target = 'GN5' OR target LIKE '%C'""")
+def postprocess_log(spark, d):
+    return _post(spark, d)[1]
 
 
 # ---- extraction ----------------------------------------------------------------------------------------
@@ -153,7 +200,8 @@ def debug_table(spark, d):
     return R.debug_table(_extracted(spark, d))
 
 
-@query("attach_documents", ctes("truth", "abstracts") + ", r AS (SELECT DISTINCT pmid FROM truth)\nSELECT pmid, coalesce(abstract, 'Not found') AS abstract FROM r LEFT JOIN abstracts USING (pmid)")
+@query("attach_documents", ctes("truth", "abstracts") + ", r AS (SELECT DISTINCT pmid FROM truth)\nSELECT pmid, coalesce(abstract, 'Not found') AS abstract, length(abstract) AS n, substr(abstract, 1, 3) AS start FROM r LEFT JOIN abstracts USING (pmid)")
 def attach_documents(spark, d):
     docs = view(spark, d, "abstracts")
-    return D.attach_documents(E.distinct_docs(view(spark, d, "truth")), docs, docs.select("pmid", F.length("abstract").alias("n"))).select("pmid", "abstract")
+    record = docs.select("pmid", F.length("abstract").cast("long").alias("n"), F.substring("abstract", 1, 3).alias("start"))
+    return D.attach_documents(E.distinct_docs(view(spark, d, "truth")), docs, record).select("pmid", "abstract", "debug.n", "debug.start")

@@ -1,7 +1,7 @@
 """Stand-in tables over the driver's tables: the same SQL text in Spark and in the oracle.
 
-truth and pred are edge tables from line items, genes a dictionary from parts, and so on; each covers its
-whole table.
+truth and pred are edge tables from line items, genes a dictionary from parts, and so on. Each reads all rows of its table,
+but for `ensg` and `edits`, whose gaps are what their queries are about: symbols without an id, documents without an edit.
 """
 
 from __future__ import annotations
@@ -21,23 +21,25 @@ VIEWS = {
     "pred": f"""SELECT cast(l_orderkey AS string) AS pmid, {_ORD} AS pos, 'TF' || cast(l_suppkey % 40 AS string) AS tf,
   'GN' || cast(l_partkey % 60 AS string) || CASE l_linenumber % 2 WHEN 0 THEN '' ELSE 'C' END AS target,
   CASE WHEN l_discount < 0.05 THEN 'Synergistic Activation' ELSE 'inhibition' END AS direction,
-  cast(l_linenumber % 6 AS string) AS confidence, {_EVIDENCE} AS evidence FROM lineitem WHERE l_linestatus = 'F'""",
+  cast(l_linenumber % 6 AS string) AS confidence, {_EVIDENCE} AS evidence FROM lineitem""",
     "edge_lists": """SELECT tf, target, direction, ord, CASE WHEN ord % 3 = 0 THEN pmid || ';' || pmid || '1; x ;' ELSE pmid || '; 7' || pmid END AS pmid FROM truth""",
-    "edge_docs": """SELECT DISTINCT pmid, CASE WHEN cast(pmid AS bigint) % 17 = 0 THEN 'parse_fail' END AS error FROM truth WHERE cast(pmid AS bigint) % 11 <> 0""",
+    "edge_docs": """SELECT DISTINCT pmid, CASE WHEN cast(pmid AS bigint) % 17 = 0 THEN 'parse_fail' END AS error FROM truth""",
     "anomalies": """SELECT cast(o_orderkey AS string) AS pmid, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'phantom_gene' WHEN '2' THEN 'indirect_chain' WHEN '3' THEN 'wrong_direction' WHEN '4' THEN 'other' ELSE 'odd' END AS anomaly_type,
   CASE WHEN o_custkey % 5 = 0 THEN 'TF1 GN1' ELSE 'TF' || cast(o_custkey % 40 AS string) || '->GN' || cast(o_orderkey % 60 AS string) || ' (Activation)' END AS trrust_entry,
   CASE WHEN o_custkey % 7 = 0 THEN ' ' ELSE 'issue of order ' || cast(o_orderkey AS string) || ' with status ' || o_orderstatus || ' and priority ' || o_orderpriority || ' that needs a look by a curator' END AS issue,
-  cast(NULL AS string) AS corrected, cast(NULL AS date) AS curated_date FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 0""",
+  cast(NULL AS string) AS corrected, cast(NULL AS date) AS curated_date FROM orders""",
     "genes": """SELECT 'SYM' || cast(p_partkey AS string) AS symbol, p_name || '|"al-' || cast(p_partkey AS string) || '"|SYM' || cast(p_partkey AS string) AS alias_symbol,
   p_brand AS prev_symbol, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'ENSG' || cast(p_partkey AS string) END AS ensembl_gene_id, cast(p_partkey AS bigint) AS ord FROM part""",
     "names": """SELECT DISTINCT CASE p_partkey % 8 WHEN 0 THEN 'Sym' || cast(p_partkey AS string) WHEN 1 THEN ' al' || cast(p_partkey AS string) || ' ' WHEN 2 THEN 'AL-' || cast(p_partkey AS string) || ' (x)' WHEN 3 THEN p_name
-  WHEN 4 THEN 'nope' || cast(p_partkey AS string) WHEN 5 THEN 'cox-2' WHEN 6 THEN '(x)' ELSE 'p65' END AS name, CASE p_partkey % 3 WHEN 0 THEN 'tf' WHEN 1 THEN 'target' ELSE 'gene' END AS role FROM part""",
+  WHEN 4 THEN 'nope' || cast(p_partkey AS string) WHEN 5 THEN 'qx-2' WHEN 6 THEN '(x)' ELSE 'w65' END AS name, CASE p_partkey % 3 WHEN 0 THEN 'tf' WHEN 1 THEN 'target' ELSE 'gene' END AS role FROM part""",
+    "lexicon": """SELECT 'GN' || cast(p_partkey % 60 AS string) AS symbol, 'TF' || CASE WHEN p_partkey % 60 < 20 THEN cast(p_partkey % 60 AS string) ELSE '3' || cast(p_partkey % 10 AS string) END AS alias_symbol,
+  '' AS prev_symbol, '' AS ensembl_gene_id, cast(p_partkey AS bigint) AS ord FROM part""",
     "abstracts": """SELECT cast(doc_id AS string) AS pmid, text AS abstract FROM documents""",
     "ensg": """SELECT 'GN' || cast(s_suppkey AS string) AS symbol, 'ENSG' || cast(s_suppkey AS string) AS ensg FROM supplier WHERE s_suppkey % 3 <> 0""",
     "track_lines": """SELECT 'chr1' || chr(9) || '100' || chr(9) || CASE WHEN s_suppkey % 4 = 0 THEN 'DNASE' ELSE 'CHIP' END || ':tf' || cast(s_suppkey % 40 AS string) || ':K562' AS value FROM supplier""",
     "state": """SELECT cast(doc_id AS string) AS pmid, CASE quality WHEN 1 THEN 'Activation' ELSE '' END AS direction, 'K562' AS cellline, CASE toxic WHEN 1 THEN 'ChIP' ELSE '' END AS assay, '' AS notes,
   quality = 1 AND toxic = 1 AS reviewed FROM labels""",
-    "edits": """SELECT cast(doc_id AS string) AS pmid, cast(NULL AS string) AS direction, cast(NULL AS string) AS cellline, 'EMSA' AS assay, cast(NULL AS string) AS notes FROM labels WHERE doc_id % 2 = 0""",
+    "edits": """SELECT cast(doc_id AS string) AS pmid, cast(NULL AS string) AS direction, cast(NULL AS string) AS cellline, 'EMSA' AS assay, cast(NULL AS string) AS notes FROM labels WHERE toxic = 0""",
     "review_rows": f"""SELECT cast(l_orderkey AS string) AS pmid, {_ORD} AS ord, CASE WHEN l_linenumber % 3 = 1 THEN '' WHEN l_returnflag = 'A' THEN 'Activation' WHEN l_returnflag = 'R' THEN 'Repression' ELSE '' END AS direction,
   'cell' || cast(l_suppkey % 9 AS string) AS cellline, 'assay' || cast(l_partkey % 5 AS string) AS assay FROM lineitem""",
     "turns": """SELECT cast(conv_id AS string) || '-' || cast(turn AS string) AS pmid, text FROM conversations""",
@@ -70,10 +72,10 @@ def ctes(*names: str) -> str:
 
 #: Overrides as literal rows: mapped, blocked, for one role, for all, without roles, repeated.
 OVERRIDES = [
-    (0, "COX-2", "", ["tf"], "block", "not a regulator"),
-    (1, "COX-2", "PTGS2", ["target"], "map", "enzyme"),
-    (2, "p65", "RELA", ["tf"], "map", "subunit"),
-    (3, "ZBP-89", "ZNF148", ["tf", "target"], "map", "alias"),
+    (0, "QX-2", "", ["tf"], "block", "not a regulator"),
+    (1, "QX-2", "QXS2", ["target"], "map", "enzyme"),
+    (2, "w65", "WELA", ["tf"], "map", "subunit"),
+    (3, "ZQP-89", "ZNQ148", ["tf", "target"], "map", "alias"),
     (4, "al-9", "SYM1", ["all"], "map", "for all"),
     (5, "al-10", "SYM2", [], "map", "no roles"),
     (6, "al-10", "SYM3", [], "map", "repeated"),

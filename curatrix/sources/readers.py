@@ -1,4 +1,8 @@
-"""Sources. Each has an explicit schema; order within a file becomes an `ord` column where it matters."""
+"""Sources. Each has an explicit schema, but for the dictionary, of which the named columns are read; order within files becomes an `ord` column where it matters.
+
+What is kept as one JSON object in a file is read whole by one task; the forms that the sinks write, a JSON row for each
+entry, are read with rows=True, in parallel.
+"""
 
 from __future__ import annotations
 
@@ -15,8 +19,8 @@ ANOMALIES = "pmid string, anomaly_type string, trrust_entry string, issue string
 
 
 def file_order() -> Column:
-    """A number that ascends with the lines of a text source: its files' parts are read in order."""
-    return F.monotonically_increasing_id()
+    """A value that ascends with the lines of a source, file by file: however files are split and their parts dealt out."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"))
 
 
 def drop_ragged(df: DataFrame, n: int) -> DataFrame:
@@ -25,13 +29,14 @@ def drop_ragged(df: DataFrame, n: int) -> DataFrame:
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
-    return spark.read.schema(schema).options(sep="\t", header=header, quote="", encoding="UTF-8").csv(path)
+    """The fields of a table, then ord."""
+    return spark.read.schema(schema).options(sep="\t", header=header, quote="", encoding="UTF-8").csv(path).select("*", file_order().alias("ord"))
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """The curated edge table (four columns without header), with ord."""
     df = drop_ragged(read_tsv(spark, path, EDGES), 4)
-    return df.select(*[T.strip(c).alias(c) for c in df.columns]).withColumn("ord", file_order())
+    return df.select(*[T.strip(c).alias(c) for c in df.columns if c != "ord"], "ord")
 
 
 def read_edges_by_doc(spark: SparkSession, path: str) -> DataFrame:
@@ -47,13 +52,13 @@ def unpack_by_doc(df: DataFrame) -> DataFrame:
 def read_gene_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """symbol, alias_symbol, prev_symbol, ensembl_gene_id, ord of a dictionary with a header; its other columns are not read."""
     df = spark.read.options(sep="\t", header=True, quote="").csv(path)
-    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("symbol", "alias_symbol", "prev_symbol", "ensembl_gene_id")]).withColumn("ord", file_order())
+    return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in ("symbol", "alias_symbol", "prev_symbol", "ensembl_gene_id")], file_order().alias("ord"))
 
 
 def read_gold_pairs(spark: SparkSession, path: str) -> DataFrame:
     """pmid, tf, target, ord; names in capitals, short rows dropped."""
     df = drop_ragged(read_tsv(spark, path, "pmid string, tf string, target string"), 3)
-    return df.select(T.strip("pmid").alias("pmid"), F.upper(T.strip("tf")).alias("tf"), F.upper(T.strip("target")).alias("target")).withColumn("ord", file_order())
+    return df.select(T.strip("pmid").alias("pmid"), F.upper(T.strip("tf")).alias("tf"), F.upper(T.strip("target")).alias("target"), "ord")
 
 
 def track_tfs(df: DataFrame) -> DataFrame:
@@ -93,7 +98,10 @@ def normalize_overrides(df: DataFrame) -> DataFrame:
     return df.select("ord", "alias", "symbol", F.transform(F.coalesce("roles", F.array().cast("array<string>")), lambda r: F.lower(T.strip(r))).alias("roles"), F.lower(T.strip(F.coalesce("action", F.lit("map")))).alias("action"), F.coalesce("reason", F.lit("")).alias("reason"), "candidates")
 
 
-def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+def read_overrides(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
+    """Overrides of one JSON text, or of rows (ord and the fields)."""
+    if rows:
+        return normalize_overrides(spark.read.schema(OVERRIDES).json(path))
     return overrides_of(spark.read.text(path, wholetext=True))
 
 
@@ -104,8 +112,10 @@ def alias_index_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return candidates, index.select(F.explode("i.official_symbols").alias("symbol")).distinct()
 
 
-def read_alias_index(spark: SparkSession, path: str, legacy: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """The alias index; where it is missing, the legacy map of alias to symbol."""
+def read_alias_index(spark: SparkSession, path: str, legacy: str | None = None, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The alias index; where it is missing, the legacy map of alias to symbol. With rows, the folders `candidates` and `official` in path."""
+    if rows:
+        return spark.read.schema("key string, symbol string, sources array<string>").json(f"{path}/candidates"), spark.read.schema("symbol string").json(f"{path}/official")
     try:
         df = spark.read.text(path, wholetext=True)
         df.schema  # noqa: B018
@@ -117,7 +127,9 @@ def read_alias_index(spark: SparkSession, path: str, legacy: str | None = None)
     return alias_index_of(df)
 
 
-def read_ensg_map(spark: SparkSession, path: str) -> DataFrame:
+def read_ensg_map(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
+    if rows:
+        return spark.read.schema("symbol string, ensg string").json(path)
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("symbol", "ensg"))
 
 
@@ -152,8 +164,7 @@ def articles(df: DataFrame) -> DataFrame:
     df = df.select("pmid", sections_of_xml(F.coalesce("xml", F.lit(""))).alias("parts"))
     labelled = F.transform(F.filter("parts", lambda p: p.label != ""), lambda p: F.struct(T.section_label(p.label).alias("label"), p.text.alias("text")))
     df = df.select("pmid", "parts", labelled.alias("raw"))
-    labels = F.array_distinct(F.transform("raw", lambda s: s.label))
-    sections = F.transform(labels, lambda k: F.struct(k.alias("label"), F.element_at(F.filter("raw", lambda s: s.label == k), -1)["text"].alias("text")))
+    sections = T.bind(F.col("raw"), T.last_of_labels)
     plain = F.array_join(F.transform("parts", lambda p: p.text), " ")
     return df.select("pmid", F.when(F.size("raw") > 0, F.lit(None).cast("string")).otherwise(plain).alias("abstract"), sections.alias("sections"))
 
@@ -176,27 +187,34 @@ def extractions_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, df.select("pmid", error.alias("error")).join(counts, "pmid", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
 
 
-def read_extractions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_extractions(spark: SparkSession, path: str, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Edges and documents of results, as extractions_of."""
+    if rows:
+        df = spark.read.schema("pmid string, error string, n_items long, edges array<struct<pos:int,tf:string,target:string,direction:string,confidence:string,evidence:string>>").json(path)
+        return df.select("pmid", F.explode("edges").alias("e")).select("pmid", "e.*"), df.select("pmid", "error", "n_items")
     df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,variant>")).alias("pmid", "v"))
     return extractions_of(df)
 
 
-def read_debug(spark: SparkSession, path: str) -> DataFrame:
+def read_debug(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
+    if rows:
+        return spark.read.schema(f"pmid string, d {DEBUG}").json(path).select("pmid", "d.*")
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{DEBUG}>")).alias("pmid", "d")).select("pmid", "d.*")
 
 
 def resolve_review(df: DataFrame) -> DataFrame:
     """One row for each pmid of review rows (ord, pmid, direction, cellline, assay): the first with a direction, else the last."""
     empty = F.coalesce("direction", F.lit("")) == ""
-    best = F.max_by(F.struct("direction", "cellline", "assay"), F.struct((~empty).alias("has"), F.when(empty, F.col("ord")).otherwise(-F.col("ord")).alias("rank")))
+    answers = F.struct("direction", "cellline", "assay")
+    best = F.coalesce(F.min_by(answers, F.when(~empty, F.col("ord"))), F.max_by(answers, "ord"))
     return df.groupBy("pmid").agg(best.alias("s")).select("pmid", "s.*", F.lit("").alias("notes"), F.lit(True).alias("reviewed"))
 
 
 def read_review(spark: SparkSession, path: str) -> DataFrame:
-    return resolve_review(_review_rows(spark, path).withColumn("ord", file_order()))
+    return resolve_review(_review_rows(spark, path))
 
 
 def _review_rows(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t", -1)
     names = ["pmid", "tf", "ensg", "direction", "cellline", "assay"]
-    return spark.read.text(path).where(F.size(parts) >= 6).select(*[T.strip(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)])
+    return spark.read.text(path).where(F.size(parts) >= 6).select(*[T.strip(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)], file_order().alias("ord"))

@@ -18,7 +18,7 @@ def write_edges_by_doc(df: DataFrame, path: str) -> None:
 
 
 def write_alias_index(tables: dict[str, DataFrame], folder: str) -> None:
-    """Candidates, conflicts, the unique map, official symbols and metadata, a folder of JSON rows each."""
+    """Candidates, conflicts, the unique map, official symbols and metadata, a folder of JSON rows each under its name; `candidates` and `official` are read by read_alias_index(rows=True)."""
     for name, df in tables.items():
         df.orderBy(df.columns[0]).write.json(f"{folder}/{name}")
 
@@ -44,11 +44,21 @@ def write_document_blocks(df: DataFrame, path: str) -> None:
     df.select(block_text().alias("value")).write.option("lineSep", "=" * 50).text(path)
 
 
-def write_extractions(df: DataFrame, path: str) -> None:
-    """One JSON row for each document."""
+def write_overrides(df: DataFrame, path: str) -> None:
     df.write.json(path)
 
 
+def write_extractions(edges: DataFrame, docs: DataFrame, path: str) -> None:
+    """One JSON row for each document (pmid, error, n_items) with its edges."""
+    items = F.array_sort(F.collect_list(F.struct("pos", "tf", "target", "direction", "confidence", "evidence")))
+    docs.join(edges.groupBy("pmid").agg(items.alias("edges")), "pmid", "left").write.json(path)
+
+
+def write_debug(df: DataFrame, path: str) -> None:
+    """One JSON row for each document, its record in the field d."""
+    df.select("pmid", F.struct(*[c for c in df.columns if c != "pmid"]).alias("d")).write.json(path)
+
+
 def write_anomalies(df: DataFrame, path: str, mode: str = "append") -> None:
     """Anomaly rows as JSON lines; to replace a log that is being read, write to a new path."""
     df.write.mode(mode).json(path)

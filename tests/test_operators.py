@@ -38,24 +38,24 @@ def test_metrics(spark):
     assert rows(table.where("pmid = '9'"), "status") == [("ERROR: parse_fail",)] and table.where("status = 'Missed'").count() == 1
 
 
-OVER = [(0, "COX-2", "", ["tf"], "block", "no regulator", [("PTGS2",)]), (1, "COX-2", "PTGS2", ["target"], None, "", None), (2, "p65", "RELA", ["tf"], "map", "", None), (3, "ZBP-89", "ZNF148", ["tf", "target"], "map", "", None)]
+OVER = [(0, "QX-2", "", ["tf"], "block", "no regulator", [("QXS2",)]), (1, "QX-2", "QXS2", ["target"], None, "", None), (2, "w65", "WELA", ["tf"], "map", "", None), (3, "ZQP-89", "ZNQ148", ["tf", "target"], "map", "", None)]
 
 
 def test_cascade(spark):
     over = S.normalize_overrides(spark.createDataFrame(OVER, S.OVERRIDES))
     genes = spark.createDataFrame([("MYC", "c-Myc|two", "", "E1", 1), ("MAX", "two|\"maxi\"", "oldmax", "", 2), ("ABC1", None, None, "E3", 3)], "symbol string, alias_symbol string, prev_symbol string, ensembl_gene_id string, ord long")
     cand = A.build_alias_candidates(genes)
-    names = [("COX-2", "tf"), ("COX-2", "target"), ("p65", "tf"), ("p65", "target"), ("ZBP-89", "gene"), ("ZBP-89", "target"), ("", "tf"), (None, "tf"), ("myc", "tf"), ("cmyc", None), ("two", "tf"), ("nope (x)", "tf"), ("oldmax", "gene"), ("maxi", "gene")]
+    names = [("QX-2", "tf"), ("QX-2", "target"), ("w65", "tf"), ("w65", "target"), ("ZQP-89", "gene"), ("ZQP-89", "target"), ("", "tf"), (None, "tf"), ("myc", "tf"), ("cmyc", None), ("two", "tf"), ("nope (x)", "tf"), ("oldmax", "gene"), ("maxi", "gene")]
     out = A.normalize_genes(spark.createDataFrame(names, "name string, role string"), over, A.official_symbols(genes), cand)
     got = {(r.name, r.role): (r.normalized, r.status) for r in out.collect()}
     assert got == {
-        ("COX-2", "tf"): ("COX-2", "blocked"), ("COX-2", "target"): ("PTGS2", "override"), ("p65", "tf"): ("RELA", "override"), ("p65", "target"): ("P65", "unmapped"), ("ZBP-89", "gene"): ("ZBP-89", "unmapped"),
-        ("ZBP-89", "target"): ("ZNF148", "override"), ("", "tf"): ("", "empty"), (None, "tf"): ("", "empty"), ("myc", "tf"): ("MYC", "identity"), ("cmyc", "gene"): ("MYC", "hgnc_alias"), ("two", "tf"): ("TWO", "ambiguous"),
+        ("QX-2", "tf"): ("QX-2", "blocked"), ("QX-2", "target"): ("QXS2", "override"), ("w65", "tf"): ("WELA", "override"), ("w65", "target"): ("W65", "unmapped"), ("ZQP-89", "gene"): ("ZQP-89", "unmapped"),
+        ("ZQP-89", "target"): ("ZNQ148", "override"), ("", "tf"): ("", "empty"), (None, "tf"): ("", "empty"), ("myc", "tf"): ("MYC", "identity"), ("cmyc", "gene"): ("MYC", "hgnc_alias"), ("two", "tf"): ("TWO", "ambiguous"),
         ("nope (x)", "tf"): ("NOPE", "unmapped"), ("oldmax", "gene"): ("MAX", "hgnc_alias"), ("maxi", "gene"): ("MAX", "hgnc_alias"),
     }
     log = A.normalization_log(out)
     assert "MYC" in {r.normalized for r in log.collect()} and log.where("original = ''").count() == 0
-    assert [tuple(c) for c in out.where("name = 'COX-2' and role = 'tf'").first().candidates] == [("PTGS2", None, "no regulator")]
+    assert [tuple(c) for c in out.where("name = 'QX-2' and role = 'tf'").first().candidates] == [("QXS2", None, "no regulator")]
 
 
 def write(path, text):
@@ -74,6 +74,21 @@ def test_edge_files(spark, tmp_path):
     assert rows(E.clean_doc_ids(spark.createDataFrame([("12.0",), (None,), ("3; x",)], "pmid string")), "pmid") == [("12",), ("3",)]
 
 
+def test_order_follows_files_however_they_are_dealt(spark, tmp_path):
+    """A short first file and a longer second one, which Spark reads first."""
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d/a.tsv", "A\tB\tActivation\t1\n")
+    write(tmp_path / "d/b.tsv", "".join(f"A{i}\tB\tRepression\t1\n" for i in range(3000)) + "A\tB\tRepression\t1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        edges = S.read_edges(spark, str(tmp_path / "d"))
+        assert V.first_truth(edges).where("_tf = 'A'").first().t.direction == "Activation" and E.latest_direction(edges).where("tf = 'A'").first().direction == "Repression"
+        ordered = [r.tf for r in edges.orderBy("ord").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ordered == ["A", *(f"A{i}" for i in range(3000)), "A"]
+
+
 def test_dictionary_files(spark, tmp_path):
     path = write(tmp_path / "d.tsv", 'hgnc_id\tsymbol\talias_symbol\tprev_symbol\tensembl_gene_id\n1\tMYC\t"c-Myc|two"\t\tE1\n2\tMAX\ttwo\told-max\tE2\n')
     genes = S.read_gene_dictionary(spark, path)
@@ -81,9 +96,12 @@ def test_dictionary_files(spark, tmp_path):
     assert rows(A.alias_conflicts(cand), "key") == [("TWO",)]
     assert tuple(A.alias_metadata(genes, cand, over).first()) == (2, 5, 1, 4)
     K.write_alias_index({"candidates": cand, "official": A.official_symbols(genes), "unique": A.unique_alias_map(cand, over)}, str(tmp_path / "index"))
-    assert spark.read.json(str(tmp_path / "index/candidates")).count() == cand.count()
+    back, official = S.read_alias_index(spark, str(tmp_path / "index"), rows=True)
+    assert rows(back, "key", "symbol", "sources") == rows(cand, "key", "symbol", "sources") and rows(official, "symbol") == [("MAX",), ("MYC",)]
     K.write_ensg_map(A.build_ensg_map(genes), str(tmp_path / "ensg"))
-    assert rows(spark.read.json(str(tmp_path / "ensg")), "symbol", "ensg") == [("MAX", "E2"), ("MYC", "E1")]
+    assert rows(S.read_ensg_map(spark, str(tmp_path / "ensg"), rows=True), "symbol", "ensg") == [("MAX", "E2"), ("MYC", "E1")]
+    K.write_overrides(over, str(tmp_path / "over"))
+    assert rows(S.read_overrides(spark, str(tmp_path / "over"), rows=True), "ord", "alias", "roles", "action", "candidates") == rows(over, "ord", "alias", "roles", "action", "candidates")
     index = write(tmp_path / "i.json", json.dumps({"official_symbols": ["MYC"], "aliases": {"CMYC": [{"symbol": "MYC", "sources": ["a"]}]}}))
     candidates, official = S.read_alias_index(spark, index)
     assert rows(candidates, "key", "symbol") == [("CMYC", "MYC")] and rows(official, "symbol") == [("MYC",)]
@@ -91,8 +109,8 @@ def test_dictionary_files(spark, tmp_path):
     candidates, official = S.read_alias_index(spark, str(tmp_path / "none.json"), legacy)
     assert rows(candidates, "key", "symbol") == [("X1", "MYC")] and rows(official, "symbol") == [("MYC",)]
     assert rows(S.read_ensg_map(spark, legacy), "symbol", "ensg") == [("X1", "MYC")]
-    arrays = write(tmp_path / "o.json", '[{"alias": "p65", "symbol": "RELA", "roles": ["TF "]}, {"alias": "b", "action": "Block"}]')
-    assert rows(S.read_overrides(spark, arrays), "ord", "alias", "roles", "action") == [(0, "p65", ["tf"], "map"), (1, "b", [], "block")]
+    arrays = write(tmp_path / "o.json", '[{"alias": "w65", "symbol": "WELA", "roles": ["TF "]}, {"alias": "b", "action": "Block"}]')
+    assert rows(S.read_overrides(spark, arrays), "ord", "alias", "roles", "action") == [(0, "w65", ["tf"], "map"), (1, "b", [], "block")]
     assert rows(S.read_overrides(spark, legacy), "alias", "symbol", "roles") == [("X1", "MYC", ["tf", "target"])]
 
 
@@ -140,8 +158,11 @@ def test_response_files(spark, tmp_path):
     assert rows(docs, "pmid", "error", "n_items") == [("1", None, 2), ("2", "parse_fail", 0), ("3", None, 0)]
     debug = S.read_debug(spark, write(tmp_path / "d.json", json.dumps({"1": {"round1_analysis": "a", "round1_usage": {"input_tokens": 3}, "round2_raw": "[]"}, "2": {"error": "x"}})))
     assert rows(R.debug_table(debug), "pmid", "round1_tokens") == [("1", "in:3 out:0")] and rows(X.token_usage(debug), "pmid", "total_in") == [("1", 3), ("2", 0)]
-    K.write_extractions(docs, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    K.write_extractions(edges, docs, str(tmp_path / "out"))
+    edges2, docs2 = S.read_extractions(spark, str(tmp_path / "out"), rows=True)
+    assert rows(edges2, *edges.columns) == rows(edges, *edges.columns) and rows(docs2, *docs.columns) == rows(docs, *docs.columns)
+    K.write_debug(debug, str(tmp_path / "debug"))
+    assert rows(S.read_debug(spark, str(tmp_path / "debug"), rows=True), *debug.columns) == rows(debug, *debug.columns)
     K.write_report({"docs": docs, "edges": edges}, str(tmp_path / "report"))
     assert spark.read.parquet(str(tmp_path / "report/docs")).count() == 3
 
