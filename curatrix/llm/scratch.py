@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -43,14 +44,22 @@ class Scratch:
         return out
 
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
-        """df written with a row number, and that column's name, which no other column has.
+        """df with a row number that stays with its row however scans are split among executors, and that column's name, which no other has.
 
-        The numbers are stored: they stay with their rows, however later scans are split among executors.
+        Rows of Parquet files go by file and place in it; the list of files, which the driver holds for any scan, is
+        broadcast. Any other df is written with its numbers.
         """
         taken, name = {c.lower() for c in df.columns}, "_row"
-        while name in taken:
+        while any(t.startswith(name) for t in taken):
             name += "_"
-        return self.save(df.withColumn(name, F.monotonically_increasing_id())), name
+        try:
+            placed = df.withColumn(name, F.col("_metadata.row_index")).withColumn(name + "file", F.col("_metadata.file_path"))
+        except AnalysisException:
+            return self.save(df.withColumn(name, F.monotonically_increasing_id())), name
+        files = sorted(r[0] for r in placed.select(name + "file").distinct().collect())
+        order = self.spark.createDataFrame(list(enumerate(files)), f"{name}order long, {name}file string")
+        joined = placed.join(F.broadcast(order), name + "file").withColumn(name, F.shiftleft(F.col(name + "order"), 40) + F.col(name))
+        return joined.drop(name + "file", name + "order"), name
 
     def drop(self, df: DataFrame) -> None:
         """Delete a saved table that no later plan reads."""
@@ -62,16 +71,16 @@ class Scratch:
 
 
 def with_uid(df: DataFrame, scratch: Scratch) -> DataFrame:
-    """uid, doc_id, text of documents, written: every later scan sees the same uid."""
-    mine, name = scratch.numbered(df.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    return mine.select(F.col(name).alias("uid"), "doc_id", "text")
+    """uid, doc_id, text of documents: every scan sees the same uid."""
+    mine, name = scratch.numbered(df)
+    return mine.select(F.col(name).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def filtered(docs: DataFrame, scratch: Scratch, decide, *columns: str, anti: bool = False) -> DataFrame:
     """docs with all columns, as far as decide(uid, doc_id, *columns) returns (or, if anti, doesn't return) their uid."""
     mine, name = scratch.numbered(docs)
     found = decide(mine.select(F.col(name).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), *columns)).select(F.col("uid").alias(name))
-    return mine.join(found, name, "left_anti" if anti else "left_semi").select(*docs.columns)
+    return mine.join(found, name, "left_anti" if anti else "left_semi").drop(name)
 
 
 def partitions(spark: SparkSession) -> int:
