@@ -6,7 +6,8 @@ of them is known to 3-, 2- and 1-grams: it adds the mean over the known ones. Th
 the language.
 
 Everything is worked out once for each distinct token of all documents: its counts by language, the n-grams of those
-that training has, and the fallback of the others, by joins on n-grams. Tokens that make up LEAST_SHARE of all
+that training has, and the fallback of the others. N-grams that make up GRAM_SHARE of all of their length are broadcast; what
+they leave open is joined with the other n-grams, exactly. Tokens that make up LEAST_SHARE of all
 are broadcast with their scores, which bounds that table at 1 / LEAST_SHARE entries; the others' scores are
 joined to the documents by key, exactly. One number for each language goes with a token: languages are few.
 
@@ -26,6 +27,7 @@ from .kernels import LOWER, NO_LETTER, U, add_up, by_doc, flat, look_up, mix, sp
 from .scratch import Scratch
 
 LEAST_SHARE = 2.0**-21
+GRAM_SHARE = 2.0**-19
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 _ASCII_LETTER = ~NO_LETTER
@@ -67,7 +69,7 @@ def _count(batches, langs: list[str]):
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
         lang = np.array([index.get(x, n - 1) for x in batch.column("lang").to_pylist()], np.int64)
-        for i, j in spans(offsets, 1 << 24):
+        for i, j in spans(offsets, 1 << 22):
             low, starts, ends, first, h = _tokens(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             keys, one, at = np.unique(h, return_index=True, return_inverse=True)
             counts = np.bincount(at * n + lang[i:j][by_doc(first, len(h))], minlength=len(keys) * n).reshape(len(keys), n)
@@ -89,11 +91,37 @@ def _learn_grams(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind), pa.int32()), pa.array(keys.view(np.int64)), *map(pa.array, sums)], ["kind", "gram", *_names(n)])
 
 
-def _list_grams(batches):
+def _back_off(batches, n: int, shared):
+    """For each token what broadcast n-grams of the longest length with any add, and its n-grams that only others could know."""
     for batch in batches:
-        own = np.asarray(batch.column("key"))
+        own, total = np.asarray(batch.column("key")), np.asarray(batch.column("total"))
+        m, found, others = len(own), {}, []
+        kinds, times, sums = np.zeros(m, np.int32), np.zeros(m, np.int64), np.zeros((m, n))
         for kind, grams, word in _grams(batch.column("word").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array(own[word]), pa.array(np.full(len(word), kind), pa.int32()), pa.array(grams.view(np.int64))], ["key", "kind", "gram"])
+            keys, values = shared.value[kind]
+            at = look_up(keys, grams)
+            of = word[at >= 0]
+            count = np.bincount(of, minlength=m)
+            hit = count > 0
+            kinds[hit], times[hit] = kind, count[hit]
+            for k in range(n):
+                sums[hit, k] = np.bincount(of, values[at[at >= 0], k], m)[hit]
+            found[kind] = word[at < 0], grams[at < 0]
+        for kind, (word, grams) in found.items():
+            open_ = kinds[word] <= kind
+            others.append((word[open_], np.full(int(open_.sum()), kind, np.int32), grams[open_]))
+        word, kind, grams = (np.concatenate(x) for x in zip(*others))
+        names = ["key", "kind", "gram", "total", "times", *_names(n, "s")]
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(kinds), pa.nulls(m, pa.int64()), pa.array(total), pa.array(times), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(n))], names)
+        m = len(word)
+        yield pa.RecordBatch.from_arrays([pa.array(own[word]), pa.array(kind), pa.array(grams.view(np.int64)), *(pa.nulls(m, pa.int64()) for _ in range(2)), *(pa.nulls(m, pa.float64()) for _ in range(n))], names)
+
+
+def _sorted(table: pa.Table, key: str, n: int):
+    """Keys in order, and the values of each."""
+    keys = np.asarray(table.column(key)).view(U)
+    order = np.argsort(keys)
+    return keys[order], np.stack([np.asarray(table.column(c)) for c in _names(n, "v")], 1).reshape(-1, n)[order]
 
 
 def token_scores(docs: DataFrame, langs: list[str], scratch: Scratch) -> DataFrame:
@@ -111,18 +139,30 @@ def token_scores(docs: DataFrame, langs: list[str], scratch: Scratch) -> DataFra
     grams = tokens.where(known).select("word", *columns).mapInArrow(lambda it: _learn_grams(it, n), f"kind int, gram long, {', '.join(f'{c} long' for c in columns)}")
     grams = scratch.save(grams.groupBy("kind", "gram").agg(*[F.sum(c).alias(c) for c in columns]))
     by_kind = grams.groupBy("kind").agg(F.count(F.lit(1)).alias("types"), *[F.sum(c).alias(c) for c in columns]).collect()
-    scored = None
-    for row in by_kind:  # one row for each length
-        part = grams.where(F.col("kind") == row["kind"]).select("kind", "gram", *logs(row, row["types"]))
-        scored = part if scored is None else scored.unionByName(part)
-    new = tokens.where(~known)
-    if scored is None:
+    if not by_kind:
         return scratch.save(seen)
-    listed = new.select("key", "word").mapInArrow(_list_grams, "key long, kind int, gram long").join(scored, ["kind", "gram"])
-    means = listed.groupBy("key", "kind").agg(*[F.avg(f"v{k}").alias(f"v{k}") for k in range(n)])
-    best = means.groupBy("key").agg(F.max_by(F.struct(*_names(n, "v")), "kind").alias("s"))
-    fallback = new.select("key", total).join(best, "key").select("key", "total", "s.*")
-    return scratch.save(seen.unionByName(fallback))
+    model, rest = {}, None
+    for row in by_kind:  # one row for each length
+        often = sum((F.col(c) for c in columns), F.lit(0)) >= GRAM_SHARE * sum(row[c] or 0 for c in columns)
+        part = grams.where(F.col("kind") == row["kind"])
+        model[row["kind"]] = _sorted(part.where(often).select("gram", *logs(row, row["types"])).toArrow(), "gram", n)
+        part = part.where(~often).select("kind", "gram", *logs(row, row["types"]))
+        rest = part if rest is None else rest.unionByName(part)
+    nothing = np.zeros(0, U), np.zeros((0, n))
+    shared = docs.sparkSession.sparkContext.broadcast({k: model.get(k, nothing) for k in range(1, LONGEST + 1)})
+    sums = _names(n, "s")
+    listed = tokens.where(~known).select("key", "word", total).mapInArrow(lambda it: _back_off(it, n, shared), f"key long, kind int, gram long, total long, times long, {', '.join(f'{c} double' for c in sums)}")
+    listed = scratch.save(listed)
+    more = listed.where("gram is not null").join(rest, ["kind", "gram"])
+    more = more.select("key", "kind", "total", F.lit(1).cast("long").alias("times"), *[F.col(f"v{k}").alias(c) for k, c in enumerate(sums)])
+    both = listed.where("gram is null").select(*more.columns).unionByName(more)
+    both = both.groupBy("key", "kind").agg(F.max("total").alias("total"), F.sum("times").alias("times"), *[F.sum(c).alias(c) for c in sums])
+    best = both.groupBy("key").agg(F.max("total").alias("total"), F.max_by(F.struct("times", *sums), "kind").alias("s")).where("s.times > 0")
+    fallback = best.select("key", "total", *[(F.col(f"s.{c}") / F.col("s.times")).alias(f"v{k}") for k, c in enumerate(sums)])
+    out = scratch.save(seen.unionByName(fallback))
+    for table in (tokens, grams, listed):
+        scratch.drop(table)
+    return out
 
 
 # ---- prediction ----------------------------------------------------------------------------------------
@@ -163,10 +203,7 @@ def predict(docs: DataFrame, held, scratch: Scratch) -> DataFrame:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     tokens = token_scores(teaching, langs, scratch)
     often = F.col("total") >= LEAST_SHARE * (tokens.agg(F.sum("total")).first()[0] or 0)
-    table = tokens.where(often).toArrow()
-    keys = np.asarray(table.column("key")).view(U)
-    order = np.argsort(keys)
-    model = keys[order], np.stack([np.asarray(table.column(c)) for c in _names(n, "v")], 1).reshape(-1, n)[order]
+    model = _sorted(tokens.where(often).toArrow(), "key", n)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sums = _names(n, "s")
     rows = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(lambda it: _score(it, shared), f"uid long, key long, times long, doc_id long, letter boolean, {', '.join(f'{s} double' for s in sums)}"))
