@@ -19,10 +19,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root for every node of edges (a, b); root is the least node that it reaches.
 
     Hubs are split by the map-side minimum and by AQE's skew join; no node's neighbours are gathered. There is a partition
-    for each PART_EDGES edges, so that few of them take few tasks, and no shuffle where they fill one partition only.
+    for each PART_EDGES edges at most, so that few of them take few tasks, and no shuffle where they fill one partition only.
+    edges are read twice, and should be a stored table.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     parts = 1 + edges.count() // PART_EDGES
+    edges = scratch.save(edges.coalesce(parts).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).coalesce(parts)
         large = _star(both).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
@@ -35,4 +36,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         sides = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("centre")).distinct()).coalesce(parts)
         if not sides.groupBy("a").agg(F.sum("n").alias("n"), F.max("centre").alias("centre")).where("n > 1 or (n > 0 and centre = 1)").limit(1).count():
             break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    centres = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).coalesce(parts).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(centres).coalesce(parts)
