@@ -16,7 +16,7 @@ from .kernels import LOWER, SPACE, flat, same_bytes, span_hashes, spans, words
 
 #: Segments whose ids a worker remembers; it starts anew beyond, which changes no result.
 REMEMBERED = 1 << 20
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 20
 _SLOTS = 1 << 22
 
 
