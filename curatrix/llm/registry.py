@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import context_tree, exact_dedup, language, mixing, near_dedup, packing, quality, repair, suffix_dedup, toxicity
+from . import centroids, context_tree, exact_dedup, hard_negatives, language, mixing, near_dedup, packing, quality, repair, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_group_packing": packing.op1_group_packing,
@@ -15,8 +15,11 @@ QUERIES = {
     "op9_segments": toxicity.op9_segments,
     "op10_super_minhash": near_dedup.op10_super_minhash,
     "op4_block_naming": exact_dedup.op4_block_naming,
+    "op11_threshold_walk": centroids.op11_threshold_walk,
+    "op12_virtual_slots": sharding.op12_virtual_slots,
+    "op13_kronecker": hard_negatives.op13_kronecker,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {**exact_dedup.SQL, **quality.SQL}
+ORACLES = {**exact_dedup.SQL, **quality.SQL, **centroids.SQL, **hard_negatives.SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
