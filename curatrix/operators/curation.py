@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curatrix.functions import text as T
-
-from .stored import stored
+from curatrix.sources.shared import stored
 
 COLUMNS = ["pmid", "anomaly_type", "trrust_entry", "issue", "corrected", "curated_date"]
 

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from curatrix.functions import text as T
-
-from .stored import stored
+from curatrix.sources.readers import extraction_rows, extractions_of
+from curatrix.sources.shared import stored
 
 USAGE = "struct<request_id:string,input_tokens:int,output_tokens:int>"
 SCHEMA = f"pmid string, error string, round1_analysis string, round1_usage {USAGE}, round2_raw string, round2_usage {USAGE}"
@@ -71,14 +71,10 @@ def extract(df: DataFrame, client: Callable, first: str, second: str, workers: i
 
 
 def parse_json_edges(df: DataFrame, column: str = "round2_raw") -> tuple[DataFrame, DataFrame]:
-    """Edges and documents of responses (pmid, error, raw text): text that is no JSON gives the error parse_fail."""
-    from curatrix.sources.readers import extractions_of
-
-    parsed = df.withColumn("v", F.try_parse_json(T.clean_json(column)))
-    good = parsed.where("(error is null or error = '') and v is not null").select("pmid", "v")
-    edges, docs = extractions_of(good)
-    bad = parsed.where("(error is not null and error <> '') or v is null").select("pmid", F.when(F.coalesce("error", F.lit("")) != "", F.col("error")).otherwise("parse_fail").alias("error"), F.lit(0).cast("long").alias("n_items"))
-    return edges, docs.unionByName(bad)
+    """Edges and documents of responses (pmid, error, raw text): text that is no JSON gives the error parse_fail. Each response is parsed once, and its edges are stored."""
+    parsed = df.select("pmid", F.nullif("error", F.lit("")).alias("error"), F.try_parse_json(T.clean_json(column)).alias("v"))
+    failed = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("v").isNull(), F.lit("parse_fail"))
+    return extractions_of(stored(extraction_rows(parsed, failed)))
 
 
 def postprocess(edges: DataFrame, overrides: DataFrame, official: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:

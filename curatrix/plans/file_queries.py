@@ -2,30 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import functions as F
 
 from curatrix.operators import aliases as A, edges as E, extract as X, report as R
-from curatrix.sources import readers as S, writers as K
+from curatrix.sources import json_object as J, readers as S, writers as K
+from curatrix.sources.shared import fresh
 
 from .text_queries import _NAMED, _SECT_CTE, _labelled, _responses, _sectioned
 from .edge_queries import _METRICS, _LINES, edge_metrics
-from .gene_queries import _CAND
-from .views import ctes, view
+from .gene_queries import _CAND, ORACLES as _GENES
+from .views import ctes, overrides, view
 
 QUERIES, ORACLES = {}, {}
 
 
-def fresh(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or the warehouse, or a temp folder under a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        named = "file:" + tempfile.mkdtemp(prefix="spark-")
-    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def query(name: str, sql: str):
     def add(f):
         QUERIES[name], ORACLES[name] = f, sql
@@ -143,13 +133,17 @@ def file_extractions(spark, d):
 
 @query("file_debug", ctes("turns") + "\nSELECT pmid, text AS round1_analysis, octet_length(encode(text))::INTEGER AS n, 'r-' || pmid AS request_id FROM turns")
 def file_debug(spark, d):
-    usage = F.struct(F.concat(F.lit("r-"), "pmid").alias("request_id"), F.octet_length("text").cast("int").alias("input_tokens"), F.lit(1).alias("output_tokens"))
-    none = lambda kind: F.lit(None).cast(kind)
     path = fresh(spark)
-    K.write_debug(view(spark, d, "turns").select("pmid", none("string").alias("error"), F.col("text").alias("round1_analysis"), usage.alias("round1_usage"), none("string").alias("round2_raw"), none("string").alias("round2_clean"), none(S.USAGE).alias("round2_usage")), path)
+    K.write_debug(_debug(spark, d), path)
     return S.read_debug(spark, path, rows=True).select("pmid", "round1_analysis", F.col("round1_usage.input_tokens").alias("n"), "round1_usage.request_id")
 
 
+def _debug(spark, d):
+    usage = F.struct(F.concat(F.lit("r-"), "pmid").alias("request_id"), F.octet_length("text").cast("int").alias("input_tokens"), F.lit(1).alias("output_tokens"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return view(spark, d, "turns").select("pmid", none("string").alias("error"), F.col("text").alias("round1_analysis"), usage.alias("round1_usage"), none("string").alias("round2_raw"), none("string").alias("round2_clean"), none(S.USAGE).alias("round2_usage"))
+
+
 @query("file_review", ctes("state") + "\nSELECT pmid, direction, cellline, assay, '' AS notes, true AS reviewed FROM state")
 def file_review(spark, d):
     path = fresh(spark)
@@ -162,3 +156,73 @@ def file_report(spark, d):
     path = fresh(spark)
     K.write_report({"summary": R.summary_table(edge_metrics(spark, d))}, path)
     return spark.read.parquet(f"{path}/summary")
+
+
+# ---- the forms in which one object or array fills a file -----------------------------------------------
+
+
+@query("object_overrides", ORACLES["file_overrides"].replace("ord::INTEGER AS ord", "row_number() OVER (ORDER BY ord)::INTEGER - 1 AS ord"))
+def object_overrides(spark, d):
+    """An array of objects, without ord, in its order."""
+    none = F.col("ensembl_gene_id") == ""
+    rows = view(spark, d, "genes").select("ord", F.col("alias_symbol").alias("alias"), "symbol", F.when(none, F.array(F.lit(" All"))).otherwise(F.array(F.lit("TF"), F.lit("target"))).alias("roles"), F.when(none, "Block").alias("action"), F.col("prev_symbol").alias("reason"))
+    path = fresh(spark)
+    K.write_overrides(rows, path, rows=False)
+    return S.read_overrides(spark, path).withColumn("roles", F.array_join("roles", ",")).drop("candidates")
+
+
+_UNIQUE = _GENES["unique_alias_map"].split("\nSELECT key, symbol FROM single")
+_INDEX = _CAND + ", o AS (SELECT DISTINCT symbol FROM (SELECT trim(upper(symbol)) AS symbol FROM genes) WHERE symbol <> '')"
+
+
+@query("object_alias_index", _INDEX + "\nSELECT key, symbol, array_to_string(sources, ',') AS sources, symbol IN (SELECT symbol FROM o) AS official FROM cand")
+def object_alias_index(spark, d):
+    """Metadata, official symbols and the candidates of each key, nested in one object."""
+    genes, path = view(spark, d, "genes"), fresh(spark)
+    candidates = A.build_alias_candidates(genes)
+    K.write_alias_index({"candidates": candidates, "official": A.official_symbols(genes), "metadata": A.alias_metadata(genes, candidates, S.normalize_overrides(overrides(spark, d)))}, path, rows=False)
+    back, official = S.read_alias_index(spark, f"{path}/index.json")
+    out = back.join(official.withColumn("official", F.lit(True)), "symbol", "left")
+    return out.select("key", "symbol", F.array_join("sources", ",").alias("sources"), F.coalesce("official", F.lit(False)).alias("official"))
+
+
+@query("object_legacy_map", f"{_UNIQUE[0]}, u AS (SELECT key, symbol FROM single{_UNIQUE[1]})\nSELECT key, symbol, 'legacy_alias_map' AS sources, 'legacy' AS reason FROM u")
+def object_legacy_map(spark, d):
+    """The unique map, a flat object, read as the index that is missing and as overrides."""
+    genes, path = view(spark, d, "genes"), fresh(spark)
+    candidates, over = A.build_alias_candidates(genes), S.normalize_overrides(overrides(spark, d))
+    K.write_alias_index({"candidates": candidates, "official": A.official_symbols(genes), "unique": A.unique_alias_map(candidates, over)}, path, rows=False)
+    back, official = S.read_alias_index(spark, f"{path}/missing.json", f"{path}/unique.json")
+    flat = S.read_overrides(spark, f"{path}/unique.json").select(F.col("alias").alias("key"), "symbol", "reason")
+    return back.join(official, "symbol", "left_semi").join(flat, ["key", "symbol"]).select("key", "symbol", F.array_join("sources", ",").alias("sources"), "reason")
+
+
+@query("object_ensg_map", ORACLES["file_ensg_map"])
+def object_ensg_map(spark, d):
+    path = fresh(spark)
+    K.write_ensg_map(A.build_ensg_map(view(spark, d, "genes")), path, rows=False)
+    return S.read_ensg_map(spark, path)
+
+
+@query("object_excluded", ctes("anomalies") + "\nSELECT pmid, row_number() OVER (ORDER BY pmid) - 1 AS ord FROM (SELECT DISTINCT pmid FROM anomalies)")
+def object_excluded(spark, d):
+    """A sorted array of strings, with their places in it."""
+    path = fresh(spark)
+    K.write_excluded(view(spark, d, "anomalies"), path, rows=False)
+    return J.read_entries(spark, path).select(S.json_text("value").alias("pmid"), "ord")
+
+
+@query("object_extractions", ORACLES["file_extractions"])
+def object_extractions(spark, d):
+    """An object of pmid to array of edges, or to an object with the error."""
+    path = fresh(spark)
+    K.write_extractions(*X.parse_json_edges(_responses(spark, d)), path, rows=False)
+    edges, docs = S.read_extractions(spark, path)
+    return docs.join(edges, "pmid", "left")
+
+
+@query("object_debug", ORACLES["file_debug"])
+def object_debug(spark, d):
+    path = fresh(spark)
+    K.write_debug(_debug(spark, d), path, rows=False)
+    return S.read_debug(spark, path).select("pmid", "round1_analysis", F.col("round1_usage.input_tokens").alias("n"), "round1_usage.request_id")

@@ -57,12 +57,12 @@ over AS (SELECT key, arg_max({clean('symbol')}, ord) AS symbol FROM ok2 WHERE ev
 single AS (SELECT key, min(symbol) AS symbol FROM cand GROUP BY key HAVING count(*) = 1)
 SELECT key, symbol FROM single WHERE key NOT IN (SELECT key FROM ok2 WHERE NOT everywhere) AND key NOT IN (SELECT key FROM over) UNION ALL SELECT key, symbol FROM over""")
 def unique_alias_map(spark, d):
-    return A.unique_alias_map(_cand(spark, d), S.normalize_overrides(overrides(spark)))
+    return A.unique_alias_map(_cand(spark, d), S.normalize_overrides(overrides(spark, d)))
 
 
-@query("alias_metadata", _CAND + ", con AS (SELECT key FROM cand GROUP BY key HAVING count(*) > 1)\nSELECT (SELECT count(*) FROM genes) AS genes_processed, (SELECT count(DISTINCT key) FROM cand) AS alias_count, (SELECT count(*) FROM con) AS conflict_count, 10::BIGINT AS override_count")
+@query("alias_metadata", _CAND + ", con AS (SELECT key FROM cand GROUP BY key HAVING count(*) > 1)\nSELECT (SELECT count(*) FROM genes) AS genes_processed, (SELECT count(DISTINCT key) FROM cand) AS alias_count, (SELECT count(*) FROM con) AS conflict_count, (SELECT count(*) FROM part) AS override_count")
 def alias_metadata(spark, d):
-    return A.alias_metadata(view(spark, d, "genes"), _cand(spark, d), overrides(spark))
+    return A.alias_metadata(view(spark, d, "genes"), _cand(spark, d), overrides(spark, d))
 
 
 @query("official_symbols", ctes("genes") + f"\nSELECT DISTINCT {clean('symbol')} AS symbol FROM genes WHERE {clean('symbol')} <> ''")
@@ -85,32 +85,39 @@ def ensg_map(spark, d):
 _NORMAL = _CAND + f""", {overrides_cte()}, {_OKEYS}, {ctes('names').removeprefix('WITH ')},
 nk AS (SELECT name, role, {clean('name')} AS c, {compact('name')} AS k FROM names),
 keys AS (SELECT name, role, 0 AS pos, c AS key FROM nk WHERE c <> '' UNION ALL SELECT name, role, 1, k FROM nk WHERE k <> '' AND k <> c),
-o AS (SELECT keys.name, keys.role, o.ord, o.alias, upper(trim(o.symbol)) AS symbol, o.action FROM keys JOIN ok2 o USING (key) WHERE (rs = [] OR list_contains(rs, 'all') OR list_contains(rs, lower(trim(role)))) AND (action = 'block' OR symbol <> '')
+o AS (SELECT keys.name, keys.role, o.ord, o.alias, upper(trim(o.symbol)) AS symbol, o.action, o.reason, o.candidate FROM keys JOIN ok2 o USING (key) WHERE (rs = [] OR list_contains(rs, 'all') OR list_contains(rs, lower(trim(role)))) AND (action = 'block' OR symbol <> '')
   QUALIFY row_number() OVER (PARTITION BY keys.name, keys.role ORDER BY o.ord) = 1),
 i AS (SELECT name, role, key FROM keys WHERE key IN (SELECT {clean('symbol')} FROM genes) QUALIFY row_number() OVER (PARTITION BY name, role ORDER BY pos) = 1),
-ca AS (SELECT key, count(*) AS n, min(symbol) AS symbol FROM cand GROUP BY key),
-a AS (SELECT name, role, key, n, symbol FROM keys JOIN ca USING (key) QUALIFY row_number() OVER (PARTITION BY name, role ORDER BY pos) = 1),
+ca AS (SELECT key, count(*) AS n, min(symbol) AS symbol, string_agg(symbol || '/' || array_to_string(sources, '+') || '/', ';' ORDER BY symbol) AS listed FROM cand GROUP BY key),
+a AS (SELECT name, role, key, n, symbol, listed FROM keys JOIN ca USING (key) QUALIFY row_number() OVER (PARTITION BY name, role ORDER BY pos) = 1),
 res AS (SELECT nk.name, nk.role, trim(nk.name) AS original,
   CASE WHEN c = '' THEN '' WHEN o.action = 'block' THEN c WHEN o.ord IS NOT NULL THEN o.symbol WHEN i.key IS NOT NULL THEN i.key WHEN a.n = 1 THEN a.symbol ELSE c END AS normalized,
   CASE WHEN c = '' THEN 'empty' WHEN o.action = 'block' THEN 'blocked' WHEN o.ord IS NOT NULL THEN 'override' WHEN i.key IS NOT NULL THEN 'identity' WHEN a.n = 1 THEN 'hgnc_alias' WHEN a.n > 1 THEN 'ambiguous' ELSE 'unmapped' END AS status,
   CASE WHEN c = '' THEN 'none' WHEN o.ord IS NOT NULL THEN 'curated_override' WHEN i.key IS NOT NULL THEN 'hgnc_official_symbol' WHEN a.n IS NOT NULL THEN 'hgnc_alias_index' ELSE 'none' END AS source,
-  CASE WHEN c = '' THEN '' WHEN o.ord IS NOT NULL THEN o.alias WHEN i.key IS NOT NULL THEN i.key WHEN a.n IS NOT NULL THEN a.key ELSE '' END AS matched_key
+  CASE WHEN c = '' THEN '' WHEN o.ord IS NOT NULL THEN o.alias WHEN i.key IS NOT NULL THEN i.key WHEN a.n IS NOT NULL THEN a.key ELSE '' END AS matched_key,
+  CASE WHEN c = '' THEN '' WHEN o.action = 'block' THEN coalesce(o.candidate || '//' || o.reason, '') WHEN o.ord IS NOT NULL THEN o.symbol || '//' || o.reason WHEN i.key IS NOT NULL THEN i.key || '/official_symbol/' ELSE coalesce(a.listed, '') END AS candidates
   FROM nk LEFT JOIN o USING (name, role) LEFT JOIN i USING (name, role) LEFT JOIN a USING (name, role))"""
 
 
+def listed():
+    """candidates as symbol/sources/reason; ..."""
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return F.array_join(F.transform("candidates", lambda c: F.concat_ws("/", text(c.symbol), text(F.array_join(c.sources, "+")), text(c.reason))), ";")
+
+
 def _normalized(spark, d):
     genes = view(spark, d, "genes")
-    return A.normalize_genes(view(spark, d, "names"), S.normalize_overrides(overrides(spark)), A.official_symbols(genes), A.build_alias_candidates(genes))
+    return A.normalize_genes(view(spark, d, "names"), S.normalize_overrides(overrides(spark, d)), A.official_symbols(genes), A.build_alias_candidates(genes))
 
 
 @query("normalize_genes", _NORMAL + "\nSELECT * FROM res")
 def normalize_genes(spark, d):
-    return _normalized(spark, d).drop("candidates")
+    return _normalized(spark, d).withColumn("candidates", listed())
 
 
-@query("normalization_log", _NORMAL + "\nSELECT original, normalized, role AS type, status, source, matched_key FROM res WHERE original <> '' AND NOT (original = normalized AND status = 'identity')")
+@query("normalization_log", _NORMAL + "\nSELECT original, normalized, role AS type, status, source, matched_key, candidates FROM res WHERE original <> '' AND NOT (original = normalized AND status = 'identity')")
 def normalization_log(spark, d):
-    return A.normalization_log(_normalized(spark, d)).drop("candidates")
+    return A.normalization_log(_normalized(spark, d)).withColumn("candidates", listed())
 
 
 @query("suspicious_names", ctes("names") + r"""
@@ -208,22 +215,22 @@ def append_anomalies(spark, d):
     return accepted.withColumn("reject_reason", F.lit(None).cast("string")).unionByName(rejected).drop("corrected", "curated_date")
 
 
-_NUMBERED = ctes("anomalies") + ", n AS (SELECT *, row_number() OVER (ORDER BY pmid, trrust_entry) AS number FROM anomalies)"
+_NUMBERED = ctes("anomalies") + ", n AS (SELECT *, row_number() OVER (ORDER BY pmid, trrust_entry, issue) AS number FROM anomalies)"
 
 
 @query("list_anomalies", _NUMBERED + "\nSELECT number, pmid, trrust_entry, CASE WHEN length(issue) > 80 THEN substr(issue, 1, 80) || '...' ELSE issue END AS preview FROM n")
 def list_anomalies(spark, d):
-    return C.list_anomalies(view(spark, d, "anomalies"), ["pmid", "trrust_entry"]).select("number", "pmid", "trrust_entry", "preview")
+    return C.list_anomalies(view(spark, d, "anomalies"), ["pmid", "trrust_entry", "issue"]).select("number", "pmid", "trrust_entry", "preview")
 
 
 @query("remove_anomaly", _NUMBERED + "\nSELECT pmid, trrust_entry FROM n WHERE number <> 3")
 def remove_anomaly(spark, d):
-    return C.remove_anomaly(view(spark, d, "anomalies"), 3, ["pmid", "trrust_entry"]).select("pmid", "trrust_entry")
+    return C.remove_anomaly(view(spark, d, "anomalies"), 3, ["pmid", "trrust_entry", "issue"]).select("pmid", "trrust_entry")
 
 
-@query("export_anomalies", ctes("anomalies") + "\nSELECT pmid, string_agg(anomaly_type || ' ' || trrust_entry, ';' ORDER BY anomaly_type, trrust_entry) AS entries FROM anomalies GROUP BY pmid")
+@query("export_anomalies", ctes("anomalies") + "\nSELECT pmid, string_agg(anomaly_type || ' ' || trrust_entry || ': ' || issue, ';' ORDER BY anomaly_type, trrust_entry, issue) AS entries FROM anomalies GROUP BY pmid")
 def export_anomalies(spark, d):
-    return C.export_anomalies(view(spark, d, "anomalies")).withColumn("entries", F.array_join(F.transform("entries", lambda e: F.concat(e.anomaly_type, F.lit(" "), e.trrust_entry)), ";"))
+    return C.export_anomalies(view(spark, d, "anomalies")).withColumn("entries", F.array_join(F.transform("entries", lambda e: F.concat(e.anomaly_type, F.lit(" "), e.trrust_entry, F.lit(": "), e.issue)), ";"))
 
 
 @query("excluded_table", ctes("anomalies") + "\nSELECT pmid, anomaly_type, trrust_entry, issue FROM anomalies")

@@ -159,7 +159,7 @@ def postprocess(spark, d):
 
 @query("postprocess_log", _NAMED + """
 SELECT pmid, tf AS original, new_tf AS normalized, 'tf' AS type, how AS status, CASE how WHEN 'override' THEN 'curated_override' WHEN 'unmapped' THEN 'none' ELSE 'hgnc_alias_index' END AS source, CASE how WHEN 'override' THEN 'tf3' WHEN 'unmapped' THEN '' ELSE tf END AS matched_key FROM n
-UNION ALL SELECT pmid, target, new_target, 'target', CASE target WHEN 'GN5' THEN 'override' ELSE 'unmapped' END, CASE target WHEN 'GN5' THEN 'curated_override' ELSE 'none' END, CASE target WHEN 'GN5' THEN 'gn5' ELSE '' END FROM n WHERE target = 'GN5' OR target LIKE '%C'""")
+UNION ALL SELECT pmid, target, new_target, 'target', CASE target WHEN 'GN5' THEN 'override' ELSE 'unmapped' END, CASE target WHEN 'GN5' THEN 'curated_override' ELSE 'none' END, CASE target WHEN 'GN5' THEN 'gn5' ELSE '' END FROM n WHERE target = 'GN5' OR target LIKE '%C' OR length(target) > 3 AND cast(substr(target, 3) AS int) >= 60""")
 def postprocess_log(spark, d):
     return _post(spark, d)[1]
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 _ORD = f"cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS bigint)"
@@ -19,19 +19,23 @@ VIEWS = {
   'GN' || cast(l_partkey % 60 AS string) || CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'A' ELSE 'B' END AS target,
   CASE l_returnflag WHEN 'A' THEN 'Activation' WHEN 'R' THEN 'Repression' ELSE 'Unknown' END AS direction, {_ORD} AS ord FROM lineitem""",
     "pred": f"""SELECT cast(l_orderkey AS string) AS pmid, {_ORD} AS pos, 'TF' || cast(l_suppkey % 40 AS string) AS tf,
-  'GN' || cast(l_partkey % 60 AS string) || CASE l_linenumber % 2 WHEN 0 THEN '' ELSE 'C' END AS target,
+  'GN' || cast(l_partkey % 60 + CASE WHEN l_suppkey % 3 = 0 THEN 60 ELSE 0 END AS string) || CASE l_linenumber % 2 WHEN 0 THEN '' ELSE 'C' END AS target,
   CASE WHEN l_discount < 0.05 THEN 'Synergistic Activation' ELSE 'inhibition' END AS direction,
   cast(l_linenumber % 6 AS string) AS confidence, {_EVIDENCE} AS evidence FROM lineitem""",
     "edge_lists": """SELECT tf, target, direction, ord, CASE WHEN ord % 3 = 0 THEN pmid || ';' || pmid || '1; x ;' ELSE pmid || '; 7' || pmid END AS pmid FROM truth""",
     "edge_docs": """SELECT DISTINCT pmid, CASE WHEN cast(pmid AS bigint) % 17 = 0 THEN 'parse_fail' END AS error FROM truth""",
-    "anomalies": """SELECT cast(o_orderkey AS string) AS pmid, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'phantom_gene' WHEN '2' THEN 'indirect_chain' WHEN '3' THEN 'wrong_direction' WHEN '4' THEN 'other' ELSE 'odd' END AS anomaly_type,
+    "anomalies": """SELECT cast(o_orderkey - o_orderkey % 3 AS string) AS pmid, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'phantom_gene' WHEN '2' THEN 'indirect_chain' WHEN '3' THEN 'wrong_direction' WHEN '4' THEN 'other' ELSE 'odd' END AS anomaly_type,
   CASE WHEN o_custkey % 5 = 0 THEN 'TF1 GN1' ELSE 'TF' || cast(o_custkey % 40 AS string) || '->GN' || cast(o_orderkey % 60 AS string) || ' (Activation)' END AS trrust_entry,
   CASE WHEN o_custkey % 7 = 0 THEN ' ' ELSE 'issue of order ' || cast(o_orderkey AS string) || ' with status ' || o_orderstatus || ' and priority ' || o_orderpriority || ' that needs a look by a curator' END AS issue,
   cast(NULL AS string) AS corrected, cast(NULL AS date) AS curated_date FROM orders""",
     "genes": """SELECT 'SYM' || cast(p_partkey AS string) AS symbol, p_name || '|"al-' || cast(p_partkey AS string) || '"|SYM' || cast(p_partkey AS string) AS alias_symbol,
   p_brand AS prev_symbol, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'ENSG' || cast(p_partkey AS string) END AS ensembl_gene_id, cast(p_partkey AS bigint) AS ord FROM part""",
     "names": """SELECT DISTINCT CASE p_partkey % 8 WHEN 0 THEN 'Sym' || cast(p_partkey AS string) WHEN 1 THEN ' al' || cast(p_partkey AS string) || ' ' WHEN 2 THEN 'AL-' || cast(p_partkey AS string) || ' (x)' WHEN 3 THEN p_name
-  WHEN 4 THEN 'nope' || cast(p_partkey AS string) WHEN 5 THEN 'qx-2' WHEN 6 THEN '(x)' ELSE 'w65' END AS name, CASE p_partkey % 3 WHEN 0 THEN 'tf' WHEN 1 THEN 'target' ELSE 'gene' END AS role FROM part""",
+  WHEN 4 THEN 'nope' || cast(p_partkey AS string) WHEN 5 THEN p_brand WHEN 6 THEN '(x)' ELSE p_type END AS name, CASE p_partkey % 3 WHEN 0 THEN 'tf' WHEN 1 THEN 'target' ELSE 'gene' END AS role FROM part""",
+    "override_rows": """SELECT cast(p_partkey AS int) AS ord, CASE p_partkey % 7 WHEN 5 THEN 'nope' || cast(p_partkey - 1 AS string) WHEN 6 THEN 'Al-' || cast(p_partkey - p_partkey % 10 AS string) ELSE 'al-' || cast(p_partkey + 1 AS string) END AS alias,
+  CASE WHEN p_partkey % 7 = 0 OR p_partkey % 35 = 3 THEN '' ELSE ' sym' || cast(p_partkey % 50 AS string) END AS symbol,
+  CASE p_partkey % 7 WHEN 0 THEN 'tf' WHEN 1 THEN ' Target' WHEN 2 THEN 'tf,target' WHEN 3 THEN 'all' WHEN 4 THEN '' WHEN 5 THEN 'target,tf' ELSE 'gene' END AS roles,
+  CASE WHEN p_partkey % 7 = 0 OR p_partkey % 35 = 3 THEN 'Block' WHEN p_partkey % 2 = 0 THEN 'map' END AS action, p_type AS reason, CASE WHEN p_partkey % 14 = 0 THEN p_brand END AS candidate FROM part""",
     "lexicon": """SELECT 'GN' || cast(p_partkey % 60 AS string) AS symbol, 'TF' || CASE WHEN p_partkey % 60 < 20 THEN cast(p_partkey % 60 AS string) ELSE '3' || cast(p_partkey % 10 AS string) END AS alias_symbol,
   '' AS prev_symbol, '' AS ensembl_gene_id, cast(p_partkey AS bigint) AS ord FROM part""",
     "abstracts": """SELECT cast(doc_id AS string) AS pmid, text AS abstract FROM documents""",
@@ -70,30 +74,16 @@ def ctes(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in order)
 
 
-#: Overrides as literal rows: mapped, blocked, for one role, for all, without roles, repeated.
-OVERRIDES = [
-    (0, "QX-2", "", ["tf"], "block", "not a regulator"),
-    (1, "QX-2", "QXS2", ["target"], "map", "enzyme"),
-    (2, "w65", "WELA", ["tf"], "map", "subunit"),
-    (3, "ZQP-89", "ZNQ148", ["tf", "target"], "map", "alias"),
-    (4, "al-9", "SYM1", ["all"], "map", "for all"),
-    (5, "al-10", "SYM2", [], "map", "no roles"),
-    (6, "al-10", "SYM3", [], "map", "repeated"),
-    (7, "nope4", "SYM4", ["target", "tf"], "map", "both"),
-    (8, "al-17", "", ["all"], "map", "no symbol"),
-    (9, "al-18", "", ["all"], "block", "blocked for all"),
-]
-
-
-def overrides(spark: SparkSession) -> DataFrame:
-    rows = [(o, a, s, r, act, why, None) for o, a, s, r, act, why in OVERRIDES]
-    return spark.createDataFrame(rows, "ord int, alias string, symbol string, roles array<string>, action string, reason string, candidates array<struct<symbol:string>>")
+def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overrides of parts: mapped, blocked, for one role, for all, without roles, repeated."""
+    named = F.when(F.col("candidate").isNotNull(), F.array(F.struct(F.col("candidate").alias("symbol"))))
+    roles = F.filter(F.split("roles", ","), lambda r: r != "")
+    return view(spark, sf_dir, "override_rows").select("ord", "alias", "symbol", roles.alias("roles"), "action", "reason", named.alias("candidates"))
 
 
 def overrides_cte() -> str:
-    q = lambda x: "'" + x + "'"
-    rows = ", ".join(f"({o}, {q(a)}, {q(s)}, [{', '.join(map(q, r))}]::VARCHAR[], {q(act)}, {q(why)})" for o, a, s, r, act, why in OVERRIDES)
-    return f"ovr(ord, alias, symbol, roles, action, reason) AS (VALUES {rows})"
+    return ctes("override_rows").removeprefix("WITH ") + """,
+ovr AS (SELECT ord, alias, symbol, list_filter(string_split(roles, ','), lambda r: r <> '') AS roles, lower(coalesce(action, 'map')) AS action, reason, candidate FROM override_rows)"""
 
 
 # ---- the oracle's own words for the text rules ---------------------------------------------------------

@@ -1,7 +1,7 @@
 """Sources. Each has an explicit schema, but for the dictionary, of which the named columns are read; order within files becomes an `ord` column where it matters.
 
-What is kept as one JSON object in a file is read whole by one task; the forms that the sinks write, a JSON row for each
-entry, are read with rows=True, in parallel.
+What is kept as one JSON object or array in a file is read by many tasks, each a range of its bytes (`json_object`). With rows=True
+the other form is read, a JSON row for each entry.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.errors import AnalysisException
 
 from curatrix.functions import text as T
+from curatrix.sources import json_object as J
+from curatrix.sources.shared import stored
 
 EDGES = "tf string, target string, direction string, pmid string"
 OVERRIDES = "ord int, alias string, symbol string, roles array<string>, action string, reason string, candidates array<struct<symbol:string>>"
@@ -83,14 +85,17 @@ def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
     return df.where(F.coalesce(T.strip("pmid"), F.lit("")) != "")
 
 
-def overrides_of(df: DataFrame) -> DataFrame:
-    """Override rows of whole JSON texts (value): an array of objects, or a flat map of alias to symbol."""
-    parsed = df.select(F.try_parse_json("value").alias("v")).withColumn("kind", F.schema_of_variant("v"))
+def overrides_of(entries: DataFrame) -> DataFrame:
+    """Override rows of the entries of an array of objects, or of a flat map of alias to symbol."""
     item = "struct<alias:string,symbol:string,roles:array<string>,action:string,reason:string,candidates:array<struct<symbol:string>>>"
-    arrays = parsed.where(F.col("kind").startswith("ARRAY")).select(F.posexplode(F.from_json(F.to_json("v"), f"array<{item}>")).alias("ord", "o")).select("ord", "o.*")
-    flat = parsed.where(F.col("kind").startswith("OBJECT")).select(F.posexplode(F.map_entries(F.from_json(F.to_json("v"), "map<string,string>"))).alias("ord", "e"))
-    flat = flat.select("ord", F.col("e.key").alias("alias"), F.col("e.value").alias("symbol"), F.array(F.lit("tf"), F.lit("target")).alias("roles"), F.lit("map").alias("action"), F.lit("legacy").alias("reason"), F.lit(None).cast("array<struct<symbol:string>>").alias("candidates"))
-    return normalize_overrides(arrays.unionByName(flat))
+    flat = F.struct(F.col("key").alias("alias"), json_text("value").alias("symbol"), F.array(F.lit("tf"), F.lit("target")).alias("roles"), F.lit("map").alias("action"), F.lit("legacy").alias("reason"), F.lit(None).cast("array<struct<symbol:string>>").alias("candidates"))
+    rows = entries.select(F.col("ord").cast("int").alias("ord"), F.when(F.col("key").isNull(), F.from_json("value", item)).otherwise(flat.cast(item)).alias("o"))
+    return normalize_overrides(rows.where("o is not null").select("ord", "o.*"))
+
+
+def json_text(c: str) -> Column:
+    """The text of a JSON scalar."""
+    return F.get(F.from_json(F.concat(F.lit("["), F.col(c), F.lit("]")), "array<string>"), F.lit(0))
 
 
 def normalize_overrides(df: DataFrame) -> DataFrame:
@@ -99,38 +104,27 @@ def normalize_overrides(df: DataFrame) -> DataFrame:
 
 
 def read_overrides(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
-    """Overrides of one JSON text, or of rows (ord and the fields)."""
+    """Overrides of a JSON array or map that fills a file, or of rows (ord and the fields)."""
     if rows:
         return normalize_overrides(spark.read.schema(OVERRIDES).json(path))
-    return overrides_of(spark.read.text(path, wholetext=True))
-
-
-def alias_index_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidates (key, symbol, sources) and official symbols of an index in whole JSON texts (value)."""
-    index = df.select(F.from_json("value", "struct<official_symbols:array<string>,aliases:map<string,array<struct<symbol:string,sources:array<string>>>>>").alias("i"))
-    candidates = index.select(F.explode("i.aliases").alias("key", "c")).select("key", F.explode("c").alias("c")).select("key", "c.symbol", "c.sources")
-    return candidates, index.select(F.explode("i.official_symbols").alias("symbol")).distinct()
+    return overrides_of(J.read_entries(spark, path))
 
 
 def read_alias_index(spark: SparkSession, path: str, legacy: str | None = None, rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The alias index; where it is missing, the legacy map of alias to symbol. With rows, the folders `candidates` and `official` in path."""
+    """Candidates (key, symbol, sources) and official symbols of the alias index; where it is missing, of the legacy map of alias to symbol. With rows, of the folders `candidates` and `official` in path."""
     if rows:
         return spark.read.schema("key string, symbol string, sources array<string>").json(f"{path}/candidates"), spark.read.schema("symbol string").json(f"{path}/official")
-    try:
-        df = spark.read.text(path, wholetext=True)
-        df.schema  # noqa: B018
-    except AnalysisException as e:
-        if legacy is None or "PATH_NOT_FOUND" not in str(e):
-            raise
-        pairs = spark.read.text(legacy, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "symbol"))
+    if legacy is not None and not J.list_files(path):
+        pairs = J.read_entries(spark, legacy).select("key", json_text("value").alias("symbol"))
         return pairs.withColumn("sources", F.array(F.lit("legacy_alias_map"))), pairs.select("symbol").distinct()
-    return alias_index_of(df)
+    listed = J.read_entries(spark, path, 2, "aliases").select("key", F.explode(F.from_json("value", "array<struct<symbol:string,sources:array<string>>>")).alias("c"))
+    return listed.select("key", "c.symbol", "c.sources"), J.read_entries(spark, path, 2, "official_symbols").select(json_text("value").alias("symbol")).distinct()
 
 
 def read_ensg_map(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
     if rows:
         return spark.read.schema("symbol string, ensg string").json(path)
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("symbol", "ensg"))
+    return J.read_entries(spark, path).select(F.col("key").alias("symbol"), json_text("value").alias("ensg"))
 
 
 def parse_blocks(blocks: DataFrame, drop_rule: bool = False) -> DataFrame:
@@ -142,7 +136,7 @@ def parse_blocks(blocks: DataFrame, drop_rule: bool = False) -> DataFrame:
     pmid = F.regexp_extract("value", r"PMID:\s*(\d+)", 1)
     raw = F.when(F.col("value").rlike(marker), T.strip(F.regexp_extract("value", marker, 1)))
     if drop_rule:
-        raw = T.strip(F.regexp_replace(raw, r"\n?-{3,}$", ""))
+        raw = T.strip(F.regexp_replace(raw, r"\n?(?<!-)-{3,}+$", ""))
     df = blocks.where(pmid != "").select(pmid.alias("pmid"), raw.alias("raw"), T.extract_reference_lines("value").alias("edges")).withColumn("sections", T.parse_sections(F.coalesce("raw", F.lit(""))))
     return df.select("pmid", T.render_sections("sections", "raw").alias("abstract"), "sections", "edges")
 
@@ -175,31 +169,38 @@ def read_articles_xml(spark: SparkSession, path: str) -> DataFrame:
     return articles(df.select(F.col("MedlineCitation.PMID").alias("pmid"), F.col("MedlineCitation.Article.Abstract").alias("xml")))
 
 
-def extractions_of(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (pmid, pos, tf, target, direction, confidence, evidence) and documents (pmid, error, n_items) of results: pmid and variant v."""
+EXTRACTION = "array<struct<pos:int,tf:string,target:string,direction:string,confidence:string,evidence:string>>"
+
+
+def extraction_rows(df: DataFrame, error: Column | None = None) -> DataFrame:
+    """pmid, error, n_items, edges: a row for each result (pmid, variant v), which is parsed where it stands. error, if not null, goes before the result's own."""
+    fields = {"tf": ("tf", "TF"), "target": ("target", "Target"), "direction": ("direction", "Direction"), "confidence": ("confidence", "Confidence"), "evidence": ("evidence", "Evidence")}
     kind = F.schema_of_variant("v")
-    arrays = df.where(kind.startswith("ARRAY"))
-    rows = arrays.lateralJoin(arrays.sparkSession.tvf.variant_explode(F.col("v").outer())).select("pmid", "pos", "value")
-    objects = rows.where(F.schema_of_variant("value").startswith("OBJECT"))
-    edges = objects.select("pmid", "pos", *[T.get_field(F.col("value"), *names).alias(c) for c, names in (("tf", ("tf", "TF")), ("target", ("target", "Target")), ("direction", ("direction", "Direction")), ("confidence", ("confidence", "Confidence")), ("evidence", ("evidence", "Evidence")))])
-    error = F.when(kind.startswith("OBJECT"), F.try_variant_get("v", "$.error", "string"))
-    counts = rows.groupBy("pmid").agg(F.count(F.lit(1)).alias("n_items"))
-    return edges, df.select("pmid", error.alias("error")).join(counts, "pmid", "left").withColumn("n_items", F.coalesce("n_items", F.lit(0)))
+    own = F.when(kind.startswith("OBJECT"), F.try_variant_get("v", "$.error", "string"))
+    failed = own if error is None else F.coalesce(error, own)
+    items = F.when(kind.startswith("ARRAY") & (F.lit(True) if error is None else error.isNull()), F.try_variant_get("v", "$", "array<variant>"))
+    df = df.select("pmid", failed.alias("error"), items.alias("items"))
+    placed = F.filter(F.transform("items", lambda x, i: F.struct(i.alias("pos"), x.alias("x"))), lambda e: F.schema_of_variant(e["x"]).startswith("OBJECT"))
+    edges = F.transform(placed, lambda e: F.struct(e["pos"].alias("pos"), *[T.get_field(e["x"], *names).alias(c) for c, names in fields.items()]))
+    return df.select("pmid", "error", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(edges, F.array().cast(EXTRACTION)).cast(EXTRACTION).alias("edges"))
+
+
+def extractions_of(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (pmid, pos, tf, target, direction, confidence, evidence) and documents (pmid, error, n_items) of extraction rows."""
+    return rows.select("pmid", F.explode("edges").alias("e")).select("pmid", "e.*"), rows.select("pmid", "error", "n_items")
 
 
 def read_extractions(spark: SparkSession, path: str, rows: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Edges and documents of results, as extractions_of."""
+    """Edges and documents of results, as extractions_of; each result is parsed once and stored."""
     if rows:
-        df = spark.read.schema("pmid string, error string, n_items long, edges array<struct<pos:int,tf:string,target:string,direction:string,confidence:string,evidence:string>>").json(path)
-        return df.select("pmid", F.explode("edges").alias("e")).select("pmid", "e.*"), df.select("pmid", "error", "n_items")
-    df = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,variant>")).alias("pmid", "v"))
-    return extractions_of(df)
+        return extractions_of(spark.read.schema(f"pmid string, error string, n_items long, edges {EXTRACTION}").json(path))
+    return extractions_of(stored(extraction_rows(J.read_entries(spark, path).select(F.col("key").alias("pmid"), F.try_parse_json("value").alias("v")))))
 
 
 def read_debug(spark: SparkSession, path: str, rows: bool = False) -> DataFrame:
     if rows:
         return spark.read.schema(f"pmid string, d {DEBUG}").json(path).select("pmid", "d.*")
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{DEBUG}>")).alias("pmid", "d")).select("pmid", "d.*")
+    return J.read_entries(spark, path).select(F.col("key").alias("pmid"), F.from_json("value", DEBUG).alias("d")).select("pmid", "d.*")
 
 
 def resolve_review(df: DataFrame) -> DataFrame:

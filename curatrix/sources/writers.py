@@ -1,10 +1,14 @@
-"""Sinks. Each writes a folder of files through Spark; what must be in order is sorted by range, not in one task."""
+"""Sinks. Each writes a folder of files through Spark; what must be in order is sorted by range, not in one task.
+
+rows=False writes one file instead, which an object or array fills: tasks write its fragments, which are put together on commit.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions import text as T
+from curatrix.sources import json_object as J
 
 
 def by_doc(df: DataFrame) -> DataFrame:
@@ -17,18 +21,58 @@ def write_edges_by_doc(df: DataFrame, path: str) -> None:
     by_doc(df).select(F.col("pmid").alias("PMID"), F.col("n").alias("Relationship_Count"), F.col("relationships").alias("Relationships")).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
-def write_alias_index(tables: dict[str, DataFrame], folder: str) -> None:
-    """Candidates, conflicts, the unique map, official symbols and metadata, a folder of JSON rows each under its name; `candidates` and `official` are read by read_alias_index(rows=True)."""
-    for name, df in tables.items():
-        df.orderBy(df.columns[0]).write.json(f"{folder}/{name}")
-
-
-def write_ensg_map(df: DataFrame, path: str) -> None:
-    df.orderBy("symbol").write.json(path)
-
-
-def write_excluded(df: DataFrame, path: str) -> None:
-    df.select("pmid").distinct().orderBy("pmid").write.json(path)
+def json_string(c: Column | str) -> Column:
+    """A string as JSON text."""
+    quoted = F.to_json(F.array(c))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def entries(df: DataFrame, key: str | None, value: Column, member: str | None = None) -> DataFrame:
+    """member, key, value as write_entries takes them."""
+    return df.select(F.lit(member).cast("string").alias("member"), (F.col(key) if key else F.lit(None).cast("string")).alias("key"), value.alias("value"))
+
+
+def write_alias_index(tables: dict[str, DataFrame], folder: str, rows: bool = True) -> None:
+    """Candidates, conflicts, the unique map, official symbols and metadata, a folder of JSON rows each under its name; `candidates` and `official` are read by read_alias_index(rows=True).
+
+    Without rows: index.json, an object with the metadata, the sorted official symbols, and the candidates of each key in its order; and,
+    if there are conflicts and a unique map, conflicts.json and unique.json, objects by key.
+    """
+    if rows:
+        for name, df in tables.items():
+            df.orderBy(df.columns[0]).write.json(f"{folder}/{name}")
+        return
+    listed = F.to_json(F.array_sort(F.collect_list(F.struct("symbol", "sources"))))
+    by_key = lambda df: df.groupBy("key").agg(listed.alias("json"))
+    parts = [entries(by_key(tables["candidates"]), "key", F.col("json"), "aliases"), entries(tables["official"], None, json_string("symbol"), "official_symbols")]
+    if "metadata" in tables:
+        parts.append(entries(tables["metadata"].select(F.lit("metadata").alias("name"), F.to_json(F.struct("*")).alias("json")), "name", F.col("json")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    J.write_entries(whole.orderBy("member", "key", "value"), f"{folder}/index.json", members=[("official_symbols", "array"), ("aliases", "object")])
+    if "conflicts" in tables:
+        own = tables["candidates"].join(tables["conflicts"].select("key"), "key", "left_semi")
+        J.write_entries(entries(by_key(own), "key", F.col("json")).orderBy("key"), f"{folder}/conflicts.json")
+    if "unique" in tables:
+        J.write_entries(entries(tables["unique"], "key", json_string("symbol")).orderBy("key"), f"{folder}/unique.json")
+
+
+def write_ensg_map(df: DataFrame, path: str, rows: bool = True) -> None:
+    """symbol, ensg in the order of symbols."""
+    if rows:
+        df.orderBy("symbol").write.json(path)
+    else:
+        J.write_entries(entries(df, "symbol", json_string("ensg")).orderBy("key"), path)
+
+
+def write_excluded(df: DataFrame, path: str, rows: bool = True) -> None:
+    """The distinct pmids, sorted as strings."""
+    ids = df.select("pmid").distinct()
+    if rows:
+        ids.orderBy("pmid").write.json(path)
+    else:
+        J.write_entries(entries(ids.orderBy("pmid"), None, json_string("pmid")), path, "array")
 
 
 def block_text() -> Column:
@@ -44,19 +88,33 @@ def write_document_blocks(df: DataFrame, path: str) -> None:
     df.select(block_text().alias("value")).write.option("lineSep", "=" * 50).text(path)
 
 
-def write_overrides(df: DataFrame, path: str) -> None:
-    df.write.json(path)
+def write_overrides(df: DataFrame, path: str, rows: bool = True) -> None:
+    """Overrides in the order of ord."""
+    if rows:
+        df.write.json(path)
+    else:
+        J.write_entries(entries(df.orderBy("ord"), None, F.to_json(F.struct(*[c for c in df.columns if c != "ord"]))), path, "array")
 
 
-def write_extractions(edges: DataFrame, docs: DataFrame, path: str) -> None:
-    """One JSON row for each document (pmid, error, n_items) with its edges."""
+def write_extractions(edges: DataFrame, docs: DataFrame, path: str, rows: bool = True) -> None:
+    """Documents (pmid, error, n_items) with their edges: a JSON row for each, or an object of pmid to array, or to the error."""
     items = F.array_sort(F.collect_list(F.struct("pos", "tf", "target", "direction", "confidence", "evidence")))
-    docs.join(edges.groupBy("pmid").agg(items.alias("edges")), "pmid", "left").write.json(path)
-
-
-def write_debug(df: DataFrame, path: str) -> None:
-    """One JSON row for each document, its record in the field d."""
-    df.select("pmid", F.struct(*[c for c in df.columns if c != "pmid"]).alias("d")).write.json(path)
+    whole = docs.join(edges.groupBy("pmid").agg(items.alias("edges")), "pmid", "left")
+    if rows:
+        whole.write.json(path)
+    else:
+        array = F.coalesce(F.to_json(F.transform("edges", lambda e: e.dropFields("pos"))), F.lit("[]"))
+        failed = F.coalesce(F.col("error"), F.lit("")) != ""
+        J.write_entries(entries(whole, "pmid", F.when(failed, F.to_json(F.struct("error"))).otherwise(array)), path)
+
+
+def write_debug(df: DataFrame, path: str, rows: bool = True) -> None:
+    """The record of each document: a JSON row for each, in the field d, or an object of pmid to record."""
+    record = F.struct(*[c for c in df.columns if c != "pmid"])
+    if rows:
+        df.select("pmid", record.alias("d")).write.json(path)
+    else:
+        J.write_entries(entries(df, "pmid", F.to_json(record)), path)
 
 
 def write_anomalies(df: DataFrame, path: str, mode: str = "append") -> None:

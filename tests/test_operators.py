@@ -38,24 +38,24 @@ def test_metrics(spark):
     assert rows(table.where("pmid = '9'"), "status") == [("ERROR: parse_fail",)] and table.where("status = 'Missed'").count() == 1
 
 
-OVER = [(0, "QX-2", "", ["tf"], "block", "no regulator", [("QXS2",)]), (1, "QX-2", "QXS2", ["target"], None, "", None), (2, "w65", "WELA", ["tf"], "map", "", None), (3, "ZQP-89", "ZNQ148", ["tf", "target"], "map", "", None)]
+OVER = [(0, "one-1", "", ["tf"], "block", "for no tf", [("FIRST",)]), (1, "one-1", "first", ["target"], None, "", None), (2, "k2", "Second", ["tf"], "map", "", None), (3, "Three/3", "third", ["target", "tf"], "map", "", None)]
 
 
 def test_cascade(spark):
     over = S.normalize_overrides(spark.createDataFrame(OVER, S.OVERRIDES))
     genes = spark.createDataFrame([("MYC", "c-Myc|two", "", "E1", 1), ("MAX", "two|\"maxi\"", "oldmax", "", 2), ("ABC1", None, None, "E3", 3)], "symbol string, alias_symbol string, prev_symbol string, ensembl_gene_id string, ord long")
     cand = A.build_alias_candidates(genes)
-    names = [("QX-2", "tf"), ("QX-2", "target"), ("w65", "tf"), ("w65", "target"), ("ZQP-89", "gene"), ("ZQP-89", "target"), ("", "tf"), (None, "tf"), ("myc", "tf"), ("cmyc", None), ("two", "tf"), ("nope (x)", "tf"), ("oldmax", "gene"), ("maxi", "gene")]
+    names = [("One-1", "tf"), ("one1", "target"), ("K2", "tf"), ("k2", "target"), ("three3", "gene"), ("three3", "target"), ("", "tf"), (None, "tf"), ("myc", "tf"), ("cmyc", None), ("two", "tf"), ("nope (x)", "tf"), ("oldmax", "gene"), ("maxi", "gene")]
     out = A.normalize_genes(spark.createDataFrame(names, "name string, role string"), over, A.official_symbols(genes), cand)
     got = {(r.name, r.role): (r.normalized, r.status) for r in out.collect()}
     assert got == {
-        ("QX-2", "tf"): ("QX-2", "blocked"), ("QX-2", "target"): ("QXS2", "override"), ("w65", "tf"): ("WELA", "override"), ("w65", "target"): ("W65", "unmapped"), ("ZQP-89", "gene"): ("ZQP-89", "unmapped"),
-        ("ZQP-89", "target"): ("ZNQ148", "override"), ("", "tf"): ("", "empty"), (None, "tf"): ("", "empty"), ("myc", "tf"): ("MYC", "identity"), ("cmyc", "gene"): ("MYC", "hgnc_alias"), ("two", "tf"): ("TWO", "ambiguous"),
+        ("One-1", "tf"): ("ONE-1", "blocked"), ("one1", "target"): ("FIRST", "override"), ("K2", "tf"): ("SECOND", "override"), ("k2", "target"): ("K2", "unmapped"), ("three3", "gene"): ("THREE3", "unmapped"),
+        ("three3", "target"): ("THIRD", "override"), ("", "tf"): ("", "empty"), (None, "tf"): ("", "empty"), ("myc", "tf"): ("MYC", "identity"), ("cmyc", "gene"): ("MYC", "hgnc_alias"), ("two", "tf"): ("TWO", "ambiguous"),
         ("nope (x)", "tf"): ("NOPE", "unmapped"), ("oldmax", "gene"): ("MAX", "hgnc_alias"), ("maxi", "gene"): ("MAX", "hgnc_alias"),
     }
     log = A.normalization_log(out)
     assert "MYC" in {r.normalized for r in log.collect()} and log.where("original = ''").count() == 0
-    assert [tuple(c) for c in out.where("name = 'QX-2' and role = 'tf'").first().candidates] == [("QXS2", None, "no regulator")]
+    assert [tuple(c) for c in out.where("name = 'One-1' and role = 'tf'").first().candidates] == [("FIRST", None, "for no tf")]
 
 
 def write(path, text):
@@ -109,8 +109,8 @@ def test_dictionary_files(spark, tmp_path):
     candidates, official = S.read_alias_index(spark, str(tmp_path / "none.json"), legacy)
     assert rows(candidates, "key", "symbol") == [("X1", "MYC")] and rows(official, "symbol") == [("MYC",)]
     assert rows(S.read_ensg_map(spark, legacy), "symbol", "ensg") == [("X1", "MYC")]
-    arrays = write(tmp_path / "o.json", '[{"alias": "w65", "symbol": "WELA", "roles": ["TF "]}, {"alias": "b", "action": "Block"}]')
-    assert rows(S.read_overrides(spark, arrays), "ord", "alias", "roles", "action") == [(0, "w65", ["tf"], "map"), (1, "b", [], "block")]
+    arrays = write(tmp_path / "o.json", '[{"alias": "k2", "symbol": "S", "roles": ["TF "]}, {"alias": "b", "action": "Block"}]')
+    assert rows(S.read_overrides(spark, arrays), "ord", "alias", "roles", "action") == [(0, "k2", ["tf"], "map"), (1, "b", [], "block")]
     assert rows(S.read_overrides(spark, legacy), "alias", "symbol", "roles") == [("X1", "MYC", ["tf", "target"])]
 
 
