@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from curatrix.functions import text as T
+from curatrix.sources.shared import stored
 
 
 def explode_doc_ids(df: DataFrame, column: str = "pmid") -> DataFrame:
@@ -52,9 +53,42 @@ def resolve_ground_truth(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def sample_docs(df: DataFrame, n: int, seed: str = "") -> DataFrame:
-    """All edges of n documents, chosen by a seeded hash of their ids: the same ones whatever the partitioning."""
-    picked = distinct_docs(df).orderBy(F.md5(F.concat(F.lit(seed), "pmid")), "pmid").limit(n)
-    return df.join(picked, "pmid", "left_semi")
+    """All edges of n documents, chosen by a seeded hash of their ids: the same ones whatever the partitioning.
+
+    Where n is large, nothing is sorted as a whole: the hash of the n-th document is narrowed down by counts of hash prefixes, and
+    the documents below it are those that are wanted.
+    """
+    docs = distinct_docs(df).withColumn("_hash", F.md5(F.concat(F.lit(seed), "pmid")))
+    if n <= FEW:
+        return df.join(docs.orderBy("_hash", "pmid").limit(n).select("pmid"), "pmid", "left_semi")
+    docs = stored(docs)
+    below, rest, more = _cut(docs, n)
+    picked = docs.where(below)
+    if rest is not None:
+        picked = picked.unionByName(docs.where(rest).orderBy("_hash", "pmid").limit(more))
+    return df.join(picked.select("pmid"), "pmid", "left_semi")
+
+
+#: Documents that one task may sort, and digits by which a prefix of a hash grows.
+FEW, DIGITS = 10_000, 3
+
+
+def _cut(docs: DataFrame, n: int) -> tuple[Column, Column | None, int]:
+    """Which documents (_hash) are surely among the first n, which few of them may be, and how many of these are.
+
+    Each round counts the documents by the next digits below the prefix found so far: 16 ** DIGITS rows at most, whatever n.
+    """
+    prefix, before = "", 0
+    while True:
+        own = F.substring("_hash", 1, len(prefix) + DIGITS)
+        counts = docs.where(F.col("_hash").startswith(prefix)).groupBy(own.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(W.orderBy("p"))
+        found = counts.select("p", "n", upto.alias("upto")).where(F.col("upto") >= n - before).orderBy("p").limit(1).collect()
+        if not found:
+            return F.lit(True), None, 0
+        prefix, before = found[0].p, before + found[0].upto - found[0].n
+        if found[0].n <= FEW or len(prefix) >= 32:
+            return F.col("_hash") < prefix, F.col("_hash").startswith(prefix), n - before
 
 
 def attach_abstract(sample: DataFrame, abstracts: DataFrame) -> DataFrame:

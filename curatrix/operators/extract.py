@@ -1,19 +1,27 @@
 """Extraction by a caller's client, and what follows from its responses.
 
 The client is any callable from a list of messages (role, content) to a dict with `text` and, if known,
-`request_id`, `input_tokens` and `output_tokens`. Its calls are the only Python in the library: a
-request cannot be a column expression. Write the result before using it twice, or calls are repeated.
+`request_id`, `input_tokens` and `output_tokens`. A request cannot be a column expression, so calls run in Python tasks.
+Write the result before using it twice, or keep the answers in a folder; else calls are repeated.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from curatrix.functions import text as T
+from curatrix.sources.json_object import located
 from curatrix.sources.readers import extraction_rows, extractions_of
 from curatrix.sources.shared import stored
 
@@ -40,22 +48,80 @@ def _usage(answer: dict) -> dict:
     return {"request_id": answer.get("request_id"), "input_tokens": number("input_tokens"), "output_tokens": number("output_tokens")}
 
 
-def extract(df: DataFrame, client: Callable, first: str, second: str, workers: int | None = None, delays=(1, 2, 4)) -> DataFrame:
+ANSWER = "pmid string, round int, asked string, answer struct<text:string,request_id:string,input_tokens:long,output_tokens:long>"
+
+
+def kept_answers(spark: SparkSession, path: str) -> DataFrame | None:
+    """pmid, kept (JSON array) of the answers that earlier runs have left in a folder; None if there is no such folder."""
+    try:
+        df = spark.read.schema(ANSWER).option("recursiveFileLookup", True).option("mode", "DROPMALFORMED").json(path)
+        return df.groupBy("pmid").agg(F.to_json(F.collect_list(F.struct("round", "asked", "answer"))).alias("kept"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+class Answers:
+    """Answers by (document, round), kept in a shared folder as they come: a line for each, in a file of the task attempt that got it.
+
+    An attempt first reads what earlier attempts of its run have left for its part. A line that a lost task has not finished doesn't count.
+    """
+
+    def __init__(self, path: str, part: int):
+        self.fs, self.root = located(path)
+        self.folder = f"{self.root}/part-{part}"
+        self.fs.create_dir(self.folder, recursive=True)
+        self.known: dict[tuple[str, int], dict] = {}
+        for info in self.fs.get_file_info(pa.fs.FileSelector(self.folder)):
+            with self.fs.open_input_stream(info.path) as f:
+                for line in f.read().split(b"\n")[:-1]:
+                    item = json.loads(line)
+                    self.known[item["pmid"], item["round"]] = item
+        self.out = None
+
+    def get(self, pmid: str, n: int, asked: str, earlier: list[dict], call: Callable[[], dict | None]) -> dict | None:
+        """The kept answer to what is asked (earlier: those of other runs), or else the answer of a call, which is then kept unless it is None."""
+        for item in [*filter(None, [self.known.get((pmid, n))]), *earlier]:
+            if item["round"] == n and item["asked"] == asked:
+                return item["answer"]
+        answer = call()
+        if answer is not None:
+            self.out = self.out or self.fs.open_output_stream(f"{self.folder}/{uuid.uuid4().hex}", buffer_size=None)
+            self.out.write((json.dumps({"pmid": pmid, "round": n, "asked": asked, "answer": answer}) + "\n").encode())
+            self.out.flush()
+        return answer
+
+    def close(self) -> None:
+        if self.out:
+            self.out.close()
+
+
+def extract(df: DataFrame, client: Callable, first: str, second: str, workers: int | None = None, delays=(1, 2, 4), answers: str | None = None) -> DataFrame:
     """Two rounds for each document (pmid, text); a failure becomes the error of its row, and never fails the job.
 
-    There are as many calls at once as tasks: those of df, or `workers` where a service takes no more. A lost task repeats its
-    calls, so that many small tasks are better than few large ones.
+    There are as many calls at once as tasks, over all executors: `workers` where a service takes no more, else those of df. With
+    `answers`, a shared folder, an answer is kept as soon as it is there, and no task or later run asks for it again: a lost task costs
+    the call that it was waiting for. What earlier runs have left is joined to the documents; within a run they are dealt by their id
+    to as many parts as there are tasks, and a repeated task reads its part. What was asked is part of an answer's key, so that other
+    texts or templates are asked anew.
     """
+    own = f"{answers}/{uuid.uuid4().hex}" if answers else None
 
-    def one(pmid: str, text: str | None) -> dict:
+    def one(pmid: str, text: str | None, kept: Answers | None, earlier: str | None) -> dict:
         row = dict.fromkeys(("error", "round1_analysis", "round1_usage", "round2_raw", "round2_usage")) | {"pmid": pmid}
+
+        def ask(n: int, messages: list[dict]) -> dict | None:
+            call = lambda: with_retry(client, messages, delays)
+            return kept.get(pmid, n, hashlib.sha256(json.dumps(messages).encode()).hexdigest(), json.loads(earlier or "[]"), call) if kept and pmid is not None else call()
+
         try:
-            ask = [{"role": "user", "content": f"{text or ''}\n\n{first}"}]
-            answer = with_retry(client, ask, delays)
+            messages = [{"role": "user", "content": f"{text or ''}\n\n{first}"}]
+            answer = ask(1, messages)
             if answer is None:
                 return row | {"error": "Round1_API_Error: rate_limit_exhausted"}
             row |= {"round1_analysis": answer.get("text", ""), "round1_usage": _usage(answer)}
-            answer = with_retry(client, [*ask, {"role": "assistant", "content": answer.get("text", "")}, {"role": "user", "content": second}], delays)
+            answer = ask(2, [*messages, {"role": "assistant", "content": answer.get("text", "")}, {"role": "user", "content": second}])
             if answer is None:
                 return row | {"error": "Round2_API_Error: rate_limit_exhausted"}
             return row | {"round2_raw": answer.get("text", ""), "round2_usage": _usage(answer)}
@@ -63,11 +129,22 @@ def extract(df: DataFrame, client: Callable, first: str, second: str, workers: i
             return row | {"error": str(e)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([one(p, t) for p, t in zip(frame["pmid"], frame["text"])], columns=["pmid", "error", "round1_analysis", "round1_usage", "round2_raw", "round2_usage"])
+        kept = Answers(own, TaskContext.get().partitionId()) if own else None
+        try:
+            for frame in frames:
+                yield pd.DataFrame([one(p, t, kept, k) for p, t, k in zip(frame["pmid"], frame["text"], frame["kept"])], columns=["pmid", "error", "round1_analysis", "round1_usage", "round2_raw", "round2_usage"])
+        finally:
+            if kept:
+                kept.close()
 
+    earlier = kept_answers(df.sparkSession, answers) if answers else None
     asked = df.select("pmid", "text")
-    return (asked.repartition(workers) if workers else asked).mapInPandas(run, SCHEMA)
+    asked = asked.withColumn("kept", F.lit(None).cast("string")) if earlier is None else asked.join(earlier, "pmid", "left")
+    if answers:
+        asked = asked.repartition(workers or df.rdd.getNumPartitions(), "pmid")
+    elif workers:
+        asked = asked.repartition(workers)
+    return asked.mapInPandas(run, SCHEMA)
 
 
 def parse_json_edges(df: DataFrame, column: str = "round2_raw") -> tuple[DataFrame, DataFrame]:

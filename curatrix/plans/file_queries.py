@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import aliases as A, edges as E, extract as X, report as R
+from curatrix.operators import aliases as A, curation as C, edges as E, extract as X, report as R
+from curatrix.operators.anomaly_log import AnomalyLog
 from curatrix.sources import json_object as J, readers as S, writers as K
 from curatrix.sources.shared import fresh
 
 from .text_queries import _NAMED, _SECT_CTE, _labelled, _responses, _sectioned
 from .edge_queries import _METRICS, _LINES, edge_metrics
-from .gene_queries import _CAND, ORACLES as _GENES
+from .gene_queries import _BAD, _CAND, ORACLES as _GENES
 from .views import ctes, overrides, view
 
 QUERIES, ORACLES = {}, {}
@@ -226,3 +227,75 @@ def object_debug(spark, d):
     path = fresh(spark)
     K.write_debug(_debug(spark, d), path, rows=False)
     return S.read_debug(spark, path).select("pmid", "round1_analysis", F.col("round1_usage.input_tokens").alias("n"), "round1_usage.request_id")
+
+
+# ---- order: the rank of what was written, by file and place in it, against the rank that was asked for ---
+
+
+def _ranked(df, *columns):
+    """The columns and the number, from 1 on, of rows read with ord."""
+    return C.numbered(df, ["ord"]).select(*columns, "number")
+
+
+@query("order_packed", ctes("truth") + "\nSELECT pmid, row_number() OVER (ORDER BY cast(pmid AS bigint)) AS number FROM (SELECT DISTINCT pmid FROM truth)")
+def order_packed(spark, d):
+    """Packed edges by document stand in numeric order."""
+    path = fresh(spark)
+    K.write_edges_by_doc(E.edges_by_doc(view(spark, d, "truth")), path)
+    return _ranked(S.read_tsv(spark, path, "pmid string, n int, edges string", header=True), "pmid")
+
+
+@query("order_ensg_map", ORACLES["file_ensg_map"].replace("SELECT upper", "SELECT symbol, ensg, row_number() OVER (ORDER BY symbol) AS number FROM (SELECT upper", 1) + ")")
+def order_ensg_map(spark, d):
+    path = fresh(spark)
+    K.write_ensg_map(A.build_ensg_map(view(spark, d, "genes")), path)
+    return _ranked(spark.read.schema("symbol string, ensg string").json(path).select("*", S.file_order().alias("ord")), "symbol", "ensg")
+
+
+@query("order_excluded", ctes("anomalies") + "\nSELECT pmid, row_number() OVER (ORDER BY pmid) AS number FROM (SELECT DISTINCT pmid FROM anomalies)")
+def order_excluded(spark, d):
+    """Excluded documents stand in the order of strings."""
+    path = fresh(spark)
+    K.write_excluded(view(spark, d, "anomalies"), path)
+    return _ranked(spark.read.schema("pmid string").json(path).select("*", S.file_order().alias("ord")), "pmid")
+
+
+@query("order_by_doc", ctes("abstracts") + ", n AS (SELECT CASE WHEN cast(pmid AS bigint) % 5 = 0 THEN 'PMC' || pmid ELSE pmid END AS pmid FROM abstracts)\nSELECT pmid, row_number() OVER (ORDER BY try_cast(pmid AS bigint) NULLS FIRST, pmid) AS number FROM n")
+def order_by_doc(spark, d):
+    """Ids that are numbers in their order, after those that are none."""
+    ids = view(spark, d, "abstracts").select(F.when(F.col("pmid").cast("long") % 5 == 0, F.concat(F.lit("PMC"), "pmid")).otherwise(F.col("pmid")).alias("pmid"))
+    path = fresh(spark)
+    E.order_by_doc(ids).write.text(path)
+    return _ranked(spark.read.text(path).select(F.col("value").alias("pmid"), S.file_order().alias("ord")), "pmid")
+
+
+_LOGGED = ctes("anomalies") + ", n AS (SELECT *, row_number() OVER (ORDER BY anomaly_type <> 'other', pmid, trrust_entry, issue) AS k FROM anomalies)"
+
+
+@query("rewrite_anomalies", _LOGGED + "\nSELECT pmid, trrust_entry, issue, row_number() OVER (ORDER BY k) AS number FROM n WHERE k <> 3")
+def rewrite_anomalies(spark, d):
+    """A log of two appends, from which the third row is removed; it then stands in its old order."""
+    log, rows = AnomalyLog(spark, fresh(spark)), view(spark, d, "anomalies")
+    for part in (rows.where("anomaly_type = 'other'"), rows.where("anomaly_type <> 'other'")):
+        log.append(part.orderBy("pmid", "trrust_entry", "issue"))
+    log.remove(3)
+    return log.listed().select("pmid", "trrust_entry", "issue", "number")
+
+
+@query("append_log", _LOGGED + rf""", c AS (SELECT *, {_BAD} AS reject_reason FROM n WHERE anomaly_type <> 'other')
+SELECT pmid, trrust_entry, issue, reject_reason, CASE WHEN reject_reason IS NULL THEN row_number() OVER (PARTITION BY reject_reason IS NULL ORDER BY k) + (SELECT count(*) FROM n WHERE anomaly_type = 'other') END AS number FROM c
+UNION ALL SELECT pmid, trrust_entry, issue, NULL, k FROM n WHERE anomaly_type = 'other'""")
+def append_log(spark, d):
+    """Rows that can be accepted follow the log; the others come with their reason. Who has read the first version keeps it."""
+    log, rows = AnomalyLog(spark, fresh(spark)), view(spark, d, "anomalies").orderBy("pmid", "trrust_entry", "issue")
+    log.append(rows.where("anomaly_type = 'other'"))
+    rejected = log.add(rows.where("anomaly_type <> 'other'"))
+    kept = log.listed().select("pmid", "trrust_entry", "issue", F.lit(None).cast("string").alias("reject_reason"), "number")
+    return kept.unionByName(rejected.select("pmid", "trrust_entry", "issue", "reject_reason", F.lit(None).cast("long").alias("number")))
+
+
+@query("sample_many", ctes("truth") + f", s AS (SELECT DISTINCT pmid FROM truth), k AS (SELECT pmid, row_number() OVER (ORDER BY md5('9' || pmid), pmid) AS k, count(*) OVER () AS n FROM s)\nSELECT t.* FROM truth t JOIN k USING (pmid) WHERE k * 3 <= n")
+def sample_many(spark, d):
+    """A third of all documents, by counts of hash prefixes."""
+    truth = view(spark, d, "truth")
+    return E.sample_docs(truth, E.distinct_docs(truth).count() // 3, "9")

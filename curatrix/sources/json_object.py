@@ -44,7 +44,7 @@ _STEP[_OPEN], _STEP[_CLOSE] = 1, -1
 # ---- files ---------------------------------------------------------------------------------------------
 
 
-def _located(path: str) -> tuple[pa.fs.FileSystem, str]:
+def located(path: str) -> tuple[pa.fs.FileSystem, str]:
     if "://" in path:
         return pa.fs.FileSystem.from_uri(path)
     return pa.fs.LocalFileSystem(), path.removeprefix("file:")
@@ -52,7 +52,7 @@ def _located(path: str) -> tuple[pa.fs.FileSystem, str]:
 
 def list_files(path: str) -> list[tuple[str, int]]:
     """Files and sizes of a path: itself, or those in a folder, but for hidden ones. None if it is missing."""
-    fs, at = _located(path)
+    fs, at = located(path)
     prefix = path[: len(path) - len(at)] if path.endswith(at) else ""
     info = fs.get_file_info(at)
     if info.type == pa.fs.FileType.File:
@@ -67,7 +67,7 @@ class Source:
     """A file, read from any place on."""
 
     def __init__(self, file: str):
-        fs, at = _located(file)
+        fs, at = located(file)
         self.handle = fs.open_input_file(at)
 
     def bytes(self, start: int, end: int) -> bytes:
@@ -310,7 +310,7 @@ class _Writer(DataSourceWriter):
         self.folder = f"{self.path}.parts-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        fs, folder = _located(self.folder)
+        fs, folder = located(self.folder)
         fs.create_dir(folder, recursive=True)
         parts, out, last = [], None, ...
         for row in rows:
@@ -318,7 +318,7 @@ class _Writer(DataSourceWriter):
                 if out:
                     out.close()
                 file, last = f"{self.folder}/{uuid.uuid4().hex}", row.member
-                out = fs.open_output_stream(_located(file)[1])
+                out = fs.open_output_stream(located(file)[1])
                 parts.append((row.member, row.key is not None, file))
             else:
                 out.write(b",\n")
@@ -328,7 +328,7 @@ class _Writer(DataSourceWriter):
         return _Fragments(TaskContext.get().partitionId(), parts)
 
     def commit(self, messages: list[_Fragments]) -> None:
-        fs, target = _located(self.path)
+        fs, target = located(self.path)
         if not self.overwrite and fs.get_file_info(target).type != pa.fs.FileType.NotFound:
             self.abort(messages)
             raise FileExistsError(self.path)
@@ -357,7 +357,7 @@ class _Writer(DataSourceWriter):
         self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        fs, folder = _located(self.folder)
+        fs, folder = located(self.folder)
         if fs.get_file_info(folder).type != pa.fs.FileType.NotFound:
             fs.delete_dir(folder)
 

@@ -73,8 +73,8 @@ def read_track_tfs(spark: SparkSession, path: str) -> DataFrame:
     return track_tfs(spark.read.text(path))
 
 
-def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
-    """The anomaly log: malformed lines and rows without pmid are dropped; a missing file is an empty table."""
+def read_anomalies(spark: SparkSession, path: str, part: Column | None = None) -> DataFrame:
+    """The anomaly log: malformed lines and rows without pmid are dropped; a missing file is an empty table. With part, also ord, which begins with it."""
     try:
         df = spark.read.schema(ANOMALIES).option("mode", "DROPMALFORMED").json(path)
         df.schema  # noqa: B018  the path is checked on analysis
@@ -82,6 +82,8 @@ def read_anomalies(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], ANOMALIES)
+    if part is not None:
+        df = df.select("*", F.struct(part.alias("part"), *[file_order()[c].alias(c) for c in ("file", "start", "line")]).alias("ord"))
     return df.where(F.coalesce(T.strip("pmid"), F.lit("")) != "")
 
 

@@ -184,6 +184,79 @@ def test_extraction_keeps_failures_as_rows(spark):
     assert X.with_retry(lambda m: (_ for _ in ()).throw(X.RateLimited()), [], sleep=waits.append) is None and waits == [1, 2, 4] and not calls
 
 
+@pytest.mark.parametrize("workers", [1, 3])
+def test_a_killed_task_repeats_no_answered_call(spark, tmp_path, workers):
+    """A client that ends its Python worker once, in the middle: calls are counted in a file, answers are kept."""
+    log, flag, folder = str(tmp_path / "calls"), str(tmp_path / "killed"), f"file:{tmp_path}/answers"
+
+    def client(messages):
+        with open(log, "a") as f:
+            f.write(f"{messages[0]['content'].split()[0]} {len(messages)}\n")
+        if messages[0]["content"].startswith("d13 ") and not os.path.exists(flag):
+            open(flag, "w").close()
+            os._exit(1)
+        return {"text": "t" * len(messages), "input_tokens": 1}
+
+    df = spark.createDataFrame([(str(i), f"d{i} text") for i in range(40)], "pmid string, text string")
+    ask = lambda first="Q": X.extract(df, client, first, "J", workers, answers=folder)
+    with pytest.raises(Exception, match="crashed|exited|EOF"):
+        ask().collect()
+    before = len(open(log).read().split("\n")) - 1
+    got = ask().collect()
+    assert sorted(r.pmid for r in got) == sorted(str(i) for i in range(40)) and all(r.round1_analysis == "t" and r.round2_raw == "ttt" and r.round1_usage.input_tokens == 1 and r.error is None for r in got)
+    calls = open(log).read().split("\n")[:-1]
+    assert 80 < len(calls) <= 80 + workers and len(set(calls)) == 80 and calls.count("d13 1") == 2  # each task may lose the call that it is waiting for
+    assert 0 < before < len(calls)
+    ask().collect()
+    assert len(X.extract(df, client, "Q", "J", workers + 1, answers=folder).collect()) == 40 and open(log).read().split("\n")[:-1] == calls  # later runs ask nothing, whatever their parts
+    ask("other").collect()
+    assert len(open(log).read().split("\n")[:-1]) == len(calls) + 80  # another template is another question
+
+
+def test_attempts_of_one_run_read_what_earlier_ones_left(tmp_path):
+    kept = X.Answers(str(tmp_path / "a"), 3)
+    assert kept.get("1", 1, "q", [], lambda: {"text": "x"}) == {"text": "x"} and kept.get("2", 1, "q", [], lambda: None) is None
+    name = next((tmp_path / "a/part-3").iterdir())
+    with open(name, "a") as f:
+        f.write('{"pmid": "9", "round": 1, "as')  # cut off
+    again = X.Answers(str(tmp_path / "a"), 3)
+    assert again.get("1", 1, "q", [], lambda: {"text": "new"}) == {"text": "x"} and again.get("1", 1, "other", [], lambda: {"text": "new"}) == {"text": "new"} and again.get("9", 1, "q", [], lambda: {"text": "y"}) == {"text": "y"}
+
+
+def test_a_log_is_rewritten_while_it_is_read(spark, tmp_path):
+    from curatrix.operators.anomaly_log import AnomalyLog, ChangedMeanwhile
+
+    entry = lambda *pmids: spark.createDataFrame([(p, "other", "A->B (x)", f"issue {p}", None, None) for p in pmids], S.ANOMALIES)
+    log = AnomalyLog(spark, f"file:{tmp_path}/log")
+    assert log.version() == 0 and log.read().count() == 0 and log.listed().count() == 0
+    log.append(entry("7", "3").coalesce(1))
+    rejected = log.add(entry("5", "x"))
+    assert [r.pmid for r in rejected.collect()] == ["x"] and rows(log.listed(), "number", "pmid") == [(1, "7"), (2, "3"), (3, "5")]
+    seen, reader = log.version(), log.read()
+    assert log.remove(2) == 3 and rows(log.listed(), "number", "pmid") == [(1, "7"), (2, "5")]
+    assert rows(reader, "pmid") == [("3",), ("5",), ("7",)] == rows(log.read(seen), "pmid")  # who reads a version stays on it
+    with pytest.raises(ChangedMeanwhile):
+        log.rewrite(entry("1"), based_on=seen)
+    (tmp_path / "log/versions/00000004.json").write_text('["da')  # a writer that has not finished, or never will
+    assert AnomalyLog(spark, f"file:{tmp_path}/log").version() == 3 and rows(log.read(), "pmid") == [("5",), ("7",)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 400, 999, 1000, 5000])
+def test_large_samples_equal_sorted_ones(spark, monkeypatch, n):
+    df = spark.range(2000).select((F.col("id") % 1000).cast("string").alias("pmid"), "id")
+    small = rows(E.sample_docs(df, n, "s"), "pmid", "id")
+    monkeypatch.setattr(E, "FEW", 7)
+    monkeypatch.setattr(E, "DIGITS", 1)
+    assert rows(E.sample_docs(df, n, "s"), "pmid", "id") == small and len(small) == 2 * min(n, 1000)
+
+
+def test_a_large_sample_has_no_single_task_that_sorts_it(spark):
+    df = spark.range(60_000).select(F.col("id").cast("string").alias("pmid"))
+    out = E.sample_docs(df, 20_000, "s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 20_000 and "TakeOrderedAndProject(limit=20000" not in plan
+
+
 def test_sections_and_prompts(spark):
     df = spark.createDataFrame([("1", 0, "A", "x"), ("1", 1, "B", "y"), ("1", 2, "A", "z")], "pmid string, ord int, label string, text string")
     assert rows(D.dedupe_sections(df), "label", "ord", "text") == [("A", 0, "z"), ("B", 1, "y")]
@@ -217,6 +290,15 @@ def test_query_equals_its_sql(spark, sf, name):
     assert mine and mine == key(want.select(", ".join(f'"{c}"' for c in columns)).fetchall())
 
 
+def test_the_cascade_has_every_status(spark, sf):
+    assert {r.status for r in QUERIES["normalize_genes"](spark, sf).select("status").distinct().collect()} == set(A.STATUSES)
+
+
+def test_a_third_is_missed(spark, sf):
+    m = QUERIES["edge_metrics"](spark, sf).first()
+    assert 0.2 < m.total_missed / m.total_gt < 0.6
+
+
 def test_metric_totals_agree(spark, sf):
     m = QUERIES["edge_metrics"](spark, sf).first()
     assert m.total_matched_gt + m.total_missed == m.total_gt and m.total_consistent + m.total_conflict + m.total_new_found + m.total_new == m.total_llm
