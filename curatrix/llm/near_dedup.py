@@ -14,7 +14,7 @@ are verified on full sets; nothing is capped.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component; a
 text under five words is one shingle; a long text has all its shingles. component_id is the least doc_id reached, null doc_ids aside (null
-if there is no other). Repeated rows link like any equal texts. Other columns are never read.
+if there is no other). Repeated rows link like any equal texts. An empty table gives an empty result. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .components import components
-from .kernels import LOWER, U, by_doc, flat, mix, span_hashes, spans, words
+from .kernels import LOWER, U, by_doc, flat, lean, mix, span_hashes, spans, words
 from .scratch import Scratch, filtered, with_uid
 
 PLACES, ROWS, WIDTH, PERCENT = 128, 4, 5, 75
 #: Bits of a sketch; they decide how many dissimilar pairs are seen as such without their full sets.
 BITS = 2048
 BLOCK_ROWS = 1024
+#: Rows of an Arrow batch: documents, or pairs with the sets of both.
+ARROW_ROWS = 2000
 #: Elements dealt at a time, at PLACES bytes each.
 PART = 1 << 19
 #: Rounds in which a bucket's members are checked against one of them.
@@ -123,6 +125,7 @@ def _possible(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tup
     return apart, (100 + PERCENT) * apart <= (100 - PERCENT) * (n + m)
 
 
+@lean
 def _sign(batches):
     bands = PLACES // ROWS
     salt = mix(np.arange(1, bands + 1, dtype=U))
@@ -159,6 +162,7 @@ def _sign(batches):
         )
 
 
+@lean
 def _sets(batches):
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
@@ -176,12 +180,14 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
+@lean
 def _verify(batches):
     for batch in batches:
         keep = [_similar(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)) for x, y in zip(batch.column("x"), batch.column("y"))]
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+@lean
 def _alike(batches):
     for batch in batches:
         x, y = (np.frombuffer(flat(batch.column(c))[0].tobytes(), U).reshape(batch.num_rows, BITS // 64) for c in ("x", "y"))
@@ -284,6 +290,11 @@ def _rest(member: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame,
 
 def near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """uid, doc_id, n_shingles, component_id, first (whether the row stands for its component) of docs (uid, doc_id, text)."""
+    with scratch.small_batches(ARROW_ROWS):
+        return _near_groups(docs, scratch)
+
+
+def _near_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     signed = scratch.save(docs.select("uid", "doc_id", "text").mapInArrow(_sign, "uid long, doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary"))
     full = signed.where("n_shingles > 0")
     classes = scratch.save(full.groupBy("n_shingles", "key1", "key2").agg(F.min("uid").alias("cls"), F.min("doc_id").alias("least"), F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), "uid")).alias("head")))

@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, the warehouse, or a temp folder under a local master."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file:" + tempfile.mkdtemp(prefix="spark-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+from curatrix.sources.shared import shared_dir
 
 
 class Scratch:
@@ -43,6 +35,17 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    @contextlib.contextmanager
+    def small_batches(self, rows: int):
+        """Tables that are saved meanwhile go to Python in Arrow batches of so many rows at most."""
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, str(rows))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(name, before)
+
     def numbered(self, df: DataFrame) -> tuple[DataFrame, str]:
         """df with a row number that stays with its row however scans are split among executors, and that column's name, which no other has.
 
