@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .folds import fold
-from .kernels import LOWER, NO_LETTER, U, by_doc, flat, look_up, span_hashes, spans, words
+from .kernels import LOWER, NO_LETTER, U, by_doc, flat, lean, look_up, span_hashes, spans, words
 from .scratch import Scratch, filtered
 
 MAX_LABELLED = 1 << 18
@@ -40,6 +40,7 @@ def _tokens(buf: np.ndarray, offsets: np.ndarray):
     return starts, ends, first, span_hashes(buf, starts, ends)
 
 
+@lean
 def _count(batches):
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
@@ -84,24 +85,30 @@ def token_scores(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[
 
 
 def maximal_segments(score: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (first, end, score) of a sequence, in time linear in its positives."""
+    """All maximal-scoring segments (first, end, score) of a sequence, in time linear in its positives.
+
+    Each segment is linked to the last one before it with a smaller sum to its left. What a search passes over by a link is never
+    looked at again: the segment that is put down there is linked past it, and one that is joined to another takes over its link.
+    """
     total = np.concatenate([[0.0], np.cumsum(score)])
     plus = np.flatnonzero(score > 0)
-    found: list[tuple[int, int, float, float]] = []  # first, end, sum before it, sum with it
+    first: list[int] = []
+    end, before, upto, link = [], [], [], []  # of each segment; sums before it and with it
     for i, left, right in zip(plus.tolist(), total[plus].tolist(), total[plus + 1].tolist()):
-        begin, end = i, i + 1
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= right:
-                found.append((begin, end, left, right))
-                break
-            begin, left = found[j][0], found[j][2]
-            del found[j:]
-    return [(a, b, r - l) for a, b, l, r in found]
-
-
+        begin, j = i, len(first) - 1
+        while j >= 0 and before[j] >= left:
+            j = link[j]
+        while j >= 0 and upto[j] < right:
+            begin, left, k = first[j], before[j], link[j]
+            for x in (first, end, before, upto, link):
+                del x[j:]
+            j = k
+        for x, v in ((first, begin), (end, i + 1), (before, left), (upto, right), (link, j)):
+            x.append(v)
+    return [(a, b, r - l) for a, b, l, r in zip(first, end, before, upto)]
+
+
+@lean
 def _segment(batches, model):
     table, score, scale = model.value
     for batch in batches:
