@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .folds import fold
-from .kernels import LOWER, U, add_up, by_doc, flat, look_up, span_hashes, spans, words
+from .kernels import LOWER, U, add_up, by_doc, flat, lean, look_up, span_hashes, spans, words
 from .scratch import Scratch
 
 DEPTH, CUT = 5, 3
@@ -34,6 +34,8 @@ LEAST_SHARE = 2.0**-22
 FOLDS, HELD_OUT = 7, 2
 DEAL_ROWS = 200_000
 _BLOCK = 1 << 21
+#: Rows that a counter holds.
+COUNTED = 1 << 21
 _END_WORD = 0  # the end token's key; a word's hash is never taken as 0
 
 
@@ -68,19 +70,32 @@ class _Counter:
         total = np.bincount(at, all_, len(k)).astype(np.int64)
         self.parts.append((k, np.bincount(at, taught, len(k)).astype(np.int64), total))
         self.rows += len(k)
-        if self.rows > 1 << 22:
+
+    def over(self, most: int):
+        """What is gathered, compacted and handed out, if it is more than `most` rows; grouping adds it up with what comes later."""
+        if self.rows > most:
             self.compact()
+            if self.rows > most // 2:
+                parts, self.parts, self.rows = self.parts, [], 0
+                yield from parts
 
     def compact(self) -> None:
         if len(self.parts) > 1:
             k, t, n = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
-            self.parts, self.rows = [], -(1 << 40)
+            self.parts, self.rows = [], 0
             self.add(k, t, n)
-            self.rows = len(self.parts[0][0])
 
 
+@lean
 def _count(batches):
     tables = {0: _Counter(), 1: _Counter()}
+
+    def out(kind, parts):
+        for keys, n, total in parts:
+            for a in range(0, len(keys), 1 << 16):
+                cut = slice(a, a + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), kind), pa.int32()), pa.array(keys[cut].view(np.int64)), pa.array(n[cut]), pa.array(total[cut])], ["kind", "key", "n", "total"])
+
     for batch in batches:
         buf, offsets = flat(batch.column("text"))
         taught = np.asarray(batch.column("taught")).astype(np.float64)
@@ -89,12 +104,10 @@ def _count(batches):
             tables[1].add(_strings(b, o), np.repeat(taught[i:j], np.diff(o)))
             keys, first = _word_keys(b, o)
             tables[0].add(np.concatenate([keys, np.full(j - i, _END_WORD, U)]), np.concatenate([taught[i:j][by_doc(first, len(keys))], taught[i:j]]))
+            for kind, table in tables.items():
+                yield from out(kind, table.over(COUNTED))
     for kind, table in tables.items():
-        table.compact()
-        for keys, n, total in table.parts:
-            for a in range(0, len(keys), 1 << 16):
-                cut = slice(a, a + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[cut]), kind), pa.int32()), pa.array(keys[cut].view(np.int64)), pa.array(n[cut]), pa.array(total[cut])], ["kind", "key", "n", "total"])
+        yield from out(kind, table.over(-1))
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
