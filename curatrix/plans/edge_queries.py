@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
-from curatrix.operators import edges as E, evaluate as V, report as R
+from curatrix.operators import edges as E, evaluate as V, pieces as P, report as R
 
 from .views import ctes, iso, norm, view
 
@@ -137,6 +137,12 @@ def pack_edges(spark, d):
     return E.edges_by_doc(view(spark, d, "truth"))
 
 
+@query("pack_pieces", ORACLES["pack_edges"])
+def pack_pieces(spark, d):
+    """The same from pieces of two edges."""
+    return P.joined(P.edge_pieces(view(spark, d, "truth"), 2))
+
+
 @query("unpack_edges", ctes("truth") + ", k AS (SELECT *, row_number() OVER (PARTITION BY pmid ORDER BY ord) - 1 AS pos FROM truth WHERE direction <> 'Unknown')\nSELECT pmid, pos AS ord, tf, target, direction FROM k")
 def unpack_edges(spark, d):
     from curatrix.sources.readers import unpack_by_doc

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curatrix.operators import aliases as A, curation as C, edges as E, extract as X, report as R
+from curatrix.operators import aliases as A, curation as C, edges as E, extract as X, pieces as P, report as R
 from curatrix.operators.anomaly_log import AnomalyLog
 from curatrix.sources import json_object as J, readers as S, writers as K
 from curatrix.sources.shared import fresh
@@ -229,6 +229,17 @@ def object_debug(spark, d):
     return S.read_debug(spark, path).select("pmid", "round1_analysis", F.col("round1_usage.input_tokens").alias("n"), "round1_usage.request_id")
 
 
+# ---- documents in pieces -------------------------------------------------------------------------------
+
+
+@query("file_packed_pieces", ORACLES["file_packed"])
+def file_packed_pieces(spark, d):
+    """Packed edges whose lines are written piece by piece, three edges to each at most."""
+    path = fresh(spark)
+    K.write_edge_pieces(P.edge_pieces(view(spark, d, "truth"), 3), path)
+    return S.read_edges_by_doc(spark, path)
+
+
 # ---- order: the rank of what was written, by file and place in it, against the rank that was asked for ---
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
-from curatrix.operators import aliases as A, curation as C, edges as E, report as R, review as V
+from curatrix.operators import aliases as A, curation as C, edges as E, pieces as P, report as R, review as V
 from curatrix.sources import readers as S
 
 from .views import clean, compact, ctes, overrides, overrides_cte, view
@@ -162,6 +162,14 @@ def review_dataset(spark, d):
     return data.withColumn("pairs", F.array_join(F.transform("pairs", lambda p: F.concat_ws("/", p.ord.cast("string"), p.tf, p.gene, p.ensg, p.in_track.cast("string"), F.array_join(p.tf_aliases, ","), F.array_join(p.gene_aliases, ","), p.reference_direction)), ";"))
 
 
+@query("review_pieces", _PAIRS + """, n AS (SELECT *, (row_number() OVER (PARTITION BY pmid ORDER BY ord) - 1) // 2 AS k FROM pairs)
+SELECT pmid, count(DISTINCT ord) AS n, string_agg(concat_ws('/', ord, tf, target, ensg), ';' ORDER BY ord) AS pairs FROM n GROUP BY pmid""")
+def review_pieces(spark, d):
+    """Pairs in pieces of two, put beside each other again."""
+    pieces = P.review_pieces(_pairs(spark, d), 2).withColumn("text", F.array_join(F.transform("pairs", lambda p: F.concat_ws("/", p.ord.cast("string"), p.tf, p.gene, p.ensg)), ";"))
+    return pieces.groupBy("pmid").agg(F.sum(F.size("pairs")).cast("long").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x.text), ";").alias("pairs"))
+
+
 @query("review_coverage", _PAIRS + "\nSELECT count(DISTINCT pmid) AS documents, count(*) AS pairs, count(*) FILTER (in_track) AS tf_in_track, count(*) FILTER (NOT in_track) AS tf_missing, count(*) FILTER (ensg_status <> 'missing') AS ensg_resolved, count(*) FILTER (ensg_status = 'missing') AS ensg_missing FROM pairs")
 def review_coverage(spark, d):
     return V.review_coverage(_pairs(spark, d))
@@ -233,6 +241,13 @@ def export_anomalies(spark, d):
     return C.export_anomalies(view(spark, d, "anomalies")).withColumn("entries", F.array_join(F.transform("entries", lambda e: F.concat(e.anomaly_type, F.lit(" "), e.trrust_entry, F.lit(": "), e.issue)), ";"))
 
 
+@query("anomaly_pieces", ctes("anomalies") + "\nSELECT pmid, string_agg(anomaly_type || ' ' || trrust_entry || ': ' || issue, ';' ORDER BY anomaly_type, trrust_entry, issue) AS entries FROM anomalies GROUP BY pmid")
+def anomaly_pieces(spark, d):
+    """Anomalies of a document, one to a piece, put beside each other again."""
+    pieces = P.anomaly_pieces(view(spark, d, "anomalies"), 1).withColumn("text", F.array_join(F.transform("entries", lambda e: F.concat(e.anomaly_type, F.lit(" "), e.trrust_entry, F.lit(": "), e.issue)), ";"))
+    return pieces.groupBy("pmid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda x: x.text), ";").alias("entries"))
+
+
 @query("excluded_table", ctes("anomalies") + "\nSELECT pmid, anomaly_type, trrust_entry, issue FROM anomalies")
 def excluded_table(spark, d):
     return R.excluded_table(view(spark, d, "anomalies"))

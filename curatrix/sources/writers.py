@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from curatrix.functions import text as T
-from curatrix.sources import json_object as J
+from curatrix.sources import json_object as J, lines as L
 
 
 def by_doc(df: DataFrame) -> DataFrame:
@@ -21,6 +21,13 @@ def write_edges_by_doc(df: DataFrame, path: str) -> None:
     by_doc(df).select(F.col("pmid").alias("PMID"), F.col("n").alias("Relationship_Count"), F.col("relationships").alias("Relationships")).write.option("sep", "\t").option("header", True).option("quote", "").csv(path)
 
 
+def write_edge_pieces(pieces: DataFrame, path: str) -> None:
+    """pmid, piece, n, relationships as the packed table that write_edges_by_doc writes, its lines put together piece by piece."""
+    whole = pieces.join(pieces.groupBy("pmid").agg(F.sum("n").alias("total")), "pmid")
+    head = F.concat_ws("\t", "pmid", F.col("total").cast("string"), F.lit(""))
+    L.write_lines(whole, path, "pmid", [F.col("pmid").try_cast("bigint"), F.col("piece")], head, F.col("relationships"), "PMID\tRelationship_Count\tRelationships", "; ")
+
+
 def json_string(c: Column | str) -> Column:
     """A string as JSON text."""
     quoted = F.to_json(F.array(c))

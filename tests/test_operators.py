@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatrix.functions import text as T
-from curatrix.operators import aliases as A, curation as C, documents as D, edges as E, evaluate as V, extract as X, report as R, review as W
+from curatrix.operators import aliases as A, curation as C, documents as D, edges as E, evaluate as V, extract as X, pieces as P, report as R, review as W
 from curatrix.plans import ORACLES, QUERIES
 from curatrix.sources import readers as S, writers as K
 
@@ -90,6 +90,21 @@ def test_order_follows_files_however_they_are_dealt(spark, tmp_path):
     assert ordered == ["A", *(f"A{i}" for i in range(3000)), "A"]
 
 
+def test_a_document_of_millions_of_edges_is_written_in_pieces(spark, tmp_path):
+    """No piece has over 100,000 edges, the line is whole and in order, and other documents stand before and after it."""
+    edges = spark.range(2_000_000).select(F.when(F.col("id") < 1_999_000, "9").otherwise((F.col("id") % 20).cast("string")).alias("pmid"), F.col("id").alias("ord"), F.concat(F.lit("A"), F.pmod(F.col("id") * 7919, F.lit(2_000_000)).cast("string")).alias("tf"), F.lit("B").alias("target"), F.lit("Activation").alias("direction"))
+    pieces = P.edge_pieces(edges)
+    sizes = pieces.groupBy("pmid").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("n")).where("pmid = '9'").first()
+    assert sizes.most <= 100_000 and sizes.pieces >= 20 and sizes.n == 1_999_050
+    K.write_edge_pieces(pieces, str(tmp_path / "packed"))
+    lines = [x for f in sorted((tmp_path / "packed").glob("part-*")) for x in f.read_text().splitlines()[1:]]
+    assert [x.split("\t")[0] for x in lines] == sorted((str(i) for i in range(20)), key=int)
+    pmid, n, packed = next(x for x in lines if x.startswith("9\t")).split("\t")
+    entries = packed.split("; ")
+    assert int(n) == len(entries) == 1_999_050 and all(e == f"A{i * 7919 % 2_000_000}->B(Activation)" for i, e in enumerate(entries[:1_999_000]))
+    assert not list((tmp_path / "packed").glob("_pending*"))
+
+
 def test_dictionary_files(spark, tmp_path):
     path = write(tmp_path / "d.tsv", 'hgnc_id\tsymbol\talias_symbol\tprev_symbol\tensembl_gene_id\n1\tMYC\t"c-Myc|two"\t\tE1\n2\tMAX\ttwo\told-max\tE2\n')
     genes = S.read_gene_dictionary(spark, path)
