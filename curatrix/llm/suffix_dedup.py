@@ -8,9 +8,13 @@ a batch's distinct seeds, its distinct runs by content, and, where a seed has ru
 windows of those runs. Each kind gives the batch a sorted array of fingerprints with their first rows.
 
 Entries are dealt by fingerprint, so that no deal is hot: a fingerprint has one entry for each batch at most. In a
-deal, batches come in their order. Each one is scanned against the levels as they stand, which hold earlier
-documents only; what they don't hold becomes a new level, and levels of like size merge, so that there are
-few. A run or window that a level or the batch itself has for a smaller doc_id is removed.
+deal, batches come in their order; neighbours with few keys there go together. They are scanned against the levels as they
+stand, which hold earlier documents only, and against each other; what is new becomes a level, and levels of like size
+merge, so that there are few. A run or window that a level or the batch itself has for a smaller doc_id is removed.
+
+What is sorted are fingerprints of runs and windows, not the suffixes' text: a suffix array of all positions would take many
+times the input. Work in a deal follows its keys, whatever the number of batches. Rows between stages are one for each (batch,
+deal) with keys in common, and one for each key at most.
 
 Text moves by batch; what deals send back are arrays by batch. A document beyond PIECE bytes is indexed
 piece by piece, with windows across their borders.
@@ -293,39 +297,80 @@ class Family:
         self.levels.append(new)
 
 
+#: Keys that are scanned at once: neighbouring batches that have few keys in a deal go together.
+TOGETHER = 1 << 15
+
+
+def _together(batches):
+    """Runs of neighbouring batches with TOGETHER keys, or a batch of its own that has more."""
+    group, n = [], 0
+    for b in batches:
+        group.append(b)
+        n += b[3]
+        if n >= TOGETHER:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
+def _by_batch(group, places: np.ndarray):
+    """For each batch of a group, which of the ascending places among all their keys are its own, and where these are in it."""
+    edge = np.cumsum([0, *(b[3] for b in group)])
+    cut = np.searchsorted(places, edge)
+    for k, b in enumerate(group):
+        if cut[k + 1] > cut[k]:
+            mine = places[cut[k] : cut[k + 1]]
+            yield b, mine, (mine - edge[k]).astype(np.uint32)
+
+
 def _earlier(batches) -> list:
     """For each batch: its keys that an earlier one has, and the first row's number that has each."""
     family, out = Family(), []
-    for kind, deal, number, n, data in batches:
-        one, two, row = _columns(data, n, np.uint32, U, np.uint16)
-        holder = np.full(n, -1, np.int64)
+    for group in _together(batches):
+        columns = [_columns(data, n, np.uint32, U, np.uint16) for _, _, _, n, data in group]
+        one, two = (np.concatenate([c[i] for c in columns]) for i in (0, 1))
+        number = np.concatenate([b[2] + c[2].astype(np.int64) for b, c in zip(group, columns)])
+        holder = np.full(len(one), -1, np.int64)
         for level, found, at in family.scan(one, two):
             holder[found] = level[2][at]
-        new = holder < 0
-        family.add(one[new], two[new], number + row[new].astype(np.int64))
-        at = np.flatnonzero(~new)
-        if len(at):
-            out.append((kind, deal, number, len(at), at.astype(np.uint32).tobytes() + holder[at].tobytes()))
+        # Among the group's own keys the first row's number counts.
+        order = np.lexsort((number, two, one))
+        fresh = np.ones(len(one), bool)
+        fresh[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+        first = order[fresh]
+        least = np.empty(len(one), np.int64)
+        least[order] = number[first][np.cumsum(fresh) - 1]
+        new = first[holder[first] < 0]
+        later = (holder < 0) & (least != number)
+        holder[later] = least[later]
+        family.add(one[new], two[new], number[new])
+        for (kind, deal, batch, _, _), mine, at in _by_batch(group, np.flatnonzero(holder >= 0)):
+            out.append((kind, deal, batch, len(at), at.tobytes() + holder[mine].tobytes()))
     return out
 
 
 def _mixed(batches) -> list:
     """For each batch: its seeds that have runs of several contents, in all batches together."""
     family, out = Family(), []
-    for _, _, _, n, data in batches:
-        one, content = _columns(data, n, np.uint32, U)
-        new = np.ones(n, bool)
+    for group in _together(batches):
+        one, content = (np.concatenate(x) for x in zip(*(_columns(data, n, np.uint32, U) for _, _, _, n, data in group)))
+        order = np.argsort(one, kind="stable")
+        one, content = one[order], content[order]
+        start = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
+        low, high = np.minimum.reduceat(content, start), np.maximum.reduceat(content, start)
+        one, content = one[start], np.where(low == high, low, U(0))
+        new = np.ones(len(one), bool)
         for level, found, at in family.scan(one):
             new[found] = False
             differ = level[1][at] != content[found]
             level[1][at[differ]] = 0
         family.add(one[new], content[new].copy())
-    for kind, deal, number, n, data in batches:
-        one = _columns(data, n, np.uint32)[0]
+    for group in _together(batches):
+        one = np.concatenate([_columns(data, n, np.uint32)[0] for _, _, _, n, data in group])
         bad = [found[level[1][at] == 0] for level, found, at in family.scan(one)]
-        bad = np.concatenate(bad) if bad else np.zeros(0, np.int64)
-        if len(bad):
-            out.append((kind, deal, number, len(bad), np.sort(bad).astype(np.uint32).tobytes()))
+        for (kind, deal, number, _, _), _, at in _by_batch(group, np.sort(np.concatenate(bad)) if bad else np.zeros(0, np.int64)):
+            out.append((kind, deal, number, len(at), at.tobytes()))
     return out
 
 

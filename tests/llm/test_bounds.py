@@ -150,3 +150,41 @@ def test_whole_scores_equal_a_plain_version(spark):
     assert [r.predicted for r in out] == [int(s >= 0.3) for s in score]
     toxic = [i for i, (_, t) in enumerate(docs) if t and re.search("vile|nasty|awful|groß", t.lower())]
     assert np.mean([out[i].predicted for i in toxic]) > 0.85 and np.mean([r.predicted for k, r in enumerate(out) if k not in set(toxic)]) < 0.03
+
+
+def test_deals_give_the_same_however_batches_go_together(monkeypatch):
+    """Random keys that many batches share: marks by batch are those of one batch at a time, and of a plain dictionary."""
+    from curatrix.llm import suffix_dedup
+
+    rng = np.random.default_rng(4)
+    runs, seeds, plain, holders = [], [], {}, {}
+    for b in range(60):
+        one = np.unique(rng.integers(0, 900, rng.integers(1, 40)).astype(np.uint32))
+        two, row = (one * 7 % 5).astype(np.uint64), rng.integers(0, 1000, len(one)).astype(np.uint16)
+        content = rng.integers(1, 3, len(one)).astype(np.uint64) * np.uint64(b % 3 > 0)
+        runs.append((1, 0, b << 20, len(one), one.tobytes() + two.tobytes() + row.tobytes()))
+        seeds.append((0, 0, b << 20, len(one), one.tobytes() + content.tobytes()))
+        want = [(i, holders[k]) for i, k in enumerate(one.tolist()) if k in holders]
+        plain[b << 20] = want
+        for k, r in zip(one.tolist(), row.tolist()):
+            holders.setdefault(k, (b << 20) + r)
+    whole = suffix_dedup._earlier(runs), suffix_dedup._mixed(seeds)
+    for most in (1, 50, 300):
+        monkeypatch.setattr(suffix_dedup, "TOGETHER", most)
+        assert (suffix_dedup._earlier(runs), suffix_dedup._mixed(seeds)) == whole
+    got = {b: list(zip(*(x.tolist() for x in suffix_dedup._columns(data, n, np.uint32, np.int64)))) for _, _, b, n, data in whole[0]}
+    assert got == {b: w for b, w in plain.items() if w}
+
+
+def test_many_small_batches_of_a_deal_take_no_longer():
+    from curatrix.llm import suffix_dedup
+
+    rng = np.random.default_rng(0)
+    took = []
+    for n in (100, 10_000):
+        k = 200_000 // n
+        batches = [(1, 0, i << 20, k, np.sort(rng.integers(0, 1 << 31, k).astype(np.uint32)).tobytes() + rng.integers(0, 1 << 60, k).tobytes() + bytes(2 * k)) for i in range(n)]
+        began = time.perf_counter()
+        suffix_dedup._earlier(batches)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.3
