@@ -188,3 +188,88 @@ def test_many_small_batches_of_a_deal_take_no_longer():
         suffix_dedup._earlier(batches)
         took.append(time.perf_counter() - began)
     assert took[1] < 5 * took[0] + 0.3
+
+
+def drawn(doc_id, seed=0):
+    """The number from 0 to 1 that decides about a document, by another library's hash."""
+    import struct
+
+    import xxhash
+
+    h = 42 if doc_id is None else xxhash.xxh64_intdigest(struct.pack("<q", doc_id), seed=42)
+    return (xxhash.xxh64_intdigest(struct.pack("<i", seed), seed=h) >> 11) / 2**53
+
+
+def test_the_draw_of_the_mixing_stage(spark, sf):
+    """Kept documents are those whose number is under their cell's probability."""
+    import brute
+    from curatrix.llm import mixing
+    from curatrix.llm.scratch import with_uid
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    described = mixing.described(with_uid(docs, Scratch(spark)).join(docs.select("doc_id", "source", "lang"), "doc_id")).collect()
+    cells = collections.Counter()
+    for r in described:
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    # Raking in dictionaries: each marginal in turn is brought to what the default targets ask for, full cells are held while more is wanted.
+    total, want = sum(cells.values()), brute.power_shares(dict(cells), mixing.POWER, mixing.KEEP_SHARE)
+    expected = {c: mixing.KEEP_SHARE * n for c, n in cells.items() if n}
+    for _ in range(400):
+        for k in range(3):
+            asked, has, held = collections.Counter(), collections.Counter(), collections.Counter()
+            for c, x in expected.items():
+                asked[c[k]] += want[c] * mixing.KEEP_SHARE * total
+                has[c[k]] += x
+                held[c[k]] += x if x >= cells[c] * (1 - 1e-12) else 0
+            for c, x in expected.items():
+                more, full = asked[c[k]] > has[c[k]], x >= cells[c] * (1 - 1e-12)
+                if not (more and full):
+                    free = has[c[k]] - held[c[k]] if more else has[c[k]]
+                    expected[c] = min(cells[c], x * ((asked[c[k]] - held[c[k]] if more else asked[c[k]]) / free if free else 1.0))
+    kept = {r.doc_id for r in mixing.stage(spark, docs, sf).select("doc_id").collect()}
+    sure = 0
+    for r in described:
+        tokens = cells[r.source, r.lang, r.topic]
+        p = expected[r.source, r.lang, r.topic] / tokens if tokens else 1.0
+        if abs(drawn(r.doc_id) - p) > 0.005:
+            sure += 1
+            assert (r.doc_id in kept) == (drawn(r.doc_id) < p)
+    assert sure > 0.9 * len(described) and len(kept) < len(described)
+
+
+def test_the_toxicity_stage_drops_what_is_predicted_toxic_and_nothing_else(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.toxic_scores(docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), labels, Scratch(spark)).select("doc_id", "predicted").collect()
+    out = toxicity.stage(spark, docs, sf)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in scored if not r.predicted)
+
+
+def test_outside_targets_for_source_language_and_topic(spark):
+    """Weights that are given for all three marginals are met, and the draw follows them."""
+    from curatrix.llm import mixing
+
+    rng = np.random.default_rng(2)
+    rows = [(f"s{i}", f"l{j}", f"t{k}", int(rng.integers(2_000, 9_000))) for i in range(3) for j in range(2) for k in range(4)]
+    cells = Scratch(spark).save(spark.createDataFrame(rows, "source string, lang string, topic string, tokens long"))
+    given = {"source": {"s0": 0.5, "s1": 0.3, "s2": 0.2}, "lang": {"l0": 0.7, "l1": 0.3}, "topic": {"t0": 0.4, "t1": 0.3, "t2": 0.2, "t3": 0.1}}
+    targets = {c: spark.createDataFrame(list(g.items()), f"{c} string, share double") for c, g in given.items()}
+    fitted, off = mixing.rake(cells, targets, Scratch(spark), keep_share=0.2)
+    out = fitted.toPandas()
+    assert off < 1e-4
+    for c, g in given.items():
+        assert all(abs(out[out[c] == v]["expected"].sum() / out["expected"].sum() - x) < 2e-4 for v, x in g.items())
+
+
+def test_the_genetic_search_saves_sequences_where_best_fit_leaves_some():
+    """Pieces of a fifth to half of a sequence: no more sequences than best fit gives, fewer in the end, never under the bound."""
+    from curatrix.llm import packing
+
+    saved = []
+    for seed in range(3):
+        sizes = np.random.default_rng(seed).integers(400, 1100, 1024)
+        first = packing.evolve(sizes, np.random.default_rng(seed), 2048, population=1, children=0)[0].max() + 1
+        pool = packing.evolve(sizes, np.random.default_rng(seed), 2048, children=40)
+        best = pool[0].max() + 1
+        assert np.bincount(pool[0], sizes).max() <= 2048 and -(-sizes.sum() // 2048) <= best <= first
+        saved.append(first - best)
+    assert sum(saved) > 0
