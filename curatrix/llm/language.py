@@ -9,7 +9,8 @@ Everything is worked out once for each distinct token of all documents: its coun
 that training has, and the fallback of the others. N-grams that make up GRAM_SHARE of all of their length are broadcast; what
 they leave open is joined with the other n-grams, exactly. Tokens that make up LEAST_SHARE of all
 are broadcast with their scores, which bounds that table at 1 / LEAST_SHARE entries; the others' scores are
-joined to the documents by key, exactly. One number for each language goes with a token: languages are few.
+joined to the documents by key, exactly. One number for each language goes with a token; with over LANGUAGES languages both
+shares rise, so that the broadcast's size has a bound. The driver holds the list of languages.
 
 Defined results: und with score 0 where the text is null or has no letter, or nothing was learned; equal
 scores go to the first language by name; rows without lang teach nothing; repeated rows count each; an empty table gives
@@ -28,6 +29,8 @@ from .scratch import Scratch
 
 LEAST_SHARE = 2.0**-21
 GRAM_SHARE = 2.0**-19
+#: With more languages, shares grow with their number, so that what is broadcast holds LANGUAGES / share numbers at most.
+LANGUAGES = 8
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 _ASCII_LETTER = ~NO_LETTER
@@ -117,6 +120,11 @@ def _back_off(batches, n: int, shared):
         yield pa.RecordBatch.from_arrays([pa.array(own[word]), pa.array(kind), pa.array(grams.view(np.int64)), *(pa.nulls(m, pa.int64()) for _ in range(2)), *(pa.nulls(m, pa.float64()) for _ in range(n))], names)
 
 
+def _share(least: float, n: int) -> float:
+    """The share from which a key is broadcast with a number for each of n languages."""
+    return least * max(1.0, n / LANGUAGES)
+
+
 def _sorted(table: pa.Table, key: str, n: int):
     """Keys in order, and the values of each."""
     keys = np.asarray(table.column(key)).view(U)
@@ -143,7 +151,7 @@ def token_scores(docs: DataFrame, langs: list[str], scratch: Scratch) -> DataFra
         return scratch.save(seen)
     model, rest = {}, None
     for row in by_kind:  # one row for each length
-        often = sum((F.col(c) for c in columns), F.lit(0)) >= GRAM_SHARE * sum(row[c] or 0 for c in columns)
+        often = sum((F.col(c) for c in columns), F.lit(0)) >= _share(GRAM_SHARE, n) * sum(row[c] or 0 for c in columns)
         part = grams.where(F.col("kind") == row["kind"])
         model[row["kind"]] = _sorted(part.where(often).select("gram", *logs(row, row["types"])).toArrow(), "gram", n)
         part = part.where(~often).select("kind", "gram", *logs(row, row["types"]))
@@ -202,7 +210,7 @@ def predict(docs: DataFrame, held, scratch: Scratch) -> DataFrame:
     if not n:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     tokens = token_scores(teaching, langs, scratch)
-    often = F.col("total") >= LEAST_SHARE * (tokens.agg(F.sum("total")).first()[0] or 0)
+    often = F.col("total") >= _share(LEAST_SHARE, n) * (tokens.agg(F.sum("total")).first()[0] or 0)
     model = _sorted(tokens.where(often).toArrow(), "key", n)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sums = _names(n, "s")

@@ -410,6 +410,7 @@ def test_language_equals_word_by_word_scoring(spark, monkeypatch, share):
     rows = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr"), ("der hund und die katze", "de"), ("the dogs catch", None), ("chiens", "fr"), ("zzz qqq", None), ("Hündchen THE xx", None), ("123", "en"), (None, "de"), ("", None), ("katzen katzen", None)] * 4)]
     monkeypatch.setattr(language, "LEAST_SHARE", share)
     monkeypatch.setattr(language, "GRAM_SHARE", share)
+    monkeypatch.setattr(language, "LANGUAGES", 1)  # the shares then grow with the three languages
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "uid long, doc_id long, text string, lang string")
     out = {r.doc_id: r for r in language.predict(docs, F.col("doc_id") % 4 == 2, Scratch(spark)).collect()}
     want = brute.language([(d, t, x if d % 4 != 2 else None) for d, t, x in rows])
