@@ -276,6 +276,8 @@ def read_entries(spark: SparkSession, path: str, level: int = 1, member: str | N
     even = sum(size for _, size in files) // spark.sparkContext.defaultParallelism
     range_bytes = range_bytes or min(RANGE, max(LEAST_RANGE, even))
     ranges = [Range(f, i, min(i + range_bytes, size)) for f, size in files for i in range(0, size, range_bytes)]
+    if not ranges:
+        return spark.createDataFrame([], ENTRIES)
     if any(r.start for r in ranges):
         states = {(x.file, x.start): x for x in _read(spark, ranges, mode="states").collect()}
         for before, r in zip(ranges, ranges[1:]):

@@ -71,6 +71,15 @@ def test_texts_that_end_too_soon(tmp_path, text):
         scanned(str(path))
 
 
+def test_empty_and_missing_files(spark, tmp_path):
+    (tmp_path / "x.json").write_text("")
+    assert J.read_entries(spark, str(tmp_path / "x.json")).collect() == [] and J.read_entries(spark, str(tmp_path)).count() == 0
+    (tmp_path / "y.json").write_text('{"a": 1}')
+    assert [(r.file.rsplit("/", 1)[1], r.key) for r in J.read_entries(spark, f"file:{tmp_path}").collect()] == [("y.json", "a")]
+    with pytest.raises(FileNotFoundError):
+        J.read_entries(spark, str(tmp_path / "none.json"))
+
+
 def test_a_file_is_read_by_many_tasks(spark, tmp_path):
     path = str(tmp_path / "x.json")
     data = {f"k{i}": [{"i": i, "s": "\\\"{" * (i % 5)}] for i in range(5000)}
