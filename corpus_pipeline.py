@@ -1,4 +1,15 @@
-"""A training-data pipeline over the documents table; each stage is written and read again."""
+"""A training-data pipeline over the documents table; each stage is written and read again.
+
+Toxic documents go, then all but one of equal texts, then all but one of each near-duplicate group; the draw of mixing keeps an
+expected share; packing gives the pieces of what is left. Each stage works on all rows that its predecessor kept, whole texts
+and all columns of them, and all but the last return these columns.
+
+Defined results: null and empty texts have no toxic passage, are equal to each other, have no near copy, are drawn as others of
+their source, language and empty topic are, and make one piece of one id. A null doc_id is an id of its own, null source and lang are values of their own;
+repeated rows are equal texts, of which one stays; of equal doc_ids in one group one row stays. Long texts are whole in every
+stage. Columns of the table that have names of an operator's own stay as they are. An empty table gives an empty result; without
+labels nothing is toxic.
+"""
 
 from __future__ import annotations
 

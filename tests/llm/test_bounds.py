@@ -273,3 +273,52 @@ def test_the_genetic_search_saves_sequences_where_best_fit_leaves_some():
         assert np.bincount(pool[0], sizes).max() <= 2048 and -(-sizes.sum() // 2048) <= best <= first
         saved.append(first - best)
     assert sum(saved) > 0
+
+
+@pytest.fixture(scope="module")
+def huge(spark, tmp_path_factory):
+    """A text of 1.5 MB of words, its copy with one word more, one of a single word of 1 MB, and small ones."""
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(2, 9, 4000)]
+    long = " ".join(rng.choice(words, 250_000))
+    rows = [(1, long), (2, long + " more"), (3, "x" * 1_000_000), (4, "a few words " * 20), (5, None)]
+    folder = str(tmp_path_factory.mktemp("huge"))
+    spark.createDataFrame([(i, t, "en" if i % 2 else "de", f"s{i % 2}", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(1, 6)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, dict(rows)
+
+
+@pytest.mark.parametrize("name", ["op1_group_packing", "op2_host_rules", "op3_raking", "op4_block_naming", "op5_context_tree", "op6_word_backoff", "op7_suffix_levels", "op8_repair_shards", "op9_segments", "op10_super_minhash", "op12_virtual_slots"])
+def test_texts_of_more_than_a_megabyte(spark, huge, name):
+    import hashlib
+
+    from curatrix.llm.registry import QUERIES
+
+    folder, texts = huge
+    out = collections.defaultdict(list)
+    for r in QUERIES[name](spark, folder).collect():
+        out[r.doc_id].append(r)
+    assert sorted(out) == [1, 2, 3, 4, 5] and (name == "op1_group_packing" or all(len(v) == 1 for v in out.values()))
+    one = {k: v[0] for k, v in out.items()}
+    words = {i: (t or "").split() for i, t in texts.items()}
+    if name == "op1_group_packing":
+        assert all(sorted(r.piece for r in v) == list(range(len(v))) and sum(r.length for r in v) > len(words[i]) for i, v in out.items())
+    elif name == "op2_host_rules":
+        assert all(one[i].n_words == len(words[i]) and one[i].word_chars == sum(map(len, words[i])) for i in texts)
+    elif name == "op3_raking":
+        assert one[1].n_tokens == 250_000 and one[2].n_tokens == 250_001
+    elif name == "op4_block_naming":
+        assert all(one[i].text_sha256 == hashlib.sha256((t or "").lower().encode()).hexdigest() and one[i].keep_id == i for i, t in texts.items())
+    elif name == "op5_context_tree":
+        assert all(one[i].n_tokens == len(words[i]) + 1 for i in texts) and one[3].bits_per_byte < one[1].bits_per_byte
+    elif name == "op7_suffix_levels":
+        assert one[1].n_removed == 0 and one[2].n_removed == len(texts[1]) and one[2].n_bytes == len(texts[2]) and one[2].kept_sha256 == hashlib.sha256(b" more").hexdigest()
+    elif name == "op8_repair_shards":
+        starts = sorted((r.start, r.n_tokens) for r in one.values())
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and one[1].n_tokens > 250_000
+    elif name == "op10_super_minhash":
+        assert one[2].component_id == 1 and not one[2].kept and one[3].n_shingles == 1 and one[1].n_shingles == len({tuple(words[1][k : k + 5]) for k in range(249_996)})
+    elif name == "op12_virtual_slots":
+        assert all(one[i].text_crc32 == zlib.crc32((t or "").encode()) and one[i]["size"] == len((t or "").encode()) + 1 for i, t in texts.items())
+    else:
+        assert all(0 <= r.score <= 1 for r in one.values())
