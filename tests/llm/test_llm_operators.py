@@ -45,6 +45,7 @@ def table(spark, folder, rows, labels):
     docs = [(*r, 0, True, "u", 1, 2, 3.0, "n", b"b", 4) for r in rows]
     spark.createDataFrame(docs, f"doc_id long, text string, lang string, source string, n_chars long, {clash}").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
 
 
