@@ -5,7 +5,9 @@ bytes before it, d = 0 to DEPTH (zero bytes before a text). Every node has a Kri
 its weighted probability is half its own estimate and half the product of its children's, which mixes the
 predictions of all depths; a node without data predicts as the deepest one above it that has some. The counts of a node come from byte strings of length DEPTH + 1 counted over all
 training texts, so the whole tree follows from one table of strings. Strings are dealt by their last
-CUT context bytes; deeper levels are computed within a deal, the rest by grouping over all.
+CUT context bytes; deeper levels are computed within a deal, the rest by grouping over all. A context of CUT bytes
+with more than DEAL_ROWS strings is no deal of its own: its strings are dealt by one context byte more, of which each value
+has 65,536 strings at most, and its level CUT comes by grouping, too.
 
 Scoring looks each position's string up. Strings and words that make up LEAST_SHARE of their kind are
 broadcast, which bounds that table at 1 / LEAST_SHARE entries; all others are joined by key, exactly.
@@ -138,8 +140,8 @@ def _mask(depth: int) -> np.uint64:
     return U((1 << (8 * depth + 8)) - 1)
 
 
-def _climb(strings: np.ndarray, n: np.ndarray):
-    """Levels from DEPTH up to CUT; node keys are context bytes, then the bits of the byte so far after a 1."""
+def _climb(strings: np.ndarray, n: np.ndarray, cut: int):
+    """Levels from DEPTH up to cut; node keys are context bytes, then the bits of the byte so far after a 1."""
     sym, context = strings & U(0xFF), strings >> U(8)
     keys, ones = [], []
     for bit in range(8):
@@ -148,7 +150,7 @@ def _climb(strings: np.ndarray, n: np.ndarray):
     one = np.concatenate(ones).astype(np.float64)
     count = np.tile(n.astype(np.float64), 8)
     levels = [_level(np.concatenate(keys), count * (1 - one), count * one, None)]
-    for depth in range(DEPTH - 1, CUT - 1, -1):
+    for depth in range(DEPTH - 1, cut - 1, -1):
         k, a, b, _, w, _ = levels[-1]
         levels.append(_level(k & _mask(depth), a, b, w))
     return levels, one
@@ -161,15 +163,20 @@ def _descend(k, a, b, own, weighted, at_parent, acc, rest, p, leaf: bool):
     return acc[at_parent] + rest[at_parent] * stop * p, rest[at_parent] * (1 - stop), p
 
 
+def _cut(deal: int) -> int:
+    """Context bytes that a deal goes by: negative deals hold parts of large contexts."""
+    return CUT if deal >= 0 else CUT + 1
+
+
 def _up(frame: pd.DataFrame) -> pd.DataFrame:
-    levels, _ = _climb(frame["key"].to_numpy().view(U), frame["n"].to_numpy())
+    levels, _ = _climb(frame["key"].to_numpy().view(U), frame["n"].to_numpy(), _cut(frame["deal"].iloc[0]))
     k, a, b, own, w, _ = levels[-1]
     return pd.DataFrame({"deal": frame["deal"].iloc[0], "key": k.view(np.int64), "a": a, "b": b, "own": own, "log_w": w})
 
 
 def _down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     strings, n = left["key"].to_numpy().view(U), left["n"].to_numpy()
-    levels, one = _climb(strings, n)
+    levels, one = _climb(strings, n, _cut(left["deal"].iloc[0]))
     order = np.argsort(right["key"].to_numpy().view(U))
     acc, rest, p = (right[c].to_numpy()[order] for c in ("acc", "rest", "p"))
     at = np.arange(len(acc))
@@ -183,32 +190,54 @@ def _down(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": left["key"], "total": left["total"], "value": bits})
 
 
+def _context(depth: int):
+    return F.expr(f"shiftright(key, 8) & {(1 << (8 * depth)) - 1}L")
+
+
+def dealt_strings(strings: DataFrame, scratch: Scratch) -> DataFrame:
+    """deal, key, n, total of strings (key, n, total); parts of contexts with more than DEAL_ROWS strings have negative deals."""
+    sizes = scratch.save(strings.groupBy(_context(CUT).alias("context")).agg(F.count(F.lit(1)).alias("strings")))
+    deals = max(1, -(-(sizes.agg(F.sum("strings")).first()[0] or 0) // DEAL_ROWS))
+    large = scratch.save(sizes.where(F.col("strings") > DEAL_ROWS).select("context", F.lit(True).alias("large")))
+    scratch.drop(sizes)
+    deal = lambda depth: F.pmod(F.xxhash64(_context(depth)), F.lit(deals)).cast("int")
+    placed = strings.withColumn("context", _context(CUT)).join(large, "context", "left")
+    return placed.select(F.when(F.col("large"), -1 - deal(CUT + 1)).otherwise(deal(CUT)).alias("deal"), "key", "n", "total")
+
+
+def _above(below: DataFrame, depth: int) -> DataFrame:
+    """The nodes of a depth from those one deeper."""
+    sums = below.groupBy(F.col("key").bitwiseAND(F.lit(int(_mask(depth)))).alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_w").alias("children"))
+    level = sums.withColumn("own", _sql_log_kt("a", "b"))
+    high, low = F.greatest("own", "children"), F.least("own", "children")
+    return level.withColumn("log_w", high + F.log1p(F.exp(low - high)) - float(np.log(2))).drop("children")
+
+
+def _below(top: DataFrame, lower: DataFrame, depth: int) -> DataFrame:
+    """lower, the nodes one deeper than those of top at a depth, with what came down to them: acc0, rest0, p0."""
+    stop = F.exp(F.least(F.lit(0.0), F.col("own") - float(np.log(2)) - F.col("log_w")))
+    here = F.when(F.col("a") + F.col("b") > 0, (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).otherwise(F.col("p0"))
+    done = top.select(F.col("key").alias("parent"), (F.col("acc0") + F.col("rest0") * stop * here).alias("acc0"), (F.col("rest0") * (1 - stop)).alias("rest0"), here.alias("p0"))
+    return lower.withColumn("parent", F.col("key").bitwiseAND(F.lit(int(_mask(depth))))).join(done, "parent").drop("parent")
+
+
 def string_scores(strings: DataFrame, scratch: Scratch) -> DataFrame:
     """key, total, value (log10 of the last byte's probability) of strings (key, n, total)."""
-    deals = max(1, -(-strings.count() // DEAL_ROWS))
-    context = F.expr(f"shiftright(key, 8) & {(1 << (8 * CUT)) - 1}L")
-    dealt = strings.select(F.pmod(F.xxhash64(context), F.lit(deals)).cast("int").alias("deal"), "key", "n", "total")
+    dealt = dealt_strings(strings, scratch)
     cut = scratch.save(dealt.select("deal", "key", "n").groupBy("deal").applyInPandas(_up, "deal int, key long, a double, b double, own double, log_w double"))
+    parts = cut.where("deal < 0")
+    joined = scratch.save(_above(parts, CUT)).withColumn("deal", F.lit(None).cast("int"))
+    cut = cut.where("deal >= 0").unionByName(joined)
     # Levels above CUT, over all deals: each is a grouping of the one below.
-    levels, below = [], cut
+    levels, below = [cut], cut
     for depth in range(CUT - 1, -1, -1):
-        keyed = below.withColumn("key", F.col("key").bitwiseAND(F.lit(int(_mask(depth)))))
-        sums = keyed.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_w").alias("children"))
-        own = _sql_log_kt("a", "b")
-        level = sums.withColumn("own", own)
-        high, low = F.greatest("own", "children"), F.least("own", "children")
-        level = scratch.save(level.withColumn("log_w", high + F.log1p(F.exp(low - high)) - float(np.log(2))).drop("children"))
-        levels.append(level)
-        below = level
-    top = levels[-1].select("key", "a", "b", "own", "log_w", F.lit(0.0).alias("acc0"), F.lit(1.0).alias("rest0"), F.lit(0.5).alias("p0"))
+        below = scratch.save(_above(below, depth))
+        levels.append(below)
+    top = below.select("key", "a", "b", "own", "log_w", F.lit(0.0).alias("acc0"), F.lit(1.0).alias("rest0"), F.lit(0.5).alias("p0"))
     for depth in range(CUT):
-        stop = F.exp(F.least(F.lit(0.0), F.col("own") - float(np.log(2)) - F.col("log_w")))
-        here = F.when(F.col("a") + F.col("b") > 0, (F.col("b") + 0.5) / (F.col("a") + F.col("b") + 1)).otherwise(F.col("p0"))
-        done = top.select("key", (F.col("acc0") + F.col("rest0") * stop * here).alias("acc0"), (F.col("rest0") * (1 - stop)).alias("rest0"), here.alias("p0"))
-        lower = cut if depth == CUT - 1 else levels[CUT - 2 - depth]
-        parent = F.col("key").bitwiseAND(F.lit(int(_mask(depth))))
-        top = scratch.save(lower.withColumn("parent", parent).join(done.withColumnRenamed("key", "parent"), "parent").drop("parent"))
-    seed = top.select("deal", "key", F.col("acc0").alias("acc"), F.col("rest0").alias("rest"), F.col("p0").alias("p"))
+        top = scratch.save(_below(top, levels[CUT - 1 - depth], depth))
+    seed = top.where("deal is not null").unionByName(_below(top.where("deal is null"), parts, CUT))
+    seed = seed.select("deal", "key", F.col("acc0").alias("acc"), F.col("rest0").alias("rest"), F.col("p0").alias("p"))
     return dealt.groupBy("deal").cogroup(seed.groupBy("deal")).applyInPandas(_down, "key long, total long, value double")
 
 

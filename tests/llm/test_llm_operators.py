@@ -392,6 +392,18 @@ def test_context_tree(spark, odd):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and abs(r.score - score) < 1e-6 * max(1, abs(score))
 
 
+def test_context_tree_splits_large_contexts(spark, odd, monkeypatch):
+    docs = Scratch(spark).save(spark.read.parquet(f"{odd}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
+    scores = lambda: got(context_tree.tree_scores(docs, Scratch(spark)).select("doc_id", "n_known", F.round("score", 6), F.round("base_score", 6)), "*")
+    whole = scores()
+    monkeypatch.setattr(context_tree, "DEAL_ROWS", 40)
+    assert scores() == whole
+    strings = Scratch(spark).save(spark.range(3000).selectExpr("(id % 3) * 256 + id * 4294967296L AS key", "id % 5 AS n", "id % 5 + 1 AS total"))
+    dealt = Scratch(spark).save(context_tree.dealt_strings(strings, Scratch(spark)))
+    # Three contexts of 1,000 strings each are cut, and no string is lost.
+    assert dealt.count() == 3000 and dealt.where("deal >= 0").count() == 0 and dealt.select("deal").distinct().count() > 3
+
+
 def test_context_tree_joins_what_is_not_broadcast(spark, odd, monkeypatch):
     docs = Scratch(spark).save(spark.read.parquet(f"{odd}/documents.parquet").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"))
     whole = got(context_tree.tree_scores(docs, Scratch(spark)).select("doc_id", "n_known", F.round("score", 6), F.round("base_score", 6)), "*")
