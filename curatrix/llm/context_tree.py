@@ -54,6 +54,28 @@ def _strings(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _look_up_strings(table: np.ndarray, strings: np.ndarray) -> np.ndarray:
+    """look_up of strings, which leave 16 bits for a place: sorted with their places in blocks, so that a search runs through the table in order."""
+    out = np.empty(len(strings), np.int64)
+    for a in range(0, len(strings), 1 << 16):
+        block = strings[a : a + (1 << 16)]
+        packed = np.sort((block << U(16)) | np.arange(len(block), dtype=U))
+        out[a + (packed & U(0xFFFF)).astype(np.int64)] = look_up(table, packed >> U(16))
+    return out
+
+
+def _tally(strings: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct strings, how often each occurs where taught is 1, and how often at all; sorted with taught as a bit, which needs no inverse."""
+    if not len(strings):
+        return strings, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    packed = np.sort((strings << U(1)) | taught.astype(U))
+    start = np.flatnonzero(np.append(True, packed[1:] != packed[:-1]))
+    n, packed = np.diff(np.append(start, len(packed))), packed[start]
+    key = packed >> U(1)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n * (packed & U(1)).astype(np.int64), first), np.add.reduceat(n, first)
+
+
 def _word_keys(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[buf]
     starts, ends, first = words(low, offsets)
@@ -73,6 +95,10 @@ class _Counter:
         self.parts.append((k, np.bincount(at, taught, len(k)).astype(np.int64), total))
         self.rows += len(k)
 
+    def add_strings(self, strings: np.ndarray, taught: np.ndarray) -> None:
+        self.parts.append(_tally(strings, taught))
+        self.rows += len(self.parts[-1][0])
+
     def over(self, most: int):
         """What is gathered, compacted and handed out, if it is more than `most` rows; grouping adds it up with what comes later."""
         if self.rows > most:
@@ -103,7 +129,7 @@ def _count(batches):
         taught = np.asarray(batch.column("taught")).astype(np.float64)
         for i, j in spans(offsets, _BLOCK):
             b, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            tables[1].add(_strings(b, o), np.repeat(taught[i:j], np.diff(o)))
+            tables[1].add_strings(_strings(b, o), np.repeat(taught[i:j], np.diff(o)))
             keys, first = _word_keys(b, o)
             tables[0].add(np.concatenate([keys, np.full(j - i, _END_WORD, U)]), np.concatenate([taught[i:j][by_doc(first, len(keys))], taught[i:j]]))
             for kind, table in tables.items():
@@ -270,7 +296,7 @@ def _score(batches, shared):
         for i, j in spans(offsets, _BLOCK):
             b, o = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             strings = _strings(b, o)
-            at = look_up(string_keys, strings)
+            at = _look_up_strings(string_keys, strings)
             value = np.where(at >= 0, string_values[at] if len(string_values) else 0.0, 0.0)
             score = add_up(value, o)
             miss = np.flatnonzero(at < 0)
