@@ -322,3 +322,21 @@ def test_texts_of_more_than_a_megabyte(spark, huge, name):
         assert all(one[i].text_crc32 == zlib.crc32((t or "").encode()) and one[i]["size"] == len((t or "").encode()) + 1 for i, t in texts.items())
     else:
         assert all(0 <= r.score <= 1 for r in one.values())
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 65_536, 200_001])
+def test_strings_tallied_and_looked_up_like_plain_ones(n):
+    rng = np.random.default_rng(n)
+    # Few and many repeats, the least and the largest string among them.
+    strings = np.where(rng.random(n) < 0.5, rng.integers(0, 50, n), rng.integers(0, 1 << 48, n)).astype(np.uint64)
+    strings[:2] = [0, (1 << 48) - 1][: len(strings[:2])]
+    taught = rng.integers(0, 2, n).astype(np.float64)
+    want = {}
+    for k, t in zip(strings.tolist(), taught.tolist()):
+        a, b = want.get(k, (0, 0))
+        want[k] = a + int(t), b + 1
+    keys, some, every = context_tree._tally(strings, taught)
+    assert keys.tolist() == sorted(want) and list(zip(some.tolist(), every.tolist())) == [want[k] for k in sorted(want)]
+    table = keys[::2]
+    place = {k: i for i, k in enumerate(table.tolist())}
+    assert context_tree._look_up_strings(table, strings).tolist() == [place.get(k, -1) for k in strings.tolist()]
