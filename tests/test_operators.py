@@ -320,3 +320,24 @@ def test_metric_totals_agree(spark, sf):
     m = QUERIES["edge_metrics"](spark, sf).first()
     assert m.total_matched_gt + m.total_missed == m.total_gt and m.total_consistent + m.total_conflict + m.total_new_found + m.total_new == m.total_llm
     assert m.total_consistent and m.total_conflict and m.total_new_found and m.total_new
+
+
+def agrees(spark, folder, texts, *names):
+    """The queries on documents of these (language, text) against their SQL."""
+    import duckdb
+
+    docs = [(i, t, lang, "web", len(t)) for i, (lang, t) in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    for name in names:
+        df = QUERIES[name](spark, str(folder))
+        wanted = con.execute(f"SELECT {', '.join(df.columns)} FROM ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(wanted, key=str), name
+
+
+def test_cues_end_where_words_of_any_script_do(spark, tmp_path):
+    told = "Un ado parañado. Va para\u0301. Otro para el.\u00a0Más,para! PARA\x0b"
+    agrees(spark, tmp_path, [("es", told), ("en", "Rugbyé by ýby.\u2003by \u3000"), ("fr", "of the_ of the² of the.")], "cue_sentences", "mechanism_sentences", "perturbation_sentences")
+    df = spark.createDataFrame([("1", told)], "pmid string, text string")
+    assert rows(D.cue_sentences(df, cues=["para"]), "pos", "sentence") == [(2, "Otro para el."), (3, "Más,para!"), (4, "PARA")]
