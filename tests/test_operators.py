@@ -341,3 +341,7 @@ def test_cues_end_where_words_of_any_script_do(spark, tmp_path):
     agrees(spark, tmp_path, [("es", told), ("en", "Rugbyé by ýby.\u2003by \u3000"), ("fr", "of the_ of the² of the.")], "cue_sentences", "mechanism_sentences", "perturbation_sentences")
     df = spark.createDataFrame([("1", told)], "pmid string, text string")
     assert rows(D.cue_sentences(df, cues=["para"]), "pos", "sentence") == [(2, "Otro para el."), (3, "Más,para!"), (4, "PARA")]
+
+
+def test_last_sections_without_text_stay(spark, tmp_path):
+    agrees(spark, tmp_path, [("fr", "A."), ("es", "É"), ("en", "A"), ("en", ""), ("fr", ""), ("de", ""), ("en", "\u00a0x y\u3000"), ("es", " \x0b\n "), ("de", "plain\u2003")], "document_blocks", "file_blocks")
