@@ -345,3 +345,20 @@ def test_cues_end_where_words_of_any_script_do(spark, tmp_path):
 
 def test_last_sections_without_text_stay(spark, tmp_path):
     agrees(spark, tmp_path, [("fr", "A."), ("es", "É"), ("en", "A"), ("en", ""), ("fr", ""), ("de", ""), ("en", "\u00a0x y\u3000"), ("es", " \x0b\n "), ("de", "plain\u2003")], "document_blocks", "file_blocks")
+
+
+def test_line_items_are_dealt_once_with_their_own_columns(spark, sf):
+    from curatrix.plans import text_queries as Q
+    from curatrix.plans.views import view
+
+    plan = Q._responses(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Window") > plan.index("ObjectHashAggregate")
+    assert "mutagenesis" not in plan[plan.index("Exchange hashpartitioning") :]
+    assert view(spark, sf, "pred").columns[:2] == ["pmid", "pos"] and dict(view(spark, sf, "truth").dtypes)["ord"] == "bigint"
+
+
+def test_extraction_rows_of_odd_results(spark):
+    texts = ['[{"TF":"A","tf":"a","TARGET":"B","confidence":3,"Evidence":null},7,null,"x",[1],{}]', '{"error":"late"}', '{"tf":"A"}', '"text"', "[]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "pmid int, t string").select("pmid", F.try_parse_json("t").alias("v"))
+    got = {r.pmid: (r.error, r.n_items, [tuple(e) for e in r.edges]) for r in S.extraction_rows(df).collect()}
+    assert got == {0: (None, 6, [(0, "a", "B", "", "3", ""), (5, "", "", "", "", "")]), 1: ("late", 0, []), 2: (None, 0, []), 3: (None, 0, []), 4: (None, 0, [])}
