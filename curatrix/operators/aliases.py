@@ -14,16 +14,26 @@ STATUSES = ["empty", "override", "identity", "hgnc_alias", "ambiguous", "unmappe
 
 
 def dictionary_aliases(genes: DataFrame) -> DataFrame:
-    """symbol, alias, source of a dictionary: current aliases and previous symbols."""
-    symbol = T.clean_key("symbol").alias("symbol")
-    parts = [genes.select(symbol, F.explode(T.split_aliases(c)).alias("alias"), F.lit(f"hgnc_{c}").alias("source")) for c in ("alias_symbol", "prev_symbol")]
-    return parts[0].unionByName(parts[1]).where((F.col("symbol") != "") & (T.clean_key("alias") != F.col("symbol")))
+    """symbol, alias (its clean key), source of a dictionary: current aliases and previous symbols.
+
+    A dictionary is a small file with much work to each row, so rows are dealt first. An alias is cleaned once, within the
+    generator: what comes after it only names its output. A plain explode would work its array out again to filter empty ones.
+    """
+    cells, spark = ["symbol", "alias_symbol", "prev_symbol"], genes.sparkSession
+    dealt = genes.select(*cells).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *cells)
+    aliases = lambda c: F.explode_outer(F.transform(T.split_aliases(c), T.clean_key)).alias("alias")
+    parts = [dealt.select(T.clean_key("symbol").alias("symbol"), aliases(c), F.lit(f"hgnc_{c}").alias("source")) for c in ("alias_symbol", "prev_symbol")]
+    return parts[0].unionByName(parts[1]).where((F.col("symbol") != "") & (F.col("alias") != F.col("symbol")))
 
 
 def build_alias_candidates(genes: DataFrame) -> DataFrame:
     """key, symbol, sources: every key of every valid alias."""
-    rows = dictionary_aliases(genes).where(T.is_valid_alias("alias")).select(F.explode(T.key_variants("alias")).alias("key"), "symbol", "source")
-    return rows.groupBy("key", "symbol").agg(F.sort_array(F.collect_set("source")).alias("sources"))
+    compact = F.nullif(T.compact_clean("alias"), F.col("alias"))
+    rows = dictionary_aliases(genes).where(T.is_strong_key("alias")).select(F.explode(F.array("alias", compact)).alias("key"), "symbol", "source").where("key <> ''")
+    # Flags and not a set of texts, which Spark would sort before it combines them.
+    sources = ["hgnc_alias_symbol", "hgnc_prev_symbol"]
+    found = rows.groupBy("key", "symbol").agg(*[F.bool_or(F.col("source") == s).alias(s) for s in sources])
+    return found.select("key", "symbol", F.array_compact(F.array(*[F.when(F.col(s), s) for s in sources])).alias("sources"))
 
 
 def alias_conflicts(candidates: DataFrame) -> DataFrame:
@@ -34,11 +44,14 @@ def alias_conflicts(candidates: DataFrame) -> DataFrame:
 def unique_alias_map(candidates: DataFrame, overrides: DataFrame) -> DataFrame:
     """key, symbol: keys of one symbol that no role has for itself, under the overrides that hold for all roles (the last one wins)."""
     everywhere = (F.size("roles") == 0) | (F.array_sort("roles") == F.array(F.lit("all"))) | (F.array_sort("roles") == F.array(F.lit("target"), F.lit("tf")))
-    keyed = overrides.withColumn("everywhere", everywhere).withColumn("key", F.explode(T.key_variants("alias")))
-    special = keyed.where("not everywhere").select("key").distinct()
-    over = keyed.where("everywhere").withColumn("symbol", T.clean_key("symbol")).where("symbol <> ''").groupBy("key").agg(F.max_by("symbol", "ord").alias("symbol"))
-    single = candidates.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("symbol").alias("symbol")).where("n = 1").select("key", "symbol").join(special, "key", "left_anti")
-    return single.join(over, "key", "left_anti").unionByName(over)
+    # explode_outer, since a plain explode would work its array out twice.
+    keyed = overrides.select("ord", everywhere.alias("everywhere"), T.clean_key("symbol").alias("to"), F.explode_outer(T.key_variants("alias")).alias("key")).where("key is not null")
+    holds = F.expr("everywhere and to <> ''")
+    # One row for each key with an override: whether a role has it for itself, and the symbol that holds for all.
+    over = keyed.groupBy("key").agg(F.bool_or(~F.col("everywhere")).alias("special"), F.bool_or(holds).alias("holds"), F.max_by(F.when(holds, F.col("to")), F.when(holds, F.col("ord"))).alias("to"))
+    single = candidates.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("symbol").alias("symbol")).where("n = 1").select("key", "symbol")
+    both = single.join(over, "key", "full")
+    return both.where("holds or (symbol is not null and not coalesce(special, false))").select("key", F.when(F.col("holds"), F.col("to")).otherwise(F.col("symbol")).alias("symbol"))
 
 
 def official_symbols(genes: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from curatrix.operators import aliases as A, curation as C, edges as E, extract as X, pieces as P, report as R
 from curatrix.operators.anomaly_log import AnomalyLog
 from curatrix.sources import json_object as J, readers as S, writers as K
-from curatrix.sources.shared import fresh
+from curatrix.sources.shared import fresh, stored
 
 from .text_queries import _NAMED, _SECT_CTE, _labelled, _responses, _sectioned
 from .edge_queries import _METRICS, _LINES, edge_metrics
@@ -180,7 +180,7 @@ _INDEX = _CAND + ", o AS (SELECT DISTINCT symbol FROM (SELECT trim(upper(symbol)
 def object_alias_index(spark, d):
     """Metadata, official symbols and the candidates of each key, nested in one object."""
     genes, path = view(spark, d, "genes"), fresh(spark)
-    candidates = A.build_alias_candidates(genes)
+    candidates = stored(A.build_alias_candidates(genes))
     K.write_alias_index({"candidates": candidates, "official": A.official_symbols(genes), "metadata": A.alias_metadata(genes, candidates, S.normalize_overrides(overrides(spark, d)))}, path, rows=False)
     back, official = S.read_alias_index(spark, f"{path}/index.json")
     out = back.join(official.withColumn("official", F.lit(True)), "symbol", "left")
@@ -191,7 +191,7 @@ def object_alias_index(spark, d):
 def object_legacy_map(spark, d):
     """The unique map, a flat object, read as the index that is missing and as overrides."""
     genes, path = view(spark, d, "genes"), fresh(spark)
-    candidates, over = A.build_alias_candidates(genes), S.normalize_overrides(overrides(spark, d))
+    candidates, over = stored(A.build_alias_candidates(genes)), S.normalize_overrides(overrides(spark, d))
     K.write_alias_index({"candidates": candidates, "official": A.official_symbols(genes), "unique": A.unique_alias_map(candidates, over)}, path, rows=False)
     back, official = S.read_alias_index(spark, f"{path}/missing.json", f"{path}/unique.json")
     flat = S.read_overrides(spark, f"{path}/unique.json").select(F.col("alias").alias("key"), "symbol", "reason")

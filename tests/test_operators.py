@@ -362,3 +362,29 @@ def test_extraction_rows_of_odd_results(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "pmid int, t string").select("pmid", F.try_parse_json("t").alias("v"))
     got = {r.pmid: (r.error, r.n_items, [tuple(e) for e in r.edges]) for r in S.extraction_rows(df).collect()}
     assert got == {0: (None, 6, [(0, "a", "B", "", "3", ""), (5, "", "", "", "", "")]), 1: ("late", 0, []), 2: (None, 0, []), 3: (None, 0, []), 4: (None, 0, [])}
+
+
+GENES = "symbol string, alias_symbol string, prev_symbol string, ensembl_gene_id string, ord long"
+
+
+def test_aliases_are_cleaned_once(spark):
+    """The plan cleans aliases once, in the generators, and symbols where they are filtered and named; before, each filter and key worked an alias out anew."""
+    plan = A.build_alias_candidates(spark.createDataFrame([("S", "al-1|AL2 (x)", "al-1", "", 1)], GENES))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"\(.*?\)") <= 8
+
+
+def test_candidates_of_odd_aliases(spark):
+    genes = spark.createDataFrame([("s", 'a-b c|"A-B C"||12.5| x |(only)|---|S|nil(1)', "A-B C", "", 1), ("", "lost", "lost", "", 2), ("t", None, None, "", 3), (None, "gone", None, "", 4)], GENES)
+    found = [(r.key, r.symbol, r.sources) for r in A.build_alias_candidates(genes).orderBy("key").collect()]
+    both = ["hgnc_alias_symbol", "hgnc_prev_symbol"]
+    assert found == [("A-B C", "S", both), ("ABC", "S", both), ("NIL", "S", both[:1])]
+
+
+def test_the_unique_map_reads_its_tables_once(spark, tmp_path):
+    """Candidates and overrides: before, overrides were read three times."""
+    spark.createDataFrame([("A1B", "S1", ["x"]), ("A2B", "S1", ["x"]), ("A2B", "S2", ["x"]), ("A3B", "S3", ["x"]), ("A4B", "S4", ["x"])], "key string, symbol string, sources array<string>").write.parquet(f"{tmp_path}/c")
+    over = [(1, "a3b", "", ["tf"], "block", "", None), (2, "a2b", "s9", ["tf", "target"], "map", "", None), (3, "a2b", "s8", [], "map", "", None), (4, "a4b", "", [], "map", "", None), (5, "new", "s5", ["all"], "map", "", None), (6, "(x)", "s6", [], "map", "", None), (7, "new", "s7", ["target"], "map", "", None)]
+    spark.createDataFrame(over, S.OVERRIDES).write.parquet(f"{tmp_path}/o")
+    df = A.unique_alias_map(spark.read.parquet(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/o"))
+    assert rows(df, "key", "symbol") == [("A1B", "S1"), ("A2B", "S8"), ("A4B", "S4"), ("NEW", "S5")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
