@@ -24,11 +24,13 @@ import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 FORMAT = "json_entries"
 #: Bytes of a range at most and, if there are fewer ranges than cores, at least; and of a block that is scanned at once.
 RANGE, LEAST_RANGE, BLOCK = 64 << 20, 64 << 10, 4 << 20
+#: Entries that are put together before they are written.
+LINES = 256
 ENTRIES = "file string, ord long, member string, key string, value string"
 STATES = "file string, start long, parity int, outside int, inside int"
 CENSUS = "file string, start long, entries long, separator long, colon long"
@@ -224,7 +226,7 @@ class JsonEntries(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options), schema)
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         return _Writer(dict(self.options), overwrite)
 
 
@@ -303,7 +305,20 @@ class _Fragments(WriterCommitMessage):
     parts: list[tuple[str | None, bool, str]]  # member, whether its entries have keys, file
 
 
-class _Writer(DataSourceWriter):
+def _quoted(key: str) -> str:
+    return json.encoder.encode_basestring(key)
+
+
+def _alike(members: list) -> Iterator[tuple[int, int]]:
+    """First and end of each run of equal members."""
+    first = 0
+    for i in range(1, len(members) + 1):
+        if i == len(members) or members[i] != members[first]:
+            yield first, i
+            first = i
+
+
+class _Writer(DataSourceArrowWriter):
     """Tasks write the entries of each member to files of their own; committing puts these together, in the order of partitions."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -311,20 +326,25 @@ class _Writer(DataSourceWriter):
         self.members = json.loads(options.get("members", "[]"))  # (member, kind), in their order; there even if they have no entry
         self.folder = f"{self.path}.parts-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, folder = located(self.folder)
         fs.create_dir(folder, recursive=True)
-        parts, out, last = [], None, ...
-        for row in rows:
-            if out is None or row.member != last:
-                if out:
-                    out.close()
-                file, last = f"{self.folder}/{uuid.uuid4().hex}", row.member
-                out = fs.open_output_stream(located(file)[1])
-                parts.append((row.member, row.key is not None, file))
-            else:
-                out.write(b",\n")
-            out.write((row.value if row.key is None else f"{json.dumps(row.key, ensure_ascii=False)}: {row.value}").encode())
+        parts, out, last = [], None, None
+        for batch in batches:
+            members, keys = batch.column("member").to_pylist(), batch.column("key").to_pylist()
+            values = batch.column("value")
+            for i, j in _alike(members):
+                begun = out is not None and members[i] == last
+                if not begun:
+                    if out:
+                        out.close()
+                    file, last = f"{self.folder}/{uuid.uuid4().hex}", members[i]
+                    out = fs.open_output_stream(located(file)[1])
+                    parts.append((last, keys[i] is not None, file))
+                for a in range(i, j, LINES):
+                    b = min(j, a + LINES)
+                    lines = [v if k is None else f"{_quoted(k)}: {v}" for k, v in zip(keys[a:b], values.slice(a, b - a).to_pylist())]
+                    out.write((",\n" * (begun or a > i) + ",\n".join(lines)).encode())
         if out:
             out.close()
         return _Fragments(TaskContext.get().partitionId(), parts)

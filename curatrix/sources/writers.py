@@ -49,22 +49,31 @@ def write_alias_index(tables: dict[str, DataFrame], folder: str, rows: bool = Tr
         for name, df in tables.items():
             df.orderBy(df.columns[0]).write.json(f"{folder}/{name}")
         return
-    listed = F.to_json(F.array_sort(F.collect_list(F.struct("symbol", "sources"))))
-    by_key = lambda df: df.groupBy("key").agg(listed.alias("json"))
-    parts = [entries(by_key(tables["candidates"]), "key", F.col("json"), "aliases"), entries(tables["official"], None, json_string("symbol"), "official_symbols")]
-    if "metadata" in tables:
-        parts.append(entries(tables["metadata"].select(F.lit("metadata").alias("name"), F.to_json(F.struct("*")).alias("json")), "name", F.col("json")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    J.write_entries(whole.orderBy("member", "key", "value"), f"{folder}/index.json", members=[("official_symbols", "array"), ("aliases", "object")])
     if "conflicts" in tables:
         own = tables["candidates"].join(tables["conflicts"].select("key"), "key", "left_semi")
-        J.write_entries(entries(by_key(own), "key", F.col("json")).orderBy("key"), f"{folder}/conflicts.json")
+        J.write_entries(entries_by_key(own), f"{folder}/conflicts.json")
+    # Members stand in the file in the order that is named here; within each, partitions are in order.
+    official = entries(tables["official"], None, json_string("symbol"), "official_symbols")
+    whole = official.orderBy("value").unionByName(entries_by_key(tables["candidates"], "aliases"))
+    if "metadata" in tables:
+        whole = whole.unionByName(entries(tables["metadata"].select(F.lit("metadata").alias("name"), F.to_json(F.struct("*")).alias("json")), "name", F.col("json")))
+    J.write_entries(whole, f"{folder}/index.json", members=[("official_symbols", "array"), ("aliases", "object")])
     if "unique" in tables:
         J.write_entries(entries(tables["unique"], "key", json_string("symbol")).orderBy("key"), f"{folder}/unique.json")
 
 
+def entries_by_key(candidates: DataFrame, member: str | None = None) -> DataFrame:
+    """The candidates of each key as an entry, in the order of keys.
+
+    Candidates are dealt by ranges of keys before they are gathered, so that keys with many of them fall into several tasks, and what
+    finds the ranges reads keys only.
+    """
+    n = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), candidates.sparkSession.sparkContext.defaultParallelism)
+    listed = F.to_json(F.array_sort(F.collect_list(F.struct("symbol", "sources"))))
+    whole = candidates.repartitionByRange(n, "key").groupBy("key").agg(listed.alias("json"))
+    return entries(whole, "key", F.col("json"), member).sortWithinPartitions("key")
+
+
 def write_ensg_map(df: DataFrame, path: str, rows: bool = True) -> None:
     """symbol, ensg in the order of symbols."""
     if rows:

@@ -380,6 +380,18 @@ def test_candidates_of_odd_aliases(spark):
     assert found == [("A-B C", "S", both), ("ABC", "S", both), ("NIL", "S", both[:1])]
 
 
+def test_keys_with_many_candidates_fall_into_several_tasks(spark, tmp_path, monkeypatch):
+    """Ranges of keys go by their candidates; by keys alone, these four would be one task's."""
+    got = []
+    monkeypatch.setattr(K.J, "write_entries", lambda df, *a, **k: got.append(df))
+    heavy = [(f"heavy{i}", f"S{j}") for i in range(4) for j in range(1000)]
+    cand = spark.createDataFrame([(k, s, ["x"]) for k, s in heavy + [(f"a{i}", "S") for i in range(1000)]], "key string, symbol string, sources array<string>")
+    K.write_alias_index({"candidates": cand, "official": cand.select("symbol").distinct()}, str(tmp_path), rows=False)
+    parts = got[0].where("member = 'aliases'").select("key", F.spark_partition_id().alias("p")).collect()
+    assert len({r.p for r in parts if r.key.startswith("heavy")}) > 1
+    assert [r.key for r in sorted(parts, key=lambda r: r.p)] == sorted({k for k, _ in heavy} | {f"a{i}" for i in range(1000)})
+
+
 def test_the_unique_map_reads_its_tables_once(spark, tmp_path):
     """Candidates and overrides: before, overrides were read three times."""
     spark.createDataFrame([("A1B", "S1", ["x"]), ("A2B", "S1", ["x"]), ("A2B", "S2", ["x"]), ("A3B", "S3", ["x"]), ("A4B", "S4", ["x"])], "key string, symbol string, sources array<string>").write.parquet(f"{tmp_path}/c")
