@@ -92,26 +92,33 @@ def compress(ids: np.ndarray, end: int = END, size: int = SIZE, most: int = RULE
         by_kind = np.full(len(kinds) + 1, len(good), np.int32)
         by_kind[good] = np.arange(len(good), dtype=np.int32)
         place = _places(key, kinds)
-        at, r = at[place >= 0], by_kind[place[place >= 0]]
-        rank[at] = r
-        here = np.where(r < len(good), rank[before[at]], 0)
-        # In a run of one symbol every other pair is taken.
-        number = np.arange(len(at))
-        again = (here == r) & (np.append(-1, at[:-1]) == before[at])
-        even = (number - np.maximum.accumulate(np.where(again, 0, number))) % 2 == 0
-        hit = (r < len(good)) & ((r < here) | (again & even)) & (r <= rank[after[at]])
+        keep = np.flatnonzero(place >= 0)
+        at, r = at[keep], by_kind[place[keep]]
+        # Those that wait can't win: only the others are compared.
+        now = np.flatnonzero(r < len(good))
+        pair, r = at[now], r[now]
+        rank[pair] = r
+        here, there = rank[before[pair]], rank[after[pair]]
+        hit = r < here
+        # In a run of one symbol, whose pairs have the same rank, every other pair is taken.
+        again = np.flatnonzero(here == r)
+        if len(again):
+            number = np.arange(len(again))
+            run = np.maximum.accumulate(np.where(np.diff(again, prepend=-2) != 1, number, 0))
+            hit[again[(number - run) % 2 == 1]] = True
+        hit = np.flatnonzero(hit & (r <= there))
         # Rules that don't pay where they won are left out.
         won = np.bincount(r[hit], minlength=len(good)) >= least
-        rank[at] = 1 << 30
+        rank[pair] = 1 << 30
         if not won.any():
             if not twins:
                 break
             twins = False
             continue
         twins, most = True, 2 * most
-        hit[hit] = won[r[hit]]
+        hit = hit[won[r[hit]]]
         new = np.stack([known[left[good[won]]], known[right[good[won]]]], 1)
-        first = at[hit]
+        first = pair[hit]
         second = after[first]
         seq[first] = size + len(rules) + (np.cumsum(won) - 1)[r[hit]]
         gone[second] = True
@@ -180,7 +187,14 @@ class Shard:
         return expand(self.symbols[i : j + 1], self.rules, self.size)[first - before : end - before]
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.rules, self.size)
+        """All ids. Each rule is expanded once and copied from there, unless these texts together are longer than what they stand for."""
+        if int(self.lengths.sum(dtype=np.int64)) > int(self.n_ids.sum()):
+            return expand(self.symbols, self.rules, self.size)
+        pool = np.concatenate([np.arange(self.size, dtype=np.uint32), expand(np.arange(self.size, self.size + len(self.rules)), self.rules, self.size)])
+        each = np.concatenate([np.ones(self.size, np.int64), self.lengths])
+        begin, each = (np.cumsum(each) - each)[self.symbols], each[self.symbols]
+        stop = np.cumsum(each)
+        return pool[np.repeat(begin - stop + each, each) + np.arange(stop[-1] if len(stop) else 0)]
 
 
 def _write(batches, name: str, end: int):
@@ -220,7 +234,7 @@ def _read(batches):
     for batch in batches:
         for before, payload in zip(batch.column("before").to_pylist(), batch.column("payload")):
             shard = Shard(payload.as_buffer().to_pybytes())
-            raw = memoryview(shard.all().astype("<u4")).cast("B")
+            raw = memoryview(shard.all().astype("<u4", copy=False)).cast("B")
             n = shard.n_ids.astype(np.int64)
             at = np.concatenate([[0], np.cumsum(n)])
             crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -562,3 +562,29 @@ def test_pipeline_stages_take_effect(spark, sf):
         else:
             assert {r.doc_id for r in out.select("doc_id").collect()} == {d for d, _ in before}
         docs = out
+
+
+def test_shards_expand_rules_and_not_their_whole_sequence(monkeypatch):
+    """A shard's ids are copied from rules that are expanded once; before, every level passed over the whole shard."""
+    rng = np.random.default_rng(5)
+    ids = np.tile(rng.integers(2, 40, 500).astype(np.uint32), 40)
+    ids[rng.integers(0, len(ids), 900)] = 3
+    lone = np.full(1 << 12, 7, np.uint32)
+    passed = []
+    real = repair.expand
+    monkeypatch.setattr(repair, "expand", lambda s, *a: passed.append(len(s)) or real(s, *a))
+    for x in (ids, lone, np.repeat(ids[:400], 5), np.zeros(0, np.uint32)):
+        shard = repair.Shard(repair.to_bytes(np.array([1]), x, np.array([0, len(x)]), 2, 50))
+        assert np.array_equal(shard.all(), x) and all(n <= max(len(shard.rules), len(lone)) for n in passed)
+    assert len(repair.compress(ids, 2, 50)[0]) > max(passed)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_every_other_pair_of_a_run_is_taken(seed):
+    """Runs of one symbol beside each other and beside other pairs: ids come back, and no rule takes in the end id."""
+    rng = np.random.default_rng(seed)
+    ids = np.repeat(rng.integers(2, 6, 300), rng.integers(1, 12, 300)).astype(np.uint32)
+    seq, rules, length, place = repair.compress(ids, 2, 8)
+    assert np.array_equal(repair.expand(seq, rules, 8), ids) and not (rules == 2).any() and len(seq) < len(ids)
+    each = np.concatenate([np.ones(8, np.int64), length])[seq]
+    assert np.array_equal(place, np.cumsum(each) - each)
