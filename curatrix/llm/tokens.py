@@ -173,15 +173,25 @@ class Encoder:
         number = self._find(low, a, e - a, h, True)
         doubt = np.flatnonzero((number < 0) & ~odd[word])
         # Known atoms have passed; others must be letters only, in lower case too, if they go beyond ASCII.
-        doubt = doubt[np.maximum.reduceat(low, a)[doubt] >= 0x80] if len(doubt) else doubt
         if len(doubt):
-            strange = lambda i: not low[a[i] : e[i]].tobytes().decode("utf-8", "replace").removeprefix(" ").lower().isalpha()
+            beyond = np.append(0, np.cumsum(low >= 0x80, dtype=np.int32))
+            doubt = doubt[beyond[e[doubt]] > beyond[a[doubt]]]
+        if len(doubt):
+            text = low.tobytes()
+            strange = lambda word: not word.decode("utf-8", "replace").lower().isalpha()
+            ink = lambda k: [text[i:j].removeprefix(b" ") for i, j in zip(a[k].tolist(), e[k].tolist())]
             _, one, back = np.unique(h[doubt], return_index=True, return_inverse=True)
-            bad, like = np.array([strange(i) for i in doubt[one]], bool)[back], doubt[one][back]
+            like = doubt[one]
+            bad, inks = np.zeros(len(like), bool), ink(like)
+            for i in range(0, len(inks), 64):
+                # Letters only, all of them together, in most cases.
+                if strange(b"".join(inks[i : i + 64])):
+                    bad[i : i + 64] = [strange(x) for x in inks[i : i + 64]]
+            bad, like = bad[back], like[back]
             sure = (e - a)[doubt] == (e - a)[like]
             sure[sure] = same_bytes(low, a[doubt[sure]], (e - a)[doubt[sure]], low, a[like[sure]])
             for i in np.flatnonzero(~sure).tolist():
-                bad[i] = strange(doubt[i])
+                bad[i] = strange(ink(doubt[i : i + 1])[0])
             odd[word[doubt[bad]]] = True
         if not odd.any():
             return a, self._numbers(low, a, e - a, h, number, True)
