@@ -1,8 +1,8 @@
 """What belongs to one document in pieces of bounded size, so that no buffer holds a large document's rows.
 
-Rows are dealt by ranges of (document, order), so a large document lies in several ranges; a piece is a part of a document
-within a range. Pieces ascend with the order of rows. They are packed on their own, and stand beside each other only where a file
-wants them to (`sources.lines`), or in `joined`.
+Rows are numbered within their document, where its rows lie. Documents with more rows than a task should sort are found by a count, and
+dealt by ranges of (document, order), so each lies in several ranges; there a piece is a part of a document within a range. Pieces ascend
+with the order of rows. They are packed on their own, and stand beside each other only where a file wants them to (`sources.lines`), or in `joined`.
 """
 
 from __future__ import annotations
@@ -13,13 +13,20 @@ from curatrix.functions import text as T
 from curatrix.sources.shared import stored
 
 MOST = 100_000
+#: Rows of a document that one task may sort. There are at most rows / LARGE larger ones, which are broadcast.
+LARGE = 1_000_000
 
 
 def in_pieces(df: DataFrame, order: list[str], most: int = MOST, key: str = "pmid") -> DataFrame:
     """df with `piece`: numbers that ascend within a document in the given order, `most` rows to each at most."""
-    ranged = stored(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id().cast("long")))
-    rank = F.row_number().over(W.partitionBy("_part", key).orderBy(*order)) - 1
-    return ranged.withColumn("piece", F.shiftleft(F.col("_part"), 32) + F.floor(rank / most)).drop("_part")
+    piece = lambda *by: F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) / most)
+    large = stored(df.groupBy(F.col(key).alias("_large")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select("_large"))
+    if large.isEmpty():
+        return df.withColumn("piece", piece(key))
+    same, known = F.col(key).eqNullSafe(F.col("_large")), F.broadcast(large)
+    ranged = stored(df.join(known, same, "left_semi").repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id().cast("long")))
+    ranged = ranged.withColumn("piece", F.shiftleft(F.col("_part"), 32) + piece("_part", key)).drop("_part")
+    return df.join(known, same, "left_anti").withColumn("piece", piece(key)).unionByName(ranged)
 
 
 def _packed(df: DataFrame, order: list[str], entry: Column, most: int) -> tuple[DataFrame, Column]:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from curatrix.functions import text as T
+from curatrix.sources.shared import stored
 
 FIELDS = ["direction", "cellline", "assay", "notes"]
 
@@ -28,15 +29,33 @@ def lookup_direction(df: DataFrame, latest: DataFrame) -> DataFrame:
     return df.join(latest.withColumnRenamed("direction", "reference_direction"), ["pmid", "tf", "target"], "left").withColumn("reference_direction", F.coalesce("reference_direction", F.lit("")))
 
 
+def own_direction(df: DataFrame) -> DataFrame:
+    """df with reference_direction as `lookup_direction` has it from df's own last directions (pmid, tf, target, direction, ord): found where a document's rows lie."""
+    named = F.col("pmid").isNotNull() & F.col("tf").isNotNull() & F.col("target").isNotNull()
+    last = F.max_by("direction", "ord").over(W.partitionBy("pmid", "tf", "target"))
+    return df.withColumn("reference_direction", F.coalesce(F.when(named, last), F.lit("")))
+
+
 def attach_aliases(df: DataFrame, reverse: DataFrame) -> DataFrame:
-    """df with tf_aliases and gene_aliases (reverse: symbol, aliases)."""
+    """df with tf_aliases and gene_aliases (reverse: symbol, aliases), of those columns it has."""
     none = F.array().cast("array<string>")
     out = df
     for column, name in (("tf", "tf_aliases"), ("target", "gene_aliases")):
+        if column not in df.columns:
+            continue
         out = out.join(reverse.select(F.col("symbol").alias(column), F.col("aliases").alias(name)), column, "left").withColumn(name, F.coalesce(name, none))
     return out
 
 
+def attach_names(df: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """df with what names (a row for each value of column) says of its column.
+
+    names is stored, so that Spark joins it by its measured size. An estimate is that of the tables behind it, and would have all of df shuffled by name.
+    """
+    known = stored(names).withColumnRenamed(column, "_name")
+    return df.join(known, F.col(column).eqNullSafe(F.col("_name")), "left").drop("_name")
+
+
 def review_dataset(pairs: DataFrame, abstracts: DataFrame) -> DataFrame:
     """pmid, abstract, pairs: the enriched pairs of each document in the order of ord."""
     pair = F.struct("ord", "tf", F.col("target").alias("gene"), "ensg", "in_track", "tf_aliases", "gene_aliases", "reference_direction")

@@ -11,6 +11,7 @@ from curatrix.functions import text as T
 from curatrix.operators import aliases as A, curation as C, documents as D, edges as E, evaluate as V, extract as X, pieces as P, report as R, review as W
 from curatrix.plans import ORACLES, QUERIES
 from curatrix.sources import readers as S, writers as K
+from curatrix.sources.shared import dealt
 
 
 def rows(df, *columns):
@@ -400,3 +401,52 @@ def test_the_unique_map_reads_its_tables_once(spark, tmp_path):
     df = A.unique_alias_map(spark.read.parquet(f"{tmp_path}/c"), spark.read.parquet(f"{tmp_path}/o"))
     assert rows(df, "key", "symbol") == [("A1B", "S1"), ("A2B", "S8"), ("A4B", "S4"), ("NEW", "S5")]
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+
+
+def test_pairs_lie_where_line_items_were_dealt(spark, sf):
+    """One exchange of the rows, whatever Spark makes of the size of tables behind a lookup."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
+    try:
+        plan = QUERIES["review_pieces"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1 and "Exchange rangepartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_own_directions_are_those_looked_up(spark):
+    edges = [("1", 1, "A", "B", "x"), ("1", 2, "A", "B", "y"), ("1", 3, "A", "C", None), ("2", 1, "A", "B", "z"), (None, 1, "A", "B", "z"), ("2", 2, None, "B", "z"), ("2", 3, "A", None, "z")]
+    df = spark.createDataFrame(edges, "pmid string, ord long, tf string, target string, direction string")
+    told = [rows(x, "pmid", "ord", "tf", "target", "reference_direction") for x in (W.own_direction(df), W.lookup_direction(df, E.latest_direction(df)))]
+    assert told[0] == told[1] and ("1", 1, "A", "B", "y") in told[0] and (None, 1, "A", "B", "") in told[0]
+
+
+def test_names_are_attached_with_null_ones(spark):
+    df = spark.createDataFrame([("1", "A"), ("2", None), ("3", "A")], "pmid string, tf string")
+    names = W.attach_aliases(df.select("tf").distinct(), spark.createDataFrame([("A", ["AA"])], "symbol string, aliases array<string>"))
+    assert rows(W.attach_names(df, "tf", names), "pmid", "tf", "tf_aliases") == [("1", "A", ["AA"]), ("2", None, []), ("3", "A", ["AA"])]
+
+
+@pytest.mark.parametrize("large", [20, 10_000])
+def test_pieces_of_large_and_small_documents(spark, monkeypatch, large):
+    monkeypatch.setattr(P, "LARGE", large)
+    sizes = {"1": 1, "2": 4, "3": 20, "4": 21, "5": 100, None: 30}
+    edges = spark.createDataFrame([(k, i * 7 % n if n % 7 else i, f"A{i}") for k, n in sizes.items() for i in range(n)], "pmid string, ord long, tf string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = P.in_pieces(edges, ["ord"], 3).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {}
+    for r in sorted(found, key=lambda r: (r.piece, r.ord)):
+        got.setdefault(r.pmid, []).append(r)
+    assert {k: [r.ord for r in v] for k, v in got.items()} == {k: list(range(n)) for k, n in sizes.items()}
+    for k, v in got.items():
+        counts = [sum(r.piece == p for r in v) for p in {r.piece for r in v}]
+        assert max(counts) <= 3 and (sizes[k] > large or len(counts) == -(-sizes[k] // 3))
+    ranges = {k: {r.piece >> 32 for r in v} for k, v in got.items()}
+    assert all(x == {0} for k, x in ranges.items() if sizes[k] <= large) and (large > 20 or len(set.union(*ranges.values())) > 1)
+
+
+def test_rows_of_a_task_are_bounded_where_partitions_are_few(spark):
+    ids = spark.range(10_000)
+    assert dealt(ids, "id", 1000).rdd.getNumPartitions() == 10 and dealt(ids, "id", 2500).rdd.getNumPartitions() == ids.rdd.getNumPartitions()
